@@ -172,3 +172,54 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         labels = stored(step.join(known, step.c1 == known.k).select("id", "old", F.least("c1", "c2").alias("component")), "labels")
         if not labels.where("component <> old").limit(1).count():
             return labels.select("id", "component")
+
+
+def few_rows(df: DataFrame, most: int) -> bool:
+    """Whether df has at most so many rows; df should be a stored table."""
+    return df.limit(most + 1).count() <= most
+
+
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is (then the join shuffles)."""
+    return F.broadcast(df) if few_rows(df, most) else df
+
+
+def over_groups(df: DataFrame, key: str, f: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType, also: tuple[str, ...] = ()) -> DataFrame:
+    """f over the rows of each value of key (a bounded group), as one stream a partition rather than one call of Spark's a group."""
+    ready = df.repartition(n_parts(df), key).sortWithinPartitions(key, *also)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        held: list[pa.RecordBatch] = []
+        held_key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = pc.run_end_encode(batch.column(batch.schema.get_field_index(key)))
+            start = 0
+            for end, value in zip(keys.run_ends.to_pylist(), keys.values.to_pylist(), strict=True):
+                if held and value != held_key:
+                    if (out := f(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                held_key = value
+                held.append(batch.slice(start, end - start))
+                start = end
+        if held and (out := f(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return ready.mapInArrow(run, schema)
+
+
+def min_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 and undirected edges (i, j): the smallest node that each reaches."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new

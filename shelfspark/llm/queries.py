@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, licenses, mixing, pii, quality
+from shelfspark.llm import bpe, jaccard, licenses, mixing, pii, quality, vectors
 from shelfspark.llm.common import table
 
 #: Production parameters of the mixture.
@@ -35,6 +35,10 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_tokens(counted, MIX_WEIGHTS, budget, MIX_SEED)
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -57,6 +61,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
@@ -70,7 +79,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixture, op3_licenses, op5_pii, op6_quality, op9_bpe)}
+    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op5_pii, op6_quality, op8_jaccard, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
