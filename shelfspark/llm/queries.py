@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, jaccard, licenses, mixing, pii, quality, vectors
+from shelfspark.llm import bpe, hpylm, jaccard, licenses, mixing, pii, quality, vectors
 from shelfspark.llm.common import table
 
 #: Production parameters of the mixture.
@@ -61,6 +61,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
@@ -79,7 +83,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op5_pii, op6_quality, op8_jaccard, op9_bpe)}
+    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op5_pii, op6_quality, op7_lm, op8_jaccard, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
