@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, hpylm, jaccard, licenses, mixing, pii, quality, vectors
+from shelfspark.llm import bpe, hpylm, jaccard, licenses, mixing, passages, pii, quality, vectors
 from shelfspark.llm.common import table
 
 #: Production parameters of the mixture.
@@ -49,6 +49,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -83,7 +88,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op5_pii, op6_quality, op7_lm, op8_jaccard, op9_bpe)}
+    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op4_passages, op5_pii, op6_quality, op7_lm, op8_jaccard, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
