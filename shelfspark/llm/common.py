@@ -85,7 +85,7 @@ def pieces(batch: pa.RecordBatch, column: str | None, limit: int = PIECE_BYTES)
         start, done = end, int(ends[end - 1])
 
 
-def append_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], sized_by: str | None = None) -> DataFrame:
+def append_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], sized_by: str | None = None, limit: int = PIECE_BYTES) -> DataFrame:
     """df with columns added by Python over Arrow batches.
 
     make() runs once a task and returns f(batch) -> arrays for fields. A column of df
@@ -100,7 +100,7 @@ def append_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.Str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for whole in batches:
-            for batch in pieces(whole, sized_by):
+            for batch in pieces(whole, sized_by, limit):
                 old = [batch.column(batch.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*old, *f(batch)], names=arrow_names)
 
@@ -113,7 +113,12 @@ def words_column(text: Column) -> Column:
 
 
 def word_hashes(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of documents that lie one after the other in data (uint8), and each word's document.
+    """64-bit hashes of the words of documents that lie one after the other in data (uint8), and each word's document."""
+    return placed_words(data, doc_ends)[:2]
+
+
+def placed_words(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, start, end) of the words of documents that lie one after the other in data (uint8).
 
     doc_ends: where each document ends; a document must end with a white-space byte.
     """
@@ -121,7 +126,7 @@ def word_hashes(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.
     edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), starts, ends
     value = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     value ^= value >> np.uint64(29)
     # A sum over the word of byte hash times an odd power of the byte's place in the word.
@@ -131,7 +136,7 @@ def word_hashes(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.
     within = place[inside] - lead
     terms = value[inside] * mix(within + np.uint64(0x1234567))
     cuts = np.concatenate([[0], np.cumsum(ends - starts)])[:-1]
-    return mix(np.add.reduceat(terms, cuts) + (ends - starts).astype(np.uint64)), np.searchsorted(doc_ends, starts, side="right")
+    return mix(np.add.reduceat(terms, cuts) + (ends - starts).astype(np.uint64)), np.searchsorted(doc_ends, starts, side="right"), starts, ends
 
 
 def mix(x: np.ndarray) -> np.ndarray:

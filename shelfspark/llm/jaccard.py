@@ -11,7 +11,7 @@ task); a tile pair returns, for each of its members, the number of links and one
 the smallest member that it reaches, never the pairs.
 
 Result, one row per input row: class_id (smallest id reachable by links), n_links (other rows
-linked directly, rows of the same set included), class_size is left to the caller. A null or
+linked directly, rows of the same set included). A null or
 blank text has no set and links with nothing. Rows that repeat an id count as rows of one
 node. An empty table gives no rows.
 """
@@ -209,8 +209,9 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class: that with the class's smallest id (of rows that repeat it, any one with equal text)."""
-    classes = jaccard_classes(df, id_col, text, threshold)
-    keep = classes.where(F.col("class_id") == F.col(id_col)).select(id_col).distinct()
-    return df.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+def keep_one(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, the first in the order of the table as it is stored; rows count apart whatever their ids."""
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = jaccard_classes(rows, "__row", text, threshold)
+    keep = stored(classes.where(F.col("class_id") == F.col("__row")).select("__row"), "kept")
+    return rows.join(small_side(keep, BROADCAST_ROWS), "__row", "left_semi").drop("__row")

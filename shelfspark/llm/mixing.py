@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import WS, stored
+from shelfspark.llm.common import WS, few_rows, small_side, stored
 
 MAX_EPOCHS = 2
 #: Hash digits (hexadecimal) of a bucket: 4096 buckets a leaf.
@@ -32,6 +32,8 @@ BUCKET_DIGITS = 3
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to this number are sent to all tasks; beyond it they are joined by shuffle.
 BROADCAST_LEAVES = 20_000
+#: Selected rows up to this number (24 bytes each) are sent to all tasks, beyond it joined by shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -98,7 +100,7 @@ def select_tokens(docs: DataFrame, weights: dict[str, dict[str, int]], budget: i
     base = stored(base, "token-counts")
     leaves = stored(base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     share = stored(budgets(leaves, weights, budget), "budgets")
-    few = share.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    few = few_rows(share, BROADCAST_LEAVES)
     small = F.broadcast if few else (lambda d: d)
     plan = share.select(
         *LEVELS,
@@ -126,3 +128,16 @@ def select_tokens(docs: DataFrame, weights: dict[str, dict[str, int]], budget: i
 def prefix(text: Column, n: Column) -> Column:
     """The first n words of a text with the white space before each."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{WS}]*[^{WS}]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def mix_texts(df: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, seed: int, domain: Column, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The mixture itself: rows of df as often as their leaf's epochs ask, the last use cut to its token prefix."""
+    order = df.columns
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    counted = rows.select("__row", domain.alias("domain"), "lang", "source", n_tokens(F.col(text)).alias("tokens"))
+    drawn = stored(select_tokens(counted, weights, budget, seed, "__row").select("__row", "tokens", "full_epochs", "partial_tokens").where("full_epochs > 0 or partial_tokens > 0").where("tokens > 0"), "drawn")
+    used = rows.join(small_side(drawn, BROADCAST_ROWS), "__row")
+    uses = used.withColumn("__use", F.explode(F.sequence(F.lit(1), (F.col("full_epochs") + F.when(F.col("partial_tokens") > 0, 1).otherwise(0)).cast("int"))))
+    cut = (F.col("__use") > F.col("full_epochs")) & (F.col("partial_tokens") < F.col("tokens"))
+    made = uses.withColumn(text, F.when(cut, prefix(F.col(text), F.col("partial_tokens"))).otherwise(F.col(text)))
+    return made.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType)).select(*order) if n_chars in order else made.select(*order)

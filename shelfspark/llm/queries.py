@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, hpylm, jaccard, licenses, mixing, passages, pii, quality, vectors
+from shelfspark.llm import bpe, hpylm, jaccard, licenses, mixing, passages, pii, quality, toxicity, vectors
 from shelfspark.llm.common import table
 
 #: Production parameters of the mixture.
@@ -78,7 +78,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode(coded, RANKS, public_tokenizers.PATTERN)
+    both = bpe.decode(coded, RANKS)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -87,8 +87,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    taught = toxicity.teaching_rows(docs, labels, "doc_id", "text", "toxic", ~held)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(*taught))
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op4_passages, op5_pii, op6_quality, op7_lm, op8_jaccard, op9_bpe)}
+    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op4_passages, op5_pii, op6_quality, op7_lm, op8_jaccard, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
