@@ -139,6 +139,16 @@ def placed_words(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np
     return mix(np.add.reduceat(terms, cuts) + (ends - starts).astype(np.uint64)), np.searchsorted(doc_ends, starts, side="right"), starts, ends
 
 
+def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the first k bytes of words; 0 for words of k bytes or fewer."""
+    h = np.full(len(start), k, np.uint64)
+    for i in range(k):
+        byte = data[np.minimum(start + i, len(data) - 1)].astype(np.uint64)
+        h = (h + byte + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.where(end - start > k, mix(h) | np.uint64(1), np.uint64(0))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xorshift and odd multipliers)."""
     x = x.astype(np.uint64, copy=True)

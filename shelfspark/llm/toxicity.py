@@ -2,8 +2,8 @@
 
 Learning. Of the labelled rows outside the held-out part a sample of at most SAMPLE_DOCS of
 each label is taken in the order of a hash of the id (the bound is a parameter); distinct texts
-of it are tokenised. Words far more frequent, by documents, in toxic texts than in others
-label the tokens of toxic texts; a two-state chain over word features is fitted to the labelled
+of it are tokenised. Words and word beginnings far more frequent, by documents with them once or
+twice, in toxic texts than in others label the tokens of toxic texts; a two-state chain over these features is fitted to the labelled
 tokens of sentences (all with a toxic token, and as many others at most as SENTENCES allows). A
 logistic curve from a text's marginals to its label is fitted on the sample, weighted to the
 labels' true proportions.
@@ -30,14 +30,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import append_arrow, joined_bytes, placed_words
+from shelfspark.llm.common import append_arrow, joined_bytes, placed_words, prefix_hashes
 
 SAMPLE_DOCS = 3000
 SENTENCES = 20_000
 #: A longer sentence is several chains.
 CHAIN_TOKENS = 128
 MIN_DOCS = 3
-MIN_LOG_ODDS = 3.0
+MIN_LOG_ODDS = 2.3
+#: Bytes of the word beginnings that are features beside the word.
+BEGINNINGS = (4, 5, 6, 7)
+#: Least part of the toxic texts that a labelling feature occurs in.
+MIN_SHARE = 0.03
 ITERATIONS = 60
 RIDGE = 1e-3
 #: Letters and digits make words, ASCII in lower case; other ASCII separates.
@@ -46,7 +50,8 @@ _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 o
 
 @dataclass
 class Tokens:
-    word: np.ndarray
+    #: hashes of the word and its beginnings, a row each; 0 where a word has no such beginning
+    features: np.ndarray
     doc: np.ndarray
     sentence: np.ndarray
     start: np.ndarray
@@ -57,9 +62,11 @@ class Tokens:
 def tokenise(texts: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray]:
     """Tokens of the texts with the joined bytes and where each text ends."""
     data, ends = joined_bytes(texts)
-    word, doc, start, end = placed_words(_TABLE[data], ends)
+    plain = _TABLE[data]
+    word, doc, start, end = placed_words(plain, ends)
+    features = np.stack([word, *[prefix_hashes(plain, start, end, k) for k in BEGINNINGS]]) if len(word) else np.empty((1 + len(BEGINNINGS), 0), np.uint64)
     stop = np.cumsum((data == 46) | (data == 33) | (data == 63) | (data == 10))
-    return Tokens(word, doc, stop[start] if len(start) else start, start, end, len(texts)), data, ends
+    return Tokens(features, doc, stop[start] if len(start) else start, start, end, len(texts)), data, ends
 
 
 def chains(sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +119,7 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, length: np.ndarray
 
 @dataclass
 class Model:
-    """Sorted word hashes with weights, bias, step and start potentials, and the logistic curve of the text score."""
+    """Sorted feature hashes with weights, bias, step and start potentials, and the logistic curve of the text score."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -122,15 +129,16 @@ class Model:
     curve: np.ndarray
     constant: float | None = None
 
-    def emission(self, word: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(word), self.bias)
-        i = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        return np.where(self.words[i] == word, self.weights[i], 0.0) + self.bias
+    def emission(self, features: np.ndarray) -> np.ndarray:
+        total = np.full(features.shape[1], self.bias)
+        for f in features if len(self.words) else ():
+            i = np.minimum(np.searchsorted(self.words, f), len(self.words) - 1)
+            total += np.where(self.words[i] == f, self.weights[i], 0.0)
+        return total
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
         first, length = chains(tokens.sentence)
-        return forward_backward(self.emission(tokens.word), first, length, self.step, self.start)[0] if len(first) else np.empty(0)
+        return forward_backward(self.emission(tokens.features), first, length, self.step, self.start)[0] if len(first) else np.empty(0)
 
     def scores(self, tokens: Tokens, marginal: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -139,10 +147,11 @@ class Model:
 
 
 def text_features(tokens: Tokens, marginal: np.ndarray) -> np.ndarray:
-    """For each text: one, the chance that any word is toxic, the expected number of toxic words (log)."""
+    """For each text: one, the chance that any word is toxic, and of the expected number of toxic words the log, the part up to two and to four, and the share of all words."""
     none = np.bincount(tokens.doc, np.log1p(-np.minimum(marginal, 1 - 1e-9)), tokens.n_docs)
     many = np.bincount(tokens.doc, marginal, tokens.n_docs)
-    return np.stack([np.ones(tokens.n_docs), 1 - np.exp(none), np.log1p(many)], axis=1)
+    share = many / np.maximum(1, np.bincount(tokens.doc, minlength=tokens.n_docs))
+    return np.stack([np.ones(tokens.n_docs), 1 - np.exp(none), np.log1p(many), np.minimum(many, 2) / 2, np.minimum(many, 4) / 4, np.minimum(100 * share, 2)], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -161,19 +170,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], labels: np.ndarray, toxic_share: float) -> Model:
     """The model from distinct texts with 0/1 labels; toxic_share: proportion of label 1 among all teaching rows."""
-    empty = Model(np.empty(0, np.uint64), np.empty(0), 0.0, np.zeros((2, 2)), 0.0, np.zeros(3), toxic_share)
+    empty = Model(np.empty(0, np.uint64), np.empty(0), 0.0, np.zeros((2, 2)), 0.0, np.zeros(6), toxic_share)
     if not len(labels) or labels.min() == labels.max():
         return empty
     tokens, _, _ = tokenise(pa.array(texts, pa.string()))
     label = labels.astype(bool)
-    vocabulary, at = np.unique(tokens.word, return_inverse=True)
-    doc, at = np.divmod(np.unique(tokens.doc * len(vocabulary) + at), len(vocabulary))
-    toxic = np.bincount(at, label[doc], len(vocabulary))
-    clean = np.bincount(at, ~label[doc], len(vocabulary))
-    odds = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((clean + 0.5) / ((~label).sum() + 1))
-    lexicon = vocabulary[(toxic >= MIN_DOCS) & (odds >= MIN_LOG_ODDS)]
-    known = vocabulary[toxic + clean >= MIN_DOCS]
-    tagged = np.isin(tokens.word, lexicon) & label[tokens.doc]
+    vocabulary, at = np.unique(tokens.features, return_inverse=True)
+    at = at.reshape(tokens.features.shape)
+    pair, times = np.unique((tokens.doc * len(vocabulary) + at)[tokens.features != 0], return_counts=True)
+    doc, which = np.divmod(pair, len(vocabulary))
+    lexicon = np.zeros(len(vocabulary), bool)
+    for least in (1, 2):  # texts that hold a feature so many times
+        some = times >= least
+        toxic = np.bincount(which[some], label[doc[some]], len(vocabulary))
+        clean = np.bincount(which[some], ~label[doc[some]], len(vocabulary))
+        odds = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((clean + 0.5) / ((~label).sum() + 1))
+        lexicon |= (toxic >= max(MIN_DOCS, MIN_SHARE * label.sum())) & (odds >= MIN_LOG_ODDS)
+        if least == 1:
+            known = vocabulary[toxic + clean >= MIN_DOCS]
+    tagged = lexicon[at].any(axis=0) & label[tokens.doc]
     if not tagged.any():
         return empty
     # sentences with a toxic token, and others up to the bound
@@ -183,26 +198,27 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float) -> Model:
     rng = np.random.default_rng(5)
     chosen = np.concatenate([rng.permutation(np.flatnonzero(holds))[: SENTENCES // 2], rng.permutation(np.flatnonzero(~holds))[: SENTENCES // 2]])
     use = np.isin(which, chosen)
-    word, y = tokens.word[use], tagged[use]
+    features, y = tokens.features[:, use], tagged[use]
     first, length = chains(tokens.sentence[use])
-    place = np.minimum(np.searchsorted(known, word), len(known) - 1)
-    has = known[place] == word
+    place = np.minimum(np.searchsorted(known, features), len(known) - 1)
+    has = known[place] == features
+    by_feature = lambda x: sum(np.bincount(p[h], x[h], len(known)) for p, h in zip(place, has, strict=True))
     weights, bias, step, start = np.zeros(len(known)), -2.0, np.zeros((2, 2)), 0.0
-    head = np.zeros(len(word), bool)
+    head = np.zeros(len(y), bool)
     head[first] = True
     inner = np.flatnonzero(~head)
     seen_pairs = np.array([[((y[inner - 1] == i) & (y[inner] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    seen_words = np.bincount(place[has], y[has], len(known))
+    seen_words = by_feature(y)
     m = v = np.zeros(len(known) + 6)
     for k in range(1, ITERATIONS + 1):  # Adam on the log likelihood
-        emission = np.where(has, weights[place], 0.0) + bias
+        emission = np.where(has, weights[place], 0.0).sum(axis=0) + bias
         p, pairs, _ = forward_backward(emission, first, length, step, start)
-        g = np.concatenate([seen_words - np.bincount(place[has], p[has], len(known)), [(y - p).sum()], (seen_pairs - pairs).ravel(), [(y[first] - p[first]).sum()]])
+        g = np.concatenate([seen_words - by_feature(p), [(y - p).sum()], (seen_pairs - pairs).ravel(), [(y[first] - p[first]).sum()]])
         g -= RIDGE * np.concatenate([weights, [bias], step.ravel(), [start]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         weights, bias, step, start = weights + move[:-6], bias + move[-6], step + move[-5:-1].reshape(2, 2), start + move[-1]
-    model = Model(known, weights, float(bias), step, float(start), np.zeros(3))
+    model = Model(known, weights, float(bias), step, float(start), np.zeros(6))
     x = text_features(tokens, model.marginals(tokens))
     share = label.mean()
     model.curve = _logistic(x, labels.astype(float), np.where(label, toxic_share / share, (1 - toxic_share) / (1 - share)))
