@@ -1,10 +1,8 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""All registered queries over the driver's tables and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from shelfspark.plans import catalogue  # noqa: F401
+from shelfspark.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
