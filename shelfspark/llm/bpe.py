@@ -30,7 +30,10 @@ from shelfspark.llm.common import append_arrow
 #: Longer pieces merge on a heap.
 MATRIX_BYTES = 256
 #: Pieces a worker remembers between batches.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 120_000
+#: Bytes of text and ids that are worked on at a time.
+ENCODE_BYTES = 2 << 20
+DECODE_IDS = 1 << 19
 NONE = np.int64(1) << np.int64(40)
 
 
@@ -213,14 +216,48 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         own = codec(path, pattern)
         return lambda batch: [pa.array(own.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.list_(pa.int32()))]
 
-    return append_arrow(df, make, [T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)], sized_by=text)
+    return append_arrow(df, make, [T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)], sized_by=text, limit=ENCODE_BYTES)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+class Decoder:
+    """Bytes of ids by gathering from one array of all tokens' bytes."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+        size = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        where = np.repeat(self.start[ids] - upto[:-1], size)
+        where += np.arange(len(where))
+        cuts = upto[ends - ends[0]].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(self.bytes[where].tobytes())])
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the binary column decoded: the bytes of its ids."""
 
     def make() -> Callable:
-        own = codec(path, pattern)
-        return lambda batch: [pa.array([own.decode(x or ()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.binary())]
+        own = Decoder(path)
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            lists = batch.column(batch.schema.get_field_index(ids)).fill_null([])
+            n = np.diff(lists.offsets.to_numpy())
+            out, a, full = [], 0, np.cumsum(n)
+            while a < len(lists):  # about DECODE_IDS ids at a time
+                b = max(a + 1, int(np.searchsorted(full, (full[a - 1] if a else 0) + DECODE_IDS, side="right")))
+                out.append(own.decode(lists.slice(a, b - a)))
+                a = b
+            return [pa.concat_arrays(out) if out else pa.array([], pa.binary())]
+
+        return run
 
     return append_arrow(df, make, [T.StructField(decoded, T.BinaryType(), True)])
