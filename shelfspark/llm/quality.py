@@ -44,23 +44,35 @@ METHOD_RULES = (
 )
 
 
-def _repeat_words(words: Column) -> Column:
+def _windows(words: Column) -> Column:
+    """Hashes (64 bits) of the 3-word windows, in place."""
+    some = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) < 4, F.array().cast("array<bigint>")).otherwise(some)
+
+
+def _repeated(windows: Column) -> Column:
+    """The distinct hashes that occur twice or more: equal neighbours of the sorted ones; a text without any is not sorted."""
+    ordered = F.array_sort(windows)
+    twice = F.array_distinct(F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.array().cast("array<bigint>")).otherwise(twice)
+
+
+def _repeat_words(windows: Column, repeated: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more.
 
-    Windows are put in order of their content; those equal to a neighbour repeat. Their places,
-    in order, cover three words each less what the next one covers again.
+    The places of repeated windows, in order, cover three words each less what the one before
+    covers already. With few repeated hashes the places are looked up among them; with many,
+    (hash, place) pairs are sorted and equal neighbours taken.
     """
-    places = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
-    )
-    ordered = F.array_sort(places)
-    # zip with the next window: a pair of equal neighbours gives both places
-    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.size(words)), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
-    repeated = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    looked_up = F.transform(F.filter(placed, lambda p: F.array_contains(repeated, p["h"])), lambda p: p["i"])
+    ordered = F.array_sort(placed)
+    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    sorted_out = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
+    places = F.when(F.size(repeated) <= 24, looked_up).otherwise(sorted_out)
+    return F.when(F.size(repeated) == 0, F.lit(0)).otherwise(
         F.aggregate(
-            repeated,
+            places,
             F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
             lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
             lambda acc: acc["n"],
@@ -76,9 +88,10 @@ def _verdict(rules: tuple, values: dict[str, Column]) -> Column:
 def measure(df: DataFrame, text: str = "text", base_rules: tuple = BASE_RULES, method_rules: tuple = METHOD_RULES) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, base_failed, kept and failed (names of the rules that fired)."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_upper", "base_failed", "kept", "failed"]
-    kept = drop_names(df, [*names, "__t", "__w", "__l"])
+    kept = drop_names(df, [*names, "__w", "__l", "__h", "__r"])
     whole = F.coalesce(F.col(text), F.lit(""))
     staged = kept.withColumn("__w", words_column(F.col(text))).withColumn("__l", F.filter(F.split(whole, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""))
+    staged = staged.withColumn("__h", _windows(F.col("__w"))).withColumn("__r", _repeated(F.col("__h")))
     t, w, lines = F.coalesce(F.col(text), F.lit("")), F.col("__w"), F.col("__l")
     counted = staged.select(
         *kept.columns,
@@ -86,7 +99,7 @@ def measure(df: DataFrame, text: str = "text", base_rules: tuple = BASE_RULES, m
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(w).cast("long").alias("n_repeat_words"),
+        _repeat_words(F.col("__h"), F.col("__r")).cast("long").alias("n_repeat_words"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))).cast("long").alias("n_upper"),
