@@ -31,7 +31,7 @@ def shingles(tokens: Column, n: int = 5, most: int = MAX_WORDS) -> Column:
     # Zips of the array with itself moved on: tokens stays outside lambdas, where an inlined expression would run for each element.
     windows = tokens
     for k in range(2, n + 1):
-        windows = F.zip_with(windows, F.slice(tokens, k, most), lambda a, b: F.concat(a, F.lit(" "), b))
+        windows = F.zip_with(windows, F.slice(tokens, k, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b))
     windows = F.transform(F.filter(windows, lambda w: w.isNotNull()), lambda w: F.substring(F.sha2(w, 256), 1, 16))
     return F.when(F.size(tokens).between(n, most), F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
 

@@ -23,10 +23,10 @@ def _tagged(c: str) -> Column:
     return F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("token"), F.lit(c).alias("col")))
 
 
-def search(index: DataFrame, query: str, limit: int = 100, columns: list[str] | None = None) -> DataFrame:
+def search(index: DataFrame, query: str, limit: int | None = 100, columns: list[str] | None = None) -> DataFrame:
     """(id, score): rows that hold every term of the query (at most twelve, each a prefix) in any column, by BM25.
 
-    The lowest score is best. No terms, no rows.
+    The lowest score is best; without a limit the rows come in no order. No terms, no rows.
     """
     import re
 
@@ -46,7 +46,8 @@ def search(index: DataFrame, query: str, limit: int = 100, columns: list[str] |
     idf = F.greatest(F.lit(1e-6), F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     part = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     found = rows.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("c")).where(F.col("c") == len(terms))
-    return found.select("id", "score").orderBy("score", "id").limit(limit)
+    found = found.select("id", "score")
+    return found if limit is None else found.orderBy("score", "id").limit(limit)
 
 
 def search_title(index: DataFrame, token: str) -> DataFrame:

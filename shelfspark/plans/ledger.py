@@ -186,8 +186,8 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most frequent character triples of each language's texts."""
     t = F.lower("text")
     rows = read_table(spark, sf_dir, "documents").select("lang", t.alias("t")).where(F.length("t") >= 3)
-    chars = F.split("t", "")
-    pairs = F.zip_with(chars, F.slice(chars, 2, 2**31 - 1), lambda a, b: F.concat(a, b))
-    grams = rows.select("lang", F.explode(F.filter(F.zip_with(pairs, F.slice(chars, 3, 2**31 - 1), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())).alias("gram"))
+    chars = F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))
+    grams = rows.select("lang", F.explode(F.filter(F.zip_with(pairs, F.slice(chars, 3, F.size(chars)), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())).alias("gram"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return grams.groupBy("lang", "gram").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w)).where("r <= 100").drop("r")

@@ -230,6 +230,6 @@ SELECT id AS doc_id, substr(text, greatest(1, strpos(lower(text), 'apache') - 20
 def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     index = s.build_index(docs.select(F.col("doc_id").alias("id"), "text"), ["text"])
-    hits = s.search(index, "apache licen", limit=1_000_000_000).select("id")
+    hits = s.search(index, "apache licen", limit=None).select("id")
     at = F.greatest(F.lit(1), F.locate("apache", F.lower("text")) - 20)
     return docs.join(hits, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", F.substring("text", at, F.lit(60)).alias("snippet"))
