@@ -1,0 +1,348 @@
+"""The training-data operators against brute force, public libraries and their edge cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from compare import oracle, rows
+from pyspark.sql import functions as F
+
+from shelfspark.llm import bpe, hpylm, jaccard, licenses, mixing, passages, pii, quality, queries, toxicity, vectors
+from shelfspark.llm.common import connected_components
+
+SF = "/root/testdata/sf0.001"
+EDGE = [(1, None, "en", "src0"), (2, "", "en", "src0"), (3, "word", None, None), (3, "word", None, None), (4, "x " * 30_000, "de", "odd"), (None, "a b c d e f", "en", "src1"), (5, "\x00 \n\n é😀", "fr", "src2")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string").withColumn("KEPT", F.lit("clash")).withColumn("ids", F.lit("clash"))
+
+
+def components(n, pairs):
+    root = list(range(n))
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    got, want = queries.queries()[name](spark, SF).toPandas(), oracle(queries.oracle_sql()[name], SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
+    got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+# 1 mixing
+
+
+def test_mixing_shares_and_shortages(spark):
+    docs = [(i, "web", "en", "a", 10) for i in range(100)] + [(1000 + i, "web", "en", "b", 10) for i in range(5)] + [(2000 + i, "web", "de", "c", 10) for i in range(200)] + [(3000 + i, "books", "en", "d", 10) for i in range(300)] + [(9, None, None, None, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, domain string, lang string, source string, tokens long")
+    weights = {"domain": {"web": 1, "books": 1}, "lang": {"en": 1, "de": 1}, "source": {"a": 1, "b": 1}}
+    got = mixing.select_tokens(df, weights, 2000, 7).toPandas()
+    assert len(got) == len(docs)
+    got["used"] = got.full_epochs * got.tokens + got.partial_tokens
+    per = got.groupby("source").used.sum().to_dict()
+    # b can give 100 of its 250: its sibling a takes the rest before c or d do
+    assert per == {"": 0, "a": 400, "b": 100, "c": 500, "d": 1000}
+    assert (got.partial_tokens < got.tokens).sum() >= 1
+    again = mixing.select_tokens(df.repartition(5), weights, 2000, 7).toPandas()
+    assert rows(got.drop(columns="used")) == rows(again)
+
+
+def test_mixing_budget_beyond_capacity_and_empty(spark):
+    df = spark.createDataFrame([(1, "d", "l", "s", 5)], "doc_id long, domain string, lang string, source string, tokens long")
+    assert mixing.select_tokens(df, {}, 1000, 1).first()["full_epochs"] == mixing.MAX_EPOCHS
+    assert mixing.select_tokens(df.limit(0), {}, 1000, 1).count() == 0
+
+
+def test_mixture_query_uses_its_budget(spark):
+    got = queries.op1_mixture(spark, SF).toPandas()
+    assert (got.full_epochs * got.tokens + got.partial_tokens).sum() == got.tokens.sum() * 6 // 10
+    assert (got.partial_tokens <= got.tokens).all()
+
+
+def test_mix_texts_cuts_at_words(spark, edge):
+    made = mixing.mix_texts(edge.drop("ids"), {}, 7, 3, queries.domain_of(F.col("source"))).collect()
+    assert sum(len(r["text"].split()) for r in made) == 7
+
+
+# 2 vectors
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 24))
+    x = np.concatenate([centres[rng.integers(0, 30, 700)] + rng.normal(scale=0.16, size=(700, 24)), np.repeat(centres[:1], 40, axis=0)])
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(5000, None), (5001, [0.0] * 24), (5002, [float("nan")] * 24), (5003, [1.0, None]), (5004, []), (5005, [1.0, 0.0]), (5006, [2.0, 0.0])]
+    got = vectors.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)).toPandas().set_index("vec_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 100
+    assert (got.loc[range(len(x))].n_links.to_numpy() == near.sum(axis=1)).all()
+    assert got.loc[range(len(x))].component_id.tolist() == components(len(x), zip(*map(list, np.nonzero(near)), strict=True))
+    assert got.loc[range(5000, 5005)].n_links.tolist() == [0] * 5
+    assert got.loc[5006].component_id == 5005 and not got.loc[5006].kept
+
+
+def test_vectors_empty(spark):
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# 3 licences
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software. The above copyright notice and this permission notice shall be included
+in all copies. THE SOFTWARE IS PROVIDED "AS IS", without warranty of any kind."""
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (MIT, ["MIT"]), ("x\nReleased under the MIT License.", ["MIT"]), ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]), ("SPDX-License-Identifier: GPL-3.0-only", ["GPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC"]), ("no such thing", []), (None, []), ("", []),
+    ("Redistribution and use in source and binary forms are permitted. Redistributions of source code must retain it. Redistributions in binary form must reproduce it.", ["BSD-2-Clause"]),
+])
+def test_licences(spark, text, want):
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licenses"] == want
+
+
+def test_every_known_sentence_has_a_cue():
+    for _, pattern in licenses.SENTENCES:
+        plain = re.sub(r"[\\^$?(){}|.*]", " ", pattern.replace(r"\b", ""))
+        assert any(c.split()[0][:5] in plain or c.replace("-", " ") in plain for c in licenses.CUES), pattern
+
+
+# 4 passages
+
+
+def removed(texts, length=200):
+    bodies = [(t or "").encode() for t in texts]
+    count = collections.Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+    out = []
+    for b in bodies:
+        hit = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                hit[i : i + length] = True
+        out.append((bytes(np.frombuffer(b, np.uint8)[~hit]), int(hit.sum())))
+    return out
+
+
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_passages_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(passages, "GROUP_ROWS", limit)  # 1: the digest path for large groups
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choices("abcdé ", k=n))
+    shared = [word(rng.randint(150, 420)) for _ in range(5)]
+    texts = [None, "", "a" * 500, "ab" * 250, "x" * 199] + ["".join(word(rng.randint(0, 120)) + (rng.choice(shared) if rng.random() < 0.7 else "") for _ in range(rng.randint(0, 5))) for _ in range(40)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (900, texts[9])]
+    got = passages.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").withColumn("Kept", F.lit(1))).toPandas()
+    want = removed([t for _, t in data])
+    assert sorted((bytes(k), n) for k, n in zip(got.kept, got.n_removed, strict=True)) == sorted(want)
+
+
+# 5 personal data
+
+
+def test_pii_base_equals_plain_patterns(spark):
+    rng = random.Random(5)
+    bits = ["a.b@c.de", "@x.y", "b@c", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (499) 555-6503", "+12", "é", " ", "-", ".", "7", "@", "+", "a@b.c@d.e", "1.2.3.4.5.6.7.8"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 9)))
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m[0].split("."))) <= 255]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if 13 <= len(digits) <= 19 and pii.luhn(digits):
+                want.append(("card", *m.span()))
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert pii.base_spans(text) == want, text
+
+
+def test_pii_checksums_and_context(spark):
+    assert [s[0] for s in pii.find_spans("IBAN DE89 3704 0044 0532 0130 00 please")] == ["iban"]
+    assert pii.find_spans("IBAN DE88 3704 0044 0532 0130 00 please") == []
+    assert [s[0] for s in pii.find_spans("call 555-123-4567 now")] == ["national_phone"]
+    assert pii.find_spans("part 555-123-4567 now") == []
+    assert pii.masked("to a@b.de or 1.2.3.4!") == "to [EMAIL] or [IP]!"
+    pii.find_spans("a" * 300_000 + "1" * 300_000 + "+1" + " " * 100_000)  # linear in the text
+
+
+def test_pii_edges(spark, edge):
+    assert pii.detect(edge).where("size(pii) > 0").count() == 0
+    assert rows(pii.redact(edge).toPandas()) == rows(edge.toPandas())
+
+
+# 6 quality
+
+
+def test_quality_edges(spark, edge):
+    got = quality.measure(edge).collect()
+    assert len(got) == len(EDGE) and not any(r["kept"] for r in got)
+    assert quality.keep_good(edge).columns == edge.columns
+    many = quality.measure(edge.where("doc_id = 4")).first()
+    assert (many["n_words"], many["n_repeat_words"], many["base_failed"]) == (30_000, 30_000, True)
+
+
+def test_quality_follows_labels(spark):
+    docs = quality.measure(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    got = docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed")
+    assert got.where("kept <> (quality = 1)").count() == 0
+
+
+# 7 language model
+
+
+def test_lm_base_and_held_out(spark):
+    got = queries.op7_lm(spark, SF).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    tokens = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b""] for r in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in tokens.items():
+        r = got.loc[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, held[i])
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+    test = got[got.held_out]
+    assert test.score.sum() > test.base_score.sum()
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(1)
+    code, starts = hpylm.spelt([b"abc", b"", b"ab", b"b"])
+    name, n = np.unique(code, return_counts=True)
+    s = hpylm.Spelling(name, n.astype(np.int64), None, rng)
+    for context in (name // hpylm.WIDE)[:4]:
+        assert math.isclose(s.at(context * hpylm.WIDE + np.arange(hpylm.WIDE)).sum(), 1, rel_tol=1e-9)
+    assert (hpylm.seat(np.array([0, 1, 5, 5000]), np.full(4, 0.3), 0.5, rng) <= [0, 1, 5, 5000]).all()
+
+
+def test_lm_edges(spark, edge):
+    got = hpylm.score(edge)
+    assert got.count() == len(EDGE) and got.where("score is null or score > 0").count() == 0
+    assert hpylm.score(edge.limit(0)).count() == 0
+
+
+# 8 Jaccard
+
+
+def shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_jaccard_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(3, 150))] for _ in range(12)]
+    texts = [None, "", " ", "one two", "One  two"]
+    for _ in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            words[rng.randrange(len(words))] = f"n{rng.randint(0, 9)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.jaccard_classes(df.repartition(3)).toPandas().sort_values("doc_id")
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    n = collections.Counter(x for p in pairs for x in p)
+    assert got.n_links.tolist() == [n[i] for i in range(len(texts))]
+    assert got.class_id.tolist() == components(len(texts), pairs)
+    assert jaccard.keep_one(df).count() == got.class_id.nunique()
+
+
+def test_jaccard_bands_and_edges(spark, edge):
+    bands, per = jaccard.choose_bands()
+    assert 1 - (1 - 0.8**per) ** bands >= jaccard.TARGET_RECALL
+    assert jaccard.jaccard_classes(edge).count() == len(EDGE)
+    assert jaccard.keep_one(edge.limit(0)).count() == 0
+
+
+# 9 BPE
+
+
+def test_bpe_equals_tiktoken(spark, edge):
+    own = bpe.codec(queries.RANKS, public_tokenizers.PATTERN)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(9)
+    alphabet = [chr(c) for c in range(0x250)] + ["\x1c", "\x85", " ", "　", "一", "😀", "̀"]
+    texts = ["", "a" * 3000, "ab" * 900, "\n" * 400] + ["".join(rng.choices(alphabet, k=150)) for _ in range(300)] + ["".join(rng.choices("ab c'\n19.", k=300)) for _ in range(50)]
+    assert own.encode(texts) == [theirs.encode_ordinary(t) for t in texts]
+    coded = bpe.encode(edge, queries.RANKS, public_tokenizers.PATTERN)
+    both = bpe.decode(coded, queries.RANKS).collect()
+    assert [bytes(r["decoded"]) for r in both] == [(r["text"] or "").encode() for r in both]
+
+
+def test_bpe_query(spark):
+    r = queries.op9_bpe(spark, SF).where("doc_id = 1").first()
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id = 1").first()["text"]
+    assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+# 10 toxicity
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(3)
+    e, step, start = rng.normal(size=7), rng.normal(size=(2, 2)), 0.3
+    first, length = np.array([0, 4]), np.array([4, 3])
+    got, pairs, z = toxicity.forward_backward(e, first, length, step, start)
+    want, total_z = np.zeros(7), 0.0
+    for a, n in zip(first, length, strict=True):
+        total, own = 0.0, np.zeros(n)
+        for bits in range(2**n):
+            y = [(bits >> k) & 1 for k in range(n)]
+            w = math.exp(sum(e[a + k] for k in range(n) if y[k]) + (start if y[0] else 0) + sum(step[y[k], y[k + 1]] for k in range(n - 1)))
+            total += w
+            own += w * np.array(y)
+        want[a : a + n] = own / total
+        total_z += math.log(total)
+    assert np.allclose(got, want) and math.isclose(z, total_z) and math.isclose(pairs.sum(), 5)
+
+
+def test_toxicity_held_out(spark):
+    sf = SF.replace("0.001", "0.1")
+    got = queries.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert ((got.predicted == 1) & (got.toxic == 0)).mean() < 0.02
+    assert got[got.toxic == 1].predicted.mean() > 0.85
+
+
+def test_toxicity_edges(spark, edge):
+    model = toxicity.fit([], np.empty(0, int), 0.0)
+    got = toxicity.score(edge, model).toPandas()
+    assert (got.toxicity == 0).all() and len(got) == len(EDGE)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as c
+
+    made = c.run(spark, SF)
+    assert made.where("not round_trip").count() == 0 and made.count() > 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in c.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).columns == docs.columns
