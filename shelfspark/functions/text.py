@@ -168,7 +168,7 @@ def printable_text(c: Column, most: int) -> Column:
 
 
 #: White space other than the blank that titles must not hold (code points).
-TITLE_SPACES = "\u0009\u000a\u000b\u000c\u000d\u0085                 　\u001f"
+TITLE_SPACES = "\u0009\u000a\u000b\u000c\u000d \u0085                 　"
 
 
 def clean_title(c: Column, composed: Column | None = None) -> Column:
