@@ -116,7 +116,9 @@ def measure(df: DataFrame, text: str = "text", base_rules: tuple = BASE_RULES, m
         "upper_percent": over(100 * F.col("n_upper"), chars),
     }
     fired = F.array_compact(F.array(*[F.when(_verdict((r,), values), F.lit(r[0])) for r in (*base_rules, *method_rules)]))
-    return counted.withColumns({"base_failed": _verdict(base_rules, values), "failed": fired}).withColumn("kept", F.size("failed") == 0)
+    # The always true test on a row number keeps filters on these columns above the projection: pushed below,
+    # they would put the array expressions inside other expressions' lambdas and run them for each element.
+    return counted.withColumns({"base_failed": _verdict(base_rules, values), "failed": fired}).withColumn("kept", (F.size("failed") == 0) & (F.monotonically_increasing_id() >= 0))
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
