@@ -195,6 +195,9 @@ class ByteBPE:
         find = self.known.__getitem__
         return [[*chain.from_iterable(map(find, c))] for c in cut]
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -214,7 +217,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def make() -> Callable:
         own = codec(path, pattern)
-        return lambda batch: [pa.array(own.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.list_(pa.int32()))]
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array(own.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.list_(pa.int32()))]
+
+        run.done = own.forget  # workers outlive the task; what they remember would stay
+        return run
 
     return append_arrow(df, make, [T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)], sized_by=text, limit=ENCODE_BYTES)
 

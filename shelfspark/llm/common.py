@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: White space of every word rule here: blank, and tab to carriage return.
 WS = r"\x20\x09-\x0D"
 #: A task splits its Arrow batches so that a piece holds about so many bytes of text (one row at least).
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 _made: dict[int, str] = {}
 
@@ -88,7 +88,7 @@ def pieces(batch: pa.RecordBatch, column: str | None, limit: int = PIECE_BYTES)
 def append_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], sized_by: str | None = None, limit: int = PIECE_BYTES) -> DataFrame:
     """df with columns added by Python over Arrow batches.
 
-    make() runs once a task and returns f(batch) -> arrays for fields. A column of df
+    make() runs once a task and returns f(batch) -> arrays for fields; f.done(), if there is one, ends the task. A column of df
     with the name of a new one is replaced.
     """
     kept = drop_names(df, [f.name for f in fields])
