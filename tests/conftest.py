@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from shelfspark.session import local_session
 
-    session = local_session(3, shuffle_partitions=4, driver_memory="4g")
+    session = local_session(2, shuffle_partitions=4, driver_memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
