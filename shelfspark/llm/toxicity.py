@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from shelfspark.llm.common import append_arrow, joined_bytes, placed_words, prefix_hashes
 
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 800
 SENTENCES = 20_000
 #: A longer sentence is several chains.
 CHAIN_TOKENS = 128
