@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import fingerprint as fp
 
 KINDS = ("content", "edition", "short_content", "partial_content", "metadata")
+#: A shingle of so many texts is hot: its texts are compared in tiles, not joined with themselves.
+HOT = 64
+#: Texts and shingles of a tile.
+TILE_TEXTS, TILE_ITEMS = 512, 1 << 20
 
 
 def ordered_pairs(keyed: DataFrame, key: str) -> DataFrame:
@@ -74,6 +80,80 @@ def compare_texts(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return both.withColumns({"jaccard": jaccard(a, b), "containment": containment(a, b)}).drop("left_s", "right_s")
 
 
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(id, n, s, c): of sets (id, n, shingles) the shingles, held by c > 1 sets, that two sets of a Jaccard index of `least` cannot all differ in.
+
+    Such sets share ceil(least * n) of the n shingles of either. In one order of all shingles, rarest
+    first, they therefore share one of their first n - ceil(least * n) + 1.
+    """
+    half = lambda k: F.conv(F.substring("x", k, 8), 16, 10).cast("long")
+    rows = sets.select("id", "n", F.explode("shingles").alias("x")).select("id", "n", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = rows.join(often, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    # Those of one text alone come first and meet nothing.
+    room = F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1 - (F.col("n") - F.size("o"))
+    return ranked.where(room > 0).select("id", "n", F.explode(F.slice("o", 1, room)).alias("p")).select("id", "n", "p.s", "p.c")
+
+
+def tile_pairs(tiles: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(left, right, jaccard) of the sets (id, tile, set) of one tile, or between two, with a Jaccard index of at least `least`."""
+    sets = [np.frombuffer(x, ">u8") for x in tiles["set"]]
+    ids, size = tiles["id"].to_numpy(), np.array([len(x) for x in sets])
+    who = np.repeat(np.arange(len(sets)), size)
+    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    use = count[item] > 1
+    who, item = who[use], number[item[use]]
+    order = np.argsort(item, kind="stable")
+    who, item = who[order], item[order]
+    side = tiles["tile"].to_numpy() == tiles["tile"].min()
+    a, b = np.flatnonzero(side), np.flatnonzero(~side)
+    b = b if len(b) else a
+    shared, width = np.zeros((len(a), len(b)), np.float32), 4096
+    for k in range(0, int(number[-1]) + 1, width):
+        lo, hi = np.searchsorted(item, [k, k + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[who[lo:hi], item[lo:hi] - k] = 1
+        shared += m[a] @ m[b].T
+    index = shared / (size[a][:, None] + size[b] - shared.astype(np.float64))
+    i, j = np.nonzero(np.triu(index >= least, 1) if b is a else index >= least)
+    x, y = ids[a[i]], ids[b[j]]
+    return pd.DataFrame({"left": np.minimum(x, y), "right": np.maximum(x, y), "jaccard": index[i, j]})
+
+
+def pairs_in_tiles(hot: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(left, right, jaccard) of the sets (id, n, shingles) that share a shingle of hot (id, n, s, c) and are near enough.
+
+    A text's home is its most frequent shingle in hot; texts of one home fill tiles of bounded size.
+    Tiles with a shingle in common are compared as wholes.
+    """
+    homes = hot.groupBy("id", "n").agg(F.max(F.struct("c", "s")).getField("s").alias("home"))
+    wide = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE_TEXTS), F.sum("n") / F.lit(TILE_ITEMS))).cast("int").alias("k"))
+    placed = homes.join(wide, "home").select("id", F.concat_ws(":", F.col("home").cast("string"), F.pmod(F.xxhash64("id"), F.col("k")).cast("string")).alias("tile"))
+    held = hot.join(placed, "id").select("s", "tile").distinct()
+    other = held.join(held.select("s", F.col("tile").alias("other")), "s").select("tile", "other").distinct()
+    body = sets.select("id", F.unhex(F.array_join("shingles", "")).alias("set"))
+    unit = F.concat_ws("|", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit")
+    units = placed.join(other, "tile").select("id", "tile", unit).join(body, "id")
+
+    def compare(key: tuple, tiles: pd.DataFrame) -> pd.DataFrame:
+        return tile_pairs(tiles, least)
+
+    return units.groupBy("unit").applyInPandas(compare, "left long, right long, jaccard double")
+
+
+def near_pairs(own: DataFrame, least: float) -> DataFrame:
+    """(left, right, jaccard) of all pairs of own (id, shingles, word_count, text_hash) with a Jaccard index of at least `least`."""
+    sets = own.select("id", F.size("shingles").alias("n"), "shingles")
+    first = prefixes(sets, least)
+    cold = first.where(F.col("c") < HOT)
+    a, b = cold.select("s", F.col("id").alias("left"), F.col("n").alias("ln")), cold.select("s", F.col("id").alias("right"), F.col("n").alias("rn"))
+    fits = (F.col("left") < F.col("right")) & (F.least("ln", "rn") >= F.greatest("ln", "rn") * least)
+    pairs = a.join(b, "s").where(fits).select("left", "right").distinct()
+    met = compare_texts(pairs, own).where(F.col("jaccard") >= least).select("left", "right", "jaccard")
+    return met.unionByName(pairs_in_tiles(first.where(F.col("c") >= HOT), sets, least)).distinct()
+
+
 def text_relation(compared: DataFrame, min_words: int = 100, near_words: int = 1000, ratio: float = 0.9, near: float = 0.95, contained: float = 0.95) -> DataFrame:
     """compared with relation: same, near, partial or null."""
     small, large = F.least("left_words", "right_words"), F.greatest("left_words", "right_words")

@@ -92,12 +92,9 @@ c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN o USING (s) JOIN s y US
 j AS (SELECT c.a AS "left", c.b AS "right", {JACCARD} AS j FROM c JOIN r x ON x.id = c.a JOIN r y ON y.id = c.b)
 SELECT "left", "right", round(j, 6) AS jaccard FROM j WHERE j >= {NEAR}""")
 def near_duplicates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share a shingle of 2 to 199 texts, compared on whole sets: counts of shared shingles, no arrays moved."""
+    """All pairs of a Jaccard index of at least NEAR, however many texts share a shingle; the SQL leaves out those of 200 texts or more."""
     own = fp.representatives(prints(spark, sf_dir)).select("id", "shingles", "word_count", "text_hash")
-    rows = own.select("id", F.explode("shingles").alias("s"))
-    rare = rows.groupBy("s").agg(F.count("*").alias("c")).where("c between 2 and 199").select("s")
-    pairs = d.ordered_pairs(rows.join(rare, "s", "left_semi"), "s")
-    return d.compare_texts(pairs, own).where(F.col("jaccard") >= NEAR).select("left", "right", F.round("jaccard", 6).alias("jaccard"))
+    return d.near_pairs(own, NEAR).select("left", "right", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(r"""
