@@ -26,14 +26,15 @@ def words(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(WORD), F.lit(0))
 
 
-def shingles(tokens: Column, n: int = 5, most: int = MAX_WORDS) -> Column:
-    """Distinct hashes of the n-word windows; none for fewer than n or more than `most` words."""
+def shingles(tokens: Column, n: int = 5, most: int | None = None) -> Column:
+    """Distinct hashes of the n-word windows; none for fewer than n or, if it is given, more than `most` words."""
     # Zips of the array with itself moved on: tokens stays outside lambdas, where an inlined expression would run for each element.
     windows = tokens
     for k in range(2, n + 1):
         windows = F.zip_with(windows, F.slice(tokens, k, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b))
     windows = F.transform(F.filter(windows, lambda w: w.isNotNull()), lambda w: F.substring(F.sha2(w, 256), 1, 16))
-    return F.when(F.size(tokens).between(n, most), F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    fits = F.size(tokens) >= n if most is None else F.size(tokens).between(n, most)
+    return F.when(fits, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
 
 
 def signature_of(values: np.ndarray, slots: int = SLOTS) -> list[str]:
@@ -59,19 +60,20 @@ def lsh_buckets(signature: Column, bands: int = BANDS, rows: int = ROWS) -> Colu
     return F.when(F.size(signature) == bands * rows, made).otherwise(F.array().cast("array<string>"))
 
 
-def fingerprint(docs: DataFrame, min_words: int = 1000, max_words: int = MAX_WORDS) -> DataFrame:
+def fingerprint(docs: DataFrame, min_words: int = 1000, max_words: int | None = MAX_WORDS) -> DataFrame:
     """(id, status, word_count, text_hash, shingles, version) of docs (id, text).
 
-    status: unavailable without text, partial beyond max_words (no hash then), else complete;
+    status: unavailable without text, partial beyond max_words (no hash then; None: no limit), else complete;
     shingles only from min_words on.
     """
     normal = docs.select("id", native_text(F.col("text")).alias("normal"))
     counted = normal.withColumn("word_count", F.when(F.coalesce(F.length("normal"), F.lit(0)) > 0, F.size(F.split("normal", " "))).otherwise(0))
-    status = F.when(F.col("word_count") == 0, "unavailable").when(F.col("word_count") > max_words, "partial").otherwise("complete")
+    over = F.lit(False) if max_words is None else F.col("word_count") > max_words
+    status = F.when(F.col("word_count") == 0, "unavailable").when(over, "partial").otherwise("complete")
     done = counted.withColumn("status", status).withColumn("tokens", F.when((F.col("status") == "complete") & (F.col("word_count") >= min_words), words(F.col("normal"))))
     return done.select(
         "id", "status", "word_count", F.when(F.col("status") == "complete", F.sha2("normal", 256)).alias("text_hash"),
-        F.coalesce(shingles(F.col("tokens")), F.array().cast("array<string>")).alias("shingles"), F.lit(VERSION).alias("version"),
+        F.coalesce(shingles(F.col("tokens"), most=max_words), F.array().cast("array<string>")).alias("shingles"), F.lit(VERSION).alias("version"),
     )
 
 

@@ -35,7 +35,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fp.fingerprint(documents(spark, sf_dir), MIN_WORDS)
+    return fp.fingerprint(documents(spark, sf_dir), MIN_WORDS, max_words=None)
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from shelfspark.catalog_queries import QUERIES
+from compare import oracle, rows
+
+from shelfspark.catalog_queries import ORACLES, QUERIES
 
 
 def test_near_duplicates_exact_in_large_groups(spark, tmp_path):
@@ -23,3 +25,16 @@ def test_near_duplicates_exact_in_large_groups(spark, tmp_path):
     got = QUERIES["near_duplicates_exact"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) > 10_000
     assert {(r["left"], r["right"]): r["jaccard"] for r in got} == want
+
+
+def test_texts_of_more_than_150_000_words(spark, tmp_path):
+    """Whole texts are read: a passage at the end of a long one is found, and it has a hash, shingles and a near copy."""
+    long = [f"w{k}" for k in range(150_100)]
+    texts = [" ".join(long), " ".join(["other", *long])]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(long[-40:]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("benchmark_containment", "text_fingerprint", "shingle_counts"):
+        got = QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert len(got) == 2
+        assert rows(got) == rows(oracle(ORACLES[name], str(tmp_path))), name
+    assert QUERIES["near_duplicates_exact"](spark, str(tmp_path)).count() == 1
