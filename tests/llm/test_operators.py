@@ -191,6 +191,16 @@ def test_pii_checksums_and_context(spark):
     pii.find_spans("a" * 300_000 + "1" * 300_000 + "+1" + " " * 100_000)  # linear in the text
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]), ("DE89370400440532013000 2024", ["DE89370400440532013000"]),
+    ("NO93 8601 1117 947 DE89 3704 0044 0532 0130 00 X", ["NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]), ("REF AB12 GB82 WEST 1234 5698 7654 32 EUR 50", ["GB82 WEST 1234 5698 7654 32"]),
+    ("DE89 3704 0044 0532 0130 002", []), ("DE8937040044053201300 02024", []), ("XX46 3704 0044 0532 0130 00 BIC", ["XX46 3704 0044 0532 0130 00"]),
+])
+def test_iban_before_other_words(text, want):
+    assert [text[a:b] for kind, a, b, _ in pii.find_spans(text) if kind == "iban"] == want
+    assert all(w not in pii.masked(text) for w in want)
+
+
 def test_pii_edges(spark, edge):
     assert pii.detect(edge).where("size(pii) > 0").count() == 0
     assert rows(pii.redact(edge).toPandas()) == rows(edge.toPandas())
