@@ -3,7 +3,10 @@
 DataFrame functions only. A text is cut into sentences (a line break inside a sentence, that
 is one before a lower-case letter, counts as a blank); each sentence is normalised (lower
 case, runs of other characters than letters, digits, + and . to one blank) and mapped to the
-identifier of the known sentence that it holds; sentences without one are dropped. The
+identifier of the known sentence that it holds; sentences without one are dropped. Where other
+line breaks, with no end mark or blank line, stand inside a known sentence (a wrap before a
+capital), the lines are read as one too: identifiers of the whole that no line has follow those
+of the lines, and a general one of a line goes where the whole has its special form. The
 identifiers of a document, in order, are matched against RULES from top to bottom; a rule
 takes the places it matches, so that a longer rule keeps a shorter one from matching there.
 
@@ -14,6 +17,8 @@ licences; rows are independent, so repeated rows, other columns and empty tables
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +106,10 @@ RULES = (
     ("All-Rights-Reserved", ("reserved",)),
 )
 _CUE = "|".join(CUES)
+#: CUES in any spelling that normalises to them.
+_ANY_CUE = "|".join(dict.fromkeys(re.sub("[^a-z0-9.+]+", "[^a-z0-9.+]+", c.strip('"')) for c in CUES))
+#: General identifiers, and the special ones whose sentences hold theirs.
+GENERAL = {"gpl-notice": ("gpl2-notice", "gpl3-notice"), "cc-by-nc": ("cc-by-nc-nd", "cc-by-nc-sa"), "cc-by": ("cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nc", "cc-by-sa", "cc-by-nd")}
 
 
 def _identifier(sentence: Column) -> Column:
@@ -111,12 +120,31 @@ def _identifier(sentence: Column) -> Column:
     return case
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text."""
+def _clean(part: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(part), r"[^a-z0-9.+]+", " "))
+
+
+def paragraphs(text: Column) -> Column:
+    """Sentences of a text as they stand, cut at end marks and blank lines but not at other line breaks."""
     joined = F.regexp_replace(F.regexp_replace(text, r"\r", ""), r"\n[ /#*;-]*([a-z])", " $1")
-    cut = F.split(joined, r"[.!?;:]+[\x20\x09]+|[.!?;:]*\n+|[.!?;:]+$")
-    clean = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9.+]+", " ")))
-    return F.filter(clean, lambda s: s != "")
+    return F.split(joined, r"[.!?;:]+[\x20\x09]+|[.!?;:]+\n+|\n[\x20\x09/#*;-]*\n+|[.!?;:]+$")
+
+
+def _identifiers(parts: Column) -> Column:
+    """Identifiers of the lines of each part, then those that only the whole part holds. Steps bind what the next uses more than once."""
+    cut = F.transform(parts, lambda p: F.struct(p.contains("\n").alias("wraps"), _clean(p).alias("whole"), F.filter(F.transform(F.split(p, r"\n+"), _clean), lambda s: s != "").alias("lines")))
+
+    def named(x: Column) -> Column:
+        new = lambda p: x["whole"].rlike(p) & ~F.exists(x["lines"], lambda s: s.rlike(p))
+        across = F.filter(F.array(*[F.when(new(p), F.lit(n)) for n, p in SENTENCES]), lambda i: i.isNotNull())
+        own = F.filter(F.transform(x["lines"], _identifier), lambda i: i.isNotNull())
+        return F.struct(own.alias("own"), F.when(x["wraps"], across).otherwise(F.array().cast("array<string>")).alias("across"))
+
+    def joined(x: Column) -> Column:
+        special = lambda i: F.coalesce(*[F.when((i == g) & F.arrays_overlap(x["across"], F.array(*map(F.lit, names))), True) for g, names in GENERAL.items()], F.lit(False))
+        return F.when(F.size(x["across"]) == 0, x["own"]).otherwise(F.filter(F.concat(x["own"], x["across"]), lambda i: ~special(i)))
+
+    return F.flatten(F.transform(F.transform(cut, named), joined))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -125,8 +153,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     # "identifier:" and "license:" end no sentence
     body = F.regexp_replace(t, r"(?i)(identifier|license):", "$1")
-    ids = F.filter(F.transform(sentences(body), _identifier), lambda x: x.isNotNull())
-    found = F.when(F.lower(t).rlike(_CUE), ids).otherwise(F.array().cast("array<string>"))
+    ids = _identifiers(paragraphs(body))
+    found = F.when(F.lower(F.regexp_replace(t, r"\r", "")).rlike(_ANY_CUE), ids).otherwise(F.array().cast("array<string>"))
     staged = kept.withColumn("license_sentences", F.coalesce(found, F.array().cast("array<string>")))
     # Each rule takes its matches out of the sequence, leaving a bar that no other rule spans.
     # Commas are doubled so that neighbours both match: ,a,,b,

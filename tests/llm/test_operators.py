@@ -129,6 +129,43 @@ def test_licences(spark, text, want):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licenses"] == want
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+GPL = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public
+# License as published by the Free Software Foundation; either version 2
+# of the License, or (at your option) any later version."""
+APACHE = """Licensed under the Apache
+License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+@pytest.mark.parametrize(("text", "ids", "want"), [
+    (LGPL, ["lgpl-notice", "lgpl-notice"], ["LGPL"]), (GPL, ["gpl-notice"], ["GPL"]), (APACHE, ["apache-notice", "apache-asis"], ["Apache-2.0"]),
+    ("under the GNU\nGeneral Public License,\nVersion 2", ["gpl2-notice"], ["GPL-2.0"]), ("Licensed under the\nMIT\nLicense", ["mit-notice"], ["MIT"]),
+    ("All rights\nreserved", ["reserved"], ["All-Rights-Reserved"]), ("All  rights reserved", ["reserved"], ["All-Rights-Reserved"]), ("All\r\nRights\r\nReserved.", ["reserved"], ["All-Rights-Reserved"]),
+    ("dedicated to the public\ndomain", ["public-domain"], ["Public-Domain"]), ("This software\nis provided as is", ["asis"], []), ("CC_BY_SA 4.0", ["cc-by-sa"], ["CC-BY-SA"]),
+    # lines of their own stay apart
+    ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\nMIT License\nCopyright X", ["spdx-mit", "spdx-apache", "mit-title"], ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: MIT\nAll rights reserved\nLicensed under the Apache\nLicense, Version 2.0", ["spdx-mit", "reserved", "apache-notice"], ["Apache-2.0", "MIT", "All-Rights-Reserved"]),
+    ("See the GNU\n\nLesser General Public License", [], []),
+])
+def test_licences_over_line_breaks(spark, text, ids, want):
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["license_sentences"], got["licenses"]) == (ids, want)
+
+
 def test_every_known_sentence_has_a_cue():
     for _, pattern in licenses.SENTENCES:
         plain = re.sub(r"[\\^$?(){}|.*]", " ", pattern.replace(r"\b", ""))
