@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     key = id(spark.sparkContext)
     if key not in _made:
         _made[key] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -56,6 +58,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, move: bool = False) -> DataFrame:
+    """df, written once to a table in the shared folder that is bucketed by key: joins on key do not move its rows.
+
+    Rows stay in their tasks' files, unless they are to move to the task of their bucket first.
+    The table is dropped and its folder deleted when the driver's Python ends.
+    """
+    spark, n, own = df.sparkSession, n_parts(df), f"shelfspark_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{own}/{name}"
+    ready = df.repartition(n, key) if move else df
+    ready.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(own)
+    atexit.register(_drop, spark, own, path.rpartition("/")[0])
+    return spark.table(own)
+
+
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _remove(spark, path)
+
+
 def n_parts(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -99,10 +122,13 @@ def append_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.Str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for whole in batches:
-            for batch in pieces(whole, sized_by, limit):
-                old = [batch.column(batch.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*old, *f(batch)], names=arrow_names)
+        try:
+            for whole in batches:
+                for batch in pieces(whole, sized_by, limit):
+                    old = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                    yield pa.RecordBatch.from_arrays([*old, *f(batch)], names=arrow_names)
+        finally:
+            getattr(f, "done", lambda: None)()
 
     return df.mapInArrow(run, schema)
 
@@ -199,7 +225,7 @@ def small_side(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if few_rows(df, most) else df
 
 
-def over_groups(df: DataFrame, key: str, f: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType, also: tuple[str, ...] = ()) -> DataFrame:
+def over_groups(df: DataFrame, key: str, f: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType | str, also: tuple[str, ...] = ()) -> DataFrame:
     """f over the rows of each value of key (a bounded group), as one stream a partition rather than one call of Spark's a group."""
     ready = df.repartition(n_parts(df), key).sortWithinPartitions(key, *also)
 

@@ -274,18 +274,94 @@ def test_lm_base_and_held_out(spark):
         r = got.loc[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, held[i])
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-    test = got[got.held_out]
-    assert test.score.sum() > test.base_score.sum()
+
+
+def test_lm_perplexity_below_the_base(spark):
+    got = queries.op7_lm(spark, SF.replace("0.001", "0.01")).toPandas()
+    known = got[got.n_known == got.n_tokens]
+    for part in (got[~got.held_out], known[known.held_out]):
+        assert len(part) and part.score.sum() > part.base_score.sum()
+
+
+def test_lm_against_plain_sampler(spark):
+    """The distributed model against dictionaries over the same texts, seating and random numbers."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)] + ["ö", "Zz"]
+    texts = {i: " ".join(rng.choices(words, weights=range(1, 15), k=rng.randint(0, 60))) for i in range(60)}
+    order = texts | {100: "w13 w13 w12 w13", 101: "w12 w13 w13 w13 never"}
+    got = hpylm.score(spark.createDataFrame(list(order.items()), "doc_id long, text string").repartition(3)).toPandas().set_index("doc_id")
+    tokens = {i: ["", *t.lower().split(), ""] for i, t in order.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    pairs = collections.Counter(p for i, ws in tokens.items() if not held[i] for p in zip(ws, ws[1:], strict=False))
+    c = collections.Counter()
+    for (_, v), k in pairs.items():
+        c[v] += k
+    every = sorted({w for ws in tokens.values() for w in ws})
+    once = lambda x, k: sum(n == k for n in x.values())
+    d0, d1 = (hpylm.discount_of(once(x, 1), once(x, 2)) for x in (c, pairs))
+    counts = np.zeros((257, 257), np.int64)
+    for w in c:
+        for a, b in zip([256, *w.encode()], [*w.encode(), 256], strict=True):
+            counts[a, b] += 1
+    spelt = hpylm.spelling(counts)
+    base = {w: math.exp(sum(spelt[a, b] for a, b in zip([256, *w.encode()], [*w.encode(), 256], strict=True))) for w in every}
+    h = dict(zip(every, hpylm.hash_words([w.encode() for w in every]), strict=True))
+    key = lambda u, v: hpylm.mix(np.array([h[u]]) * hpylm._ODD + (h[v] ^ np.uint64(hpylm.SEED))) & ~np.uint64(255)
+    one = lambda k, w, d, x, sweep: int(hpylm.seat(np.array([k]), np.array([w]), d, x, sweep)[0])
+    t, top, levels = dict.fromkeys(pairs, 1), float(len(c)), []
+    for sweep in range(1 + hpylm.SAMPLES):
+        if sweep:
+            p, mine = levels[-1][:2]
+            t = {(u, v): one(k, (1 + d1 * mine[u]) * p[v], d1, key(u, v), sweep) for (u, v), k in pairs.items()}
+        n, mine = collections.Counter(), collections.Counter()
+        for (u, v), k in t.items():
+            n[v] += k
+            mine[u] += k
+        seats = {v: one(n[v], (1 + d0 * top) * base[v], d0, np.array([h[v]]), sweep) for v in n}
+        top = sum(seats.values())
+        p = {v: (n[v] - d0 * seats.get(v, 0) + (1 + d0 * top) * base[v]) / (1 + sum(n.values())) for v in every}
+        levels.append((p, mine, t))
+    context = collections.Counter(u for (u, _), k in pairs.items() for _ in range(k))
+    for i, ws in tokens.items():
+        want = sum(math.log10(sum((pairs[u, v] - d1 * t.get((u, v), 0) + (1 + d1 * mine[u]) * p[v]) / (1 + context[u]) for p, mine, t in levels[1:]) / hpylm.SAMPLES) for u, v in zip(ws, ws[1:], strict=False))
+        assert math.isclose(got.loc[i].score, want, rel_tol=1e-5), i
+
+
+def test_lm_hears_the_order_of_words(spark):
+    rng = random.Random(6)
+    docs = [(i, f"the {a} of the {b} was seen by every {a} near a {b} and the {a} saw it") for i, (a, b) in enumerate([("cat", "house"), ("dog", "tree"), ("bird", "river")] * 20)]
+    mixed = [(1000 + i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in docs[:30]]
+    got = hpylm.score(spark.createDataFrame(docs + mixed, "doc_id long, text string").where("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2 or doc_id >= 1000")).toPandas().set_index("doc_id").score
+    assert got[got.index >= 1000].mean() < got[got.index < 1000].mean()
+
+
+def test_lm_seating_distribution():
+    """Many sweeps reach the distribution of tables that generalised Stirling numbers give."""
+    for customers, weight, d in ((2, 0.4, 0.5), (6, 1.5, 0.3), (12, 0.2, 0.8)):
+        stirling = [0.0] * (customers + 1)
+        stirling[1] = 1.0
+        for k in range(1, customers):
+            stirling = [0.0] + [(k - t * d) * stirling[t] + stirling[t - 1] for t in range(1, customers + 1)]
+        p = np.array(stirling) * weight ** np.arange(customers + 1)
+        got = hpylm.seat(np.full(20_000, customers), np.full(20_000, weight), d, hpylm.mix(np.arange(20_000, dtype=np.uint64)), 0, steps=60)
+        assert np.abs(np.bincount(got, minlength=customers + 1) / 20_000 - p / p.sum()).max() < 0.02
+    big = hpylm.seat(np.array([0, 1, 5_000_000]), np.full(3, 0.3), 0.5, np.arange(3, dtype=np.uint64), 1)
+    assert big[0] == 0 and big[1] == 1 and 1 <= big[2] < 10_000
 
 
 def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    code, starts = hpylm.spelt([b"abc", b"", b"ab", b"b"])
-    name, n = np.unique(code, return_counts=True)
-    s = hpylm.Spelling(name, n.astype(np.int64), None, rng)
-    for context in (name // hpylm.WIDE)[:4]:
-        assert math.isclose(s.at(context * hpylm.WIDE + np.arange(hpylm.WIDE)).sum(), 1, rel_tol=1e-9)
-    assert (hpylm.seat(np.array([0, 1, 5, 5000]), np.full(4, 0.3), 0.5, rng) <= [0, 1, 5, 5000]).all()
+    counts = np.zeros((257, 257), np.int64)
+    np.add.at(counts.ravel(), hpylm.spelt([b"abc", b"", b"ab", b"b"])[0], 1)
+    assert np.allclose(np.exp(hpylm.spelling(counts)).sum(axis=1), 1)
+
+
+@pytest.mark.parametrize("a", [[], [7], [0, 1, 300, 2**40, 2**63], list(range(1000))])
+def test_lm_packing(a):
+    a = np.array(a, np.uint64)
+    assert (hpylm.unpack_sorted(hpylm.pack_sorted(a)) == a).all()
+    small = (a % np.uint64(70_000)).astype(np.int64)
+    assert (hpylm.unpack_small(hpylm.pack_small(small)) == small).all()
+    assert (hpylm.unplane(hpylm.planes(small), np.int64) == small).all()
 
 
 def test_lm_edges(spark, edge):
