@@ -220,9 +220,21 @@ def few_rows(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else as it is (then the join shuffles)."""
-    return F.broadcast(df) if few_rows(df, most) else df
+#: Bytes of a table, by its rows and types, up to which it is sent to all tasks.
+SMALL_BYTES = 8 << 20
+_WIDTH = {"tinyint": 8, "smallint": 8, "int": 8, "bigint": 8, "float": 8, "double": 8, "boolean": 8, "date": 8, "timestamp": 8, "string": 64}
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if its rows, counted, take at most SMALL_BYTES; else as it is (then the join shuffles).
+
+    Columns of numbers count 8 bytes, strings (keys of bounded length) 64; other types are never sent. most: a lower bound of rows.
+    """
+    kinds = [t for _, t in df.dtypes]
+    if any(t not in _WIDTH for t in kinds):
+        return df
+    rows = SMALL_BYTES // (16 + sum(_WIDTH[t] for t in kinds))
+    return F.broadcast(df) if few_rows(df, rows if most is None else min(rows, most)) else df
 
 
 def over_groups(df: DataFrame, key: str, f: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType | str, also: tuple[str, ...] = ()) -> DataFrame:

@@ -1,27 +1,31 @@
 """Embedding near-duplicates (operator 2): tiles compared along principal axes, leading dimensions first.
 
 Equal vectors form a class. Class vectors are scaled to length one and turned onto the
-principal axes of all of them (a rotation keeps products). Two unit vectors with a cosine of
-at least t lie within sqrt(2-2t) of each other on every axis, so vectors are put into cells of
-that width along the first CELL_AXES axes and only neighbouring cells are compared: an
-equi-join on cells, no cross join. Cells are split into tiles of about TILE_ROWS vectors; a
-pair of tiles whose boxes on the first BOX_AXES axes lie too far apart is skipped. In a tile
-pair the products of the leading dimensions come first; a pair of vectors is dropped as soon
-as its partial product plus the product of its suffix norms, which bounds the rest, is below
-t. What is left is summed in double precision, near t from the vectors as given. A tile pair
-returns for each vector its number of links and one edge, never the pairs.
+principal axes of all of them (a rotation keeps products). Tiles follow that order: a tree of
+medians along the leading axes, grown on a bounded sample (SAMPLE_ROWS) to leaves of about
+TILE_ROWS vectors; every vector goes to its leaf, and a leaf that is fuller than that is dealt
+to several tiles. Two unit vectors with a cosine of at least t lie within sqrt(2-2t) of each
+other, so a pair of tiles whose boxes on the first BOX_AXES axes lie farther apart is skipped;
+boxes meet by an equi-join on slabs of that width along the first axis. A vector is sent to
+the tiles near its own, in the type it came in; there are LEAST_TILES tiles at least, so that
+small tables are spread too. In a pair of tiles, blocks of BLOCK_ROWS are compared: blocks
+with boxes apart are skipped, then products of the leading dimensions come first; a pair of
+vectors is dropped as soon as its partial product plus the product of its suffix norms, which
+bounds the rest, is below t. What is left is summed in double precision, near t from the
+vectors as given. A tile pair returns for each vector its number of links and one edge, never
+the pairs.
 
 Result, one row per input row: n_links, component_id, kept. Vectors that are null, zero or
 hold null or non-finite parts, and rows without an id, link with nothing; vectors of
 different lengths are not compared. Rows that repeat an id are one node. Empty tables give
-no rows.
+no rows. Vectors are told apart by two 64-bit hashes. Vectors of more than PCA_DIMS parts keep
+their axes, ordered by second moments, as the matrix for the turn would not stay small.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import connected_components, min_labels, over_groups, stored
+from shelfspark.llm.common import connected_components, min_labels, over_groups, small_side, stored
 
 THRESHOLD = 0.95
-CELL_AXES = 4
 BOX_AXES = 8
-TILE_ROWS = 1024
+TILE_ROWS = 65_536
+LEAST_TILES = 3
+BLOCK_ROWS = 1024
+SAMPLE_ROWS = 65_536
+PCA_DIMS = 512
 FIRST_STEP = 8
 SLACK = 1e-9
 
@@ -51,9 +58,9 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length the axes (columns) by falling variance about the origin, from all vectors.
+    """For each vector length the axes (columns) by falling variance about the origin, from all vectors; beyond PCA_DIMS an order of axes.
 
-    Tasks send sums of products, so what is collected has the size of the dimension squared.
+    Tasks send sums of products (beyond PCA_DIMS of squares), so what is collected has at most PCA_DIMS squared rows for a length.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +69,7 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
             dims = batch.column(0).to_numpy()
             for d in np.unique(dims).tolist():
                 u = unit_rows(_matrix(batch.column(1).filter(pa.array(dims == d)), d))
-                total[d] = total.get(d, 0) + u.T @ u
+                total[d] = total.get(d, 0) + (u.T @ u if d <= PCA_DIMS else (u * u).sum(axis=0)[:, None])
         for d, m in total.items():
             i, j = np.indices(m.shape)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, d), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(m.ravel())], names=["dim", "i", "j", "x"])
@@ -70,12 +77,59 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     rows = classes.select("dim", "vec").mapInArrow(sums, "dim int, i int, j int, x double").groupBy("dim", "i", "j").agg(F.sum("x").alias("x")).toPandas()
     axes = {}
     for d, part in rows.groupby("dim"):
+        d = int(d)
+        if d > PCA_DIMS:
+            axes[d] = part.sort_values(["x", "i"], ascending=[False, True])["i"].to_numpy()
+            continue
         m = np.zeros((d, d))
         m[part["i"], part["j"]] = part["x"]
-        axes[int(d)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+        axes[d] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
     return axes
 
 
+def turn(raw: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    u = unit_rows(raw)
+    return u @ axes if axes.ndim == 2 else u[:, axes]
+
+
+def leading(u: np.ndarray) -> np.ndarray:
+    lead = np.zeros((len(u), BOX_AXES))
+    lead[:, : min(u.shape[1], BOX_AXES)] = u[:, :BOX_AXES]
+    return lead
+
+
+def grow(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
+    """Nodes (axis, threshold, child below, child from it on; a leaf has axis -1) of a tree of medians, each along the widest axis."""
+    nodes: list[tuple[int, float, int, int]] = []
+
+    def add(rows: np.ndarray, want: int) -> int:
+        me = len(nodes)
+        nodes.append((-1, 0.0, 0, 0))
+        if want > 1 and len(rows) > 1:
+            axis = int(np.argmax(np.ptp(rows, axis=0)))
+            half = want // 2
+            cut = float(np.sort(rows[:, axis])[len(rows) * half // want])
+            low = rows[:, axis] < cut
+            if low.any() and not low.all():
+                nodes[me] = (axis, cut, add(rows[low], half), add(rows[~low], want - half))
+        return me
+
+    add(sample, leaves)
+    return nodes
+
+
+def leaf_of(lead: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.ndarray:
+    at = np.zeros(len(lead), np.int64)
+    axis, cut, low, high = (np.array(x) for x in zip(*nodes, strict=True))
+    row = np.arange(len(lead))
+    while True:
+        inner = axis[at] >= 0
+        if not inner.any():
+            return at
+        below = lead[row, np.maximum(axis[at], 0)] < cut[at]
+        at = np.where(inner, np.where(below, low[at], high[at]), at)
+
+
 def linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with a cosine of at least threshold; a, b: unit rows on the principal axes."""
     d, step = a.shape[1], min(FIRST_STEP, a.shape[1])
@@ -98,7 +152,7 @@ def linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, t
         near = np.abs(value - threshold) <= SLACK
         ok = value >= threshold
         if near.any():
-            x, y = raw_a[p[near]], raw_b[q[near]]
+            x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (raw_a[p[near]], raw_b[q[near]]))
             ok[near] = np.array([math.fsum(s * t) / math.sqrt(math.fsum(s * s) * math.fsum(t * t)) for s, t in zip(x, y, strict=True)]) >= threshold
         keep_i.append(p[ok])
         keep_j.append(q[ok])
@@ -106,68 +160,110 @@ def linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, t
     return np.concatenate([none, *keep_i]), np.concatenate([none, *keep_j])
 
 
+def tile_links(raw: np.ndarray, side: np.ndarray, weight: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of the vectors of one tile (side all 0), or of two (0 and 1) between them. Rows come by rising id.
+
+    weight: rows of each class. Blocks hold vectors that are neighbours along the first axis; of the
+    links of two blocks only sums and a spanning forest are kept.
+    """
+    n, width = len(raw), math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    u = turn(raw, axes)
+    blocks: list[list[np.ndarray]] = []
+    for s in (0, 1):
+        own = np.flatnonzero(side == s)
+        own = own[np.argsort(u[own, 0], kind="stable")]
+        blocks.append([own[k : k + BLOCK_ROWS] for k in range(0, len(own), BLOCK_ROWS)])
+    alone = not blocks[1]
+    box = [[(leading(u[b]).min(axis=0), leading(u[b]).max(axis=0)) for b in part] for part in blocks]
+    count, label, edges = np.zeros(n, np.int64), np.arange(n), []
+    held = 0
+    for x, a in enumerate(blocks[0]):
+        for y, b in enumerate(blocks[0] if alone else blocks[1]):
+            if alone and y < x:
+                continue
+            (lo, hi), (lo2, hi2) = box[0][x], box[0 if alone else 1][y]
+            if (np.maximum(0, np.maximum(lo - hi2, lo2 - hi)) ** 2).sum() > width * width:
+                continue
+            i, j = linked(u[a], u[b], raw[a], raw[b], threshold, alone and x == y)
+            if not len(i):
+                continue
+            i, j = a[i], b[j]
+            count += (np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)).astype(np.int64)
+            members, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            edges.append((members, members[min_labels(len(members), at[: len(i)], at[len(i) :])]))
+            held += len(members)
+            if held > 1 << 20:
+                label = min_labels(n, np.concatenate([label, *(e[0] for e in edges)]), np.concatenate([np.arange(n), *(e[1] for e in edges)]))
+                edges, held = [], 0
+    label = min_labels(n, np.concatenate([label, *(e[0] for e in edges)]), np.concatenate([np.arange(n), *(e[1] for e in edges)]))
+    return count, label
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of df."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    vec = F.col(vector) if dict(df.dtypes)[vector] in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
     sound = F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    classes = rows.where(sound).groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vec"))
+    # -0.0 and 0.0 are one number and must hash alike
+    plain = F.transform("vec", lambda x: x + F.lit(0.0).cast(rows.schema["vec"].dataType.elementType))
+    keyed = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumns({"h1": F.when(F.col("sound"), F.xxhash64(plain)), "h2": F.when(F.col("sound"), F.xxhash64(F.lit(1), plain))})
+    ids = stored(keyed.select("id", "h1", "h2"), "hashes")
+    classes = keyed.where("sound").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec"))
     classes = stored(classes, "classes")
     axes = principal_axes(classes)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
 
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for d in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == d))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(leading(turn(_matrix(part.column(1), d), axes[d]))), pa.list_(pa.float64()))], names=["dim", "rep", "lead"])
+
+    leads = classes.select("dim", "vec", "rep").mapInArrow(lead, "dim int, rep long, lead array<double>")
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row for each vector length
+    trees = {}
+    for d, size in sizes.items():
+        tiles = max(LEAST_TILES, -(-size // TILE_ROWS)) if size > 2 * BLOCK_ROWS else 1
+        sample = leads.where(F.col("dim") == d).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).toPandas() if tiles > 1 else None
+        trees[d] = grow(np.array(sample["lead"].tolist()) if tiles > 1 else np.zeros((1, BOX_AXES)), tiles)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(0).to_numpy()
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
-                u = unit_rows(_matrix(part.column(1), d)) @ axes[d]
-                lead = np.zeros((len(u), BOX_AXES))
-                lead[:, : min(d, BOX_AXES)] = u[:, :BOX_AXES]
-                cell = np.floor(lead[:, :CELL_AXES] / width).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(cell), pa.list_(pa.int32())), pa.array(list(lead), pa.list_(pa.float64()))], names=["dim", "vec", "rep", "n", "cell", "lead"])
-
-    turned = stored(classes.select("dim", "vec", "rep", "n").mapInArrow(turn, "dim int, vec array<double>, rep long, n long, cell array<int>, lead array<double>"), "turned")
-    # At most (2 / width + 2) ** CELL_AXES cells for a vector length: a bound that no table exceeds.
-    cells = turned.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("tiles"))
-    tile = F.concat_ws("/", F.col("dim").cast("string"), F.array_join("cell", ","), F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("string"))
-    tiled = stored(turned.join(F.broadcast(cells), ["dim", "cell"]).withColumn("tile", tile), "tiled")
+                first = leading(turn(_matrix(part.column(1), d), axes[d]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(leaf_of(first, trees[d])), pa.array(list(first), pa.list_(pa.float64()))], names=["dim", "rep", "leaf", "lead"])
+
+    leaves = stored(classes.select("dim", "vec", "rep").mapInArrow(place, "dim int, rep long, leaf long, lead array<double>"), "leaves")
+    parts = leaves.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / F.lit(2 * TILE_ROWS)).cast("int").alias("parts"))
+    tile = F.concat_ws("/", F.col("dim").cast("string"), F.col("leaf").cast("string"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("string"))
+    tiled = stored(leaves.join(parts, ["dim", "leaf"]).select("dim", "rep", "lead", tile.alias("tile")), "tiled")
     box = [f(F.col("lead")[k]).alias(f"{name}{k}") for k in range(BOX_AXES) for name, f in (("lo", F.min), ("hi", F.max))]
-    tiles = stored(tiled.groupBy("dim", "cell", "tile").agg(*box), "tiles")
-    steps = product((-1, 0, 1), repeat=CELL_AXES)
-    near = F.array(*[F.array(*[(F.col("cell")[k] + o).cast("int") for k, o in enumerate(step)]) for step in steps])
-    left = tiles.select("dim", F.explode(near).alias("cell"), F.col("tile").alias("a"), *[F.col(f"{s}{k}").alias(f"{s}{k}_a") for k in range(BOX_AXES) for s in ("lo", "hi")])
+    tiles = stored(tiled.groupBy("dim", "tile").agg(*box), "tiles")
+    slab = lambda c: F.floor(c / F.lit(width)).cast("int")
+    left = tiles.select("dim", F.explode(F.sequence(slab(F.col("lo0")) - 1, slab(F.col("hi0")) + 1)).alias("slab"), F.col("tile").alias("a"), *[F.col(f"{s}{k}").alias(f"{s}{k}_a") for k in range(BOX_AXES) for s in ("lo", "hi")])
+    right = tiles.withColumn("slab", F.explode(F.sequence(slab(F.col("lo0")), slab(F.col("hi0")))))
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"hi{k}_a"), F.col(f"lo{k}_a") - F.col(f"hi{k}")), 2) for k in range(BOX_AXES)), F.lit(0.0))
-    pairs = left.join(tiles, ["dim", "cell"]).where(F.col("a") <= F.col("tile")).where(gap <= width * width).select("a", F.col("tile").alias("b"))
-    pairs = pairs.withColumn("unit", F.concat_ws("|", "a", "b"))
-    sides = pairs.select("unit", F.col("a").alias("tile")).unionByName(pairs.where("a <> b").select("unit", F.col("b").alias("tile")))
-    units = tiled.select("dim", "tile", "rep", "n", "vec").join(sides, "tile")
+    pairs = left.join(right, ["dim", "slab"]).where(F.col("a") <= F.col("tile")).where(gap <= width * width).select("a", F.col("tile").alias("b")).distinct()
+    pairs = stored(pairs.withColumn("unit", F.concat_ws("|", "a", "b")), "pairs")
+    sides = pairs.select("unit", F.col("a").alias("tile"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("unit", F.col("b").alias("tile"), F.lit(1).alias("side")))
+    units = classes.select("dim", "rep", "n", "vec").join(tiled.select("rep", "tile"), "rep").join(small_side(sides), "tile").select("unit", "side", "dim", "rep", "n", "vec")
 
     def verify(group: pa.Table) -> pa.RecordBatch | None:
         d = group["dim"][0].as_py()
-        first, second = group["unit"][0].as_py().split("|")
-        side = np.array(group["tile"].to_pylist())
-        rep, n, raw = group["rep"].to_numpy(), group["n"].to_numpy(), _matrix(group["vec"], d)
-        turned = unit_rows(raw) @ axes[d]
-        a, b = np.flatnonzero(side == first), np.flatnonzero(side == second)
-        i, j = linked(turned[a], turned[b], raw[a], raw[b], threshold, first == second)
-        if not len(i):
-            return None
-        i, j = a[i], b[j]
-        order = np.argsort(rep, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        count = (np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))).astype(np.int64)
-        root = np.empty(len(rep), np.int64)
-        root[order] = rep[order][min_labels(len(rep), place[i], place[j])]
+        rep, n = group["rep"].to_numpy(), group["n"].to_numpy()
+        count, label = tile_links(_matrix(group["vec"], d), group["side"].to_numpy(), n, axes[d], threshold)
         some = count > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[some], pa.int64()) for x in (rep, count, root)], names=["id", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(x[some], pa.int64()) for x in (rep, count, rep[label])], names=["id", "links", "root"]) if some.any() else None
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "links", "root")])
-    found = stored(over_groups(units, "unit", verify, schema), "links")
+    found = stored(over_groups(units, "unit", verify, schema, also=("rep",)), "links")
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    judged = classes.select("vec", "n", F.col("rep").alias("id")).join(total, "id", "left").join(roots, "id", "left")
-    judged = judged.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.lit(True).alias("has"))
-    out = rows.withColumn("has", F.when(F.col("id").isNotNull(), True)).join(judged, ["vec", "has"], "left")
+    judged = classes.select("h1", "h2", "n", F.col("rep").alias("id")).join(total, "id", "left").join(roots, "id", "left")
+    judged = judged.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    out = ids.join(judged, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -92,12 +92,17 @@ def test_mix_texts_cuts_at_words(spark, edge):
 # 2 vectors
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("tile", [65_536, 60])
+def test_vectors_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(vectors, "TILE_ROWS", tile)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", min(tile, 1024))
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 24))
     x = np.concatenate([centres[rng.integers(0, 30, 700)] + rng.normal(scale=0.16, size=(700, 24)), np.repeat(centres[:1], 40, axis=0)])
     data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(5000, None), (5001, [0.0] * 24), (5002, [float("nan")] * 24), (5003, [1.0, None]), (5004, []), (5005, [1.0, 0.0]), (5006, [2.0, 0.0])]
-    got = vectors.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)).toPandas().set_index("vec_id")
+    data += [(6000, [1e200] * 3), (6001, [2e200] * 3), (6002, [1e-200, 0.0, -0.0]), (6003, [3e-200, 0.0, 0.0]), (6003, [3e-200, -0.0, 0.0]), (None, [1.0, 0.0])]
+    got = vectors.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)).toPandas().drop_duplicates("vec_id").set_index("vec_id")
+    assert got.loc[[6000, 6001, 6002, 6003]].n_links.tolist() == [1, 1, 2, 2]
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
@@ -108,6 +113,17 @@ def test_vectors_against_brute_force(spark):
     assert got.loc[5006].component_id == 5005 and not got.loc[5006].kept
 
 
+def test_vectors_in_dense_blocks():
+    """A tile of one hot group: every link counted, one component, no pairs kept."""
+    rng = np.random.default_rng(7)
+    x = np.ones(16) + rng.normal(scale=0.05, size=(3000, 16))
+    count, root = vectors.tile_links(x, np.zeros(3000, int), np.ones(3000, int), np.eye(16), 0.95)
+    assert (count == 2999).all() and (root == 0).all()
+    side = np.repeat([0, 1], 1500)
+    count, root = vectors.tile_links(x, side, np.ones(3000, int), np.eye(16), 0.95)
+    assert (count == 1500).all() and (root == 0).all()
+
+
 def test_vectors_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
