@@ -8,7 +8,9 @@ strings that make the rounds few and the work proportional to the corpus. Each
 LENGTH-byte window has an anchor, the leftmost ANCHOR-byte string in it of the least hash;
 the windows of a document that share an anchor make one segment of fewer than 2 * LENGTH bytes.
 Equal windows have equal anchors at equal places, so they meet among segments of one anchor
-(anchors seen once go), and they lie in the same column counted from the anchor. Segments of
+(anchors seen once go), and they lie in the same column counted from the anchor. In periodic text,
+where the anchor would move with every window, a window that equals the one a period before it
+is repeated by itself and makes no segment, so that a run gives a segment or two. Segments of
 equal bytes are one with a count. In a group of an anchor's distinct segments, rounds go over
 the columns from the last to the first: each inserts one symbol of every segment, and updates
 the order of the suffixes (the collection's transform restricted to that column) and the
@@ -17,8 +19,11 @@ rounds run in memory over blocks of groups; the segments are read in order from
 shared folder. A group of more than GROUP_ROWS distinct segments is not brought together: its
 windows are counted by digest.
 
+Anchors of more than HOT_ROWS segments are looked up in a table sent to all tasks (if it is small,
+else they too are joined by shuffle), so that a passage of very many documents stays spread.
+
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing. Rows count
-apart: a row that repeats an id and text is a copy. Other columns play no part; an empty table
+apart: a row that repeats an id and text is a copy; all copies share one list of segments. Other columns play no part; an empty table
 gives no rows.
 """
 
@@ -43,14 +48,44 @@ GROUP_ROWS = 20_000
 BLOCK_ROWS = 40_000
 PAD = 256
 SCAN_BYTES = 2 << 20
+#: Segments of an anchor from which on it is hot.
+HOT_ROWS = 2048
+#: Hot anchors (16 bytes each) up to which they are sent to all tasks.
+HOT_ANCHORS = 400_000
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the anchor, first window, last window, anchor hash) of the runs of windows of one text."""
+def echoes(data: np.ndarray, at: np.ndarray, low: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(mask of the windows that equal the one a period before, byte ranges that those and their models cover). at, low: place and hash of each window's anchor."""
+    mask, ranges = np.zeros(len(at), bool), []
+    edge = np.flatnonzero(np.diff(at)) + 1
+    step = at[edge] - at[edge - 1]
+    back = (low[edge] == low[edge - 1]) & (step > 0) & (step <= length - anchor)
+    if not back.any():
+        return mask, ranges
+    # stretches of anchors that follow one another by the same step
+    k = np.flatnonzero(back)
+    cut = np.flatnonzero((np.diff(k) != 1) | (np.diff(step[k]) != 0)) + 1
+    for part in np.split(k, cut):
+        period, first = int(step[part[0]]), int(edge[part[0]])
+        end = int(edge[part[-1] + 1]) if part[-1] + 1 < len(edge) else len(at)
+        first = max(first, period)
+        if first >= end:
+            continue
+        same = data[first : end + length - 1] == data[first - period : end + length - 1 - period]
+        upto = np.concatenate([[0], np.cumsum(same)])
+        whole = upto[length:] - upto[:-length] == length
+        mask[first:end] |= whole
+        run = np.flatnonzero(np.diff(np.concatenate([[False], whole, [False]]).astype(np.int8)))
+        ranges += [(first + a - period, first + b - 1 + length) for a, b in zip(run[0::2].tolist(), run[1::2].tolist(), strict=True)]
+    return mask, ranges
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(place of the anchor, first window, last window, anchor hash) of the runs of windows of one text, and its byte ranges that are periodic."""
     n = len(data) - length + 1
     if n < 1:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, []
     h = mix(data.astype(np.uint64) + np.uint64(1))
     span = 1
     while span < anchor:  # hashes of strings of double length
@@ -64,22 +99,31 @@ def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tup
         right = b < a
         low, at, span = np.where(right, b, a), np.where(right, at[step:], at[:-step]), span + step
     low, at = low[:n], at[:n]
-    edge = np.flatnonzero(np.diff(at)) + 1
-    first = np.concatenate([[0], edge])
-    last = np.concatenate([edge, [n]]) - 1
-    return at[first].astype(np.int64), first, last, low[first].astype(np.int64)
+    echo, periodic = echoes(data, at, low, length, anchor)
+    window = np.flatnonzero(~echo) if periodic else np.arange(n)
+    if not len(window):
+        window = np.arange(1)
+    edge = np.flatnonzero((np.diff(at[window]) != 0) | (np.diff(window) != 1)) + 1
+    first = window[np.concatenate([[0], edge])]
+    last = window[np.concatenate([edge, [len(window)]]) - 1]
+    return at[first].astype(np.int64), first, last, low[first].astype(np.int64), periodic
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """(key, th, place, first, last, anchor): the segments of docs (key, th, text)."""
+    """(key, th, place, first, last, anchor): the segments of docs (key, th, text); without an anchor: byte ranges (first, last) that repeat by themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", SCAN_BYTES):
                 out = [anchors(np.frombuffer(text or b"", np.uint8)) for text in batch.column(2).cast(pa.binary()).to_pylist()]
                 row = pa.array(np.repeat(np.arange(len(out)), [len(p[0]) for p in out]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(np.concatenate([p[k] for p in out]), pa.int64() if k == 3 else pa.int32()) for k in range(4)]], names=["key", "th", "place", "first", "last", "anchor"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(np.concatenate([p[k] for p in out]), pa.int64() if k == 3 else pa.int32()) for k in range(4)]], names=names)
+                own = [(i, a, b) for i, p in enumerate(out) for a, b in p[4]]
+                if own:
+                    row = pa.array([i for i, _, _ in own])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array([o[k] for o in own], pa.int32()) for k in (1, 1, 2)], pa.nulls(len(own), pa.int64())], names=names)
 
+    names = ["key", "th", "place", "first", "last", "anchor"]
     return docs.mapInArrow(run, "key long, th long, place int, first int, last int, anchor long")
 
 
@@ -201,16 +245,22 @@ def _by_digest(distinct: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(key, th, ranges): for documents (key, th, text) with repeated passages, the byte ranges that repeat, sorted by start."""
     found = stored(_scan(docs), "segments")
-    often = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    again = found.join(often, "anchor")
-    lists = again.groupBy("key", "th").agg(F.collect_list(F.struct("place", "first", "last", "anchor")).alias("segments"))
+    often = stored(found.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    hot = often.where(F.col("c") > HOT_ROWS).select("anchor")
+    if few_rows(hot, HOT_ANCHORS):
+        rest = found.join(F.broadcast(hot), "anchor", "left_anti").join(often.where(F.col("c") <= HOT_ROWS).select("anchor"), "anchor", "left_semi")
+        again = found.join(F.broadcast(hot), "anchor", "left_semi").unionByName(rest)
+    else:
+        again = found.join(often, "anchor", "left_semi")
+    # copies of a row have the same segments: a set, so that they do not multiply
+    lists = again.groupBy("key", "th").agg(F.collect_set(F.struct("place", "first", "last", "anchor")).alias("segments"))
     lists = stored(lists, "repeated-anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", SCAN_BYTES):
                 rows: list[tuple] = []
-                columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()
+                columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()]
                 for key, th, text, segments in zip(*columns, strict=True):
                     for s in segments:
                         body = text[s["first"] : s["last"] + LENGTH]
@@ -231,7 +281,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     ranges = stored(whole.unionByName(ranges.join(whole.select("anchor", "digest"), ["anchor", "digest"], "left_anti")), "ranges")
     hits = pieces_.select("key", "th", "first", "anchor", "digest").join(ranges, ["anchor", "digest"])
     spans = hits.select("key", "th", F.explode("ranges").alias("r"), "first").select("key", "th", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b")).alias("r"))
-    return spans.groupBy("key", "th").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
+    periodic = found.where("anchor is null").select("key", "th", F.struct(F.col("first").alias("a"), F.col("last").alias("b")).alias("r"))
+    return spans.unionByName(periodic).groupBy("key", "th").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

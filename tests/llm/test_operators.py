@@ -192,6 +192,7 @@ def test_every_known_sentence_has_a_cue():
 
 
 def removed(texts, length=200):
+    """(kept, n_bytes, n_removed, n_spans) of each text."""
     bodies = [(t or "").encode() for t in texts]
     count = collections.Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
     out = []
@@ -200,21 +201,48 @@ def removed(texts, length=200):
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 hit[i : i + length] = True
-        out.append((bytes(np.frombuffer(b, np.uint8)[~hit]), int(hit.sum())))
+        out.append((bytes(np.frombuffer(b, np.uint8)[~hit]), len(b), int(hit.sum()), int((np.diff(np.concatenate([[0], hit])) == 1).sum())))
     return out
 
 
+def cleaned(spark, data):
+    got = passages.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").withColumn("Kept", F.lit(1)).withColumn("th", F.lit("x")).withColumn("N_SPANS", F.lit(9))).toPandas()
+    return sorted((bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in got.itertuples())
+
+
 @pytest.mark.parametrize("limit", [20_000, 1])
 def test_passages_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(passages, "GROUP_ROWS", limit)  # 1: the digest path for large groups
+    monkeypatch.setattr(passages, "HOT_ROWS", 20_000 if limit == 1 else 2)
     rng = random.Random(2)
     word = lambda n: "".join(rng.choices("abcdé ", k=n))
     shared = [word(rng.randint(150, 420)) for _ in range(5)]
     texts = [None, "", "a" * 500, "ab" * 250, "x" * 199] + ["".join(word(rng.randint(0, 120)) + (rng.choice(shared) if rng.random() < 0.7 else "") for _ in range(rng.randint(0, 5))) for _ in range(40)]
-    data = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (900, texts[9])]
-    got = passages.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").withColumn("Kept", F.lit(1))).toPandas()
-    want = removed([t for _, t in data])
-    assert sorted((bytes(k), n) for k, n in zip(got.kept, got.n_removed, strict=True)) == sorted(want)
+    data = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (900, texts[9]), (None, texts[11]), (None, texts[11])]
+    assert cleaned(spark, data) == sorted(removed([t for _, t in data]))
+
+
+def test_passages_periodic_texts(spark):
+    """Runs of every kind, once and twice, at edges of other text, against brute force; they make few segments."""
+    rng = random.Random(4)
+    other = lambda n: "".join(rng.choices("qrstuvwxyz", k=n))
+    runs = ["a" * 200, "a" * 201, "ab" * 101, "abc" * 67, "abcdefghij" * 25, other(90) * 3, other(150) * 2, other(170) * 3, "=" * 80]
+    texts = [other(40) + r + other(rng.randint(0, 300)) for r in runs] + [r * 3 for r in runs] + ["a" * 200 + other(250), other(30) + ("=" * 80 + other(50)) * 6]
+    for part in (texts, texts[::2], texts[3:7]):
+        data = list(enumerate(part))
+        assert cleaned(spark, data) == sorted(removed(part))
+    for text in ("a" * 100_000, "ab" * 50_000, other(10) * 10_000, other(150) * 700):
+        place, *_, periodic = passages.anchors(np.frombuffer(text.encode(), np.uint8))
+        assert len(place) <= 4 and periodic[0][0] == 0 and periodic[-1][1] == len(text)
+
+
+def test_passages_of_many_equal_rows(spark):
+    """Rows that repeat an id and text cost in proportion to their number."""
+    text = "".join(random.Random(1).choices("abcdefgh ", k=1500))
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(1, "short")], "doc_id long, text string"))
+    got = passages.remove_repeats(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got)) == [(5, 0, 0, 1), (1500, 1500, 1, 2000)]
+    assert passages.remove_repeats(df.limit(0)).count() == 0
 
 
 # 5 personal data
