@@ -3,17 +3,16 @@
 A document's set holds the hashes of its NGRAM-word windows (lower-case A-Z, words between
 white space); a document of one to NGRAM-1 words has one window. Documents with equal sets
 form a class and are represented by their smallest id. Bands and rows are chosen for
-TARGET_RECALL at the threshold. Representatives that share a band hash are candidates; a
-star to the smallest one of each bucket, not its pairs, is shuffled, and the connected
-candidates form a cluster. Within a cluster every pair is compared on the full sets, in
-tiles of bounded size (a large cluster is spread over tile pairs, so no group meets in one
-task); a tile pair returns, for each of its members, the number of links and one edge towards
-the smallest member that it reaches, never the pairs.
+TARGET_RECALL at the threshold. Classes that share a band hash are candidates. Each class has
+its home in the most frequent bucket it is in; the classes of a home fill tiles of bounded size,
+and only tiles with a bucket in common are compared, on the full sets, so that chains of chance
+candidates do not grow together and no group meets in one task. A pair of tiles returns, for each
+of its members, the number of links and one edge towards another that it reaches, never the pairs.
 
 Result, one row per input row: class_id (smallest id reachable by links), n_links (other rows
-linked directly, rows of the same set included). A null or
-blank text has no set and links with nothing. Rows that repeat an id count as rows of one
-node. An empty table gives no rows.
+linked directly, rows of the same set included). A null or blank text has no set and links with
+nothing. Rows that repeat an id with other texts are nodes of their own. An empty table gives no
+rows. Sets are told apart by two 64-bit sums.
 """
 
 from __future__ import annotations
@@ -36,8 +35,6 @@ MAX_HASHES = 192
 #: Members and set elements of a tile.
 TILE_ROWS = 512
 TILE_ITEMS = 1 << 20
-#: Candidates up to this number are sent to all tasks (about 50 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 400_000
 SEED = 71
 
 
@@ -149,9 +146,9 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
 
 
 def links(rows: pa.Table, threshold: float) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(ids, links, root) of the members of one tile pair: links within a tile for one tile, between the tiles for two."""
+    """(ids, links, root) of the members of one tile pair: links within a tile for one (side 0), between the sides for two."""
     ids, first = np.unique(np.array(rows["id"].to_pylist(), np.int64), return_index=True)
-    tile = np.array(rows["tile"].to_pylist())[first]
+    tile = np.array(rows["side"].to_pylist())[first]
     n = np.array(rows["n"].to_pylist(), np.int64)[first]
     data = rows["set"].to_pylist()
     sets = [np.frombuffer(data[i], np.uint64) for i in first]
@@ -168,43 +165,57 @@ def links(rows: pa.Table, threshold: float) -> tuple[list[int], np.ndarray, np.n
     return ids, count.astype(np.int64), ids[min_labels(len(ids), i, j)]
 
 
+def candidate_tiles(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, tile, n, size, fp1, fp2) of the classes that share a band hash with another, and the pairs of tiles to compare (a, b, unit).
+
+    A class has its home in the most frequent bucket that it is in (of several the one with the
+    least node), and the classes of a home fill tiles of bounded size. Tiles that have a bucket
+    in common are compared; buckets of one class meet nothing, and no pairs of classes are made.
+    """
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1")
+    shared = stored(banded.join(buckets, "band"), "shared-bands")
+    homes = shared.groupBy("node").agg(F.max(F.struct("c", -F.col("least"))).alias("home")).join(classes.drop("bands"), "node")
+    homes = stored(homes.select("node", "n", "rep", "size", "fp1", "fp2", F.concat_ws(".", "home.c", "home.col2").alias("home")), "homes")
+    wide = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE_ROWS), F.sum("size") / F.lit(TILE_ITEMS))).cast("int").alias("k"))
+    placed = homes.join(wide, "home").withColumn("tile", F.concat_ws(".", "home", F.pmod(F.col("node"), F.col("k")).cast("string"))).drop("home", "k")
+    placed = stored(placed, "placed")
+    held = stored(shared.select("node", "band").join(placed.select("node", "tile"), "node").select("band", "tile").distinct(), "tile-bands")
+    several = held.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    across = held.join(several, "band")
+    pairs = across.select("band", F.col("tile").alias("a")).join(across.select("band", F.col("tile").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    alone = placed.groupBy("tile").agg(F.count("*").alias("c")).where("c > 1").select(F.col("tile").alias("a"), F.col("tile").alias("b"))
+    return placed, pairs.unionByName(alone).withColumn("unit", F.concat_ws("|", "a", "b"))
+
+
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     """(id, n_links, class_id), one row per row of df."""
     bands, rows = choose_bands(threshold, recall)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text"))
     sig = stored(signatures(docs, "__text", bands, rows).drop("__text"), "signatures")
     classes = sig.where("n_shingles > 0 and id is not null").groupBy("fp1", "fp2")
-    classes = stored(classes.agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1")
-    stars = banded.join(buckets, "band").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    cluster = connected_components(stars)
-    members = cluster.join(classes.select(F.col("rep").alias("id"), "n", "size", "fp1", "fp2"), "id")
-    members = stored(members, "members")
-    tiles = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE_ROWS), F.sum("size") / F.lit(TILE_ITEMS))).cast("int").alias("tiles"))
-    placed = stored(members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")), "placed")
-    with_text = docs.join(small_side(placed, BROADCAST_ROWS), "id")
-    sets = with_sets(with_text, "__text").where("got1 = fp1 and got2 = fp2")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    units = sets.withColumn("other", other).select(
-        "id", "n", "set", "tile",
-        F.concat_ws(":", F.col("component").cast("string"), F.least("tile", "other").cast("string"), F.greatest("tile", "other").cast("string")).alias("unit"),
-    )
+    classes = classes.agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("node", F.xxhash64("fp1", "fp2")), "classes")
+    placed, pairs = candidate_tiles(classes)
+    pairs = stored(pairs, "tile-pairs")
+    # one row of each class carries its text
+    texts = docs.join(small_side(placed.drop("size")), F.col("id") == F.col("rep"))
+    sets = with_sets(texts, "__text").where("got1 = fp1 and got2 = fp2").dropDuplicates(["node"])
+    sides = pairs.select("unit", F.col("a").alias("tile"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("unit", F.col("b").alias("tile"), F.lit(1).alias("side")))
+    units = sets.join(sides, "tile").select("unit", "side", F.col("node").alias("id"), "n", "set")
 
     def verify(group: pa.Table) -> pa.RecordBatch | None:
-        unit = group["unit"][0].as_py().split(":")
-        if unit[1] != unit[2] and len(set(group["tile"].to_pylist())) < 2:
-            return None
         ids, count, root = links(group, threshold)
         some = count > 0
         return pa.RecordBatch.from_arrays([pa.array(x[some], pa.int64()) for x in (ids, count, root)], names=["id", "links", "root"]) if some.any() else None
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "links", "root")])
     found = stored(over_groups(units, "unit", verify, schema), "links")
-    total = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    judged = classes.select("fp1", "fp2", "n", F.col("rep").alias("id")).join(total, "id", "left").join(roots, "id", "left")
-    judged = judged.select("fp1", "fp2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("class_id"))
+    total = found.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    roots = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "node")
+    named = roots.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    judged = classes.select("fp1", "fp2", "n", "rep", "node").join(total, "node", "left").join(roots.join(named, "component").select("node", "least"), "node", "left")
+    judged = judged.select("fp1", "fp2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("class_id"))
     out = sig.select("id", "fp1", "fp2", F.when(F.col("n_shingles") > 0, True).alias("has")).join(judged.withColumn("has", F.lit(True)), ["fp1", "fp2", "has"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"))
 
@@ -214,4 +225,4 @@ def keep_one(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     classes = jaccard_classes(rows, "__row", text, threshold)
     keep = stored(classes.where(F.col("class_id") == F.col("__row")).select("__row"), "kept")
-    return rows.join(small_side(keep, BROADCAST_ROWS), "__row", "left_semi").drop("__row")
+    return rows.join(small_side(keep), "__row", "left_semi").drop("__row")
