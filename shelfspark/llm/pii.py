@@ -2,7 +2,8 @@
 
 Base kinds: email, ip, card (Luhn) and phone (with a leading +). Their confirmed spans always
 stay. Further kinds, kept at a score of at least MIN_SCORE and only where they overlap no span
-found before: iban (mod-97), national_phone and ssn (both need a context word nearby).
+of a kind before: iban (mod-97), national_phone and ssn (both need a context word nearby), and
+secret: keys and tokens of known forms, and values given to names such as password or token.
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans. Rows are
 independent: repeated rows, other columns and empty tables pass through; the time for a text
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from shelfspark.llm.common import append_arrow
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "national_phone", "ssn")
+KINDS = (*BASE_KINDS, "iban", "national_phone", "ssn", "secret")
 MIN_SCORE = 0.6
 #: Characters before and after a span that are searched for context words.
 CONTEXT = 40
@@ -36,9 +37,10 @@ CONTEXT_WORDS = {
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "national_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "whatsapp"),
     "ssn": ("ssn", "social security", "social-security"),
+    "secret": ("key", "token", "secret", "password", "credential", "authorization", "bearer"),
 }
 #: Score of a confirmed pattern without context; context words add CONTEXT_GAIN.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_phone": 0.4, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_phone": 0.4, "ssn": 0.4, "secret": 0.6}
 CONTEXT_GAIN = 0.3
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -49,6 +51,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+A-Za-z])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-]|[0-9]{3}[\x20.-])[0-9]{3,4}(?:[\x20.-]?[0-9]{2,4}){1,2}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: A name, a sign and a value of at least eight characters; the value alone is the span.
+_NAMED = re.compile(r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|password|passwd|pwd)(?:[_-][a-z]{1,12})?[\x20\"']{0,3}[:=][\x20\"']{0,3}([^\s\"'<>,;]{8,512})")
+_FORMS = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}|eyJ[A-Za-z0-9_-]{10,500}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,500})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 #: Length of an IBAN by country.
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
@@ -110,6 +115,38 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values of named secrets that mix letters with digits or are twenty characters or longer, and known forms; by rising start, apart."""
+    found = [m.span(1) for m in _NAMED.finditer(text) if len(m[1]) >= 20 or (any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]))]
+    found += [m.span() for m in _FORMS.finditer(text)]
+    done = 0
+    for a, b in sorted(found):
+        if a >= done:
+            yield a, b
+            done = b
+
+
+def _apart(places: Iterator[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of places that overlap nothing taken; both by rising start, taken disjoint: one pass."""
+    k = 0
+    for a, b in places:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or b <= taken[k][0]:
+            yield a, b
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or len(part) == 3 and part <= "255"
@@ -142,17 +179,19 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     spans = base_spans(text)
-    taken = sorted((a, b) for _, a, b in spans)
+    taken = _joined([(a, b) for _, a, b in spans])
     out = [(k, a, b, _score(text, k, a, b)) for k, a, b in spans]
-    for kind, places in (("iban", _ibans(text)), ("national_phone", (m.span() for m in _NATIONAL.finditer(text))), ("ssn", (m.span() for m in _SSN.finditer(text)))):
+    further = (("iban", _ibans(text)), ("national_phone", (m.span() for m in _NATIONAL.finditer(text))), ("ssn", (m.span() for m in _SSN.finditer(text))), ("secret", _secrets(text)))
+    for kind, places in further:
         more = []
-        for a, b in places:
+        for a, b in _apart(places, taken):
             if kind == "national_phone" and not 7 <= sum(c.isdigit() for c in text[a:b]) <= 12:
                 continue
-            if (score := _score(text, kind, a, b)) >= MIN_SCORE and not any(x < b and a < y for x, y in taken):
+            if (score := _score(text, kind, a, b)) >= MIN_SCORE:
                 more.append((a, b))
                 out.append((kind, a, b, score))
-        taken = sorted([*taken, *more])
+        if more:
+            taken = _joined([*taken, *more])
     return out
 
 
