@@ -3,9 +3,10 @@
 A text is cut by the tokenizer's pattern; each distinct piece of a batch that is not itself a
 token goes, with the pieces of about its length, into one padded numpy matrix. In each round
 every row merges its leftmost pair of minimum rank (pairs are looked up in an open-addressing
-hash table), the freed cells are compacted away, and rows without a pair left go out. Pieces
-beyond MATRIX_BYTES would need too many rounds: they merge by the same rule with a heap, to
-the same ids.
+hash table), the freed cells are compacted away, and rows without a pair left go out. A piece
+beyond MATRIX_BYTES is a matrix of one row, in which a round merges the leftmost minimum-rank
+pair and, going on to the right, all others of the same rank, up to the first that makes a pair
+of lower rank: the same merges in the same order, in fewer rounds.
 
 Defined results: a null text encodes to no ids, as the empty text does; null ids decode to
 empty bytes. Rows are independent, so repeated rows, any other columns and empty tables
@@ -15,7 +16,6 @@ pass through.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Callable
 from itertools import chain
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from shelfspark.llm.common import append_arrow
 
-#: Longer pieces merge on a heap.
+#: Longer pieces are rows of their own.
 MATRIX_BYTES = 256
 #: Pieces a worker remembers between batches.
 CACHE_PIECES = 120_000
@@ -139,30 +139,32 @@ class ByteBPE:
             rank[n[left], at[left] - 1] = self.pairs.find(ids[n[left], at[left] - 1], ids[n[left], at[left]])
         return [row[: row.index(-1)] if row and row[-1] == -1 else row for row in out]
 
-    def merge_heap(self, row: bytes) -> list[int]:
-        """Ids of one long piece by the same rule: a heap of (rank, place) over linked cells."""
-        ids = self.single[np.frombuffer(row, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        parts: list[bytes | None] = [row[i : i + 1] for i in range(n)]
-
-        def rank_at(i: int) -> int | None:
-            return self.ranks.get(parts[i] + parts[after[i]]) if after[i] < n else None
-
-        heap = [(r, i, parts[i], parts[after[i]]) for i in range(n - 1) if (r := rank_at(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            if parts[i] is not a or after[i] >= n or parts[after[i]] is not b:
-                continue
-            gone = after[i]
-            ids[i], parts[i], parts[gone], after[i] = r, a + b, None, after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            for j in (before[i], i):
-                if j >= 0 and (x := rank_at(j)) is not None:
-                    heapq.heappush(heap, (x, j, parts[j], parts[after[j]]))
-        return [x for x, p in zip(ids, parts, strict=True) if p is not None]
+    def merge_row(self, row: bytes) -> list[int]:
+        """Ids of one long piece; a round merges all leftmost pairs of the least rank that would follow one another."""
+        ids = self.single[np.frombuffer(row, np.uint8)]
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (best := int(rank.min())) != NONE:
+            at = np.flatnonzero(rank == best)
+            # of pairs that overlap, every other one from the left
+            first = np.concatenate([[True], np.diff(at) != 1])
+            order = np.arange(len(at))
+            at = at[(order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 0]
+            # pairs that each merge makes while those to its right still stand
+            padded = np.concatenate([[-1], ids, [-1]])
+            left = padded[at]
+            left[1:] = np.where(at[1:] - at[:-1] == 2, best, left[1:])
+            made = np.minimum(self.pairs.find(left, np.full(len(at), best)), self.pairs.find(np.full(len(at), best), padded[at + 3]))
+            lower = np.flatnonzero(made < best)
+            at = at[: lower[0] + 1] if len(lower) else at
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids[at] = best
+            ids, rank = ids[stay], rank[stay[1:]]
+            at = at - np.arange(len(at))
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self.pairs.find(ids[near], ids[near + 1])
+        return ids.tolist()
 
     def learn(self, new: list[str]) -> None:
         """Put the ids of pieces into the cache."""
@@ -176,7 +178,7 @@ class ByteBPE:
             if rank is not None:
                 self.known[piece] = (rank,)
             elif len(raw) > MATRIX_BYTES:
-                self.known[piece] = tuple(self.merge_heap(raw))
+                self.known[piece] = tuple(self.merge_row(raw))
             else:
                 buckets.setdefault(len(raw) if len(raw) <= 16 else 1 << (len(raw) - 1).bit_length(), []).append((piece, raw))
         for width, rows in buckets.items():
