@@ -1,10 +1,10 @@
 """Toxicity (operator 10): a linear-chain conditional random field tags toxic words.
 
 Learning. Of the labelled rows outside the held-out part a sample of at most SAMPLE_DOCS of
-each label is taken in the order of a hash of the id (the bound is a parameter); distinct texts
-of it are tokenised. Words and word beginnings far more frequent, by documents with them once or
+each label, of texts of at most SAMPLE_CHARS characters, is taken in the order of a hash of the
+id (both bounds are parameters, of teaching alone); distinct texts of it are tokenised. Words and word beginnings far more frequent, by documents with them once or
 twice, in toxic texts than in others label the tokens of toxic texts; a two-state chain over these features is fitted to the labelled
-tokens of sentences (all with a toxic token, and as many others at most as SENTENCES allows). A
+tokens of all sentences of the sample. A
 logistic curve from a text's marginals to its label is fitted on the sample, weighted to the
 labels' true proportions.
 
@@ -33,9 +33,7 @@ from pyspark.sql import types as T
 from shelfspark.llm.common import append_arrow, joined_bytes, placed_words, prefix_hashes
 
 SAMPLE_DOCS = 800
-SENTENCES = 20_000
-#: A longer sentence is several chains.
-CHAIN_TOKENS = 128
+SAMPLE_CHARS = 30_000
 MIN_DOCS = 3
 MIN_LOG_ODDS = 2.3
 #: Bytes of the word beginnings that are features beside the word.
@@ -70,12 +68,8 @@ def tokenise(texts: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray]:
 
 
 def chains(sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and length of each chain: a sentence, or each CHAIN_TOKENS tokens of it."""
+    """First token and length of each chain: a sentence."""
     first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.empty(0, np.int64)
-    length = np.diff(np.append(first, len(sentence)))
-    parts = -(-length // CHAIN_TOKENS)
-    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = np.repeat(first, parts) + place * CHAIN_TOKENS
     return first, np.diff(np.append(first, len(sentence)))
 
 
@@ -191,15 +185,8 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float) -> Model:
     tagged = lexicon[at].any(axis=0) & label[tokens.doc]
     if not tagged.any():
         return empty
-    # sentences with a toxic token, and others up to the bound
+    features, y = tokens.features, tagged
     first, length = chains(tokens.sentence)
-    which = np.repeat(np.arange(len(first)), length)
-    holds = np.bincount(which, tagged, len(first)) > 0
-    rng = np.random.default_rng(5)
-    chosen = np.concatenate([rng.permutation(np.flatnonzero(holds))[: SENTENCES // 2], rng.permutation(np.flatnonzero(~holds))[: SENTENCES // 2]])
-    use = np.isin(which, chosen)
-    features, y = tokens.features[:, use], tagged[use]
-    first, length = chains(tokens.sentence[use])
     place = np.minimum(np.searchsorted(known, features), len(known) - 1)
     has = known[place] == features
     by_feature = lambda x: sum(np.bincount(p[h], x[h], len(known)) for p, h in zip(place, has, strict=True))
@@ -228,14 +215,16 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float) -> Model:
 def teaching_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, teach: Column) -> tuple[list[str], np.ndarray, float]:
     """(distinct texts, labels, share of label 1 among all) of the bounded sample."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & teach).select(F.col(id_col), (F.col(label) == 1).cast("int").alias("y"))
+    short = docs.where(F.coalesce(F.length(text), F.lit(0)) <= SAMPLE_CHARS)
     rows = rows.groupBy(id_col).agg(F.max("y").alias("y"))
     n, share = rows.agg(F.count("*"), F.coalesce(F.avg("y"), F.lit(0.0))).first()
     if not n:
         return [], np.empty(0, int), 0.0
     order = [F.xxhash64(id_col), F.col(id_col)]
-    sample = rows.where("y = 1").orderBy(*order).limit(SAMPLE_DOCS).unionByName(rows.where("y = 0").orderBy(*order).limit(SAMPLE_DOCS))
-    # at most two times SAMPLE_DOCS ids
-    found = docs.select(id_col, F.col(text).alias("t")).join(F.broadcast(sample), id_col).select("t", "y").toArrow()
+    some = rows.join(short.select(id_col).distinct(), id_col, "left_semi")
+    sample = some.where("y = 1").orderBy(*order).limit(SAMPLE_DOCS).unionByName(some.where("y = 0").orderBy(*order).limit(SAMPLE_DOCS))
+    # at most two times SAMPLE_DOCS ids; texts of repeated ids all teach
+    found = short.select(id_col, F.col(text).alias("t")).join(F.broadcast(sample), id_col).select("t", "y").toArrow()
     texts: dict[str, int] = {}
     for t, y in zip(found["t"].to_pylist(), found["y"].to_pylist(), strict=True):
         texts[t or ""] = max(y, texts.get(t or "", 0))
