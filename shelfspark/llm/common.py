@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,18 @@ def _drop(spark: SparkSession, name: str, path: str) -> None:
     _remove(spark, path)
 
 
+@contextmanager
+def single_rows(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside send one row at a time to Python: for rows of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def n_parts(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

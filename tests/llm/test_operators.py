@@ -349,7 +349,7 @@ def test_lm_against_plain_sampler(spark):
             counts[a, b] += 1
     spelt = hpylm.spelling(counts)
     base = {w: math.exp(sum(spelt[a, b] for a, b in zip([256, *w.encode()], [*w.encode(), 256], strict=True))) for w in every}
-    h = dict(zip(every, hpylm.hash_words([w.encode() for w in every]), strict=True))
+    h = dict(zip(every, hpylm.hash_words("\n".join(every).encode()), strict=True))
     key = lambda u, v: hpylm.mix(np.array([h[u]]) * hpylm._ODD + (h[v] ^ np.uint64(hpylm.SEED))) & ~np.uint64(255)
     one = lambda k, w, d, x, sweep: int(hpylm.seat(np.array([k]), np.array([w]), d, x, sweep)[0])
     t, top, levels = dict.fromkeys(pairs, 1), float(len(c)), []
