@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.plans import catalogue, dedup, ledger, records, streaming  # noqa: F401
+from shelfspark.plans import books, catalogue, dedup, ledger, linkage, records, streaming, texts  # noqa: F401
 from shelfspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +12,10 @@ def normalize_isbn(c: Column) -> Column:
     return F.when(F.length(kept).isin(10, 13), kept)
 
 
-def _digit(c: Column, i: int) -> Column:
-    return F.substring(c, i + 1, 1).try_cast("int")
-
-
 def _sum(c: Column, weights: list[int]) -> Column:
-    return reduce(lambda a, b: a + b, (_digit(c, i) * w for i, w in enumerate(weights)))
+    """Weighted sum of the leading digits; null if one is none. c occurs once: columns of columns stay short."""
+    digits = F.slice(F.split(c, ""), 1, len(weights))
+    return F.aggregate(F.zip_with(digits, F.array(*map(F.lit, weights)), lambda d, w: d.try_cast("int") * w), F.lit(0), lambda a, x: a + x)
 
 
 def check13(c: Column) -> Column:

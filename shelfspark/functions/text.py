@@ -10,7 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,12 @@ def normalized_text(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).replace("­", "").split()).casefold())
 
 
+def text_form(c: Column) -> Column:
+    """normalized_text; only texts that are not plain ASCII go to Python."""
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(normalized_text(F.when(wide, c)), native_text(c))
+
+
 def native_text(c: Column) -> Column:
     """The same for texts whose letters need neither composition nor special folding; built-in functions only."""
     return squeeze(F.lower(F.replace(c, F.lit("­"), F.lit(""))))
@@ -97,27 +103,27 @@ def normalize_tag_name(c: Column) -> Column:
     return fold(clean_tag_name(c))
 
 
-# Names of languages and the two-letter codes they stand for.
+# Names of languages and the codes they stand for.
 LANGUAGE_ALIASES = {
-    "deu": "de", "ger": "de", "deutsch": "de", "german": "de",
-    "eng": "en", "englisch": "en", "english": "en",
-    "fra": "fr", "fre": "fr", "franzosisch": "fr", "french": "fr",
-    "spa": "es", "spanisch": "es", "spanish": "es",
-    "ita": "it", "italienisch": "it", "italian": "it",
-    "nld": "nl", "dut": "nl", "niederlandisch": "nl", "dutch": "nl",
-    "por": "pt", "portugiesisch": "pt", "portuguese": "pt",
-    "pol": "pl", "polnisch": "pl", "polish": "pl",
-    "rus": "ru", "russisch": "ru", "russian": "ru",
-    "swe": "sv", "schwedisch": "sv", "swedish": "sv",
-    "dan": "da", "danisch": "da", "danish": "da",
-    "nor": "no", "norwegisch": "no", "norwegian": "no",
-    "fin": "fi", "finnisch": "fi", "finnish": "fi",
-    "lat": "la", "latein": "la", "latin": "la",
-    "jpn": "ja", "japanisch": "ja", "japanese": "ja",
+    "de": "de", "de-de": "de", "de de": "de", "deu": "de", "ger": "de", "deutsch": "de", "german": "de",
+    "en": "en", "eng": "en", "englisch": "en", "english": "en",
+    "es": "es", "spa": "es", "spanisch": "es", "spanish": "es", "espanol": "es",
+    "fr": "fr", "fra": "fr", "fre": "fr", "franzosisch": "fr", "french": "fr",
+    "it": "it", "ita": "it", "italienisch": "it", "italian": "it",
+    "pt": "pt", "por": "pt", "portugiesisch": "pt", "portuguese": "pt",
+    "nl": "nl", "nld": "nl", "dut": "nl", "niederlandisch": "nl", "dutch": "nl",
+    "pl": "pl", "pol": "pl", "polnisch": "pl", "polish": "pl",
+    "ru": "ru", "rus": "ru", "russisch": "ru", "russian": "ru",
+    "sv": "sv", "swe": "sv", "schwedisch": "sv", "swedish": "sv",
+    "da": "da", "dan": "da", "danisch": "da", "danish": "da",
+    "no": "no", "nor": "no", "norwegisch": "no", "norwegian": "no",
+    "fi": "fi", "fin": "fi", "finnisch": "fi", "finnish": "fi",
+    "cs": "cs", "ces": "cs", "cze": "cs", "tschechisch": "cs", "czech": "cs",
+    "la": "la", "lat": "la", "latein": "la", "latin": "la",
 }
 LANGUAGE_LABELS = {
-    "de": "Deutsch", "en": "Englisch", "fr": "Französisch", "es": "Spanisch", "it": "Italienisch", "nl": "Niederländisch", "pt": "Portugiesisch",
-    "pl": "Polnisch", "ru": "Russisch", "sv": "Schwedisch", "da": "Dänisch", "no": "Norwegisch", "fi": "Finnisch", "la": "Latein", "ja": "Japanisch",
+    "de": "Deutsch", "en": "Englisch", "es": "Spanisch", "fr": "Französisch", "it": "Italienisch", "pt": "Portugiesisch", "nl": "Niederländisch", "pl": "Polnisch",
+    "ru": "Russisch", "sv": "Schwedisch", "da": "Dänisch", "no": "Norwegisch", "fi": "Finnisch", "cs": "Tschechisch", "la": "Latein",
 }
 
 
@@ -125,35 +131,60 @@ def lookup(table: dict[str, str], c: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
 
 
+@F.pandas_udf(T.StringType())
+def unmarked(c: pd.Series) -> pd.Series:
+    """Compatibility decomposition, case folded, without combining marks; null stays."""
+
+    def form(x: str) -> str:
+        return "".join(ch for ch in unicodedata.normalize("NFKD", x).casefold() if not unicodedata.combining(ch))
+
+    return c.map(lambda x: None if x is None else form(x))
+
+
+def language_of(folded: Column) -> Column:
+    """The code that a folded name or tag stands for, by itself or by its part before a hyphen; parts of two or three letters stay; blank gives null."""
+    name = F.replace(squeeze(folded), F.lit("_"), F.lit("-"))
+    base = F.substring_index(name, "-", 1)
+    code = F.coalesce(lookup(LANGUAGE_ALIASES, name), lookup(LANGUAGE_ALIASES, base), F.when(F.length(base).between(2, 3), base), name)
+    return F.when(F.length(name) > 0, code)
+
+
 def normalize_language_plain(c: Column) -> Column:
-    """Two- or three-letter code of a language name or tag without accents; other names in lower case; blank gives null."""
-    low = F.regexp_replace(F.lower(F.trim(c)), "[_ ]", "-")
-    base = F.substring_index(low, "-", 1)
-    short = F.coalesce(lookup(LANGUAGE_ALIASES, low), lookup(LANGUAGE_ALIASES, base), F.when(base.rlike("^[a-z]{2,3}$"), base), low)
-    return F.when(F.length(F.trim(c)) > 0, short)
+    """normalize_language for names of plain letters; built-in functions only."""
+    return language_of(F.lower(c))
 
 
 def normalize_language(c: Column) -> Column:
-    return normalize_language_plain(F.when(c.isNotNull(), normalize_text(F.regexp_replace(c, "[-_]", " "))))
+    """The code of a language's name or tag in any case, with or without accents; unknown names stay, folded."""
+    return language_of(unmarked(c))
 
 
 def language_label(code: Column) -> Column:
     return F.coalesce(lookup(LANGUAGE_LABELS, code), F.when(F.length(code) <= 3, F.upper(code)), code)
 
 
-RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
+#: Names that a file of some systems must not have.
+RESERVED = "(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
+_EDGES = "^[ .]+|[ .]+$"
 
 
-def sanitize_component(c: Column, fallback: str = "item", most: int = 120) -> Column:
-    """A file name part that every file system takes."""
-    clean = F.regexp_replace(squeeze(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1F]', " ")), r"^[ .]+|[ .]+$", "")
-    safe = F.when(clean.rlike(RESERVED), F.concat(clean, F.lit("_"))).otherwise(clean)
+def sanitize_component(c: Column, fallback: str = "Unbekannt", most: int = 120, composed: Column | None = None) -> Column:
+    """A file name part that every file system takes; reserved names get a leading _; nothing left gives the fallback.
+
+    composed: the column in composed form, compose(c) if not given.
+    """
+    spaced = F.regexp_replace(F.coalesce(compose(c) if composed is None else composed, F.lit("")), r'[<>:"/\\|?*\x00-\x1F]', " ")
+    clean = F.regexp_replace(squeeze(spaced), _EDGES, "")
+    named = F.when(F.length(clean) > 0, clean).otherwise(F.lit(fallback))
+    safe = F.when(named.rlike(RESERVED), F.concat(F.lit("_"), named)).otherwise(named)
     cut = F.regexp_replace(F.substring(safe, 1, most), r"[ .]+$", "")
     return F.when(F.length(cut) > 0, cut).otherwise(F.lit(fallback))
 
 
-def fallback_title(filename: Column) -> Column:
-    return sanitize_component(F.regexp_replace(F.regexp_extract(filename, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", ""), "unknown")
+def fallback_title(filename: Column, composed: Column | None = None) -> Column:
+    """The last part of a path without its suffix, as a file name part."""
+    stem = lambda x: F.regexp_replace(F.regexp_extract(x, r"([^/]*)/*$", 1), r"(?<=[^.])\.[^.]*$", "")
+    return sanitize_component(stem(filename), "Unbekannter Titel", composed=None if composed is None else stem(composed))
 
 
 def year_from(c: Column) -> Column:
@@ -184,18 +215,49 @@ def clean_title(c: Column, composed: Column | None = None) -> Column:
     return F.struct(F.when(error.isNull(), spaced).alias("title"), F.when(error.isNull(), rules).otherwise(F.array().cast("array<string>")).alias("rules"), error.alias("error"))
 
 
-# Marks of marketing texts and shelf labels that are no subjects (lower case).
-MARKETING = ("bestseller", "neuerscheinung", "sonderangebot", "angebot", "ebook", "e-book", "kindle", "taschenbuch", "hardcover", "paperback", "gratis", "kostenlos", "free", "sale", "top 100", "award", "preis")
-SHELVES = ("general", "allgemein", "belletristik", "fiction", "nonfiction", "sachbuch", "sonstiges")
+# Parts of subjects that advertise, shelf paths, and groups of broad subjects of which one is enough (all in plain form).
+NOISE = (
+    "geschenk", "bestseller", "adventskalender", "weihnachtsgeschenk", "new york times", "spiegel bestseller", "carlsen", "bloomsbury", "vorlesebuch",
+    "vorlesen", "zum vorlesen", "zaubern", "phantastische tierwesen", "fur fans", "fur leser", "top seller", "must read",
+)
+SHELVES = ("abenteuer entdecken", "abenteuer und entdecken", "moderne klassiker", "england", "schottland", "vereinigtes konigreich", "united kingdom")
+BROAD = (("fantasy", "fantasy bucher", "fantasy roman", "zeitgenossische fantasyromane"), ("magie", "zauber"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def plain_forms(values: pd.Series) -> pd.Series:
+    """normalize_text of each element."""
+    return values.map(lambda xs: None if xs is None else [_plain(x) if x else "" for x in xs])
 
 
-def clean_subjects(values: Column, known: Column, most: int = 10) -> Column:
-    """Distinct subjects in order: split at |, trimmed, without short, known, marketing and shelf words; at most `most`."""
-    parts = F.flatten(F.transform(values, lambda v: F.split(v, r"\|")))
-    trimmed = F.transform(parts, lambda v: F.substring(F.regexp_replace(squeeze(v), r"^[ \-|,;:]+|[ \-|,;:]+$", ""), 1, 160))
-    marks = "|".join(re.escape(m) for m in MARKETING)
-    good = F.filter(trimmed, lambda v: (F.length(v) >= 3) & ~F.lower(v).rlike(marks) & ~F.lower(v).isin(*SHELVES) & ~F.exists(known, lambda k: F.lower(k) == F.lower(v)))
-    return F.slice(first_spelling(good, F.lower), 1, most)
+def subject_parts(values: Column) -> Column:
+    """The parts between bars of all values, single blanks, without marks at the ends."""
+    parts = F.flatten(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.split(v, r"\|")))
+    return F.transform(parts, lambda v: F.regexp_replace(squeeze(v), r"^[ \-|,;:]+|[ \-|,;:]+$", ""))
+
+
+def kept_subjects(parts: Column, keys: Column, known: Column, most: int = 20) -> Column:
+    """Of parts with their plain forms in keys those that tell something, in order: three letters or more, not known, not noise or a shelf, each once, one of a broad group."""
+    noise = "|".join(map(re.escape, NOISE))
+
+    def take(acc: Column, x: Column) -> Column:
+        key, seen = x["keys"], acc["seen"]
+        broad = [key.isin(*g) & F.arrays_overlap(seen, F.array(*map(F.lit, g))) for g in BROAD]
+        bad = (F.length(x["parts"]) < 3) | F.array_contains(known, key) | F.array_contains(seen, key) | key.rlike(noise) | key.isin(*SHELVES) | broad[0] | broad[1]
+        good = ~bad & (F.size(acc["out"]) < most)
+        return F.struct(F.when(good, F.array_append(seen, key)).otherwise(seen).alias("seen"), F.when(good, F.array_append(acc["out"], F.substring(x["parts"], 1, 160))).otherwise(acc["out"]).alias("out"))
+
+    none = F.array().cast("array<string>")
+    both = F.arrays_zip(parts.alias("parts"), keys.alias("keys"))
+    return F.coalesce(F.aggregate(both, F.struct(none.alias("seen"), none.alias("out")), take, lambda acc: acc["out"]), none)
+
+
+def clean_subjects(df: DataFrame, values: str, known: str | None = None, out: str = "subjects", most: int = 20) -> DataFrame:
+    """df with the subjects of the array values that kept_subjects keeps; known: an array of names that are no subjects."""
+    names = F.array().cast("array<string>") if known is None else F.filter(F.coalesce(known, F.array().cast("array<string>")), lambda k: F.trim(k) != "")
+    staged = df.withColumns({"__parts": subject_parts(F.col(values)), "__names": names})
+    staged = staged.withColumns({"__keys": plain_forms("__parts"), "__known": plain_forms("__names")})
+    return staged.withColumn(out, kept_subjects(F.col("__parts"), F.col("__keys"), F.col("__known"), most)).drop("__parts", "__names", "__keys", "__known")
 
 
 def first_spelling(values: Column, form) -> Column:
@@ -222,8 +284,26 @@ def is_latin(c: Column) -> Column:
     return F.coalesce((letters > 0) & (latin >= 0.8 * letters), F.lit(False))
 
 
-def person_key(c: Column) -> Column:
-    """struct(family, initials): last name token and first letters of the others, from either order."""
-    ordered = F.split(strip_punctuation(turn_name(F.lower(c))), " ")
-    family = F.element_at(ordered, -1)
-    return F.struct(family.alias("family"), F.array_join(F.transform(F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1)), "").alias("initials"))
+def person_key(c: Column, plain: Column | None = None) -> Column:
+    """struct(family, initials) of 'Family, Given' or 'Given Family': last token of the family name, first letters of the given ones; null without both.
+
+    plain: normalize_text of family_first(c), made of it if not given.
+    """
+    halves = F.split(plain if plain is not None else family_first(c), r"\|")
+    tokens = lambda x: F.filter(F.split(F.coalesce(x, F.lit("")), " "), lambda w: w != "")
+    family, given = tokens(F.get(halves, F.lit(0))), tokens(F.get(halves, F.lit(1)))
+    initials = F.array_join(F.transform(given, lambda w: F.substring(w, 1, 1)), "")
+    return F.when((F.size(family) > 0) & (F.size(given) > 0), F.struct(F.element_at(family, -1).alias("family"), initials.alias("initials")))
+
+
+@F.pandas_udf(T.StringType())
+def family_first(c: pd.Series) -> pd.Series:
+    """'family|given' in plain form; without a comma the last word is the family name."""
+
+    def form(x: str) -> str:
+        family, comma, given = x.partition(",")
+        if not comma:
+            given, _, family = " ".join(x.split()).rpartition(" ")
+        return f"{_plain(family)}|{_plain(given)}"
+
+    return c.map(lambda x: None if x is None else form(x))

@@ -10,20 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import fingerprint as fp
+from shelfspark.shared import numbered, small_side, stored
 
 KINDS = ("content", "edition", "short_content", "partial_content", "metadata")
 #: A shingle of so many texts is hot: its texts are compared in tiles, not joined with themselves.
 HOT = 64
+#: Rows of a key that one task joins with all of the key's.
+PART_ROWS = 256
 #: Texts and shingles of a tile.
 TILE_TEXTS, TILE_ITEMS = 512, 1 << 20
 
 
 def ordered_pairs(keyed: DataFrame, key: str) -> DataFrame:
-    """Distinct (left, right), left < right, of the ids that share a key; keys that occur once go before the join."""
-    often = keyed.groupBy(key).agg(F.count("*").alias("__c")).where("__c > 1").select(key)
-    rows = keyed.join(often, key, "left_semi")
-    a, b = rows.select(key, F.col("id").alias("left")), rows.select(key, F.col("id").alias("right"))
-    return a.join(b, key).where(F.col("left") < F.col("right")).select("left", "right").distinct()
+    """Distinct (left, right), left < right, of the ids that share a key.
+
+    Keys that occur once go before the join. The rows of a key are dealt to parts of about
+    PART_ROWS; each part meets all rows of its key, so a hot key is many tasks' work.
+    """
+    often = keyed.groupBy(key).agg(F.count("*").alias("__c")).where("__c > 1").select(key, F.ceil(F.col("__c") / PART_ROWS).cast("int").alias("__k"))
+    rows = keyed.join(often, key)
+    a = rows.select(key, F.pmod(F.xxhash64("id"), F.col("__k")).cast("int").alias("__part"), F.col("id").alias("left"))
+    b = rows.select(key, F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__part"), F.col("id").alias("right"))
+    return a.join(b, [key, "__part"]).where(F.col("left") < F.col("right")).select("left", "right").distinct()
 
 
 def pairs_by_lsh(signatures: DataFrame) -> DataFrame:
@@ -31,7 +39,10 @@ def pairs_by_lsh(signatures: DataFrame) -> DataFrame:
 
 
 def pairs_by_text_hash(prints: DataFrame) -> DataFrame:
-    return ordered_pairs(prints.where(F.col("text_hash").isNotNull()).select("id", "text_hash"), "text_hash")
+    """(left, right) for every text that is not the first of its hash: the first and the copy."""
+    rows = prints.where(F.col("text_hash").isNotNull()).select("id", "text_hash")
+    first = rows.groupBy("text_hash").agg(F.min("id").alias("left"), F.count("*").alias("c")).where("c > 1")
+    return rows.join(first, "text_hash").where("id <> left").select("left", F.col("id").alias("right"))
 
 
 def pairs_by_value(rows: DataFrame, col: str) -> DataFrame:
@@ -40,17 +51,24 @@ def pairs_by_value(rows: DataFrame, col: str) -> DataFrame:
 
 
 def longest_tokens(title: Column, n: int = 3, least: int = 4) -> Column:
-    """The n longest distinct tokens of at least `least` letters, ties by spelling; none if there are fewer than n."""
-    tokens = F.filter(F.array_distinct(F.split(title, " ")), lambda t: F.length(t) >= least)
-    ranked = F.transform(F.slice(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, n), lambda s: s["t"])
-    return F.when(F.size(tokens) >= n, ranked).otherwise(F.array().cast("array<string>"))
+    """The n longest distinct tokens of at least `least` letters, ties by spelling; none if the title has fewer than n such words."""
+    words = F.filter(F.split(title, " "), lambda t: F.length(t) >= least)
+    ranked = F.transform(F.slice(F.array_sort(F.transform(F.array_distinct(words), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, n), lambda s: s["t"])
+    return F.when(F.size(words) >= n, ranked).otherwise(F.array().cast("array<string>"))
 
 
 def pairs_by_rare_tokens(rows: DataFrame, title: str = "title_key") -> DataFrame:
-    """Pairs of which one title holds all the longest tokens of the other."""
-    probes = rows.select(F.col("id").alias("a"), longest_tokens(F.col(title)).alias("ts")).select("a", F.size("ts").alias("n"), F.explode("ts").alias("t"))
-    postings = rows.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.split(title, " "))).alias("t"))
-    hits = probes.join(postings, "t").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c = n")
+    """Pairs of which one title holds any of the longest tokens of the other.
+
+    A token's probes are dealt to parts by its number of titles, so that a hot token is many tasks' work.
+    """
+    probes = rows.select(F.col("id").alias("a"), F.explode(longest_tokens(F.col(title))).alias("t"))
+    postings = rows.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.split(title, " "))).alias("t")).where("t <> ''")
+    asked = probes.groupBy("t").agg(F.count("*").alias("__p"))
+    parts = postings.groupBy("t").agg(F.count("*").alias("__c")).where("__c > 1").join(asked, "t").select("t", F.ceil(F.greatest("__c", "__p") / PART_ROWS).cast("int").alias("__k"))
+    a = probes.join(parts, "t").withColumn("__part", F.pmod(F.xxhash64("a"), F.col("__k")).cast("int")).drop("__k")
+    b = postings.join(parts, "t").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).drop("__k")
+    hits = a.join(b, ["t", "__part"]).where("a <> b")
     return hits.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct()
 
 
@@ -86,8 +104,7 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     Such sets share ceil(least * n) of the n shingles of either. In one order of all shingles, rarest
     first, they therefore share one of their first n - ceil(least * n) + 1.
     """
-    half = lambda k: F.conv(F.substring("x", k, 8), 16, 10).cast("long")
-    rows = sets.select("id", "n", F.explode("shingles").alias("x")).select("id", "n", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("s"))
+    rows = sets.select("id", "n", F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     ranked = rows.join(often, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
     # Those of one text alone come first and meet nothing.
@@ -97,7 +114,7 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
 
 def tile_pairs(tiles: pd.DataFrame, least: float) -> pd.DataFrame:
     """(left, right, jaccard) of the sets (id, tile, set) of one tile, or between two, with a Jaccard index of at least `least`."""
-    sets = [np.frombuffer(x, ">u8") for x in tiles["set"]]
+    sets = [np.asarray(x, np.int64) for x in tiles["set"]]
     ids, size = tiles["id"].to_numpy(), np.array([len(x) for x in sets])
     who = np.repeat(np.arange(len(sets)), size)
     _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -132,7 +149,7 @@ def pairs_in_tiles(hot: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     placed = homes.join(wide, "home").select("id", F.concat_ws(":", F.col("home").cast("string"), F.pmod(F.xxhash64("id"), F.col("k")).cast("string")).alias("tile"))
     held = hot.join(placed, "id").select("s", "tile").distinct()
     other = held.join(held.select("s", F.col("tile").alias("other")), "s").select("tile", "other").distinct()
-    body = sets.select("id", F.unhex(F.array_join("shingles", "")).alias("set"))
+    body = sets.select("id", F.col("shingles").alias("set"))
     unit = F.concat_ws("|", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit")
     units = placed.join(other, "tile").select("id", "tile", unit).join(body, "id")
 
@@ -143,9 +160,9 @@ def pairs_in_tiles(hot: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_pairs(own: DataFrame, least: float) -> DataFrame:
-    """(left, right, jaccard) of all pairs of own (id, shingles, word_count, text_hash) with a Jaccard index of at least `least`."""
+    """(left, right, jaccard) of all pairs of a stored table own (id, shingles, word_count, text_hash) with a Jaccard index of at least `least`."""
     sets = own.select("id", F.size("shingles").alias("n"), "shingles")
-    first = prefixes(sets, least)
+    first = stored(prefixes(sets, least), "prefixes")
     cold = first.where(F.col("c") < HOT)
     a, b = cold.select("s", F.col("id").alias("left"), F.col("n").alias("ln")), cold.select("s", F.col("id").alias("right"), F.col("n").alias("rn"))
     fits = (F.col("left") < F.col("right")) & (F.least("ln", "rn") >= F.greatest("ln", "rn") * least)
@@ -170,6 +187,8 @@ def text_relation(compared: DataFrame, min_words: int = 100, near_words: int = 1
 def evidence(pairs: DataFrame, short: int = 1000) -> DataFrame:
     """(left, right, kind, reasons, conflicts) of pairs with l_ and r_ columns title, authors, isbn, language, year, publisher, series, words and relation.
 
+    l_ is the side that is asked for, in scans the later id: only its title must have three tokens to be similar.
+
     A pair without evidence, or vetoed (no text or ISBN evidence and different languages, or years
     more than one apart with different publishers), has no row.
     """
@@ -212,9 +231,14 @@ def rank_matches(matches: DataFrame) -> DataFrame:
 
 
 def apply_aliases(rows: DataFrame, aliases: DataFrame, field: str, col: str) -> DataFrame:
-    """rows with col mapped by aliases (field, variant, canonical); unmapped values stay."""
-    table = F.broadcast(aliases.where(F.col("field") == field).select(F.col("variant").alias(col), F.col("canonical").alias("__c")))
-    return rows.join(table, col, "left").withColumn(col, F.coalesce("__c", col)).drop("__c")
+    """rows with col mapped by aliases (field, variant, canonical); unmapped values stay. An array's values are mapped, sorted and kept once each."""
+    table = small_side(stored(aliases.where(F.col("field") == field).select(F.col("variant").alias("__v"), F.col("canonical").alias("__c")), "aliases"))
+    if dict(rows.dtypes)[col] == "string":
+        return rows.join(table, F.col(col) == F.col("__v"), "left").withColumn(col, F.coalesce("__c", col)).drop("__v", "__c")
+    mapped = rows.select(F.explode(col).alias("__n")).distinct().join(table, F.col("__n") == F.col("__v")).select("__n", "__c")
+    known = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    named = known.select("__row", F.explode(col).alias("__n")).join(mapped, "__n", "left").groupBy("__row").agg(F.array_sort(F.collect_set(F.coalesce("__c", "__n"))).alias("__names"))
+    return known.join(named, "__row", "left").withColumn(col, F.coalesce("__names", col)).drop("__row", "__names")
 
 
 def reconcile(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -231,12 +255,45 @@ def reconcile(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """rows with duplicate_of: the id of the first row of the same key (null for it itself)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first("id").over(w)
-    return rows.withColumn("duplicate_of", F.when(first != F.col("id"), first))
+    """rows with duplicate_of: the id of the first row of the same key (null for it itself and without a key). A least by group, joined: no window over a hot key."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, F.col("id").alias("__id"))).alias("__f"))
+    both = rows.join(first, key, "left")
+    return both.withColumn("duplicate_of", F.when(F.col("__f.__id") != F.col("id"), F.col("__f.__id"))).select(*rows.columns, "duplicate_of")
+
+
+def earlier_duplicate(rows: DataFrame, key: str, order: list[str], live: Column) -> DataFrame:
+    """rows with earlier: the id of the first other live row of the same key that comes before it in the order; null if there is none."""
+    first = rows.where(F.col(key).isNotNull() & live).groupBy(key).agg(F.min(F.struct(*order, F.col("id").alias("__id"))).alias("__f"))
+    own = F.struct(*order, F.col("id").alias("__id"))
+    both = rows.join(first, key, "left")
+    return both.withColumn("earlier", F.when(F.col("__f") < own, F.col("__f.__id"))).select(*rows.columns, "earlier")
 
 
 def decision_state(events: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last event of each pair with the number of events; a null decision is a reset."""
-    return events.groupBy(*keys).agg(F.max_by("decision", F.struct(*order)).alias("decision"), F.count("*").alias("events"))
+    last = F.max(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("decision").alias("d"))).alias("__l")
+    return events.groupBy(*keys).agg(last, F.count("*").alias("events")).select(*keys, F.col("__l.d").alias("decision"), "events")
+
+
+def similar_earlier(previews: DataFrame, reach: int = 200, now: str | None = None) -> DataFrame:
+    """(id, earlier) for previews (id, created_at, expires_at, status, title_key, text_hash): earlier live ones of the same title and another text.
+
+    Live: not expired at `now` (if given) and ready, skipped or archiving. Only the `reach` latest live
+    ones before a preview are looked at, so a title's rows are joined by blocks of so many and a
+    hot title gives no more than twice that many pairs a row. Archived and discarded previews ask for nothing.
+    """
+    live = F.col("status").isin("ready", "skipped", "archiving")
+    if now is not None:
+        live = live & (F.col("expires_at") > F.to_timestamp(F.lit(now)))
+    ranked = numbered(previews.withColumn("__live", F.coalesce(live, F.lit(False)).cast("int")), ["created_at", "id"])
+    # live ones up to each row: whole blocks of numbers before it, and its own block
+    block = F.floor(F.col("rn") / F.lit(4096))
+    sums = ranked.groupBy(block.alias("__b")).agg(F.sum("__live").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("__live").over(Window.partitionBy("__b").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranked.withColumn("__b", block).withColumn("__in", inside).join(sums.select("__b", before.alias("__ahead")), "__b")
+    placed = stored(placed.withColumn("at", F.col("__in") + F.col("__ahead")).where("title_key <> ''").select("id", "title_key", "text_hash", "status", "__live", "at"), "placed")
+    asks = placed.where(~F.col("status").isin("archived", "discarded")).withColumn("blk", F.explode(F.array(F.floor(F.col("at") / reach), F.floor(F.col("at") / reach) - 1)))
+    gives = placed.where("__live = 1").select("title_key", F.floor(F.col("at") / reach).alias("blk"), F.col("id").alias("earlier"), F.col("text_hash").alias("__h"), F.col("at").alias("__at"))
+    near = (F.col("__at") < F.col("at")) & (F.col("at") - F.col("__at") <= reach) & ~F.col("text_hash").eqNullSafe(F.col("__h"))
+    return asks.join(gives, ["title_key", "blk"]).where(near).select("id", "earlier")

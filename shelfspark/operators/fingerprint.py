@@ -1,82 +1,128 @@
 """Text fingerprints: words, five-word shingles, MinHash signatures, LSH buckets.
 
-Shingle hashes are the first 16 hexadecimal digits of SHA-256 of the window (64 bits that any
-SQL engine can compute); signatures are unsigned 64-bit numbers as hexadecimal text, so that
-order and equality hold without an unsigned type.
+Shingle hashes are the first 8 bytes of SHA-256 of the window (64 bits that any SQL engine can
+compute), kept as signed 64-bit numbers; signature slots are unsigned ones, kept likewise, and
+shown by `hexed`.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.text import native_text
+from shelfspark.functions.text import text_form
+from shelfspark.shared import spread
 
 VERSION = 3
 SLOTS, BANDS, ROWS = 32, 8, 4
 GOLDEN = 0x9E3779B97F4A7C15
 MAX_WORDS = 150_000
-WORD = r"[\p{L}\p{N}_]+"
+WORD = re.compile(r"\w+")
+LONGS = T.ArrayType(T.LongType())
+
+
+def hexed(c: Column) -> Column:
+    """A 64-bit number as 16 hexadecimal digits of its unsigned value."""
+    return F.lower(F.lpad(F.hex(c), 16, "0"))
+
 
+def shingle_set(text: str, n: int = 5, most: int | None = None) -> np.ndarray:
+    """Distinct hashes (big-endian, unsigned) of the n-word windows; none for fewer than n or, if it is given, more than `most` words."""
+    tokens = WORD.findall(text)
+    if len(tokens) < n or (most is not None and len(tokens) > most):
+        return np.empty(0, np.uint64)
+    sha = hashlib.sha256
+    data = b"".join([sha(" ".join(tokens[i : i + n]).encode()).digest()[:8] for i in range(len(tokens) - n + 1)])
+    return np.unique(np.frombuffer(data, ">u8").astype(np.uint64))
 
-def words(normal: Column) -> Column:
-    return F.regexp_extract_all(normal, F.lit(WORD), F.lit(0))
 
+def shingles(text: Column, n: int = 5, most: int | None = None) -> Column:
+    """Sets of window hashes of normal texts, as arrays; a null text has an empty one."""
 
-def shingles(tokens: Column, n: int = 5, most: int | None = None) -> Column:
-    """Distinct hashes of the n-word windows; none for fewer than n or, if it is given, more than `most` words."""
-    # Zips of the array with itself moved on: tokens stays outside lambdas, where an inlined expression would run for each element.
-    windows = tokens
-    for k in range(2, n + 1):
-        windows = F.zip_with(windows, F.slice(tokens, k, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b))
-    windows = F.transform(F.filter(windows, lambda w: w.isNotNull()), lambda w: F.substring(F.sha2(w, 256), 1, 16))
-    fits = F.size(tokens) >= n if most is None else F.size(tokens).between(n, most)
-    return F.when(fits, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    @F.pandas_udf(LONGS)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: shingle_set(x or "", n, most).view(np.int64))
 
+    return run(text)
 
-def signature_of(values: np.ndarray, slots: int = SLOTS) -> list[str]:
-    """Slot s: the least of v * (2s + 1) + s * GOLDEN modulo 2**64."""
+
+def signature_of(values: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """Slot s: the least of v * (2s + 1) + s * GOLDEN modulo 2**64; no values, no slots."""
     if not len(values):
-        return []
+        return np.empty(0, np.uint64)
     s = np.arange(slots, dtype=np.uint64)
     least = np.full(slots, np.uint64(2**64 - 1))
     for i in range(0, len(values), 4096):
         part = np.multiply.outer(values[i : i + 4096], 2 * s + np.uint64(1)) + s * np.uint64(GOLDEN)
         least = np.minimum(least, part.min(axis=0))
-    return [f"{x:016x}" for x in least.tolist()]
+    return least
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(LONGS)
 def minhash(sets: pd.Series) -> pd.Series:
-    return sets.map(lambda x: signature_of(np.array([int(h, 16) for h in x], np.uint64)) if x is not None else [])
+    return sets.map(lambda x: signature_of(np.asarray([] if x is None else x, np.int64).view(np.uint64)).view(np.int64))
+
+
+@F.pandas_udf(LONGS)
+def minhash_aggregate(values: pd.Series) -> np.ndarray:
+    """MinHash signature of a group's distinct hashes (one row each): an aggregate, for SQL too."""
+    return signature_of(values.dropna().to_numpy(np.int64).view(np.uint64)).view(np.int64)
 
 
 def lsh_buckets(signature: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """One bucket (band and hash) for each band of a full signature."""
-    made = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(":", b.cast("string"), F.sha2(F.array_join(F.slice(signature, b * rows + 1, rows), ","), 256)))
+    """One bucket (band and hash of its slots) for each band of a full signature."""
+    slots = F.transform(signature, hexed)
+    made = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(":", b.cast("string"), F.sha2(F.array_join(F.slice(slots, b * rows + 1, rows), ","), 256)))
     return F.when(F.size(signature) == bands * rows, made).otherwise(F.array().cast("array<string>"))
 
 
-def fingerprint(docs: DataFrame, min_words: int = 1000, max_words: int | None = MAX_WORDS) -> DataFrame:
-    """(id, status, word_count, text_hash, shingles, version) of docs (id, text).
+def fingerprint(docs: DataFrame, min_words: int = 1000, max_words: int | None = MAX_WORDS, error: str | None = None) -> DataFrame:
+    """(id, status, reason, word_count, text_hash, shingles, version) of docs (id, text).
 
-    status: unavailable without text, partial beyond max_words (no hash then; None: no limit), else complete;
-    shingles only from min_words on.
+    status: failed where the column error names what went wrong with the text, unavailable without
+    text, partial beyond max_words (no hash then; None: no limit), else complete; shingles only
+    from min_words on.
     """
-    normal = docs.select("id", native_text(F.col("text")).alias("normal"))
-    counted = normal.withColumn("word_count", F.when(F.coalesce(F.length("normal"), F.lit(0)) > 0, F.size(F.split("normal", " "))).otherwise(0))
+    base = spread(docs.select("id", text_form(F.col("text")).alias("normal"), (F.lit(None).cast("string") if error is None else F.col(error)).alias("error")))
+    counted = base.withColumn("word_count", F.when(F.coalesce(F.length("normal"), F.lit(0)) > 0, F.size(F.split("normal", " "))).otherwise(0))
     over = F.lit(False) if max_words is None else F.col("word_count") > max_words
-    status = F.when(F.col("word_count") == 0, "unavailable").when(over, "partial").otherwise("complete")
-    done = counted.withColumn("status", status).withColumn("tokens", F.when((F.col("status") == "complete") & (F.col("word_count") >= min_words), words(F.col("normal"))))
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("word_count") == 0, "unavailable").when(over, "partial").otherwise("complete")
+    done = counted.withColumn("status", status).withColumn("long", F.when((F.col("status") == "complete") & (F.col("word_count") >= min_words), F.col("normal")))
+    reason = F.coalesce("error", F.when(F.col("status") == "unavailable", "no text").when(F.col("status") == "partial", "too long to compare"))
     return done.select(
-        "id", "status", "word_count", F.when(F.col("status") == "complete", F.sha2("normal", 256)).alias("text_hash"),
-        F.coalesce(shingles(F.col("tokens"), most=max_words), F.array().cast("array<string>")).alias("shingles"), F.lit(VERSION).alias("version"),
+        "id", "status", reason.alias("reason"), "word_count", F.when(F.col("status") == "complete", F.sha2("normal", 256)).alias("text_hash"),
+        shingles(F.col("long"), most=max_words).alias("shingles"), F.lit(VERSION).alias("version"),
     )
 
 
+def lsh_index(signed: DataFrame) -> DataFrame:
+    """(id, band, bucket): a row for each band of signed (id, signature)."""
+    return signed.select("id", F.posexplode(lsh_buckets(F.col("signature"))).alias("band", "bucket"))
+
+
+def coverage(prints: DataFrame) -> DataFrame:
+    """(status, documents) for each of the four states, 0 for those that do not occur."""
+    states = prints.sparkSession.createDataFrame([(s,) for s in ("complete", "partial", "unavailable", "failed")], "status string")
+    counts = prints.groupBy("status").agg(F.count("*").alias("documents"))
+    return states.join(counts, "status", "left").select("status", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def stale(source: DataFrame, derived: DataFrame, version: int = VERSION, key: str = "id") -> DataFrame:
+    """Rows of source without a derived row of the current version."""
+    return source.join(current(derived, version).select(key), key, "left_anti")
+
+
+def current(derived: DataFrame, version: int = VERSION) -> DataFrame:
+    """Derived rows of the current version; others count as missing."""
+    return derived.where(F.col("version") == version)
+
+
 def representatives(prints: DataFrame) -> DataFrame:
     """One row of each text hash, the smallest id: equal texts share all buckets and need no comparison."""
     return prints.join(prints.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min("id").alias("id")), ["id", "text_hash"], "left_semi")

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.functions.text import _plain, normalize_language, normalize_text, plain_forms
+from shelfspark.operators.duplicates import PART_ROWS, ordered_pairs, union_pairs
+from shelfspark.shared import small_side, stored
+
 EDITION_WEIGHTS = {"title": 40, "authors": 35, "language": 10, "year": 10, "publisher": 5}
 WORK_WEIGHTS = {"title": 50, "authors": 40, "language": 10}
 
@@ -56,20 +60,86 @@ def merge_candidates(cands: DataFrame, key: str, score: str, arrival: str, scala
     return made.select(key, score, *[F.col(f"__best.{s}").alias(s) for s in scalars], *[F.array_distinct(F.flatten(F.transform(f"__{n}", lambda s: s["v"]))).alias(n) for n in lists])
 
 
-def accept(cands: DataFrame, book: str = "book_id") -> DataFrame:
-    """cands with accepted: the one qualified edition of a book, if it has two sources or is the only candidate."""
-    w = Window.partitionBy(book)
-    editions = F.count_if(F.col("match_type") == "edition").over(w)
-    return cands.withColumn("accepted", (F.col("match_type") == "edition") & (editions == 1) & ((F.size("sources") >= 2) | (F.count("*").over(w) == 1)))
+def _similar(a: str | None, b: str | None) -> float:
+    x, y = _plain(a or ""), _plain(b or "")
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    u, v = set(x.split()), set(y.split())
+    return max(SequenceMatcher(None, x, y).ratio(), len(u & v) / max(len(u), len(v), 1))
+
 
+@F.pandas_udf(T.DoubleType())
+def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two names or titles in plain form: 1 if equal, 0 if one is empty, else the larger of matching blocks and shared words."""
+    return pd.Series([_similar(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-def reference_gap(cands: DataFrame, book: str = "book_id", score: str = "work_score", work: str = "work") -> DataFrame:
-    """The best candidate of each book if it scores 90 or more and 5 points more than the next different work."""
-    w = Window.partitionBy(book)
-    first = F.row_number().over(w.orderBy(F.desc(score), F.col("isbn13")))
-    ranked = cands.withColumn("__n", first).withColumn("__top", F.first(work).over(w.orderBy(F.desc(score), F.col("isbn13")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    other = F.max(F.when(F.col(work) != F.col("__top"), F.col(score))).over(w)
-    return ranked.withColumn("__other", other).where((F.col("__n") == 1) & (F.col(score) >= 90) & (F.col(score) - F.coalesce("__other", F.lit(0.0)) >= 5)).drop("__n", "__top", "__other")
+
+@F.pandas_udf(T.DoubleType())
+def best_similarity(a: pd.Series, names: pd.Series) -> pd.Series:
+    """The largest similarity of a name to any of an array of names; 0 without any."""
+    return pd.Series([max((_similar(x, y) for y in (ys if ys is not None else ())), default=0.0) for x, ys in zip(a, names, strict=True)], dtype=float)
+
+
+def scored(cands: DataFrame) -> DataFrame:
+    """cands with score, work_score and match_type.
+
+    What is asked for: q_title, q_author, q_language, q_year, q_publisher; the candidate: title,
+    authors, language, year, publisher. A part that one side lacks does not count, but the author counts if asked for.
+    """
+    code = lambda c: normalize_language(F.col(c))
+    sides = cands.withColumns({"__t": name_similarity("q_title", "title"), "__a": best_similarity("q_author", "authors"), "__p": name_similarity("q_publisher", "publisher"), "__ql": code("q_language"), "__l": code("language")})
+    has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    parts = {
+        "title": F.col("__t"), "authors": F.when(has("q_author"), F.col("__a")),
+        "language": F.when(F.col("__ql").isNotNull() & F.col("__l").isNotNull(), (F.col("__ql") == F.col("__l")).cast("double")),
+        "year": year_part(F.col("q_year"), F.col("year")), "publisher": F.when(has("q_publisher") & has("publisher"), F.col("__p")),
+    }
+    made = sides.withColumns({"score": weighted_score(parts, EDITION_WEIGHTS), "work_score": weighted_score(parts, WORK_WEIGHTS)})
+    publisher = F.when(has("q_publisher") & has("publisher"), F.col("__p"))
+    return made.withColumn("match_type", match_type(F.col("score"), F.col("q_year"), F.col("year"), publisher)).drop("__t", "__a", "__p", "__ql", "__l")
+
+
+ASKED = ("q_title", "q_author", "q_language", "q_year", "q_publisher")
+SCALARS = ("title", "publisher", "year", "language")
+LISTS = ("authors", "subjects", "series", "sources", "source_ids")
+
+
+def search_candidates(cands: DataFrame, book: str = "book_id") -> DataFrame:
+    """One row of each book and ISBN of scored providers' rows (arrival tells their order), merged and scored again, with accepted."""
+    once = scored(cands)
+    rows = once.withColumn("__k", F.struct(book, "isbn13"))
+    merged = merge_candidates(rows, "__k", "score", "arrival", [*ASKED, *SCALARS], list(LISTS))
+    flat = merged.select(F.col(f"__k.{book}").alias(book), F.col("__k.isbn13").alias("isbn13"), *ASKED, *SCALARS, *LISTS)
+    return accepted(scored(flat), book)
+
+
+def accepted(cands: DataFrame, book: str = "book_id") -> DataFrame:
+    """cands (scored, with sources) with accepted: edition, reference or null.
+
+    edition: the one edition of a book, if it has two sources or is the book's only candidate.
+    Without one, reference: the best work by score of 90 or more and 5 above the next other work;
+    rows of equal work score, title and set of authors are one work.
+    """
+    plain = cands.withColumns({"__names": plain_forms("authors"), "__title": normalize_text("title")})
+    rows = plain.withColumn("__work", F.struct("work_score", "__title", F.array_sort(F.array_distinct("__names")).alias("n"))).drop("__names", "__title")
+    edition = (F.col("match_type") == "edition") & (F.col("score") >= 95)
+    per = rows.groupBy(book).agg(
+        F.count_if(edition).alias("__e"), F.count("*").alias("__all"), F.max(F.when(edition, F.size("sources"))).alias("__s"),
+        F.min_by(F.struct("isbn13", "work_score", "__work"), F.when(F.col("match_type") == "reference", F.struct(-F.col("work_score"), -F.col("score"), F.col("isbn13")))).alias("__top"),
+    )
+    both = rows.join(per, book)
+    next_ = both.where((F.col("match_type") == "reference") & (F.col("__work") != F.col("__top.__work"))).groupBy(book).agg(F.max("work_score").alias("__next"))
+    both = both.join(next_, book, "left")
+    auto = (F.col("__e") == 1) & ((F.col("__s") >= 2) | (F.col("__all") == 1))
+    far = F.coalesce((F.col("__top.work_score") >= 90) & (F.col("__next").isNull() | (F.col("__top.work_score") - F.col("__next") >= 5)), F.lit(False))
+    told = F.when(auto & edition, "edition").when(~auto & far & (F.col("match_type") == "reference") & (F.col("isbn13") == F.col("__top.isbn13")), "reference")
+    return both.withColumn("accepted", told).drop("__work", "__e", "__all", "__s", "__top", "__next")
+
+
+def order_candidates(cands: DataFrame) -> DataFrame:
+    return cands.orderBy(F.desc("score"), "isbn13")
 
 
 def plausible_match(title: Column, wanted_title: Column, author: Column | None = None, wanted_author: Column | None = None) -> Column:
@@ -92,10 +162,50 @@ def merge_field(target: Column, source: Column, title: bool = False) -> Column:
     return F.when(F.coalesce(keep, F.lit(False)), target).otherwise(source)
 
 
+def merge_fields(target: Column, source: Column, fields: dict[str, str]) -> Column:
+    """A struct of fields (value, source) after merging another source's: see merge_field; ISBNs are never taken over. fields: names and types of the values."""
+    made = [target[f].alias(f) if f == "isbn" else merge_field(target[f], source[f], f == "title").alias(f) for f in fields]
+    return F.struct(*made)
+
+
 def related_editions(cands: DataFrame) -> DataFrame:
-    """(a, b): ISBNs of the same book by equal title and author set, or by a shared source id; two equi-joins, no theta join."""
-    side = lambda keys, n: keys.select("k", F.col("isbn13").alias(n))
-    by_work = cands.where(F.col("title_key") != "").select("isbn13", F.concat_ws("|", "title_key", F.array_join(F.array_sort("authors"), ";")).alias("k"))
-    by_id = cands.select("isbn13", F.explode("source_ids").alias("k"))
-    found = [side(x, "a").join(side(x, "b"), "k").where("a < b").select("a", "b") for x in (by_work, by_id)]
-    return found[0].unionByName(found[1]).distinct()
+    """(a, b), a < b: ISBNs of one book by equal title and author set, or by a shared source id; two equi-joins, no theta join."""
+    by_work = cands.where(F.col("title_key") != "").select(F.col("isbn13").alias("id"), F.concat_ws("|", "title_key", F.array_join(F.array_sort("authors"), ";")).alias("k"))
+    by_id = cands.select(F.col("isbn13").alias("id"), F.explode("source_ids").alias("k"))
+    return union_pairs(*[ordered_pairs(x.distinct(), "k") for x in (by_work, by_id)]).select(F.col("left").alias("a"), F.col("right").alias("b"))
+
+
+def reference_record(cands: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(isbn13, reference_isbns, subjects, series): what a candidate's related editions (a, b) bring together, its own first, each once in order."""
+    both = pairs.select(F.col("a").alias("isbn13"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("isbn13"), F.col("a").alias("other")))
+    every = both.unionByName(cands.select("isbn13", F.col("isbn13").alias("other")))
+    told = cands.select(F.col("isbn13").alias("other"), "subjects", "series")
+    rows = every.join(told, "other").withColumn("own", F.col("other") != F.col("isbn13"))
+    lists = rows.groupBy("isbn13").agg(F.array_sort(F.collect_list(F.struct("own", "other", "subjects", "series"))).alias("r"))
+    flat = lambda f: F.array_distinct(F.flatten(F.transform("r", lambda x: x[f])))
+    return lists.select("isbn13", F.transform("r", lambda x: x["other"]).alias("reference_isbns"), flat("subjects").alias("subjects"), flat("series").alias("series"))
+
+
+def link_catalogue(books: DataFrame, catalogue: DataFrame, priority: DataFrame, hits: int = 5) -> DataFrame:
+    """(id, source, entry, by): the entry of each book (id, isbn, title, author) in the first source, by priority (source, place), that has one.
+
+    catalogue: (source, entry, isbn, title, author, rank). A book with an ISBN takes a source's
+    first entry of it; without one, the first plausible one of at most `hits` entries, by rank, that
+    hold the rarest word of the title: that word alone is joined, and its hottest values are split.
+    """
+    side = small_side(stored(priority.select("source", "place"), "priority"))
+    entries = catalogue.join(side, "source")
+    isbn = books.where(F.col("isbn").isNotNull()).select("id", "isbn").join(entries.select("source", "place", "entry", "isbn", "rank"), "isbn").select("id", "source", "place", "entry", "rank", F.lit("isbn").alias("by"))
+    words = stored(entries.select("source", "place", "entry", "rank", normalize_text("title").alias("title"), F.when(F.col("author").isNotNull(), normalize_text("author")).alias("author")), "entries")
+    posted = words.select("source", "entry", F.explode(F.array_distinct(F.split("title", " "))).alias("w")).where("w <> ''")
+    often = posted.groupBy("w").agg(F.count("*").alias("c"))
+    asked = books.where(F.col("isbn").isNull()).select("id", normalize_text("title").alias("q"), F.when(F.col("author").isNotNull(), normalize_text("author")).alias("qa"))
+    rare = asked.select("id", F.explode(F.array_distinct(F.split("q", " "))).alias("w")).join(often, "w").groupBy("id").agg(F.min_by("w", F.struct("c", "w")).alias("w"), F.min("c").alias("c"))
+    parts = rare.withColumn("k", F.ceil(F.col("c") / PART_ROWS).cast("int")).groupBy("w").agg(F.max("k").alias("k"))
+    left = rare.select("id", "w").join(parts, "w").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    right = posted.join(parts, "w").withColumn("part", F.pmod(F.xxhash64("source", "entry"), F.col("k")).cast("int")).drop("k")
+    found = left.join(right, ["w", "part"]).select("id", "source", "entry").join(words, ["source", "entry"]).join(asked, "id")
+    n = F.row_number().over(Window.partitionBy("id", "source").orderBy("rank", "entry"))
+    near = found.withColumn("n", n).where((F.col("n") <= hits) & plausible_match(F.col("title"), F.col("q"), F.col("author"), F.col("qa")) & (F.col("q") != ""))
+    every = isbn.unionByName(near.select("id", "source", "place", "entry", "rank", F.lit("title").alias("by")))
+    return every.groupBy("id").agg(F.min_by(F.struct("source", "entry", "by"), F.struct("place", "source", "rank", "entry")).alias("x")).select("id", "x.source", "x.entry", "x.by")

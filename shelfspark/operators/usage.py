@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.shared import numbered
+
 FAILED = ("failed", "interrupted", "unknown")
 
 
@@ -30,49 +32,105 @@ def usage_by_feature(usage: DataFrame) -> DataFrame:
     )
 
 
-def period_costs(usage: DataFrame, now: str) -> DataFrame:
-    """One row: costs since the start of now's day and month, and reservations."""
+def period_cost(usage: DataFrame, period: str, now: str, include_reserved: bool = False, feature: str | None = None, book: str | None = None) -> DataFrame:
+    """One row: cost since the start of now's day or month (UTC), or of 3650 days; with reservations if asked for; 0 without rows."""
+    at = F.to_timestamp(F.lit(now))
+    since = F.date_trunc(period, at) if period in ("day", "month") else at - F.expr("interval 3650 days")
+    rows = usage.where((F.col("created_at") >= since) & (F.col("created_at") <= at))
+    rows = rows if feature is None else rows.where(F.col("feature") == feature)
+    rows = rows if book is None else rows.where(F.col("book_id") == book)
+    value = F.col("cost") + F.coalesce("reserved", F.lit(0.0)) if include_reserved else F.col("cost")
+    return rows.agg(F.round(F.coalesce(F.sum(value), F.lit(0.0)), 6).alias("cost"))
+
+
+def budget_status(usage: DataFrame, now: str, day_limit: float, month_limit: float, percent: float = 80) -> DataFrame:
+    """One row: day_cost, month_cost, reserved in the month, and whether a limit (0: none) is reached to so many per cent."""
     at = F.to_timestamp(F.lit(now))
-    since = lambda unit: F.coalesce(F.sum(F.when((F.col("created_at") >= F.date_trunc(unit, at)) & (F.col("created_at") <= at), F.col("cost"))), F.lit(0.0))
-    return usage.agg(since("day").alias("day_cost"), since("month").alias("month_cost"), F.coalesce(F.sum("reserved"), F.lit(0.0)).alias("reserved"))
+    since = lambda unit, c: F.coalesce(F.sum(F.when((F.col("created_at") >= F.date_trunc(unit, at)) & (F.col("created_at") <= at), F.col(c))), F.lit(0.0))
+    made = usage.agg(since("day", "cost").alias("day_cost"), since("month", "cost").alias("month_cost"), since("month", "reserved").alias("reserved"))
+    warn = lambda c, limit: F.lit(bool(limit)) & (F.col(c) >= limit * percent / 100)
+    return made.select(*[F.round(c, 6).alias(c) for c in ("day_cost", "month_cost", "reserved")], warn("day_cost", day_limit).alias("day_warning"), warn("month_cost", month_limit).alias("month_warning"))
+
+
+def recent_usage(usage: DataFrame, n: int = 100, feature: str | None = None, book: str | None = None) -> DataFrame:
+    """The newest n rows; a cost only of completed or invalid requests that had a rate or a cost."""
+    rows = usage if feature is None else usage.where(F.col("feature") == feature)
+    rows = rows if book is None else rows.where(F.col("book_id") == book)
+    known = F.col("status").isin("completed", "invalid") & (F.col("input_rate").isNotNull() | (F.col("cost") > 0))
+    return rows.withColumn("cost", F.when(known, F.col("cost"))).orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+
 
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:
+    """fold over the rows of each key in order: fold(state, part) -> (state, out), state None where a key begins.
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A fold over each key's rows in order. Sequential within a key by definition; keys run in parallel."""
-    return df.groupBy(*keys).applyInPandas(lambda part: fold(part.sort_values(order)), schema)
+    Rows of a key come to one task in order, a batch at a time; between batches only the state is kept.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            for key, part in batch.groupby(keys, sort=False, dropna=False):
+                state, out = fold(state if key == last else None, part)
+                last = key
+                yield out
 
-def admit_by_budget(requests: DataFrame, day_limit: float, month_limit: float, cost: str = "estimate") -> DataFrame:
-    """(id, admitted): in time order a request is admitted iff what its day and month hold plus itself keeps both limits; a rejected one holds nothing."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        month, days, out = 0.0, {}, []
-        for day, x in zip(part["day"], part[cost], strict=True):
-            ok = days.get(day, 0.0) + x <= day_limit and month + x <= month_limit
+
+def _type(df: DataFrame, name: str) -> str:
+    return dict(df.dtypes)[name]
+
+
+def admit_by_budget(requests: DataFrame, day_limit: float, month_limit: float, cost: str = "estimate", scope: str | None = None) -> DataFrame:
+    """(id, admitted): in time order a request is admitted iff what its day and month hold plus itself keeps both limits; a rejected one holds nothing. scope: a column whose values have budgets of their own."""
+
+    def fold(state: tuple | None, part: pd.DataFrame) -> tuple:
+        month, day, spent = state or (0.0, None, 0.0)
+        out = []
+        for d, x in zip(part["day"], part[cost], strict=True):
+            day, spent = (day, spent) if d == day else (d, 0.0)  # days come in order
+            ok = spent + x <= day_limit and month + x <= month_limit
             if ok:
-                days[day] = days.get(day, 0.0) + x
-                month += x
+                spent, month = spent + x, month + x
+            out.append(ok)
+        return (month, day, spent), pd.DataFrame({"id": part["id"].to_numpy(), "admitted": out})
+
+    own = F.lit("") if scope is None else F.col(scope)
+    keyed = requests.select("id", "created_at", F.col(cost).alias(cost), own.alias("scope"), F.to_date("created_at").cast("string").alias("day"), F.date_format("created_at", "yyyy-MM").alias("month"))
+    return ordered_fold(keyed, ["scope", "month"], ["created_at", "id"], fold, f"id {_type(requests, 'id')}, admitted boolean")
+
+
+def spend(rows: DataFrame, key: str, order: list[str], cost: str, limit: str, stop: bool = False) -> DataFrame:
+    """(key, order, admitted): in order a row is admitted iff the costs admitted before it plus its own keep the limit; stop: after a rejected one no other is."""
+
+    def fold(state: tuple | None, part: pd.DataFrame) -> tuple:
+        spent, paused = state or (0.0, False)
+        out = []
+        for x, most in zip(part[cost], part[limit], strict=True):
+            ok = not paused and spent + x <= most
+            spent, paused = spent + (x if ok else 0.0), stop and not ok
             out.append(ok)
-        return pd.DataFrame({"id": part["id"].to_numpy(), "admitted": out})
+        return (spent, paused), part[[key, *order]].assign(admitted=out)
 
-    keyed = requests.select("id", "created_at", F.col(cost).alias(cost), F.to_date("created_at").cast("string").alias("day"), F.date_format("created_at", "yyyy-MM").alias("month"))
-    return ordered_fold(keyed, ["month"], ["created_at", "id"], fold, "id long, admitted boolean")
+    schema = ", ".join(f"{n} {_type(rows, n)}" for n in (key, *order)) + ", admitted boolean"
+    return ordered_fold(rows.select(key, *order, cost, limit), [key], order, fold, schema)
 
 
-def pack_batches(df: DataFrame, key: str, order: list[str], size: str, most_items: int, most_size: float) -> DataFrame:
+def pack_batches(df: DataFrame, key: str, order: list[str], size: str, most_items: int, most_size: float, keep: list[str] | None = None) -> DataFrame:
     """df with batch: rows of a key in order fill a batch until it has most_items or the next would overflow most_size."""
-    names = [*dict.fromkeys([key, *order, size])]
+    names = [*dict.fromkeys([key, *order, size, *(keep or [])])]
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        batch, items, total, out = 0, 0, 0.0, []
+    def fold(state: tuple | None, part: pd.DataFrame) -> tuple:
+        batch, items, total = state or (0, 0, 0.0)
+        out = []
         for x in part[size]:
             if items and (items >= most_items or total + x > most_size):
                 batch, items, total = batch + 1, 0, 0.0
             items, total = items + 1, total + x
             out.append(batch)
-        return part[names].assign(batch=out)
+        return (batch, items, total), part[names].assign(batch=out)
 
-    schema = ", ".join(f"{n} {df.select(n).dtypes[0][1]}" for n in names) + ", batch long"
+    schema = ", ".join(f"{n} {_type(df, n)}" for n in names) + ", batch long"
     return ordered_fold(df.select(*names), [key], order, fold, schema)
 
 
@@ -88,14 +146,64 @@ def job_progress(items: DataFrame, job: str = "job") -> DataFrame:
     return made.withColumn("status", status).drop("__failed")
 
 
-def run_metrics(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
-    v = F.col(value)
+def run_metrics(runs: DataFrame, keys: list[str], value: str, valid: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """For each group valid and invalid runs, and of the valid ones median, least, most, mean, sample deviation and its percentage of the mean; median and most of each further measure."""
+    ok = F.lit(True) if valid is None else F.coalesce(F.col(valid), F.lit(False))
+    v = F.when(ok, F.col(value))
+    more = [f.alias(f"{n}_{name}") for n in also for name, f in (("median", F.percentile(F.when(ok, F.col(n)), F.lit(0.5))), ("most", F.max(F.when(ok, F.col(n)))))]
     return runs.groupBy(*keys).agg(
-        F.count(v).alias("runs"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("stddev"), F.try_divide(100 * F.stddev_samp(v), F.avg(v)).alias("cv"),
+        F.count(v).alias("runs"), F.count_if(~ok | F.col(value).isNull()).alias("invalid"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("stddev"), F.try_divide(100 * F.stddev_samp(v), F.avg(v)).alias("cv"), *more,
     )
 
 
+def latency_percentiles(requests: DataFrame, enough: int = 200) -> DataFrame:
+    """For each endpoint of requests (endpoint, outcome, actual, scheduled): planned, success, errors, skipped, p50 and p95 of both times of successes, and whether those are few."""
+    good = F.col("outcome") == "success"
+    p = lambda c: F.percentile(F.when(good, F.col(c)), F.array(F.lit(0.5), F.lit(0.95)))
+    made = requests.groupBy("endpoint").agg(
+        F.count("*").alias("planned"), F.count_if(good).alias("success"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome") == "skipped").alias("skipped"),
+        p("actual").alias("a"), p("scheduled").alias("s"),
+    )
+    return made.select("endpoint", "planned", "success", "errors", "skipped", *[F.get(c, F.lit(i)).alias(f"p{q}_{n}") for c, n in (("a", "actual"), ("s", "scheduled")) for i, q in enumerate((50, 95))], (F.col("success") < enough).alias("weak"))
+
+
+def phase_totals(spans: DataFrame) -> DataFrame:
+    """For each phase of spans (phase, ms, counters): calls, median and total milliseconds."""
+    return spans.groupBy("phase").agg(F.count("*").alias("calls"), F.percentile("ms", F.lit(0.5)).alias("median_ms"), F.sum("ms").alias("total_ms"))
+
+
+def counter_totals(spans: DataFrame) -> DataFrame:
+    """(counter, total) over the maps of all spans."""
+    return spans.select(F.explode("counters").alias("counter", "n")).groupBy("counter").agg(F.sum("n").alias("total"))
+
+
+def outcome_counts(results: DataFrame, col: str, known: tuple[str, ...]) -> DataFrame:
+    """(value, count) of each known category, 0 for those that do not occur, and of any other."""
+    all_ = results.sparkSession.createDataFrame([(k,) for k in known], "value string")
+    counts = results.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    return all_.join(counts, "value", "full_outer").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def paired_savings(pairs: DataFrame, replicates: int = 1000, cv: tuple[float, float] | None = None) -> DataFrame:
+    """One row of pairs (a, b): median saving 100 (1 - b / a), its 95 % bootstrap interval, and whether b is reliably faster.
+
+    A replicate draws as many pairs as there are, by hash of its number and the draw's. Reliable: both
+    variation coefficients at most 5, a median of 5 or more and a lower end above 0.
+    """
+    saving = pairs.where("a > 0 and b is not null").select((100 * (1 - F.col("b") / F.col("a"))).alias("x"))
+    placed = numbered(saving, ["x"], "place")
+    n = placed.count()
+    draws = placed.sparkSession.range(replicates).select(F.col("id").alias("r")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % max(n, 1) + 1
+    medians = draws.select("r", pick.alias("place")).join(placed, "place").groupBy("r").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+    ends = medians.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    whole = placed.agg(F.count("*").alias("pairs"), F.percentile("x", F.lit(0.5)).alias("median_saving"))
+    made = whole.crossJoin(ends).select("pairs", "median_saving", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))  # one row each
+    steady = True if cv is None else max(cv) <= 5
+    return made.withColumn("reliable", F.lit(steady) & (F.col("median_saving") >= 5) & (F.col("low") > 0))
+
+
 def usage_lifecycle(events: DataFrame) -> DataFrame:
     """The last state of each request: reservations end with any exit, unknown usage costs 0, open ones are interrupted."""
     last = events.groupBy("request").agg(F.max_by(F.struct("status", "cost", "reserved"), F.struct("ts", "seq")).alias("l"))

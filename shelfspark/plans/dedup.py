@@ -1,4 +1,8 @@
-"""Duplicate-detection queries over documents. Title: the first six words; author and publisher: the source."""
+"""Duplicate-detection queries over documents. Title: the first six words; author and publisher: the source.
+
+Pairs are between representatives, the first text of each hash; text_groups and the pairs of a
+representative with its copies give membership.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +12,24 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import native_text, strip_punctuation
 from shelfspark.operators import duplicates as d
 from shelfspark.operators import fingerprint as fp
+from shelfspark.operators import scanner
 from shelfspark.plans.registry import query
+from shelfspark.shared import stored
 from shelfspark.sources.tables import read_table
 
 MIN_WORDS, NEAR = 100, 0.5
 
-NORMAL = r"trim(regexp_replace(lower(replace(text, chr(173), '')), '\s+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(replace(lower(replace(text, chr(173), '')), 'ß', 'ss'), '\s+', ' ', 'g'))"
 PRINTS = rf"""
 n AS (SELECT doc_id AS id, {NORMAL} AS normal, source, lang FROM documents),
 f AS (SELECT id, normal, source, lang, CASE WHEN length(normal) > 0 THEN len(string_split(normal, ' ')) ELSE 0 END AS word_count,
-        sha256(normal) AS text_hash FROM n),
+        CASE WHEN length(normal) > 0 THEN sha256(normal) END AS text_hash FROM n),
 t AS (SELECT *, regexp_extract_all(normal, '[\p{{L}}\p{{N}}_]+') AS ws FROM f),
 p AS (SELECT id, word_count, text_hash, normal, source, lang, CASE WHEN word_count >= {MIN_WORDS} AND len(ws) >= 5
-        THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: substr(sha256(array_to_string(ws[i:i+4], ' ')), 1, 16))) ELSE [] END AS shingles FROM t)"""
+        THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: substr(sha256(array_to_string(ws[i:i+4], ' ')), 1, 16))) ELSE [] END AS shingles FROM t),
+reps AS (SELECT * FROM p WHERE text_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY id) = 1),
+r AS (SELECT * FROM reps WHERE len(shingles) > 0)"""
 SIGNATURES = r"""
-r AS (SELECT * FROM p WHERE len(shingles) > 0 QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY id) = 1),
 h AS (SELECT id, CAST(CAST('0x' || v AS UBIGINT) AS HUGEINT) AS v FROM (SELECT id, unnest(shingles) AS v FROM r)),
 g AS (SELECT id, s, min((v * (2 * s + 1) + s * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT) AS m FROM h, range(32) x(s) GROUP BY id, s),
 b AS (SELECT id, s // 4 AS band, string_agg(lpad(printf('%x', m::UBIGINT), 16, '0'), ',' ORDER BY s) AS bucket FROM g GROUP BY id, s // 4),
@@ -38,10 +45,12 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp.fingerprint(documents(spark, sf_dir), MIN_WORDS, max_words=None)
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signatures(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """Representatives with shingles and their signatures, stored: texts are read once."""
+    own = stored(prints(spark, sf_dir), "prints") if own is None else own
     # Signatures are filtered, not shingles: a filter on those would be pushed into the projection that makes them.
-    own = fp.representatives(prints(spark, sf_dir))
-    return own.withColumn("signature", fp.minhash("shingles")).where(F.size("signature") == fp.SLOTS)
+    signed = fp.representatives(own).withColumn("signature", fp.minhash("shingles"))
+    return stored(signed.where(F.size("signature") == fp.SLOTS), "signatures")
 
 
 @query("""
@@ -49,9 +58,7 @@ SELECT doc_id, sha256(text) AS sha256, CASE WHEN first_value(doc_id) OVER w <> d
 FROM documents WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id)""")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("id", F.sha2("text", 256).alias("sha256"))
-    least = rows.groupBy("sha256").agg(F.min("id").alias("first"))  # a count before a join: no window over a hot hash
-    joined = rows.join(least, "sha256")
-    return joined.select(F.col("id").alias("doc_id"), "sha256", F.when(F.col("first") != F.col("id"), F.col("first")).alias("duplicate_of"))
+    return d.first_seen(rows, "sha256", ["id"]).select(F.col("id").alias("doc_id"), "sha256", "duplicate_of")
 
 
 @query(rf"WITH {PRINTS} SELECT id AS doc_id, CASE WHEN word_count = 0 THEN 'unavailable' ELSE 'complete' END AS status, word_count, text_hash FROM p")
@@ -59,14 +66,35 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints(spark, sf_dir).select(F.col("id").alias("doc_id"), "status", F.col("word_count").cast("long").alias("word_count"), "text_hash")
 
 
+@query(rf"""WITH {PRINTS}, s AS (SELECT CASE WHEN id % 50 = 7 THEN 'failed' WHEN word_count = 0 THEN 'unavailable' WHEN word_count > 500 THEN 'partial' ELSE 'complete' END AS status FROM p)
+SELECT k AS status, count(s.status) AS documents FROM (SELECT unnest(['complete', 'partial', 'unavailable', 'failed']) AS k) LEFT JOIN s ON s.status = k GROUP BY k""")
+def fingerprint_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by state, with a limit of 500 words; every fiftieth plays a text that could not be read."""
+    docs = documents(spark, sf_dir).withColumn("error", F.when(F.col("id") % 50 == 7, "ValueError"))
+    return fp.coverage(fp.fingerprint(docs, max_words=500, error="error"))
+
+
 @query(rf"WITH {PRINTS} SELECT id AS doc_id, len(shingles) AS n_shingles, list_min(shingles) AS least_shingle FROM p")
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prints(spark, sf_dir).select(F.col("id").alias("doc_id"), F.size("shingles").cast("long").alias("n_shingles"), F.array_min("shingles").alias("least_shingle"))
+    least = F.array_min(F.transform("shingles", fp.hexed))
+    return prints(spark, sf_dir).select(F.col("id").alias("doc_id"), F.size("shingles").cast("long").alias("n_shingles"), least.alias("least_shingle"))
+
+
+@query(rf"""WITH {PRINTS} SELECT text_hash, count(*) AS texts, min(id) AS first_id, max(id) AS last_id FROM p WHERE text_hash IS NOT NULL GROUP BY text_hash HAVING count(*) > 1""")
+def text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are equal in normal form."""
+    rows = prints(spark, sf_dir).where("text_hash is not null")
+    return rows.groupBy("text_hash").agg(F.count("*").alias("texts"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("texts > 1")
 
 
 @query(rf"WITH {PRINTS}, {SIGNATURES} SELECT id AS doc_id, string_agg(bucket, ',' ORDER BY band) AS signature FROM b GROUP BY id")
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_join("signature", ",").alias("signature"))
+    return signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_join(F.transform("signature", fp.hexed), ",").alias("signature"))
+
+
+@query(rf"WITH {PRINTS}, {SIGNATURES} SELECT id AS doc_id, band, sha256(bucket) AS bucket FROM b")
+def lsh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp.lsh_index(signatures(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("band").cast("long").alias("band"), F.substring_index("bucket", ":", -1).alias("bucket"))
 
 
 @query(rf'WITH {PRINTS}, {SIGNATURES} SELECT a AS "left", b AS "right" FROM c')
@@ -85,28 +113,27 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {PRINTS}, r AS (SELECT * FROM p WHERE len(shingles) > 0 QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY id) = 1),
-s AS (SELECT id, unnest(shingles) AS s FROM r),
-o AS (SELECT s FROM s GROUP BY s HAVING count(*) BETWEEN 2 AND 199),
-c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN o USING (s) JOIN s y USING (s) WHERE x.id < y.id),
+WITH {PRINTS}, s AS (SELECT id, unnest(shingles) AS s FROM r),
+c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN s y USING (s) WHERE x.id < y.id),
 j AS (SELECT c.a AS "left", c.b AS "right", {JACCARD} AS j FROM c JOIN r x ON x.id = c.a JOIN r y ON y.id = c.b)
 SELECT "left", "right", round(j, 6) AS jaccard FROM j WHERE j >= {NEAR}""")
 def near_duplicates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of a Jaccard index of at least NEAR, however many texts share a shingle; the SQL leaves out those of 200 texts or more."""
-    own = fp.representatives(prints(spark, sf_dir)).select("id", "shingles", "word_count", "text_hash")
+    """All pairs of representatives with a Jaccard index of at least NEAR, however many texts share a shingle."""
+    own = stored(fp.representatives(stored(prints(spark, sf_dir), "prints")).select("id", "shingles", "word_count", "text_hash"), "representatives")
     return d.near_pairs(own, NEAR).select("left", "right", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(r"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
+WITH dw AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS ws FROM documents),
 ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS s FROM dw WHERE len(ws) >= 5),
-bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
+bw AS (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
 bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS s FROM bw WHERE len(ws) >= 5),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT item_id, doc_id, round(count(*) / max(n), 6) AS containment FROM bs JOIN ds USING (s) JOIN n USING (item_id) GROUP BY item_id, doc_id HAVING count(*) / max(n) >= 0.95""")
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = lambda df, i: df.select(i, F.explode(fp.shingles(fp.words(F.lower("text")))).alias("s"))
-    asked = grams(read_table(spark, sf_dir, "benchmark"), "item_id")
+    normal = lambda df, i: df.select(F.col(i).alias("id"), "text")
+    grams = lambda df, i: fp.fingerprint(normal(df, i), 0, max_words=None).select(F.col("id").alias(i), F.explode("shingles").alias("s"))
+    asked = stored(grams(read_table(spark, sf_dir, "benchmark"), "item_id"), "asked")
     sizes = asked.groupBy("item_id").agg(F.count("*").alias("n"))
     hits = grams(read_table(spark, sf_dir, "documents"), "doc_id").join(asked, "s").groupBy("item_id", "doc_id").agg(F.count("*").alias("c"))
     return hits.join(sizes, "item_id").where(F.col("c") / F.col("n") >= 0.95).select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 6).alias("containment"))
@@ -117,71 +144,93 @@ TITLE = r"trim(regexp_replace(regexp_replace(array_to_string(list_slice(string_s
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title_key, source, lang)."""
-    six = F.array_join(F.slice(F.split(native_text(F.col("text")), " "), 1, 6), " ")
+    six = F.array_join(F.slice(F.split(F.replace(native_text(F.col("text")), F.lit("ß"), F.lit("ss")), " "), 1, 6), " ")
     return documents(spark, sf_dir).select("id", strip_punctuation(six).alias("title_key"), "source", "lang")
 
 
-TITLED = rf"k AS (SELECT id, {TITLE} AS title_key, source, lang FROM n)"
-BY_TITLE = "bt AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.title_key = y.title_key AND x.id < y.id WHERE x.title_key <> '')"
+TITLED = rf"k AS (SELECT id, {TITLE} AS title_key, source, lang FROM n), kr AS (SELECT k.* FROM k JOIN reps USING (id))"
+BY_TITLE = "bt AS (SELECT x.id AS a, y.id AS b FROM kr x JOIN kr y ON x.title_key = y.title_key AND x.id < y.id WHERE x.title_key <> '')"
 BY_TOKENS = r"""
-lt AS (SELECT id, list_filter(list_distinct(string_split(title_key, ' ')), lambda t: length(t) >= 4) AS ts FROM k),
-pr AS (SELECT id, unnest(list_slice(list_sort(list_transform(ts, lambda t: {'n': -length(t), 't': t})), 1, 3)).t AS t FROM lt WHERE len(ts) >= 3),
-po AS (SELECT DISTINCT id, unnest(string_split(title_key, ' ')) AS t FROM k),
-ht AS (SELECT pr.id AS a, po.id AS b FROM pr JOIN po USING (t) WHERE pr.id <> po.id GROUP BY pr.id, po.id HAVING count(*) = 3),
-bk AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ht)"""
+lt AS (SELECT id, list_filter(string_split(title_key, ' '), lambda t: length(t) >= 4) AS ts FROM kr),
+pr AS (SELECT id, unnest(list_slice(list_sort(list_transform(list_distinct(ts), lambda t: {'n': -length(t), 't': t})), 1, 3)).t AS t FROM lt WHERE len(ts) >= 3),
+po AS (SELECT DISTINCT id, unnest(string_split(title_key, ' ')) AS t FROM kr),
+bk AS (SELECT DISTINCT least(pr.id, po.id) AS a, greatest(pr.id, po.id) AS b FROM pr JOIN po USING (t) WHERE pr.id <> po.id AND t <> '')"""
+STAR = "st AS (SELECT reps.id AS a, p.id AS b FROM p JOIN reps USING (text_hash) WHERE p.id <> reps.id)"
+CANDIDATES = f"{PRINTS}, {SIGNATURES}, {TITLED}, {BY_TITLE}, {BY_TOKENS}, {STAR}, cand AS (SELECT a, b FROM c UNION SELECT a, b FROM bt UNION SELECT a, b FROM bk UNION SELECT a, b FROM st)"
+
+
+def candidates(spark: SparkSession, sf_dir: str, own: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all candidate pairs, those whose texts are compared) of stored prints and titles."""
+    firsts = titles.join(fp.representatives(own).select("id"), "id", "left_semi")
+    textual = d.union_pairs(d.pairs_by_lsh(signatures(spark, sf_dir, own)), d.pairs_by_value(firsts, "title_key"))
+    textual = stored(textual, "textual")
+    return stored(d.union_pairs(textual, d.pairs_by_rare_tokens(firsts), d.pairs_by_text_hash(own)), "candidates"), textual
 
 
-@query(rf'WITH {PRINTS}, {SIGNATURES}, {TITLED}, {BY_TITLE}, {BY_TOKENS} SELECT a AS "left", b AS "right" FROM c UNION SELECT a, b FROM bt UNION SELECT a, b FROM bk')
+@query(f'WITH {CANDIDATES} SELECT a AS "left", b AS "right" FROM cand')
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = titled(spark, sf_dir)
-    return d.union_pairs(d.pairs_by_lsh(signatures(spark, sf_dir)), d.pairs_by_value(titles, "title_key"), d.pairs_by_rare_tokens(titles))
+    return candidates(spark, sf_dir, stored(prints(spark, sf_dir), "prints"), stored(titled(spark, sf_dir), "titles"))[0]
 
 
 EVIDENCE = rf"""
-cand AS (SELECT a, b FROM c UNION SELECT a, b FROM bt UNION SELECT a, b FROM bk),
+tx AS (SELECT a, b FROM c UNION SELECT a, b FROM bt),
 e AS (SELECT cand.a, cand.b, kx.title_key AS lt, ky.title_key AS rt, kx.source AS ls, ky.source AS rs, kx.lang AS ll, ky.lang AS rl, x.word_count AS lw, y.word_count AS rw, x.text_hash AS lh, y.text_hash AS rh,
-    CASE WHEN len(x.shingles) + len(y.shingles) > 0 THEN {JACCARD} ELSE 0 END AS j,
-    CASE WHEN least(len(x.shingles), len(y.shingles)) > 0 THEN len(list_intersect(x.shingles, y.shingles)) / least(len(x.shingles), len(y.shingles)) ELSE 0 END AS cont
-  FROM cand JOIN p x ON x.id = cand.a JOIN p y ON y.id = cand.b JOIN k kx ON kx.id = cand.a JOIN k ky ON ky.id = cand.b),
-rel AS (SELECT *, CASE WHEN lh = rh THEN 'same' WHEN least(lw, rw) >= 100 AND least(lw, rw) / greatest(lw, rw) >= 0.9 AND j >= 0.5 THEN 'near'
-    WHEN least(lw, rw) >= 100 AND least(lw, rw) / greatest(lw, rw) < 0.9 AND cont >= 0.95 THEN 'partial' END AS relation,
+    tx.a IS NOT NULL AS textual,
+    CASE WHEN tx.a IS NOT NULL AND len(x.shingles) + len(y.shingles) > 0 THEN {JACCARD} ELSE 0 END AS j,
+    CASE WHEN tx.a IS NOT NULL AND least(len(x.shingles), len(y.shingles)) > 0 THEN len(list_intersect(x.shingles, y.shingles)) / least(len(x.shingles), len(y.shingles)) ELSE 0 END AS cont
+  FROM cand LEFT JOIN tx ON tx.a = cand.a AND tx.b = cand.b JOIN p x ON x.id = cand.a JOIN p y ON y.id = cand.b JOIN k kx ON kx.id = cand.a JOIN k ky ON ky.id = cand.b),
+rel AS (SELECT *, CASE WHEN lh = rh THEN 'same' WHEN textual AND least(lw, rw) >= 100 AND least(lw, rw) / greatest(lw, rw) >= 0.9 AND j >= 0.5 THEN 'near'
+    WHEN textual AND least(lw, rw) >= 100 AND least(lw, rw) / greatest(lw, rw) < 0.9 AND cont >= 0.95 THEN 'partial' END AS relation,
     list_distinct(string_split(lt, ' ')) AS la, list_distinct(string_split(rt, ' ')) AS ra FROM e),
 rea AS (SELECT *, list_filter([
     CASE WHEN relation = 'same' AND least(lw, rw) < 1000 THEN 'short_text' WHEN relation = 'same' THEN 'same_text' END,
     CASE WHEN relation = 'near' THEN 'near_text' END, CASE WHEN relation = 'partial' THEN 'partial_text' END,
     CASE WHEN lt = rt AND lt <> '' AND ls = rs THEN 'title_author'
-      WHEN len(la) >= 3 AND ls = rs AND len(list_intersect(la, ra)) / (len(la) + len(ra) - len(list_intersect(la, ra))) >= 0.8 THEN 'similar_title_author' END], lambda x: x IS NOT NULL) AS reasons,
+      WHEN len(ra) >= 3 AND ls = rs AND len(list_intersect(la, ra)) / (len(la) + len(ra) - len(list_intersect(la, ra))) >= 0.8 THEN 'similar_title_author' END], lambda x: x IS NOT NULL) AS reasons,
     list_filter([CASE WHEN ll <> rl THEN 'language' END, CASE WHEN ls <> rs THEN 'authors' END, CASE WHEN lt <> rt THEN 'title' END], lambda x: x IS NOT NULL) AS conflicts FROM rel),
 ev AS (SELECT a AS "left", b AS "right", CASE WHEN list_contains(reasons, 'short_text') THEN 'short_content' WHEN list_contains(reasons, 'same_text') OR list_contains(reasons, 'near_text') THEN 'content'
     WHEN list_contains(reasons, 'partial_text') THEN 'partial_content' ELSE 'metadata' END AS kind, array_to_string(reasons, ',') AS reasons, array_to_string(conflicts, ',') AS conflicts
   FROM rea WHERE len(reasons) > 0 AND NOT (relation IS NULL AND ll <> rl))"""
-ALL_EVIDENCE = f"WITH {PRINTS}, {SIGNATURES}, {TITLED}, {BY_TITLE}, {BY_TOKENS}, {EVIDENCE}"
+ALL_EVIDENCE = f"WITH {CANDIDATES}, {EVIDENCE}"
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, titles = prints(spark, sf_dir), titled(spark, sf_dir)
-    related = d.text_relation(d.compare_texts(candidate_union(spark, sf_dir), own), min_words=MIN_WORDS, near_words=MIN_WORDS, near=NEAR)
+def comparisons(titles: DataFrame) -> DataFrame:
+    """The comparison keys of documents: title, one author, language and publisher."""
     none = lambda t: F.lit(None).cast(t)
-    side = lambda s, p: titles.select(F.col("id").alias(s), F.col("title_key").alias(f"{p}_title"), F.array("source").alias(f"{p}_authors"), F.col("lang").alias(f"{p}_language"), F.col("source").alias(f"{p}_publisher"), none("string").alias(f"{p}_isbn"), none("int").alias(f"{p}_year"), none("string").alias(f"{p}_series"))
-    both = related.join(side("left", "l"), "left").join(side("right", "r"), "right").withColumnsRenamed({"left_words": "l_words", "right_words": "r_words"})
-    return d.evidence(both)
+    return titles.select("id", F.col("title_key").alias("title"), F.array("source").alias("authors"), none("string").alias("isbn"), F.col("lang").alias("language"), none("int").alias("year"), F.col("source").alias("publisher"), none("string").alias("series"))
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, titles = stored(prints(spark, sf_dir), "prints"), stored(titled(spark, sf_dir), "titles")
+    pairs, textual = candidates(spark, sf_dir, own, titles)
+    return scanner.match_pairs(pairs, textual, own, comparisons(titles), near=NEAR, near_words=MIN_WORDS)
 
 
 def _flat(df: DataFrame) -> DataFrame:
     return df.select("left", "right", "kind", F.array_join("reasons", ",").alias("reasons"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
-@query(f'{ALL_EVIDENCE} SELECT * FROM ev')
+@query(f"{ALL_EVIDENCE} SELECT * FROM ev")
 def duplicate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(matches(spark, sf_dir))
 
 
-@query(f"""{ALL_EVIDENCE} SELECT *, CASE WHEN "left" % 3 = 0 THEN 'confirmed' WHEN "left" % 3 = 1 THEN 'keep_both' END AS decision FROM ev
-WHERE "left" % 3 <> 2 ORDER BY "left", "right" LIMIT 100""")
+DECIDED = """CASE WHEN "left" % 3 = 0 THEN 'confirmed' WHEN "left" % 3 = 1 THEN 'keep_both' END"""
+
+
+@query(f"""{ALL_EVIDENCE} SELECT ev.*, {DECIDED} AS decision, kx.title_key AS left_title, ky.title_key AS right_title
+FROM ev JOIN k kx ON kx.id = ev."left" JOIN k ky ON ky.id = ev."right" WHERE {DECIDED} = 'keep_both' ORDER BY "left", "right" LIMIT 100 OFFSET 5""")
 def list_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of decided matches; decisions here follow from the left id."""
+    """A page of matches to keep both of; decisions here follow from the left id."""
     decided = _flat(matches(spark, sf_dir)).withColumn("decision", F.when(F.col("left") % 3 == 0, "confirmed").when(F.col("left") % 3 == 1, "keep_both"))
-    return decided.where(F.col("decision").isNotNull()).orderBy("left", "right").limit(100)
+    return scanner.list_matches(decided, titled(spark, sf_dir).select("id", F.col("title_key").alias("title")), decision="keep_both", offset=5, limit=500)
+
+
+@query(f"""{ALL_EVIDENCE} SELECT *, list_position(['content', 'edition', 'short_content', 'partial_content', 'metadata'], kind) AS place FROM ev ORDER BY place, "left", "right" LIMIT 200""")
+def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matches by their kinds' order."""
+    place = F.array_position(F.array(*map(F.lit, d.KINDS)), F.col("kind")).cast("int")
+    return d.rank_matches(_flat(matches(spark, sf_dir))).withColumn("place", place).limit(200)
 
 
 @query(f"""{ALL_EVIDENCE}, nw AS (SELECT * FROM ev WHERE ("left" + "right") % 5 <> 0),
@@ -192,12 +241,31 @@ SELECT coalesce(n."left", o."left") AS "left", coalesce(n."right", o."right") AS
 FROM nw n FULL JOIN od o ON n."left" = o."left" AND n."right" = o."right" """)
 def reconcile_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of the matches, as two scans would leave them, reconciled."""
-    now = matches(spark, sf_dir).select("left", "right", "kind")
+    now = stored(matches(spark, sf_dir).select("left", "right", "kind"), "matches")
     total = F.col("left") + F.col("right")
     old = now.where(total % 5 != 1).select("left", "right", F.when(F.col("left") % 7 == 0, "metadata").otherwise(F.col("kind")).alias("kind"), F.when(F.col("right") % 2 == 0, "keep_both").alias("decision"))
     return d.reconcile(now.where(total % 5 != 0), old)
 
 
+OLD_MATCHES = """
+pv AS (SELECT *, CASE WHEN "right" % 2 = 0 THEN 'keep_both' END AS decision FROM ev WHERE ("left" + "right") % 6 <> 0),
+gone AS (SELECT -1 - id AS "left", id AS "right", 'metadata' AS kind, 'confirmed' AS decision FROM k WHERE id % 97 = 0)"""
+
+
+@query(f"""{ALL_EVIDENCE}, {OLD_MATCHES}
+SELECT ev."left", ev."right", CASE WHEN pv."left" IS NULL THEN 'inserted' ELSE 'kept' END AS state, pv.decision, NULL AS event FROM ev LEFT JOIN pv ON pv."left" = ev."left" AND pv."right" = ev."right"
+UNION ALL SELECT "left", "right", 'deleted', NULL, 'reset' FROM gone""")
+def scan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An incremental scan: a third of the fingerprints is of an old version, some matches are new, some gone."""
+    docs, titles = documents(spark, sf_dir), stored(titled(spark, sf_dir), "titles")
+    state = stored(prints(spark, sf_dir).withColumn("version", F.when(F.col("id") % 3 == 0, fp.VERSION - 1).otherwise(fp.VERSION)), "old-prints")
+    found = stored(_flat(matches(spark, sf_dir)), "matches")
+    old = found.where((F.col("left") + F.col("right")) % 6 != 0).select("left", "right", "kind", F.when(F.col("right") % 2 == 0, "keep_both").alias("decision"))
+    old = old.unionByName(docs.where("id % 97 = 0").select((-1 - F.col("id")).alias("left"), F.col("id").alias("right"), F.lit("metadata").alias("kind"), F.lit("confirmed").alias("decision")))
+    made = scanner.scan_archive(docs, comparisons(titles), state, old, min_words=MIN_WORDS, near=NEAR, near_words=MIN_WORDS, max_words=None)
+    return made.changes
+
+
 @query("""SELECT p_partkey, CASE p_brand WHEN (SELECT min(p_brand) FROM part) THEN (SELECT max(p_brand) FROM part) ELSE p_brand END AS publisher FROM part""")
 def alias_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first brand is a variant of the last."""
@@ -206,12 +274,116 @@ def alias_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.apply_aliases(part.select("p_partkey", F.col("p_brand").alias("publisher")), aliases, "publisher", "publisher").select("p_partkey", "publisher")
 
 
-@query(rf"""WITH {PRINTS}, {TITLED}, q AS (SELECT k.id, k.title_key, f.text_hash FROM k JOIN f ON f.id = k.id)
-SELECT x.id AS doc_id, max(y.id) AS latest_similar, count(*) AS n_similar FROM q x JOIN q y ON x.title_key = y.title_key AND y.id < x.id AND x.text_hash <> y.text_hash WHERE x.title_key <> '' GROUP BY x.id""")
+@query("""WITH v AS (SELECT l_partkey, CASE WHEN s_suppkey % 10 = 3 THEN 'Supplier#' || lpad(CAST(s_suppkey - 1 AS VARCHAR), 9, '0') ELSE s_name END AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT l_partkey AS p_partkey, string_agg(name, '|' ORDER BY name) AS authors FROM (SELECT DISTINCT l_partkey, name FROM v) GROUP BY l_partkey""")
+def alias_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a part as authors; every tenth supplier's name is a variant of the one before."""
+    supplier = read_table(spark, sf_dir, "supplier")
+    line = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    books = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_list("s_name").alias("authors"))
+    before = F.concat(F.lit("Supplier#"), F.lpad((F.col("s_suppkey") - 1).cast("string"), 9, "0"))
+    aliases = supplier.where("s_suppkey % 10 = 3").select(F.lit("author").alias("field"), F.col("s_name").alias("variant"), before.alias("canonical"))
+    return d.apply_aliases(books, aliases, "author", "authors").select("p_partkey", F.array_join("authors", "|").alias("authors"))
+
+
+@query(rf"""WITH {PRINTS}, {TITLED}, s AS (SELECT k.id, k.title_key, p.text_hash, CASE k.id % 5 WHEN 0 THEN 'archived' WHEN 1 THEN 'skipped' WHEN 2 THEN 'queued' ELSE 'ready' END AS status FROM k JOIN p ON p.id = k.id),
+l AS (SELECT *, count(*) FILTER (status IN ('ready', 'skipped', 'archiving')) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM s)
+SELECT x.id AS doc_id, max(y.id) AS latest_similar, count(*) AS n_similar FROM l x JOIN l y ON x.title_key = y.title_key AND y.id < x.id AND x.text_hash IS DISTINCT FROM y.text_hash AND coalesce(x.at, 0) - coalesce(y.at, 0) <= 200
+WHERE x.title_key <> '' AND y.status IN ('ready', 'skipped') AND x.status <> 'archived' GROUP BY x.id""")
 def similar_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each arrival (by id) the earlier ones of the same title key with another text: running counts, no pairs."""
-    rows = titled(spark, sf_dir).join(prints(spark, sf_dir).select("id", "text_hash"), "id").where("title_key <> ''")
-    pairs = d.ordered_pairs(rows.select("id", "title_key"), "title_key")
-    hashes = rows.select("id", "text_hash")
-    told = pairs.join(hashes.select(F.col("id").alias("left"), F.col("text_hash").alias("a")), "left").join(hashes.select(F.col("id").alias("right"), F.col("text_hash").alias("b")), "right").where("a <> b")
-    return told.groupBy(F.col("right").alias("doc_id")).agg(F.max("left").alias("latest_similar"), F.count("*").alias("n_similar"))
+    """For each arrival (by id) those of the 200 live ones before it that have its title key and another text."""
+    status = F.array(*map(F.lit, ("archived", "skipped", "queued", "ready", "ready")))
+    rows = titled(spark, sf_dir).join(prints(spark, sf_dir).select("id", "text_hash"), "id")
+    previews = rows.select("id", F.timestamp_seconds("id").alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.get(status, (F.col("id") % 5).cast("int")).alias("status"), "title_key", "text_hash")
+    return d.similar_earlier(previews).groupBy(F.col("id").alias("doc_id")).agg(F.max("earlier").alias("latest_similar"), F.count("*").alias("n_similar"))
+
+
+@query("""WITH h AS (SELECT doc_id AS id, sha256(text) AS sha, doc_id % 4 <> 1 AS live, CAST(doc_id % 10 AS INTEGER) AS at FROM documents)
+SELECT x.id AS doc_id, (SELECT min(CAST(y.at AS BIGINT) * 1000000000 + y.id) % 1000000000 FROM h y WHERE y.sha = x.sha AND y.live AND (y.at < x.at OR (y.at = x.at AND y.id < x.id))) AS earlier FROM h x""")
+def earlier_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals by the last digit of the id, then the id; a quarter is no longer live."""
+    rows = documents(spark, sf_dir).select("id", F.sha2("text", 256).alias("sha"), (F.col("id") % 10).cast("int").alias("at"))
+    return d.earlier_duplicate(rows, "sha", ["at"], F.col("id") % 4 != 1).select(F.col("id").alias("doc_id"), "earlier")
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS "left", 100 + user_id % 30 AS "right", ts, event_id, CASE event_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'not_duplicate' END AS decision FROM events)
+SELECT "left", "right", arg_max(coalesce(decision, ''), event_id) AS decision, count(*) AS events FROM e GROUP BY "left", "right" """)
+def decision_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decisions on pairs, every fourth a reset: the last one holds."""
+    kinds = F.array(*map(F.lit, ("confirmed", "keep_both", "not_duplicate")))
+    rows = read_table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("left"), (100 + F.col("user_id") % 30).alias("right"), "event_id", F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("decision"))
+    return d.decision_state(rows, ["left", "right"], [F.col("event_id")]).select("left", "right", F.coalesce("decision", F.lit("")).alias("decision"), "events")
+
+
+STEM3 = "'978' || lpad(CAST(p_partkey // 3 AS VARCHAR), 9, '0')"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, {STEM3} AS stem FROM part WHERE p_partkey % 11 <> 0) SELECT x.p_partkey AS "left", y.p_partkey AS "right" FROM a x JOIN a y ON x.stem = y.stem AND x.p_partkey < y.p_partkey""")
+def isbn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts share an ISBN, one spells it with hyphens, one in ten digits; every eleventh has a wrong one."""
+    from shelfspark.functions import isbn as i
+
+    stem = F.concat(F.lit("978"), F.lpad(F.floor(F.col("p_partkey") / 3).cast("string"), 9, "0"))
+    # kept in between: the check digits of check digits would make one endless expression
+    rows = stored(read_table(spark, sf_dir, "part").select("p_partkey", stem.alias("stem")), "stems")
+    rows = stored(rows.select("p_partkey", "stem", F.concat("stem", i.check13(F.col("stem"))).alias("full")), "full")
+    full = F.col("full")
+    spelt = F.when(F.col("p_partkey") % 3 == 0, full).when(F.col("p_partkey") % 3 == 1, F.concat_ws("-", F.substring(full, 1, 3), F.substring(full, 4, 9), F.substring(full, 13, 1))).otherwise(i.isbn13_to_isbn10(full))
+    wrong = F.when(F.col("p_partkey") % 11 == 0, F.concat("stem", F.lit("x"))).otherwise(spelt)
+    spelled = stored(rows.select(F.col("p_partkey").alias("id"), wrong.alias("spelt")), "spelt")
+    return d.pairs_by_value(spelled.select("id", i.canonical_isbn13(F.col("spelt")).alias("isbn")), "isbn")
+
+
+REQUESTS = """
+rq AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'publisher' WHEN 1 THEN 'series' WHEN 2 THEN 'author' ELSE 'format' END AS field,
+    CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE c_name END AS variant,
+    CASE c_custkey % 4 WHEN 0 THEN 'Brand#' || CAST(c_custkey % 40 AS VARCHAR) WHEN 1 THEN upper((SELECT min(p_type) FROM part)) ELSE 'Supplier#' || lpad(CAST(c_custkey % 300 AS VARCHAR), 9, '0') END AS canonical FROM customer WHERE c_custkey % 7 = 0)"""
+
+
+@query(rf"""WITH {REQUESTS},
+key AS (SELECT *, trim(lower(variant)) AS vk0, CASE field WHEN 'author' THEN replace(lower(canonical), '#', ' ') ELSE lower(canonical) END AS ck, CASE field WHEN 'author' THEN replace(lower(trim(variant)), '#', ' ') ELSE lower(trim(variant)) END AS vk FROM rq),
+ar AS (SELECT 'publisher' AS field, lower(p_brand) AS k FROM part UNION SELECT 'series', lower(p_type) FROM part UNION SELECT 'author', replace(lower(s_name), '#', ' ') FROM supplier)
+SELECT id, CASE WHEN field NOT IN ('author', 'publisher', 'series') THEN 'field' WHEN vk = '' THEN 'text' WHEN NOT EXISTS (SELECT 1 FROM ar WHERE ar.field = key.field AND ar.k = ck) THEN 'unknown_target' WHEN ck = 'supplier 000000002' THEN 'target_is_variant' END AS error FROM key""")
+def save_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for aliases, checked against the archive's names; one supplier is a variant already."""
+    part, supplier, customer = (read_table(spark, sf_dir, n) for n in ("part", "supplier", "customer"))
+    k = F.col("c_custkey")
+    series = part.agg(F.upper(F.min("p_type")).alias("s"))
+    field = F.get(F.array(*map(F.lit, ("publisher", "series", "author", "format"))), (k % 4).cast("int"))
+    target = F.when(k % 4 == 0, F.concat(F.lit("Brand#"), (k % 40).cast("string"))).when(k % 4 == 1, F.col("s")).otherwise(F.concat(F.lit("Supplier#"), F.lpad((k % 300).cast("string"), 9, "0")))
+    asked = customer.where("c_custkey % 7 = 0").crossJoin(F.broadcast(series))  # one row
+    asked = asked.select(k.alias("id"), field.alias("field"), F.when(k % 9 == 0, " ").otherwise(F.col("c_name")).alias("variant"), target.alias("canonical"))
+    names = part.select(F.lit("publisher").alias("field"), F.col("p_brand").alias("name")).union(part.select(F.lit("series"), "p_type")).union(supplier.select(F.lit("author"), "s_name"))
+    aliases = spark.createDataFrame([("author", "Supplier#000000002", "Supplier#000000001")], "field string, variant string, canonical string")
+    made = scanner.save_aliases(asked, names, aliases)
+    return made.checked.select("id", "error")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS "left", o_orderkey + 1 AS "right" FROM orders WHERE o_orderkey % 3 = 0),
+q AS (SELECT event_id, user_id * 3 AS "left", user_id * 3 + 1 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS "right", CASE event_id % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'not_duplicate' WHEN 3 THEN NULL ELSE 'maybe' END AS decision FROM events)
+SELECT event_id, CASE WHEN decision = 'maybe' THEN 'decision' WHEN m."left" IS NULL THEN 'unknown_pair' END AS error FROM q LEFT JOIN m ON m."left" = q."left" AND m."right" = q."right" """)
+def decide_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on pairs of orders, some on pairs that are none, some of no known kind; pairs come in either order."""
+    pairs = read_table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("left"), (F.col("o_orderkey") + 1).alias("right"))
+    kinds = F.array(F.lit("confirmed"), F.lit("keep_both"), F.lit("not_duplicate"), F.lit(None).cast("string"), F.lit("maybe"))
+    a, b = F.col("user_id") * 3, F.col("user_id") * 3 + 1 + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    swap = F.col("event_id") % 2 == 0
+    asked = read_table(spark, sf_dir, "events").select("event_id", F.when(swap, b).otherwise(a).alias("left"), F.when(swap, a).otherwise(b).alias("right"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("decision"), F.col("ts").alias("decided_at"))
+    return scanner.decide(pairs, asked).checked.select("event_id", "error")
+
+
+@query("""WITH pv AS (SELECT c_custkey AS id, c_mktsegment AS sha, c_custkey % 4 AS n FROM customer),
+mt AS (SELECT c_custkey AS id, unnest(range(0, c_custkey % 4)) AS book FROM customer),
+dc AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'keep_both' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'use_existing' END AS action, CASE WHEN c_custkey % 6 = 0 THEN 'old' ELSE c_mktsegment END AS sha, CASE WHEN c_custkey % 5 = 1 THEN range(0, c_custkey % 4 + 1) ELSE range(0, c_custkey % 4) END AS books FROM customer)
+SELECT pv.id, CASE WHEN pv.id % 13 = 0 THEN 'similar_earlier' WHEN n = 0 THEN 'archive' WHEN action = 'keep_both' AND dc.sha = pv.sha AND len(books) = n THEN 'archive' ELSE 'needs_review' END AS gate FROM pv JOIN dc USING (id)""")
+def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as previews with nought to three matches; decisions may be of another text or list other matches."""
+    k = F.col("c_custkey")
+    rows = read_table(spark, sf_dir, "customer")
+    previews = rows.select(k.alias("id"), F.col("c_mktsegment").alias("sha256"), F.lit("m").alias("metadata"))
+    books = lambda n: F.slice(F.array(*[F.lit(i).cast("long") for i in range(4)]), 1, n.cast("int"))
+    found = rows.select(k.alias("id"), F.explode(books(k % 4)).alias("book_id"))
+    action = F.when(k % 5 < 2, "keep_both").when(k % 5 == 2, "use_existing")
+    decisions = rows.select(k.alias("id"), action.alias("action"), F.when(k % 6 == 0, "old").otherwise(F.col("c_mktsegment")).alias("sha256"), F.lit("m").alias("metadata"), F.when(k % 5 == 1, books(k % 4 + 1)).otherwise(books(k % 4)).alias("book_ids"))
+    earlier = rows.where(k % 13 == 0).select(k.alias("id"))
+    return scanner.review_gate(previews, found, decisions, earlier).select("id", "gate")

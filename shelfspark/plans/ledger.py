@@ -32,36 +32,44 @@ def usage_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.usage_by_feature(ledger(spark, sf_dir))
 
 
-@query(f"""SELECT round(coalesce(sum(value / 1000) FILTER (ts >= TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '{NOW}'), 0), 6) AS day_cost,
-  round(coalesce(sum(value / 1000) FILTER (ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '{NOW}'), 0), 6) AS month_cost, 0.5 * count(*) FILTER (event_id % 10 = 1) AS reserved,
-  coalesce(sum(value / 1000) FILTER (ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '{NOW}'), 0) >= 10 * 0.8 AS warning FROM events""")
+@query(f"""WITH e AS (SELECT ts, coalesce(value / 1000, 0) AS cost, CASE WHEN event_id % 10 = 1 THEN 0.5 ELSE 0 END AS reserved FROM events WHERE ts <= TIMESTAMP '{NOW}')
+SELECT round(coalesce(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-20'), 0), 6) AS day_cost, round(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-01'), 6) AS month_cost, round(sum(reserved) FILTER (ts >= TIMESTAMP '2024-01-01'), 6) AS reserved,
+  FALSE AS day_warning, round(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-01'), 6) >= 10 * 0.8 AS month_warning FROM e""")
 def budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs at a fixed time, with a warning from four fifths of a month's limit of 10 on."""
-    costs = u.period_costs(ledger(spark, sf_dir), NOW)
-    return costs.select(F.round("day_cost", 6).alias("day_cost"), F.round("month_cost", 6).alias("month_cost"), "reserved", (F.col("month_cost") >= 10 * 0.8).alias("warning"))
+    return u.budget_status(ledger(spark, sf_dir), NOW, 0, 10)
 
 
-@query()
-def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's requests under a budget of its own: a fold of the user's month."""
+@query(f"""WITH e AS (SELECT ts, event_type, user_id, coalesce(value / 1000, 0) AS cost, CASE WHEN event_id % 10 = 1 THEN 0.5 ELSE 0 END AS reserved FROM events WHERE ts <= TIMESTAMP '{NOW}')
+SELECT 'day' AS period, round(coalesce(sum(cost + reserved) FILTER (ts >= TIMESTAMP '2024-01-20'), 0), 6) AS cost FROM e UNION ALL SELECT 'month', round(coalesce(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-01' AND event_type = 'click'), 0), 6) FROM e UNION ALL SELECT 'all', round(sum(cost), 6) FROM e""")
+def period_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day with reservations, the month of one feature, and all."""
     rows = ledger(spark, sf_dir)
-    keyed = rows.select("id", "created_at", F.col("cost").alias("estimate"), "book_id")
+    day, month, all_ = u.period_cost(rows, "day", NOW, include_reserved=True), u.period_cost(rows, "month", NOW, feature="click"), u.period_cost(rows, "all", NOW)
+    return day.select(F.lit("day").alias("period"), "cost").union(month.select(F.lit("month"), "cost")).union(all_.select(F.lit("all"), "cost"))
 
-    def fold(part):
-        spent, out = 0.0, []
-        for x in part["estimate"]:
-            ok = spent + x <= 0.2
-            spent += x if ok else 0.0
-            out.append(ok)
-        return part[["id"]].assign(admitted=out)
 
-    return u.ordered_fold(keyed, ["book_id"], ["created_at", "id"], fold, "id long, admitted boolean")
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS u, CAST(ts AS DATE) AS d, strftime(ts, '%Y-%m') AS m, coalesce(value / 1000, 0) AS x, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT id, u, d, m, n, x <= 0.05 AND x <= 0.2 AS ok, CASE WHEN x <= 0.05 THEN x ELSE 0.0 END AS day, CASE WHEN x <= 0.05 THEN x ELSE 0.0 END AS month FROM e WHERE n = 1
+ UNION ALL SELECT e.id, e.u, e.d, e.m, e.n, (CASE WHEN e.d = f.d THEN f.day ELSE 0.0 END) + e.x <= 0.05 AND f.month + e.x <= 0.2,
+  (CASE WHEN e.d = f.d THEN f.day ELSE 0.0 END) + CASE WHEN (CASE WHEN e.d = f.d THEN f.day ELSE 0.0 END) + e.x <= 0.05 AND f.month + e.x <= 0.2 THEN e.x ELSE 0.0 END,
+  f.month + CASE WHEN (CASE WHEN e.d = f.d THEN f.day ELSE 0.0 END) + e.x <= 0.05 AND f.month + e.x <= 0.2 THEN e.x ELSE 0.0 END FROM f JOIN e ON e.u = f.u AND e.m = f.m AND e.n = f.n + 1)
+SELECT id, ok AS admitted FROM f""")
+def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's requests under budgets of its own for a day and a month."""
+    rows = ledger(spark, sf_dir).withColumn("estimate", F.col("cost"))
+    return u.admit_by_budget(rows, 0.05, 0.2, scope="book_id")
 
 
-@query(f"""SELECT event_id AS id, event_type AS feature, ts AS created_at, CASE WHEN event_id % 10 NOT IN (0, 1) THEN coalesce(value / 1000, 0) END AS cost FROM events ORDER BY ts DESC, event_id DESC LIMIT 100""")
+@query(f"""SELECT event_id AS id, event_type AS feature, ts AS created_at, CASE WHEN event_id % 10 NOT IN (0, 1) THEN coalesce(value / 1000, 0) END AS cost FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def recent_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return u.recent_usage(ledger(spark, sf_dir), 100, feature="click").select("id", "feature", "created_at", "cost")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 3 > 0 THEN (k * (event_id % 3) + 2 * k * 4) / 1e6 END AS cost FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs by rates; a third of the models has no price for input."""
     rows = ledger(spark, sf_dir)
-    return rows.select("id", "feature", "created_at", F.when(F.col("status") == "completed", F.col("cost")).alias("cost")).orderBy(F.desc("created_at"), F.desc("id")).limit(100)
+    return rows.select("id", u.token_cost(F.col("input_tokens"), F.col("output_tokens"), (F.col("id") % 3).cast("double"), F.lit(4.0)).alias("cost"))
 
 
 LIFE = "CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'reserved' ELSE 'completed' END"
@@ -90,86 +98,66 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.job_progress(items)
 
 
-@query("""SELECT l_returnflag AS variant, count(*) AS runs, round(median(l_extendedprice), 4) AS median, min(l_extendedprice) AS least, max(l_extendedprice) AS most,
-  round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS stddev, round(100 * stddev_samp(l_extendedprice) / avg(l_extendedprice), 4) AS cv FROM lineitem GROUP BY l_returnflag""")
+@query("""WITH l AS (SELECT l_returnflag AS variant, l_extendedprice AS v, l_quantity AS q, l_linenumber <> 7 AS ok FROM lineitem)
+SELECT variant, count(*) FILTER (ok) AS runs, count(*) FILTER (NOT ok) AS invalid, round(median(v) FILTER (ok), 4) AS median, min(v) FILTER (ok) AS least, max(v) FILTER (ok) AS most, round(avg(v) FILTER (ok), 4) AS mean,
+  round(stddev_samp(v) FILTER (ok), 4) AS stddev, round(100 * stddev_samp(v) FILTER (ok) / avg(v) FILTER (ok), 4) AS cv, median(q) FILTER (ok) AS memory_median, max(q) FILTER (ok) AS memory_most FROM l GROUP BY variant""")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = u.run_metrics(read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("variant"), "l_extendedprice"), ["variant"], "l_extendedprice")
-    return made.select("variant", "runs", "least", "most", *[F.round(c, 4).alias(c) for c in ("median", "mean", "stddev", "cv")])
+    runs = read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("variant"), "l_extendedprice", F.col("l_quantity").alias("memory"), (F.col("l_linenumber") != 7).alias("ok"))
+    made = u.run_metrics(runs, ["variant"], "l_extendedprice", "ok", ("memory",))
+    return made.select("variant", "runs", "invalid", "least", "most", *[F.round(c, 4).alias(c) for c in ("median", "mean", "stddev", "cv")], "memory_median", "memory_most")
 
 
-@query("""SELECT event_type AS endpoint, count(*) AS planned, count(value) AS success, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value) < 200 AS weak FROM events GROUP BY event_type""")
+@query("""WITH r AS (SELECT event_type AS endpoint, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 13 = 0 THEN 'skipped' ELSE 'success' END AS o, coalesce(value, 0) AS a, coalesce(value, 0) + event_id % 5 AS s FROM events)
+SELECT endpoint, count(*) AS planned, count(*) FILTER (o = 'success') AS success, count(*) FILTER (o = 'error') AS errors, count(*) FILTER (o = 'skipped') AS skipped,
+  round(quantile_cont(a, 0.5) FILTER (o = 'success'), 6) AS p50_actual, round(quantile_cont(a, 0.95) FILTER (o = 'success'), 6) AS p95_actual, round(quantile_cont(s, 0.5) FILTER (o = 'success'), 6) AS p50_scheduled, round(quantile_cont(s, 0.95) FILTER (o = 'success'), 6) AS p95_scheduled,
+  count(*) FILTER (o = 'success') < 200 AS weak FROM r GROUP BY endpoint""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    made = read_table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("endpoint")).agg(F.count("*").alias("planned"), F.count("value").alias("success"), p.alias("p"))
-    return made.select("endpoint", "planned", "success", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), (F.col("success") < 200).alias("weak"))
+    e, value = F.col("event_id"), F.coalesce("value", F.lit(0.0))
+    outcome = F.when(e % 11 == 0, "error").when(e % 13 == 0, "skipped").otherwise("success")
+    made = u.latency_percentiles(read_table(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint"), outcome.alias("outcome"), value.alias("actual"), (value + e % 5).alias("scheduled")))
+    return made.select(*[F.round(c, 6).alias(c) if c.startswith("p5") or c.startswith("p9") else F.col(c) for c in made.columns])
 
 
-@query("""
-WITH p AS (SELECT user_id, sum(value) FILTER (event_id % 2 = 0) AS a, sum(value) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY user_id)
-SELECT count(*) AS pairs, round(median(100 * (1 - b / a)), 6) AS median_saving FROM p WHERE a > 0 AND b IS NOT NULL""")
+@query("""WITH RECURSIVE p AS (SELECT user_id, sum(value) FILTER (event_id % 2 = 0) AS a, sum(value) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY user_id),
+x AS (SELECT 100 * (1 - b / a) AS x, row_number() OVER (ORDER BY 100 * (1 - b / a)) AS place, count(*) OVER () AS n FROM p WHERE a > 0 AND b IS NOT NULL),
+m AS (SELECT r, median(x.x) AS m FROM (SELECT r, CAST('0x' || substr(md5(r || ':' || i), 1, 8) AS BIGINT) % (SELECT max(n) FROM x) + 1 AS place FROM range(200) a(r), range(1, (SELECT max(n) FROM x) + 1) b(i)) d JOIN x USING (place) GROUP BY r)
+SELECT (SELECT max(n) FROM x) AS pairs, round((SELECT median(x) FROM x), 6) AS median_saving, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT median(x) FROM x) >= 5 AND quantile_cont(m, 0.025) > 0 AS reliable FROM m""")
 def paired_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' sums of even and odd events as pairs of runs; 200 replicates."""
     odd = F.col("event_id") % 2 == 1
-    pairs = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(~odd, F.col("value"))).alias("a"), F.sum(F.when(odd, F.col("value"))).alias("b")).where("a > 0 and b is not null")
-    return pairs.agg(F.count("*").alias("pairs"), F.round(F.percentile(100 * (1 - F.col("b") / F.col("a")), F.lit(0.5)), 6).alias("median_saving"))
-
-
-@query(f"""SELECT event_id AS key, event_type = (SELECT min(event_type) FROM events) AS negative FROM events
-WHERE ts + CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '{NOW}'""")
-def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cache rows alive at a fixed time: positive ones for 30 days, negative ones for 7."""
-    events = read_table(spark, sf_dir, "events")
-    rows = events.crossJoin(F.broadcast(events.agg(F.min("event_type").alias("first")))).withColumn("negative", F.col("event_type") == F.col("first"))
-    expires = F.when(F.col("negative"), F.expr("ts + interval 7 days")).otherwise(F.expr("ts + interval 30 days"))
-    return rows.where(expires > F.to_timestamp(F.lit(NOW))).select(F.col("event_id").alias("key"), "negative")
-
-
-@query("""SELECT conv_id, turn, coalesce(string_agg(left(text, 1200), '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM (SELECT DISTINCT conv_id, turn, text FROM conversations)""")
-def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
-    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").distinct()
-    return rows.select("conv_id", "turn", F.array_join(F.collect_list(F.substring("text", 1, 1200)).over(w), "|").alias("context"))
-
+    pairs = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(~odd, F.col("value"))).alias("a"), F.sum(F.when(odd, F.col("value"))).alias("b"))
+    made = u.paired_savings(pairs, 200)
+    return made.select("pairs", *[F.round(c, 6).alias(c) for c in ("median_saving", "low", "high")], "reliable")
 
-@query()
-def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation in batches of at most 8 and 12,000 characters."""
-    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("size"))
-    return u.pack_batches(rows, "conv_id", ["turn"], "size", 8, 12_000)
 
-
-@query("""SELECT conv_id, count(*) AS segments, sum(length(text)) // 7 * 2 + (sum(length(text)) % 7) * 2 // 7 AS tokens FROM conversations GROUP BY conv_id""")
-def translation_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments and estimated tokens (characters / 3.5, down) of each conversation."""
-    rows = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("n"))
-    return rows.select("conv_id", "segments", F.expr("n * 2 div 7").alias("tokens"))
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return read_table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), F.coalesce("value", F.lit(0.0)).alias("ms"), F.create_map(F.lit("rows"), k, F.concat(F.lit("user"), (F.col("user_id") % 3).cast("string")), F.lit(1).cast("long")).alias("counters"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS revision, CASE WHEN role <> 'user' THEN 'translated' ELSE 'draft' END AS stage FROM conversations""")
-def advance_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as segments: users' turns have one revision, others a second that promotes the draft."""
-    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("revisions"))
-    return turns.select("conv_id", "turn", F.array_max("revisions").alias("revision"), F.when(F.array_max("revisions") == 2, "translated").otherwise("draft").alias("stage"))
+@query("""SELECT event_type AS phase, count(*) AS calls, round(median(coalesce(value, 0)), 6) AS median_ms, round(sum(coalesce(value, 0)), 4) AS total_ms FROM events GROUP BY event_type""")
+def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return u.phase_totals(spans(spark, sf_dir)).select("phase", "calls", F.round("median_ms", 6).alias("median_ms"), F.round("total_ms", 4).alias("total_ms"))
 
 
-@query(r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, 'embedded' AS source FROM pages""")
-def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.lit("embedded").alias("source"))
+@query("""SELECT 'rows' AS counter, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events UNION ALL SELECT 'user' || user_id % 3, count(*) FROM events GROUP BY 1""")
+def counter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return u.counter_totals(spans(spark, sf_dir))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
-def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of pages without scripts, styles and tags; built-in expressions."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    return read_table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
+@query("""SELECT k AS value, (SELECT count(*) FROM orders WHERE o_orderstatus = k) AS n FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS k)""")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return u.outcome_counts(read_table(spark, sf_dir, "orders"), "o_orderstatus", ("F", "O", "P", "X"))
 
 
-@query(r"""
-WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<p[^>]*>([^<]*)</p>', 1)) AS text FROM pages)
-SELECT page_id, count(*) AS segments, sum(length(trim(text))) AS chars FROM s WHERE trim(text) <> '' GROUP BY page_id""")
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaf paragraphs without children, blank ones dropped."""
-    rows = read_table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<p[^>]*>([^<]*)</p>"), F.lit(1))).alias("text")).where(F.trim("text") != "")
-    return rows.groupBy("page_id").agg(F.count("*").alias("segments"), F.sum(F.length(F.trim("text"))).alias("chars"))
+@query(f"""SELECT event_id AS key, event_type = (SELECT min(event_type) FROM events) AS negative FROM events
+WHERE ts + CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '{NOW}'""")
+def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache rows alive at a fixed time: positive ones for 30 days, negative ones for 7."""
+    events = read_table(spark, sf_dir, "events")
+    rows = events.crossJoin(F.broadcast(events.agg(F.min("event_type").alias("first")))).withColumn("negative", F.col("event_type") == F.col("first"))
+    expires = F.when(F.col("negative"), F.expr("ts + interval 7 days")).otherwise(F.expr("ts + interval 30 days"))
+    return rows.where(expires > F.to_timestamp(F.lit(NOW))).select(F.col("event_id").alias("key"), "negative")
 
 
 @query(r"""SELECT event_id, regexp_replace(props, '"(password|secret|token|api_key|k)"\s*:\s*[^,}]+', '"\1": "[REDACTED]"', 'g') AS props FROM events""")

@@ -74,20 +74,6 @@ def link_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(other.where("n_matches > 0"), ["title", "host"]).select("page_id", "first_match", "n_matches")
 
 
-@query("""
-WITH c AS (SELECT p_partkey, p_type, p_brand FROM part)
-SELECT p_type AS title, p_brand AS author, count(*) AS editions, min(p_partkey) AS first_edition FROM c GROUP BY p_type, p_brand HAVING count(*) > 1""")
-def related_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works (equal title and authors) with several editions."""
-    part = read_table(spark, sf_dir, "part")
-    return part.groupBy(F.col("p_type").alias("title"), F.col("p_brand").alias("author")).agg(F.count("*").alias("editions"), F.min("p_partkey").alias("first_edition")).where("editions > 1")
-
-
-@query("SELECT p_partkey, p_retailprice AS score FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
-def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("score")).orderBy(F.desc("score"), "p_partkey").limit(100)
-
-
 @query()
 def string_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each part's name to the first name of its brand and type."""
@@ -104,14 +90,6 @@ def title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", t.clean_title(raw)["title"].alias("title"))
 
 
-@query("""
-SELECT p_partkey, array_to_string(list_filter(list_distinct(string_split(p_type, ' ')), lambda x: length(x) >= 3), '|') IS NOT NULL AS has_subjects,
-  len(list_distinct(list_filter(string_split(p_type, ' '), lambda x: length(x) >= 3))) AS n_subjects FROM part""")
-def subject_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subjects = t.clean_subjects(F.array(F.replace("p_type", F.lit(" "), F.lit("|"))), F.array().cast("array<string>"))
-    return read_table(spark, sf_dir, "part").select("p_partkey", subjects.isNotNull().alias("has_subjects"), F.size(subjects).cast("long").alias("n_subjects"))
-
-
 @query(r"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^\p{L}\p{N}_\p{M}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS author_key FROM supplier""")
 def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "supplier").select("s_suppkey", t.author_key(F.col("s_name")).alias("author_key"))
@@ -126,7 +104,7 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH u AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS f, url FROM pages)
 SELECT page_id, NOT (starts_with(url, '/') OR contains(url, '..') OR contains(url, '\') OR regexp_matches(url, '^[A-Za-z]+:')) AS safe,
-  coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(f, '[<>:"/\\|?*\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g'), 'zzzz', 'zzzz'), ''), 'item') AS name FROM u""")
+  coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(f, '[<>:"/\\|?*\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g'), 'zzzz', 'zzzz'), ''), 'Unbekannt') AS name FROM u""")
 def path_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     safe = ~(url.startswith("/") | F.contains(url, F.lit("..")) | F.contains(url, F.lit("\\")) | url.rlike("^[A-Za-z]+:"))

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.operators import usage as u
 from shelfspark.plans.registry import query
+from shelfspark.shared import new_folder
 from shelfspark.sources.tables import read_table
 from shelfspark.streaming import streams as s
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that all machines share (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder that all machines share."""
+    return new_folder(spark, "stream")
 
 
 @query("""
@@ -60,3 +58,55 @@ def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = s.read_stream(spark, sf_dir, "events", events.schema).select(F.col("event_id").alias("item"), failed.alias("failed_steps"))
     folder = work_dir(spark)
     return s.run_available(s.retry_failed_steps(stream), f"{folder}/steps", f"{folder}/state")
+
+
+@query("""WITH h AS (SELECT min(doc_id) AS id, sha256(coalesce(text, '')) AS sha256 FROM documents GROUP BY 2) SELECT count(*) AS texts, count(DISTINCT sha256) AS distinct_texts FROM h""")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of one day keep one record, in state; which one is open."""
+    docs = read_table(spark, sf_dir, "documents")
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600)
+    stream = s.read_stream(spark, sf_dir, "documents", docs.schema).select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), arrived.alias("arrived"))
+    folder = work_dir(spark)
+    kept = s.run_available(s.dedupe_stream(stream), f"{folder}/kept", f"{folder}/state")
+    return kept.agg(F.count("*").alias("texts"), F.count_distinct("sha256").alias("distinct_texts"))
+
+
+@query("""WITH h AS (SELECT min(doc_id) AS id, sha256(coalesce(text, '')) AS sha256 FROM documents GROUP BY 2) SELECT id AS doc_id, sha256 FROM h""")
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive filled by two runs with one checkpoint: the second starts where the first ended, and adds nothing twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = work_dir(spark)
+    own = s.import_status(s.read_stream(spark, sf_dir, "documents", docs.schema).select(F.col("doc_id").alias("id"), "text"))
+    for _ in range(2):
+        s.resumable_scan(own, s.import_batch(f"{folder}/archive"), f"{folder}/state")
+    return spark.read.parquet(f"{folder}/archive").select(F.col("id").alias("doc_id"), "sha256")
+
+
+STATES = "['queued', 'active', 'needs_review', 'failed', 'finished', 'finished']"
+
+
+@query(f"""WITH e AS (SELECT user_id AS item, user_id % 7 AS job, {STATES}[event_id % 6 + 1] AS s FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+c AS (SELECT job, count(*) AS total, count(*) FILTER (s IN ('finished', 'failed')) AS completed, count(*) FILTER (s = 'queued') AS queued, count(*) FILTER (s = 'active') AS active, count(*) FILTER (s = 'needs_review') AS needs_review, count(*) FILTER (s = 'failed') AS f FROM e GROUP BY job)
+SELECT job, total, completed, queued, active, needs_review, CASE WHEN queued + active > 0 THEN 'running' WHEN needs_review > 0 THEN 'needs_review' WHEN f = total THEN 'failed' ELSE 'finished' END AS status FROM c""")
+def stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each item, kept as state of a stream, and the progress of the jobs."""
+    events = read_table(spark, sf_dir, "events")
+    states = F.array(*map(F.lit, ("queued", "active", "needs_review", "failed", "finished", "finished")))
+    stream = s.read_stream(spark, sf_dir, "events", events.schema).select(F.col("user_id").alias("item"), (F.col("user_id") % 7).alias("job"), F.get(states, (F.col("event_id") % 6).cast("int")).alias("status"), "ts", F.col("event_id").alias("seq"))
+    folder = work_dir(spark)
+    return u.job_progress(s.job_status_stream(stream, f"{folder}/status", f"{folder}/state"))
+
+
+@query("""SELECT user_id AS item, arg_max(event_type, event_id) AS event_type, max(event_id) AS revision FROM events GROUP BY user_id""")
+def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), "event_type", F.col("event_id").alias("revision"))
+    return s.latest_revision(rows).select("item", "event_type", "revision")
+
+
+@query("""WITH d AS (SELECT date_trunc('day', ts) AS day, event_type AS feature, count(*) AS requests, sum(coalesce(value, 0)) AS cost FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2)
+SELECT date_trunc('month', day) AS month, feature, CAST(sum(requests) AS BIGINT) AS requests, round(sum(cost), 3) AS cost FROM d GROUP BY 1, 2""")
+def stream_usage_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly totals of the days that the stream has given out."""
+    days = stream_usage(spark, sf_dir).withColumn("day", F.col("day").cast("timestamp"))
+    return s.month_windows(days).select(F.col("month").cast("timestamp_ntz").alias("month"), "feature", "requests", F.round("cost", 3).alias("cost"))

@@ -1,4 +1,4 @@
-"""Streams: import with duplicates, usage windows, review expiry, retried steps, each with a batch twin.
+"""Streams: import with duplicates, usage windows, review expiry, retried steps, job states, resumed scans.
 
 All run with Trigger.AvailableNow over files and a checkpoint in the caller's folder, so a
 restart goes on after the last committed file.
@@ -6,6 +6,7 @@ restart goes on after the last committed file.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,68 @@ def retry_failed_steps(items: DataFrame, steps: tuple[str, ...] = ("isbn", "auth
     """(item, step): the failed post-processing steps, in their fixed order."""
     order = F.array(*map(F.lit, steps))
     return items.select("item", F.explode(F.filter(order, lambda s: F.array_contains(F.col("failed_steps"), s))).alias("step"))
+
+
+def dedupe_stream(files: DataFrame, at: str = "arrived", delay: str = "1 day") -> DataFrame:
+    """The first of equal texts (by sha256) that arrive within the watermark's delay of each other; state is kept that long."""
+    return files.withWatermark(at, delay).dropDuplicatesWithinWatermark(["sha256"])
+
+
+def not_archived(arrivals: DataFrame, archive: DataFrame) -> DataFrame:
+    """Arrivals whose sha256 no archived row has: what a second run into the same archive adds."""
+    return arrivals.join(archive.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def import_batch(archive: str):
+    """A batch function for run_batches that appends to the archive's folder what it does not hold yet, one row a text.
+
+    The folder is partitioned by batch and a batch overwrites its own part, so a repeated batch changes nothing.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy("sha256").agg(F.min(F.struct("id", "status")).alias("f")).select("f.id", "sha256", "f.status")
+        try:
+            held = spark.read.schema("id long, sha256 string, status string, batch long").parquet(archive).where(F.col("batch") != number)
+            first = not_archived(first, held)
+        except AnalysisException:
+            pass  # no archive yet
+        first.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(archive)
+
+    return each
+
+
+def job_status(events: DataFrame) -> DataFrame:
+    """(item, job, status) of the last event of each item of a stream or table (item, job, status, ts, seq)."""
+    last = events.groupBy("item").agg(F.max_by(F.struct("job", "status"), F.struct("ts", "seq")).alias("l"))
+    return last.select("item", "l.job", "l.status")
+
+
+def job_status_stream(events: DataFrame, sink: str, checkpoint: str) -> DataFrame:
+    """job_status as a stream that keeps one state an item: the sink's rows after all that is available now."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/{number % 2}")
+        batch.sparkSession.createDataFrame([(number,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{sink}/last")
+
+    stream = job_status(events)
+    stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = events.sparkSession
+    number = spark.read.parquet(f"{sink}/last").first()[0]
+    return spark.read.schema(stream.schema).parquet(f"{sink}/{number % 2}")
+
+
+def latest_revision(writes: DataFrame, key: str = "item", revision: str = "revision") -> DataFrame:
+    """The row of the highest revision of each key: stale writes go. Works on streams too."""
+    rest = [c for c in writes.columns if c != key]
+    return writes.groupBy(key).agg(F.max_by(F.struct(*rest), revision).alias("x")).select(key, "x.*")
+
+
+def month_windows(usage: DataFrame) -> DataFrame:
+    """(month, feature, requests, cost) of the daily totals that usage_windows gives."""
+    return usage.groupBy(F.date_trunc("month", "day").alias("month"), "feature").agg(F.sum("requests").alias("requests"), F.sum("cost").alias("cost"))
+
+
+def resumable_scan(rows: DataFrame, each, checkpoint: str) -> None:
+    """each(batch, id) over what no run with this checkpoint has seen: a restart goes on after the last finished batch."""
+    run_batches(rows, each, checkpoint)
