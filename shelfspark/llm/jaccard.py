@@ -4,7 +4,7 @@ A document's set holds the hashes of its NGRAM-word windows (lower-case A-Z, wor
 white space); a document of one to NGRAM-1 words has one window. Documents with equal sets
 form a class and are represented by their smallest id. Bands and rows are chosen for
 TARGET_RECALL at the threshold. Classes that share a band hash are candidates. Each class has
-its home at the least class it shares one with; the classes of a home fill tiles of bounded size,
+its home at the least class it shares one with, or that one's home; the classes of a home fill tiles of bounded size,
 and only tiles with a bucket in common are compared, on the full sets, so that chains of chance
 candidates do not grow together and no group meets in one task. A pair of tiles returns, for each
 of its members, the number of links and one edge towards another that it reaches, never the pairs.
@@ -32,6 +32,8 @@ NGRAM = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 MAX_HASHES = 192
+#: Times that a home moves on to its own home.
+HOME_STEPS = 2
 #: Members and set elements of a tile.
 TILE_ROWS = 1024
 TILE_ITEMS = 1 << 20
@@ -168,9 +170,9 @@ def links(rows: pa.Table, threshold: float) -> tuple[list[int], np.ndarray, np.n
 def candidate_tiles(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, tile, n, size, fp1, fp2) of the classes that share a band hash with another, and the pairs of tiles to compare (a, b, unit).
 
-    A class has its home at the least class that it shares a bucket with (itself included), so that
-    near copies, which share buckets with one another, have one or two homes; the classes of a home
-    fill tiles of bounded size. Tiles that have a bucket in common are compared; buckets of one class
+    A class has its home at the least class that it shares a bucket with (itself included), or at that
+    one's home, so HOME_STEPS times: near copies, which share buckets with one another, have one or two
+    homes between them. The classes of a home fill tiles of bounded size. Tiles that have a bucket in common are compared; buckets of one class
     meet nothing, and no pairs of classes are made.
     """
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -178,6 +180,9 @@ def candidate_tiles(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(banded.join(buckets, "band"), "shared-bands")
     homes = shared.groupBy("node").agg(F.min("least").alias("home")).join(classes.drop("bands"), "node")
     homes = stored(homes.select("node", "n", "rep", "size", "fp1", "fp2", "home"), "homes")
+    for step in range(HOME_STEPS):
+        next_ = homes.select(F.col("node").alias("home"), F.col("home").alias("__next"))
+        homes = stored(homes.join(next_, "home").drop("home").withColumnRenamed("__next", "home"), f"homes{step}")
     wide = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE_ROWS), F.sum("size") / F.lit(TILE_ITEMS))).cast("int").alias("k"))
     placed = homes.join(wide, "home").withColumn("tile", F.concat_ws(".", F.col("home").cast("string"), F.pmod(F.col("node"), F.col("k")).cast("string"))).drop("home", "k")
     placed = stored(placed, "placed")
