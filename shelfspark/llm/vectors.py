@@ -17,8 +17,8 @@ the pairs.
 
 Result, one row per input row: n_links, component_id, kept. Vectors that are null, zero or
 hold null or non-finite parts, and rows without an id, link with nothing; vectors of
-different lengths are not compared. Rows that repeat an id are one node. Empty tables give
-no rows. Vectors are told apart by two 64-bit hashes. Vectors of more than PCA_DIMS parts keep
+different lengths are not compared. Rows that repeat an id with another vector are nodes of their
+own. Empty tables give no rows. Vectors are told apart by two 64-bit hashes. Vectors of more than PCA_DIMS parts keep
 their axes, ordered by second moments, as the matrix for the turn would not stay small.
 """
 
@@ -161,8 +161,7 @@ def linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, t
 
 
 def tile_links(raw: np.ndarray, side: np.ndarray, weight: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of the vectors of one tile (side all 0), or of two (0 and 1) between them. Rows come by rising id.
-
+    """(links, root) of the vectors of one tile (side all 0), or of two (0 and 1) between them. 
     weight: rows of each class. Blocks hold vectors that are neighbours along the first axis; of the
     links of two blocks only sums and a spanning forest are kept.
     """
@@ -208,7 +207,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     plain = F.transform("vec", lambda x: x + F.lit(0.0).cast(rows.schema["vec"].dataType.elementType))
     keyed = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumns({"h1": F.when(F.col("sound"), F.xxhash64(plain)), "h2": F.when(F.col("sound"), F.xxhash64(F.lit(1), plain))})
     ids = stored(keyed.select("id", "h1", "h2"), "hashes")
-    classes = keyed.where("sound").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    classes = keyed.where("sound").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    classes = classes.withColumns({"dim": F.size("vec"), "rep": F.xxhash64("h1", "h2")})
     classes = stored(classes, "classes")
     axes = principal_axes(classes)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
@@ -262,8 +262,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     found = stored(over_groups(units, "unit", verify, schema, also=("rep",)), "links")
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    judged = classes.select("h1", "h2", "n", F.col("rep").alias("id")).join(total, "id", "left").join(roots, "id", "left")
-    judged = judged.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named = roots.join(classes.select(F.col("rep").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    judged = classes.select("h1", "h2", "n", "least", F.col("rep").alias("id")).join(total, "id", "left").join(roots.join(named, "component").select("id", "component_id"), "id", "left")
+    judged = judged.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = ids.join(judged, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
