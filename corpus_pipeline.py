@@ -34,8 +34,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture by weight: a document as often as its source's epochs ask, the last one cut at the budget."""
-    budget = F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(int(queries.MIX_SHARE * 10)) / 10)
-    return mixing.mix_texts(docs, queries.MIX_WEIGHTS, budget, queries.MIX_SEED, queries.domain_of(F.col("source")))
+    return mixing.mix_texts(docs, queries.MIX_WEIGHTS, queries.mix_budget(), queries.MIX_SEED, queries.domain_of(F.col("source")))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

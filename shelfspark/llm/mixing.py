@@ -2,7 +2,7 @@
 
 DataFrame functions only. The tree is domain - language - source. The token budget flows from
 the root down: a node shares its budget among its children by their weights, no child above
-its capacity (tokens below it times MAX_EPOCHS). What a child cannot take goes to its siblings
+its capacity (tokens below it times max_epochs). What a child cannot take goes to its siblings
 first, by the same weights; because a node's capacity is the sum of its children's, what all
 of them cannot take has already gone to the node's own siblings. Shares are whole tokens and
 add up.
@@ -32,8 +32,6 @@ BUCKET_DIGITS = 3
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to this number are sent to all tasks; beyond it they are joined by shuffle.
 BROADCAST_LEAVES = 20_000
-#: Selected rows up to this number (24 bytes each) are sent to all tasks, beyond it joined by shuffle.
-BROADCAST_ROWS = 400_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -68,7 +66,7 @@ def _share(children: DataFrame, parents: DataFrame, key: list[str]) -> DataFrame
     return rows.select(*group, "child", share.cast("long").alias("budget"))
 
 
-def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, default_weight: int = 1) -> DataFrame:
+def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, default_weight: int = 1, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(domain, lang, source, tokens, budget) of leaves (domain, lang, source, tokens).
 
     weights: for each level a weight (0 or more) by name. budget: tokens to select in all, or
@@ -80,7 +78,7 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: int |
         pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
         return F.coalesce(F.try_element_at(pairs, F.col(level)), F.lit(default_weight)).cast("long")
 
-    have = leaves.withColumn("capacity", (F.col("tokens") * MAX_EPOCHS).cast("long"))
+    have = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast("long"))
     total = have.agg(F.least(F.coalesce(F.sum("capacity"), F.lit(0)), F.lit(budget) if isinstance(budget, int) else budget).cast("long").alias("budget"))
     held, key = total, []
     for level in LEVELS:
@@ -90,7 +88,7 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: int |
     return have.join(held, list(LEVELS)).select(*LEVELS, "tokens", "budget")
 
 
-def select_tokens(docs: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, seed: int, id_col: str = "doc_id") -> DataFrame:
+def select_tokens(docs: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, seed: int, id_col: str = "doc_id", max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """docs (id, domain, lang, source, tokens) with leaf_budget, full_epochs and partial_tokens.
 
     A document is to be used full_epochs times whole and once, if partial_tokens > 0, by its
@@ -99,7 +97,7 @@ def select_tokens(docs: DataFrame, weights: dict[str, dict[str, int]], budget: i
     base = docs.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS], F.col("tokens").cast("long").alias("tokens"))
     base = stored(base, "token-counts")
     leaves = stored(base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
-    share = stored(budgets(leaves, weights, budget), "budgets")
+    share = stored(budgets(leaves, weights, budget, max_epochs=max_epochs), "budgets")
     few = few_rows(share, BROADCAST_LEAVES)
     small = F.broadcast if few else (lambda d: d)
     plan = share.select(
@@ -130,14 +128,43 @@ def prefix(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{WS}]*[^{WS}]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
-def mix_texts(df: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, seed: int, domain: Column, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def mix_texts(df: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, seed: int, domain: Column, text: str = "text", n_chars: str = "n_chars", max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mixture itself: rows of df as often as their leaf's epochs ask, the last use cut to its token prefix."""
     order = df.columns
     rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     counted = rows.select("__row", domain.alias("domain"), "lang", "source", n_tokens(F.col(text)).alias("tokens"))
-    drawn = stored(select_tokens(counted, weights, budget, seed, "__row").select("__row", "tokens", "full_epochs", "partial_tokens").where("full_epochs > 0 or partial_tokens > 0").where("tokens > 0"), "drawn")
-    used = rows.join(small_side(drawn, BROADCAST_ROWS), "__row")
+    drawn = stored(select_tokens(counted, weights, budget, seed, "__row", max_epochs).select("__row", "tokens", "full_epochs", "partial_tokens").where("full_epochs > 0 or partial_tokens > 0").where("tokens > 0"), "drawn")
+    used = rows.join(small_side(drawn), "__row")
     uses = used.withColumn("__use", F.explode(F.sequence(F.lit(1), (F.col("full_epochs") + F.when(F.col("partial_tokens") > 0, 1).otherwise(0)).cast("int"))))
     cut = (F.col("__use") > F.col("full_epochs")) & (F.col("partial_tokens") < F.col("tokens"))
     made = uses.withColumn(text, F.when(cut, prefix(F.col(text), F.col("partial_tokens"))).otherwise(F.col(text)))
     return made.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType)).select(*order) if n_chars in order else made.select(*order)
+
+
+def oracle(weights: dict[str, dict[str, int]], percent: int, seed: int, domain: str, table: str = "documents", max_epochs: int = MAX_EPOCHS) -> str:
+    """DuckDB SQL of the query over select_tokens; domain: an expression over source."""
+
+    def weight(level: str, col: str) -> str:
+        return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.get(level, {"": 1}).items()) + " ELSE 1 END"
+
+    steps, held, key = [], "root", []
+    for i, level in enumerate(LEVELS):
+        by, group = ", ".join([*key, level]), f"PARTITION BY {', '.join(key)} " if key else ""
+        on = " AND ".join(f"c.{k} = h.{k}" for k in key) or "TRUE"
+        steps.append(f"""c{i} AS (SELECT {by}, sum(capacity) AS capacity, {weight(level, level)} AS weight FROM leaves GROUP BY {by}),
+r{i} AS (SELECT c.*, h.budget, CASE WHEN weight > 0 THEN c.capacity / weight ELSE 'inf'::DOUBLE END AS ratio FROM c{i} c JOIN {held} h ON {on}),
+f{i} AS (SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM r{i} WINDOW o AS ({group}ORDER BY ratio, {level})),
+g{i} AS (SELECT *, weight > 0 AND capacity * rest <= weight * (budget - filled) AS full_ FROM f{i}),
+h{i} AS (SELECT *, budget - sum(CASE WHEN full_ THEN capacity ELSE 0 END) OVER w AS left_, sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER w AS open_, sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM g{i} WINDOW w AS ({group}), o AS ({group}ORDER BY ratio, {level})),
+b{i} AS (SELECT {by}, CASE WHEN full_ THEN capacity WHEN open_ > 0 THEN left_ * upto // open_ - left_ * (upto - weight) // open_ ELSE 0 END AS budget FROM h{i})""")
+        held, key = f"b{i}", [*key, level]
+    cols = ", ".join(LEVELS)
+    return rf"""
+WITH docs AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens FROM {table}),
+leaves AS (SELECT {cols}, sum(tokens) AS tokens, sum(tokens) * {max_epochs} AS capacity FROM docs GROUP BY {cols}),
+root AS (SELECT least(sum(capacity), sum(tokens) * {percent} // 100) AS budget FROM leaves),
+{", ".join(steps)},
+p AS (SELECT d.*, budget AS leaf_budget, CASE WHEN l.tokens > 0 THEN budget // l.tokens ELSE 0 END AS full_epochs, CASE WHEN l.tokens > 0 THEN budget % l.tokens ELSE 0 END AS rest FROM docs d JOIN {held} USING ({cols}) JOIN leaves l USING ({cols})),
+o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {cols} ORDER BY md5('{seed}:' || full_epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM p)
+SELECT doc_id, {cols}, tokens, CAST(leaf_budget AS BIGINT) AS leaf_budget, CAST(full_epochs AS BIGINT) AS full_epochs, CAST(greatest(0, least(tokens, rest - ahead)) AS BIGINT) AS partial_tokens FROM o"""

@@ -13,7 +13,7 @@ from shelfspark.llm.common import table
 
 #: Production parameters of the mixture.
 MIX_SEED = 20260
-MIX_SHARE = 0.6
+MIX_PERCENT = 60
 MIX_WEIGHTS = {
     "domain": {"web": 5, "books": 3, "forum": 2},
     "lang": {"en": 5, "de": 2, "fr": 2, "es": 2},
@@ -22,6 +22,15 @@ MIX_WEIGHTS = {
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: domain_of in DuckDB.
+DOMAIN_SQL = "CASE WHEN regexp_matches(coalesce(source, ''), '^src[0-9]{1,9}$') THEN ['web', 'books', 'forum'][CAST(substr(source, 4) AS BIGINT) % 3 + 1] ELSE 'other' END"
+
+
+def mix_budget() -> Column:
+    """The mixture's tokens: MIX_PERCENT of all, rounded down; an aggregate over tokens."""
+    return F.expr(f"coalesce(sum(tokens), 0) * {MIX_PERCENT} div 100")
+
+
 def domain_of(source: Column) -> Column:
     """documents has no domain: sources are dealt to three by the number in their name, others are 'other'."""
     number = F.try_to_number(F.regexp_extract(source, r"^src([0-9]{1,9})$", 1), F.lit("999999999"))
@@ -31,7 +40,7 @@ def domain_of(source: Column) -> Column:
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", mixing.n_tokens(F.col("text")).alias("tokens"))
-    budget = F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(int(MIX_SHARE * 10)) / 10)
+    budget = mix_budget()
     return mixing.select_tokens(counted, MIX_WEIGHTS, budget, MIX_SEED)
 
 
@@ -101,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle(), "op6_quality": quality.oracle()}
+    return {"op1_mixture": mixing.oracle(MIX_WEIGHTS, MIX_PERCENT, MIX_SEED, DOMAIN_SQL), "op3_licenses": licenses.oracle(), "op6_quality": quality.oracle()}
