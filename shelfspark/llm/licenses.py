@@ -3,7 +3,9 @@
 DataFrame functions only. A text is cut into sentences (a line break inside a sentence, that
 is one before a lower-case letter, counts as a blank); each sentence is normalised (lower
 case, runs of other characters than letters, digits, + and . to one blank) and mapped to the
-identifier of the known sentence that it holds; sentences without one are dropped. Where other
+identifiers of the known sentences that it holds, in the order of SENTENCES ("under the MIT license
+or the Apache License, Version 2.0" holds two), but not to a general one whose special form it
+holds too; sentences without one are dropped. Where other
 line breaks, with no end mark or blank line, stand inside a known sentence (a wrap before a
 capital), the lines are read as one too: identifiers of the whole that no line has follow those
 of the lines, and a general one of a line goes where the whole has its special form. The
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import drop_names
 
-#: (identifier, regular expression over a normalised sentence); the first that matches names the sentence.
+#: (identifier, regular expression over a normalised sentence).
 SENTENCES = (
     ("spdx-mit", r"spdx license identifier mit\b"),
     ("spdx-apache", r"spdx license identifier apache 2\.0"),
@@ -33,10 +35,10 @@ SENTENCES = (
     ("spdx-bsd2", r"spdx license identifier bsd 2 clause"),
     ("spdx-bsd3", r"spdx license identifier bsd 3 clause"),
     ("spdx-mpl", r"spdx license identifier mpl 2\.0"),
-    ("apache-notice", r"licensed under the apache license,? version 2"),
+    ("apache-notice", r"(under|or|and|by)( the)?( terms of the)? apache license,? (version|v\.?) ?2|apache license,? version 2(\.0)?,? (or|and) "),
     ("apache-title", r"^ ?apache license( version 2\.0.*)?$"),
     ("apache-asis", r"distributed under the license is distributed on an as is basis"),
-    ("mit-notice", r"(released|licensed|distributed|available) under the( terms of the)? mit license"),
+    ("mit-notice", r"(released|licensed|distributed|available|dual licensed) (under|by) (either )?(of )?(the )?(terms of the )?mit license|(under|or|and) (the )?(terms of the )?mit license"),
     ("mit-title", r"^ ?(the )?mit license( mit)?$"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit-condition", r"above copyright notice and this permission notice shall be included"),
@@ -45,12 +47,12 @@ SENTENCES = (
     ("bsd-source", r"redistributions of source code must retain"),
     ("bsd-binary", r"redistributions in binary form must reproduce"),
     ("bsd-name", r"neither the name of .* may be used to endorse"),
-    ("bsd-notice", r"(released|licensed|distributed) under the( terms of the)? bsd license"),
+    ("bsd-notice", r"(released|licensed|distributed|or|and)( under)? (either )?(the )?(terms of the )?bsd license"),
     ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose"),
     ("lgpl-notice", r"gnu (lesser|library) general public license"),
     ("agpl-notice", r"gnu affero general public license"),
-    ("gpl3-notice", r"gnu general public license,?( as published by .*)? version 3"),
-    ("gpl2-notice", r"gnu general public license,?( as published by .*)? version 2"),
+    ("gpl3-notice", r"gnu (general public license|gpl),?( as published by .*)? (version|v\.?) ?3|version 3 of the gnu (general public license|gpl)|\bgpl ?v3"),
+    ("gpl2-notice", r"gnu (general public license|gpl),?( as published by .*)? (version|v\.?) ?2|version 2 of the gnu (general public license|gpl)|\bgpl ?v2"),
     ("gpl-notice", r"gnu general public license"),
     ("mpl-notice", r"mozilla public license,?( v\.| version)? ?2\.0"),
     ("cc0-notice", r"(cc0 1\.0|creative commons zero|cc zero)"),
@@ -64,7 +66,7 @@ SENTENCES = (
     ("reserved", r"all rights reserved"),
 )
 #: A text without one of these (lower case) holds no known sentence.
-CUES = ("licen", "permission", "software is", "redistribution", "neither the name", "creative commons", "cc0", "cc-by", "cc by", "cc zero", "public domain", "all rights reserved", "an \"as is\"", "an as is")
+CUES = ("licen", "gpl", "permission", "software is", "redistribution", "neither the name", "creative commons", "cc0", "cc-by", "cc by", "cc zero", "public domain", "all rights reserved", "an \"as is\"", "an as is")
 #: (licence, sequence of identifiers), tried in this order.
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-condition", "asis")),
@@ -112,12 +114,14 @@ _ANY_CUE = "|".join(dict.fromkeys(re.sub("[^a-z0-9.+]+", "[^a-z0-9.+]+", c.strip
 GENERAL = {"gpl-notice": ("gpl2-notice", "gpl3-notice"), "cc-by-nc": ("cc-by-nc-nd", "cc-by-nc-sa"), "cc-by": ("cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nc", "cc-by-sa", "cc-by-nd")}
 
 
-def _identifier(sentence: Column) -> Column:
-    first, *rest = SENTENCES
-    case = F.when(sentence.rlike(first[1]), F.lit(first[0]))
-    for name, pattern in rest:
-        case = case.when(sentence.rlike(pattern), F.lit(name))
-    return case
+def _names(sentence: Column) -> Column:
+    """Identifiers of a sentence in the order of SENTENCES, without general ones beside their special forms."""
+    return F.array_compact(F.array(*[F.when(sentence.rlike(pattern), F.lit(name)) for name, pattern in SENTENCES]))
+
+
+def _special(held: Column, i: Column) -> Column:
+    """Whether the general identifier i stands in held beside a special form."""
+    return F.coalesce(*[F.when((i == g) & F.arrays_overlap(held, F.array(*map(F.lit, names))), True) for g, names in GENERAL.items()], F.lit(False))
 
 
 def _clean(part: Column) -> Column:
@@ -137,12 +141,13 @@ def _identifiers(parts: Column) -> Column:
     def named(x: Column) -> Column:
         new = lambda p: x["whole"].rlike(p) & ~F.exists(x["lines"], lambda s: s.rlike(p))
         across = F.filter(F.array(*[F.when(new(p), F.lit(n)) for n, p in SENTENCES]), lambda i: i.isNotNull())
-        own = F.filter(F.transform(x["lines"], _identifier), lambda i: i.isNotNull())
+        # each line's names are bound before they are looked at twice
+        held = F.transform(x["lines"], lambda s: F.struct(_names(s).alias("n")))
+        own = F.flatten(F.transform(held, lambda h: F.filter(h["n"], lambda i: ~_special(h["n"], i))))
         return F.struct(own.alias("own"), F.when(x["wraps"], across).otherwise(F.array().cast("array<string>")).alias("across"))
 
     def joined(x: Column) -> Column:
-        special = lambda i: F.coalesce(*[F.when((i == g) & F.arrays_overlap(x["across"], F.array(*map(F.lit, names))), True) for g, names in GENERAL.items()], F.lit(False))
-        return F.when(F.size(x["across"]) == 0, x["own"]).otherwise(F.filter(F.concat(x["own"], x["across"]), lambda i: ~special(i)))
+        return F.when(F.size(x["across"]) == 0, x["own"]).otherwise(F.filter(F.concat(x["own"], x["across"]), lambda i: ~_special(x["across"], i)))
 
     return F.flatten(F.transform(F.transform(cut, named), joined))
 
@@ -175,7 +180,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
 def oracle(table: str = "documents") -> str:
     """DuckDB SQL of the query over scan()."""
-    case = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}'" for n, p in SENTENCES)
+    names = ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{n}' END" for n, p in SENTENCES)
+    special = " OR ".join(f"(i = '{g}' AND list_has_any(h, {list(forms)}))" for g, forms in GENERAL.items())
     cues = _CUE.replace("'", "''")
     steps, last = [], "x0"
     for i, (name, seq) in enumerate(RULES):
@@ -190,7 +196,7 @@ s AS (
   SELECT doc_id, CASE WHEN cue THEN list_filter(list_transform(string_split_regex(j, '[.!?;:]+[\x20\x09]+|[.!?;:]*\n+|[.!?;:]+$'),
     lambda x: trim(regexp_replace(lower(x), '[^a-z0-9.+]+', ' ', 'g'))), lambda x: x <> '') ELSE [] END AS ss FROM d),
 i AS (
-  SELECT doc_id, list_filter(list_transform(ss, lambda s: CASE {case} END), lambda x: x IS NOT NULL) AS ids FROM s),
+  SELECT doc_id, coalesce(flatten(list_transform(list_transform(ss, lambda s: list_filter([{names}], lambda x: x IS NOT NULL)), lambda h: list_filter(h, lambda i: NOT ({special})))), []) AS ids FROM s),
 x0 AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS l, CAST([] AS VARCHAR[]) AS got FROM i),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_license_sentences, coalesce(array_to_string(ids, ','), '') AS license_sentences,

@@ -176,12 +176,24 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
     ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\nMIT License\nCopyright X", ["spdx-mit", "spdx-apache", "mit-title"], ["Apache-2.0", "MIT"]),
     ("SPDX-License-Identifier: MIT\nAll rights reserved\nLicensed under the Apache\nLicense, Version 2.0", ["spdx-mit", "reserved", "apache-notice"], ["Apache-2.0", "MIT", "All-Rights-Reserved"]),
     ("See the GNU\n\nLesser General Public License", [], []),
+    # several in one sentence, other orders of words, short names
+    ("Licensed under either the MIT license or the Apache License, Version 2.0.", ["apache-notice", "mit-notice"], ["Apache-2.0", "MIT"]),
+    ("MIT license or licensed under the Apache License, Version 2.0", ["apache-notice"], ["Apache-2.0"]),
+    ("under version 3 of the GNU General Public License", ["gpl3-notice"], ["GPL-3.0"]), ("This is GPLv3 software", ["gpl3-notice"], ["GPL-3.0"]), ("Distributed under the GNU GPL v2.", ["gpl2-notice"], ["GPL-2.0"]),
 ])
 def test_licences_over_line_breaks(spark, text, ids, want):
     got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (got["license_sentences"], got["licenses"]) == (ids, want)
 
 
+def test_licences_edges(spark):
+    rows = [(1, None), (1, None), (2, ""), (3, "word " * 200_000 + "Licensed under the MIT License."), (None, "All rights reserved"), (None, "All rights reserved")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("LICENSES", F.lit("clash"))
+    got = licenses.scan(df).collect()
+    assert sorted(map(str, (r["licenses"] for r in got))) == sorted(map(str, ([], [], [], ["MIT"], ["All-Rights-Reserved"], ["All-Rights-Reserved"])))
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 def test_every_known_sentence_has_a_cue():
     for _, pattern in licenses.SENTENCES:
         plain = re.sub(r"[\\^$?(){}|.*]", " ", pattern.replace(r"\b", ""))
