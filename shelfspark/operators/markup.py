@@ -92,7 +92,8 @@ class _Segments(HTMLParser):
     def __init__(self, blocks: set[str]):
         super().__init__(convert_charrefs=True)
         self.blocks = blocks
-        self.path: list[list] = []  # [tag, counts of children, parts, leaf, is block]
+        self.path: list[list] = []  # [tag, counts of children, parts, leaf, is block, place among its like]
+        self.top: dict[str, int] = {}
         self.out: list[tuple[str, str, str]] = []
         self.skip = 0
 
@@ -110,10 +111,10 @@ class _Segments(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skip += 1
-        parent = self.path[-1] if self.path else [None, {}, [], True, False, 0]
-        place = parent[1][tag] = parent[1].get(tag, 0) + 1
         if tag in self.blocks and self.path and self.path[-1][0] == tag:  # an unclosed block ends where its like begins
             self.handle_endtag(tag)
+        counts = self.path[-1][1] if self.path else self.top
+        place = counts[tag] = counts.get(tag, 0) + 1
         node = [tag, {}, [], True, tag in self.blocks, place]
         inside = [p for p in self.path if p[4]]
         if not self.skip and inside and tag not in self.blocks:

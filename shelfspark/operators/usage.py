@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.shared import numbered
 
@@ -216,3 +219,36 @@ def provenance_log(snapshots: DataFrame, keys: list[str], order: list[str], valu
     w = Window.partitionBy(*keys).orderBy(*order)
     changed = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
     return snapshots.withColumn("__changed", changed).where("__changed").drop("__changed")
+
+
+#: Keys whose values no log may show; token counts (tokens, input_tokens) may.
+SECRET = re.compile(r"(?i)^(authorization|cookie|set_cookie|.*secret.*|.*password.*|.*api_?key.*|.*credential.*|token|.*_token|auth|x_auth)$")
+HIDDEN = "[REDACTED]"
+
+
+def redact_url(url: str) -> str:
+    """A URL with the values of secret parameters hidden."""
+    return re.sub(r"([?&])([^=&#]+)=([^&#]*)", lambda m: f"{m[1]}{m[2]}={HIDDEN if SECRET.match(m[2].replace('-', '_')) else m[3]}", url)
+
+
+def redact_json(text: str | None) -> str | None:
+    """A JSON document with the values of secret keys hidden at any depth, and in URLs; other texts are read as URLs."""
+
+    def walk(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: HIDDEN if SECRET.match(k.replace("-", "_")) else walk(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [walk(v) for v in x]
+        return redact_url(x) if isinstance(x, str) else x
+
+    if text is None:
+        return None
+    try:
+        return json.dumps(walk(json.loads(text)), ensure_ascii=False)
+    except ValueError:
+        return redact_url(text)
+
+
+@F.pandas_udf(T.StringType())
+def redacted(c: pd.Series) -> pd.Series:
+    return c.map(redact_json)

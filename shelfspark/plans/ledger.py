@@ -160,10 +160,12 @@ def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(expires > F.to_timestamp(F.lit(NOW))).select(F.col("event_id").alias("key"), "negative")
 
 
-@query(r"""SELECT event_id, regexp_replace(props, '"(password|secret|token|api_key|k)"\s*:\s*[^,}]+', '"\1": "[REDACTED]"', 'g') AS props FROM events""")
+@query(r"""SELECT event_id, '{"call": {"api_key": "[REDACTED]", "tokens": ' || json_extract(props, '$.k') || ', "headers": [{"X-Auth": "[REDACTED]"}]}, "url": "https://h/p?token=[REDACTED]&q=' || user_id || '"}' AS log FROM events""")
 def redact_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log documents with the values of secret keys (here also k) redacted."""
-    return read_table(spark, sf_dir, "events").select("event_id", F.regexp_replace("props", r'"(password|secret|token|api_key|k)"\s*:\s*[^,}]+', '"$1": "[REDACTED]"').alias("props"))
+    """Request logs made of events, with secrets at several depths and in an address."""
+    k = F.get_json_object("props", "$.k")
+    log = F.concat(F.lit('{"call": {"api_key": "k'), k, F.lit('", "tokens": '), k, F.lit(', "headers": [{"X-Auth": "y"}]}, "url": "https://h/p?token=abc&q='), F.col("user_id").cast("string"), F.lit('"}'))
+    return read_table(spark, sf_dir, "events").select("event_id", u.redacted(log).alias("log"))
 
 
 @query("""
