@@ -2,53 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
+@F.pandas_udf(T.StringType())
+def bare(c: pd.Series) -> pd.Series:
+    """Lower case without combining marks; null stays."""
+
+    def form(x: str) -> str:
+        return "".join(ch for ch in unicodedata.normalize("NFD", x) if not unicodedata.combining(ch)).lower()
+
+    return c.map(lambda x: None if x is None else form(x))
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Words in lower case without diacritics; only texts that are not plain ASCII go to Python."""
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.regexp_extract_all(F.coalesce(bare(F.when(wide, text)), F.lower(text)), F.lit(TOKEN), F.lit(0))
 
 
 def build_index(books: DataFrame, columns: list[str]) -> DataFrame:
-    """Postings (token, id, col, tf) over the named columns; write them bucketed or sorted by token for many searches."""
-    parts = F.explode(F.flatten(F.array(*map(_tagged, columns))))
-    return books.select("id", parts.alias("t")).groupBy(F.col("t.token").alias("token"), "id", F.col("t.col").alias("col")).agg(F.count("*").alias("tf"))
+    """Postings (token, id, col, tf) over the named columns; arrays count as their elements."""
+    kinds = dict(books.dtypes)
+    text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ") if kinds[c].startswith("array") else F.coalesce(F.col(c), F.lit(""))
+    staged = books.select("id", *[tokens(text(c)).alias(c) for c in columns])
+    tagged = F.flatten(F.array(*map(_tagged, columns)))
+    return staged.select("id", F.explode(tagged).alias("t")).groupBy(F.col("t.token").alias("token"), "id", F.col("t.col").alias("col")).agg(F.count("*").alias("tf"))
 
 
 def _tagged(c: str) -> Column:
-    return F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("token"), F.lit(c).alias("col")))
+    return F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(c).alias("col")))
+
+
+@dataclass
+class Index:
+    """Postings sorted by token, the length of each row, and one row of totals, as they lie in a folder."""
 
+    postings: DataFrame
+    lengths: DataFrame
+    totals: DataFrame
 
-def search(index: DataFrame, query: str, limit: int | None = 100, columns: list[str] | None = None) -> DataFrame:
+
+def save_index(index: DataFrame, path: str) -> Index:
+    """Writes an index once for many searches: postings by ranges of tokens, so that a prefix reads few row groups, lengths and totals."""
+    spark = index.sparkSession
+    index.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/postings")
+    postings = spark.read.schema(index.schema).parquet(f"{path}/postings")
+    postings.groupBy("id").agg(F.sum("tf").alias("len")).write.parquet(f"{path}/lengths")
+    spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("rows"), F.avg("len").alias("avg")).write.parquet(f"{path}/totals")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "totals")])
+
+
+def search(index: Index, query: str, limit: int | None = 100, columns: list[str] | None = None) -> DataFrame:
     """(id, score): rows that hold every term of the query (at most twelve, each a prefix) in any column, by BM25.
 
     The lowest score is best; without a limit the rows come in no order. No terms, no rows.
     """
-    import re
-
-    terms = list(dict.fromkeys(t.lower() for t in re.findall(r"\w+", query)[:12]))
-    if columns:
-        index = index.where(F.col("col").isin(columns))
+    plain = "".join(ch for ch in unicodedata.normalize("NFD", query) if not unicodedata.combining(ch)).lower()
+    terms = list(dict.fromkeys(re.findall(r"\w+", plain)[:12]))
+    postings = index.postings.where(F.col("col").isin(columns)) if columns else index.postings
     if not terms:
-        return index.select("id", F.lit(0.0).alias("score")).limit(0)
-    length = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    # the filter is a range on the sorted token column; one pass for all terms
-    hit = index.where(F.array_contains(F.array(*[F.col("token").startswith(t) for t in terms]), True))
-    term = F.explode(F.filter(F.array(*[F.when(F.col("token").startswith(t), F.lit(t)) for t in terms]), lambda x: x.isNotNull()))
+        return postings.select("id", F.lit(0.0).alias("score")).limit(0)
+    # a range of the sorted token column for each term; one pass for all
+    starts = [F.col("token").startswith(t) for t in terms]
+    hit = postings.where(reduce(lambda a, b: a | b, starts))
+    term = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in zip(starts, terms, strict=True)])))
     f = hit.select("id", "tf", term.alias("term")).groupBy("id", "term").agg(F.sum("tf").alias("f"))
-    n = f.groupBy("term").agg(F.count("*").alias("n"))
-    stats = length.agg(F.count("*").alias("rows"), F.avg("len").alias("avg"))
-    rows = f.join(F.broadcast(n), "term").join(length, "id").crossJoin(F.broadcast(stats))  # one row of totals
+    n = f.groupBy("term").agg(F.count("*").alias("n"))  # at most twelve rows
+    rows = f.join(F.broadcast(n), "term").join(index.lengths, "id").crossJoin(F.broadcast(index.totals))  # one row of totals
     idf = F.greatest(F.lit(1e-6), F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     part = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    found = rows.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("c")).where(F.col("c") == len(terms))
-    found = found.select("id", "score")
+    found = rows.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("c")).where(F.col("c") == len(terms)).select("id", "score")
     return found if limit is None else found.orderBy("score", "id").limit(limit)
 
 
-def search_title(index: DataFrame, token: str) -> DataFrame:
-    return index.where((F.col("col") == "title") & (F.col("token") == token)).select("id", "tf")
+def search_title(index: Index, token: str) -> DataFrame:
+    """(id, tf) of the rows whose title holds the token."""
+    return index.postings.where((F.col("col") == "title") & (F.col("token") == token)).select("id", "tf")

@@ -11,6 +11,7 @@ from shelfspark.operators import linkage as k
 from shelfspark.operators import search as s
 from shelfspark.operators.usage import per_million, provenance_log as provenance
 from shelfspark.plans.registry import query
+from shelfspark.shared import new_folder
 from shelfspark.sources.tables import read_table
 
 DIGIT = "CAST(substr({c}, {i}, 1) AS INTEGER)"
@@ -191,15 +192,17 @@ FROM f JOIN nn USING (term) JOIN le USING (id), st GROUP BY id HAVING count(*) =
 
 @query(BM25)
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = s.build_index(read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), ["p_name", "p_brand", "p_type"])
+    made = s.build_index(read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), ["p_name", "p_brand", "p_type"])
+    index = s.save_index(made, new_folder(spark, "index"))
     return s.search(index, "s* brand*").select(F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
 @query(r"SELECT p_partkey, count(*) AS tf FROM (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t FROM part) WHERE t = (SELECT min(t) FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t FROM part)) GROUP BY p_partkey")
 def search_title_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = s.build_index(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), ["title"])
-    least = index.agg(F.min("token").alias("m"))
-    return index.join(F.broadcast(least), F.col("token") == F.col("m"), "left_semi").select(F.col("id").alias("p_partkey"), "tf")
+    made = s.build_index(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), ["title"])
+    index = s.save_index(made, new_folder(spark, "index"))
+    least = index.postings.agg(F.min("token")).first()[0]
+    return s.search_title(index, least).select(F.col("id").alias("p_partkey"), "tf")
 
 
 @query(r"""
@@ -207,7 +210,16 @@ WITH tk AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\
 SELECT id AS doc_id, substr(text, greatest(1, strpos(lower(text), 'apache') - 20), 60) AS snippet FROM f JOIN documents ON id = doc_id WHERE n = 2""")
 def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    index = s.build_index(docs.select(F.col("doc_id").alias("id"), "text"), ["text"])
+    index = s.save_index(s.build_index(docs.select(F.col("doc_id").alias("id"), "text"), ["text"]), new_folder(spark, "index"))
     hits = s.search(index, "apache licen", limit=None).select("id")
     at = F.greatest(F.lit(1), F.locate("apache", F.lower("text")) - 20)
     return docs.join(hits, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", F.substring("text", at, F.lit(60)).alias("snippet"))
+
+
+@query(r"""WITH t AS (SELECT s_suppkey AS id, unnest(['Éric', 'Nuñez', 'straße', 'x']) AS w, unnest([1, 2, 3, 0]) AS k, s_suppkey % 4 AS own FROM supplier) SELECT id FROM t WHERE k = own AND w = 'Nuñez'""")
+def search_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in lists found without their marks."""
+    word = F.get(F.array(*map(F.lit, ("x", "Éric", "Nuñez", "straße"))), (F.col("s_suppkey") % 4).cast("int"))
+    rows = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(word, F.lit("other")).alias("authors"), F.lit("9783404105311").alias("isbn"))
+    index = s.save_index(s.build_index(rows, ["authors", "isbn"]), new_folder(spark, "index"))
+    return s.search(index, "NUNE* 97834", limit=None).select("id")
