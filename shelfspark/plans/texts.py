@@ -58,7 +58,7 @@ def language_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.samples(units).select(F.col("id").alias("doc_id"), F.col("sample").cast("long").alias("sample"), "start", F.length("text").cast("long").alias("chars"))
 
 
-BARE = r"replace(replace(replace(replace(regexp_replace(regexp_replace({h}, '(?s)<!--.*?-->', {comment}, 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+BARE = r"replace(replace(replace(replace(regexp_replace(regexp_replace({h}, '(?s)<!--.*?-->', {comment}, 'g'), '<[^>]*>', ' ', 'g'), '&quot;', chr(34)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 SCRIPTS = r"regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
 FULL = r"regexp_replace(html, '(?s)<(head|script|style|nav)[^>]*>.*?</(head|script|style|nav)>', ' ', 'g')"
 
@@ -180,11 +180,11 @@ def epub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(F.col("path").cast("long").alias("page_id"), "reason", "documents", "first_sha256")
 
 
-@query("""SELECT substr('bk_' || md5(CAST(p_partkey AS VARCHAR)), 4, 4) AS shard, count(*) AS books, min(p_partkey) AS least FROM part GROUP BY 1""")
+@query("""SELECT substr('bk_' || md5(CAST(p_partkey AS VARCHAR)), 4, 2) AS shard, count(*) AS books, min(p_partkey) AS least FROM part GROUP BY 1""")
 def catalogue_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written in shards by their id and read back."""
     folder = new_folder(spark, "catalogue")
-    write_catalogue(read_table(spark, sf_dir, "part").select(F.concat(F.lit("bk_"), F.md5(F.col("p_partkey").cast("string"))).alias("id"), "p_partkey").repartition(F.substring("id", 4, 4)), folder)
+    write_catalogue(read_table(spark, sf_dir, "part").select(F.concat(F.lit("bk_"), F.md5(F.col("p_partkey").cast("string"))).alias("id"), "p_partkey").repartition(F.substring("id", 4, 2)), folder, 2)
     made = spark.read.schema("id string, p_partkey long, shard string").parquet(folder)
     return made.groupBy("shard").agg(F.count("*").alias("books"), F.min("p_partkey").alias("least"))
 

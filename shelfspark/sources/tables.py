@@ -45,6 +45,6 @@ def from_document(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
     return parsed.select("id", *[F.col(f"d.metadata.{n}.value").alias(n) for n in fields])
 
 
-def write_catalogue(books: DataFrame, path: str) -> None:
-    """Parquet in shards by four characters of the id after its prefix."""
-    books.withColumn("shard", F.substring("id", 4, 4)).write.partitionBy("shard").parquet(path)
+def write_catalogue(books: DataFrame, path: str, digits: int = 4) -> None:
+    """Parquet in shards by the first characters of the id after its prefix of three."""
+    books.withColumn("shard", F.substring("id", 4, digits)).write.partitionBy("shard").parquet(path)
