@@ -223,13 +223,13 @@ def validate_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TURNS}, s AS (SELECT job, count(*) AS segments, sum(length(text)) AS chars, max(length(text)) AS m FROM tn GROUP BY job)
-SELECT job, segments, CAST(chars AS BIGINT) AS chars, CAST(chars * 2 // 7 AS BIGINT) AS tokens, CASE WHEN job % 4 > 0 THEN round_even((job % 3 + 1) * (2 * (chars * 2 // 7) * (job % 4) + 2 * (chars * 2 // 7) * 2) / 1e6, 4) END AS cost, CASE WHEN m > 12000 THEN 'long' END AS error FROM s""")
+SELECT job, segments, CAST(chars AS BIGINT) AS chars, CAST(chars * 2 // 7 AS BIGINT) AS tokens, CASE WHEN job % 4 > 0 THEN round_even((job % 3 + 1) * (2 * (chars * 2 // 7) * (job % 4) + 2 * (chars * 2 // 7) * 1.8371) / 1e6, 4) END AS cost, CASE WHEN m > 12000 THEN 'long' END AS error FROM s""")
 def translation_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as jobs of three profiles; a quarter has no price."""
     rows = turns(spark, sf_dir)
     j = F.col("job")
     profile = F.when(j % 3 == 0, "schnell").when(j % 3 == 1, "buch").otherwise("literarisch")
-    jobs = rows.select("job").distinct().select("job", profile.alias("profile"), (j % 4).cast("double").alias("rate_in"), F.lit(2.0).alias("rate_out"))
+    jobs = rows.select("job").distinct().select("job", profile.alias("profile"), (j % 4).cast("double").alias("rate_in"), F.lit(1.8371).alias("rate_out"))
     return x.estimate_cost(rows, jobs)
 
 
