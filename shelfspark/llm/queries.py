@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, hpylm, jaccard, licenses, mixing, passages, pii, quality, toxicity, vectors
+from shelfspark.llm import bpe, clusters, decontaminate, hpylm, jaccard, licenses, mixing, passages, pii, quality, search, toxicity, vectors
 from shelfspark.llm.common import table
 
 #: Production parameters of the mixture.
@@ -105,9 +105,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    named = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", named.alias("centroid_sha256"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op4_passages, op5_pii, op6_quality, op7_lm, op8_jaccard, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixture, op2_vectors, op3_licenses, op4_passages, op5_pii, op6_quality, op7_lm, op8_jaccard, op9_bpe, op10_toxicity, op11_clusters, op12_decontaminate, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixture": mixing.oracle(MIX_WEIGHTS, MIX_PERCENT, MIX_SEED, DOMAIN_SQL), "op3_licenses": licenses.oracle(), "op6_quality": quality.oracle()}
+    return {
+        "op1_mixture": mixing.oracle(MIX_WEIGHTS, MIX_PERCENT, MIX_SEED, DOMAIN_SQL),
+        "op3_licenses": licenses.oracle(),
+        "op6_quality": quality.oracle(),
+        "op11_clusters": clusters.oracle(),
+        "op12_decontaminate": decontaminate.oracle(),
+        "op13_search": search.oracle(),
+    }
