@@ -6,7 +6,7 @@ representative with its copies give membership.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import native_text, strip_punctuation
@@ -25,8 +25,10 @@ n AS (SELECT doc_id AS id, {NORMAL} AS normal, source, lang FROM documents),
 f AS (SELECT id, normal, source, lang, CASE WHEN length(normal) > 0 THEN len(string_split(normal, ' ')) ELSE 0 END AS word_count,
         CASE WHEN length(normal) > 0 THEN sha256(normal) END AS text_hash FROM n),
 t AS (SELECT *, regexp_extract_all(normal, '[\p{{L}}\p{{N}}_]+') AS ws FROM f),
-p AS (SELECT id, word_count, text_hash, normal, source, lang, CASE WHEN word_count >= {MIN_WORDS} AND len(ws) >= 5
-        THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: substr(sha256(array_to_string(ws[i:i+4], ' ')), 1, 16))) ELSE [] END AS shingles FROM t),
+pw AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t WHERE word_count >= {MIN_WORDS} AND len(ws) >= 5),
+ps AS (SELECT id, substr(sha256(w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o), 1, 16) AS s FROM pw WINDOW o AS (PARTITION BY id ORDER BY i)),
+pl AS (SELECT id, list(DISTINCT s) AS shingles FROM ps WHERE s IS NOT NULL GROUP BY id),
+p AS (SELECT id, word_count, text_hash, normal, source, lang, coalesce(shingles, []) AS shingles FROM t LEFT JOIN pl USING (id)),
 reps AS (SELECT * FROM p WHERE text_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY id) = 1),
 r AS (SELECT * FROM reps WHERE len(shingles) > 0)"""
 SIGNATURES = r"""
@@ -125,7 +127,9 @@ def near_duplicates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS ws FROM documents),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS s FROM dw WHERE len(ws) >= 5),
+dp AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM dw),
+dl AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s FROM dp WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ds AS (SELECT DISTINCT doc_id, s FROM dl WHERE s IS NOT NULL),
 bw AS (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
 bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS s FROM bw WHERE len(ws) >= 5),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
@@ -142,10 +146,15 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLE = r"trim(regexp_replace(regexp_replace(array_to_string(list_slice(string_split(normal, ' '), 1, 6), ' '), '[^\p{L}\p{N}_\p{M}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def title_of(text: Column) -> Column:
+    """The first six words of a normal text, without punctuation."""
+    six = F.array_join(F.slice(F.split(F.replace(native_text(text), F.lit("ß"), F.lit("ss")), " "), 1, 6), " ")
+    return strip_punctuation(six)
+
+
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title_key, source, lang)."""
-    six = F.array_join(F.slice(F.split(F.replace(native_text(F.col("text")), F.lit("ß"), F.lit("ss")), " "), 1, 6), " ")
-    return documents(spark, sf_dir).select("id", strip_punctuation(six).alias("title_key"), "source", "lang")
+    return documents(spark, sf_dir).select("id", title_of(F.col("text")).alias("title_key"), "source", "lang")
 
 
 TITLED = rf"k AS (SELECT id, {TITLE} AS title_key, source, lang FROM n), kr AS (SELECT k.* FROM k JOIN reps USING (id))"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators import usage as u
+from shelfspark.plans import dedup
 from shelfspark.plans.registry import query
 from shelfspark.shared import new_folder
 from shelfspark.sources.tables import read_table
+from shelfspark.streaming import importer, reviews
 from shelfspark.streaming import streams as s
 
 
@@ -89,12 +90,12 @@ STATES = "['queued', 'active', 'needs_review', 'failed', 'finished', 'finished']
 c AS (SELECT job, count(*) AS total, count(*) FILTER (s IN ('finished', 'failed')) AS completed, count(*) FILTER (s = 'queued') AS queued, count(*) FILTER (s = 'active') AS active, count(*) FILTER (s = 'needs_review') AS needs_review, count(*) FILTER (s = 'failed') AS f FROM e GROUP BY job)
 SELECT job, total, completed, queued, active, needs_review, CASE WHEN queued + active > 0 THEN 'running' WHEN needs_review > 0 THEN 'needs_review' WHEN f = total THEN 'failed' ELSE 'finished' END AS status FROM c""")
 def stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each item, kept as state of a stream, and the progress of the jobs."""
+    """Items that leave one state and enter another, in state, and the progress of the jobs from the sums of such changes."""
     events = read_table(spark, sf_dir, "events")
     states = F.array(*map(F.lit, ("queued", "active", "needs_review", "failed", "finished", "finished")))
-    stream = s.read_stream(spark, sf_dir, "events", events.schema).select(F.col("user_id").alias("item"), (F.col("user_id") % 7).alias("job"), F.get(states, (F.col("event_id") % 6).cast("int")).alias("status"), "ts", F.col("event_id").alias("seq"))
+    stream = s.read_stream(spark, sf_dir, "events", events.schema).select(F.col("user_id").alias("item"), (F.col("user_id") % 7).alias("job"), F.get(states, (F.col("event_id") % 6).cast("int")).alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
     folder = work_dir(spark)
-    return u.job_progress(s.job_status_stream(stream, f"{folder}/status", f"{folder}/state"))
+    return reviews.progress_of_counts(reviews.job_counts(stream, folder))
 
 
 @query("""SELECT user_id AS item, arg_max(event_type, event_id) AS event_type, max(event_id) AS revision FROM events GROUP BY user_id""")
@@ -110,3 +111,48 @@ def stream_usage_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly totals of the days that the stream has given out."""
     days = stream_usage(spark, sf_dir).withColumn("day", F.col("day").cast("timestamp"))
     return s.month_windows(days).select(F.col("month").cast("timestamp_ntz").alias("month"), "feature", "requests", F.round("cost", 3).alias("cost"))
+
+
+@query(f"""{dedup.ALL_EVIDENCE},
+fi AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS file FROM documents),
+m AS (SELECT "right" AS id, count(*) AS matches FROM ev JOIN reps ON reps.id = ev."right" GROUP BY 1)
+SELECT p.id AS doc_id, CASE WHEN p.text_hash IS NULL THEN 'failed' WHEN fi.file < p.id THEN 'duplicate' WHEN reps.id IS NULL OR matches IS NOT NULL THEN 'needs_review' ELSE 'archived' END AS status,
+  CASE WHEN p.text_hash IS NOT NULL AND fi.file < p.id THEN fi.file END AS duplicate_of, coalesce(matches, 0) AS matches
+FROM p JOIN fi USING (id) LEFT JOIN reps USING (id) LEFT JOIN m USING (id)""")
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in three batches by id, each imported on its own against all before it; the SQL is one scan of all."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = work_dir(spark)
+    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    third = docs.crossJoin(F.broadcast(ends)).withColumn("third", F.expr("(doc_id - lo) * 3 div (hi - lo + 1)")).drop("lo", "hi")  # one row
+    none = lambda t: F.lit(None).cast(t)
+    for k in range(3):
+        third.where(F.col("third") == k).drop("third").write.mode("append").parquet(f"{folder}/arrivals")
+        new = spark.readStream.schema(docs.schema).parquet(f"{folder}/arrivals")
+        titled = new.select(F.col("doc_id").alias("id"), "text", dedup.title_of(F.col("text")).alias("title"), F.array("source").alias("authors"), none("string").alias("isbn"), F.col("lang").alias("language"), none("int").alias("year"), F.col("source").alias("publisher"), none("string").alias("series"))
+        done = importer.import_stream(titled, f"{folder}/archive", dedup.MIN_WORDS, dedup.NEAR, dedup.MIN_WORDS, max_words=None, title_form=lambda t: t)
+    return done.withColumnRenamed("id", "doc_id")
+
+
+REVIEWS = "['analyzing', 'ready', 'archiving', 'cover_search', 'skipped', 'archived']"
+
+
+@query(f"""
+WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+e AS (SELECT user_id AS item, ts, event_id AS seq, {REVIEWS}[event_id % 6 + 1] AS status, event_id % 5 = 0 AS archived,
+    CASE WHEN ts > lo + (hi - lo) / 3 * 2 THEN 2 WHEN ts > lo + (hi - lo) / 3 THEN 1 ELSE 0 END AS run FROM events, b),
+n AS (SELECT *, lead(ts) OVER w AS next_ts, coalesce(lead(run) OVER w, 2) AS next_run FROM e WINDOW w AS (PARTITION BY item ORDER BY ts, seq)),
+f AS (SELECT *, CASE WHEN run = next_run OR status NOT IN ('analyzing', 'cover_search', 'archiving') THEN status WHEN status = 'analyzing' THEN 'queued' WHEN status = 'archiving' AND archived THEN 'archived' ELSE 'ready' END AS now_status FROM n)
+SELECT item, now_status AS status, ts + INTERVAL 24 HOUR AS expires_at FROM f, b WHERE now_status IN ('ready', 'skipped') AND (next_ts >= ts + INTERVAL 24 HOUR OR next_ts IS NULL AND ts + INTERVAL 24 HOUR <= hi)""")
+def stream_review_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events replayed by their own clock in three runs of one checkpoint; what was worked on when a run ended has been interrupted."""
+    events = read_table(spark, sf_dir, "events")
+    folder, states = work_dir(spark), F.array(*map(F.lit, ("analyzing", "ready", "archiving", "cover_search", "skipped", "archived")))
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select("lo", ((F.col("hi") - F.col("lo")) / 3).alias("step"))
+    dealt = events.crossJoin(F.broadcast(ends)).withColumn("run", F.when(F.col("ts") > F.col("lo") + F.col("step") * 2, 2).when(F.col("ts") > F.col("lo") + F.col("step"), 1).otherwise(0))  # one row
+    for run in range(3):
+        dealt.where(F.col("run") == run).drop("lo", "step", "run").write.mode("append").parquet(f"{folder}/events")
+        new = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        stream = new.select(F.col("user_id").cast("long").alias("item"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.get(states, (F.col("event_id") % 6).cast("int")).alias("status"), (F.col("event_id") % 5 == 0).alias("archived"))
+        done = reviews.expire_reviews(stream, f"{folder}/reviews", run)
+    return done.select("item", "status", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))

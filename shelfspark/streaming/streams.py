@@ -90,26 +90,6 @@ def import_batch(archive: str):
     return each
 
 
-def job_status(events: DataFrame) -> DataFrame:
-    """(item, job, status) of the last event of each item of a stream or table (item, job, status, ts, seq)."""
-    last = events.groupBy("item").agg(F.max_by(F.struct("job", "status"), F.struct("ts", "seq")).alias("l"))
-    return last.select("item", "l.job", "l.status")
-
-
-def job_status_stream(events: DataFrame, sink: str, checkpoint: str) -> DataFrame:
-    """job_status as a stream that keeps one state an item: the sink's rows after all that is available now."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/{number % 2}")
-        batch.sparkSession.createDataFrame([(number,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{sink}/last")
-
-    stream = job_status(events)
-    stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    spark = events.sparkSession
-    number = spark.read.parquet(f"{sink}/last").first()[0]
-    return spark.read.schema(stream.schema).parquet(f"{sink}/{number % 2}")
-
-
 def latest_revision(writes: DataFrame, key: str = "item", revision: str = "revision") -> DataFrame:
     """The row of the highest revision of each key: stale writes go. Works on streams too."""
     rest = [c for c in writes.columns if c != key]
