@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import over_groups, pieces, single_rows, small_side, stored
 
-#: Postings of a segment, about: a row of some 20 MB, searched by one task at a time.
-SEGMENT_POSTINGS = 1_000_000
+#: Postings of a segment, about: a row of some 10 MB, searched by one task at a time.
+SEGMENT_POSTINGS = 500_000
 #: Different terms of the items that are sent to all tasks at once, about.
 BLOCK_TERMS = 200_000
 #: Strata of the first wave of a visit.
