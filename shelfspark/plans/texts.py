@@ -76,18 +76,18 @@ def html_text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "pages")).select("page_id", m.html_to_text(F.col("html"), "language").alias("text"))
 
 
-@query(r"""SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, 'embedded' AS source, NULL AS author FROM pages""")
+@query(r"""SELECT page_id, nullif(trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&copy;', chr(169)), '&amp;', '&')), '') AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, 'embedded' AS source, NULL AS author FROM pages""")
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = m.html_metadata(read_table(spark, sf_dir, "pages"))
     return made.select("page_id", F.col("title.value").alias("title"), F.col("language.value").alias("language"), F.col("language.source").alias("source"), F.col("author.value").alias("author"))
 
 
-@query(r"""WITH s AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', chr(169)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages)
-SELECT page_id, text, sha256(text) AS sha256, substr(sha256('p' || page_id || ':html[1]/body[1]/article[1]/h1[1]:content'), 1, 20) AS segment FROM s WHERE text <> ''""")
+@query(r"""WITH s AS (SELECT page_id, replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', chr(169)), '&amp;', '&') AS text FROM pages)
+SELECT page_id, text, sha256(text) AS sha256, substr(sha256('p' || page_id || ':[1, 2, 0]:content'), 1, 20) AS segment FROM s WHERE trim(text) <> ''""")
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The headings among all segments of the pages."""
     pages = spread(read_table(spark, sf_dir, "pages")).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("file"), "html")
-    made = m.segment_html(pages).where((F.col("kind") == "content") & F.col("location").endswith("h1[1]"))
+    made = m.segment_html(pages).where((F.col("kind") == "content") & (F.col("element") == "h1"))
     return made.select(F.substring("file", 2, 30).cast("long").alias("page_id"), "text", "sha256", "segment")
 
 
@@ -95,10 +95,21 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of all pages by the kind of their element."""
     pages = spread(read_table(spark, sf_dir, "pages")).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("file"), "html")
-    made = m.segment_html(pages).withColumn("element", F.regexp_extract("location", r"([a-z0-9]+)\[[0-9]+\]$", 1))
+    made = m.segment_html(pages)
     return made.groupBy("file", "element", "kind").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(r"""WITH s AS (SELECT page_id, upper(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', chr(169)), '&amp;', '&')) AS text FROM pages)
+SELECT page_id, text, CAST(NULL AS VARCHAR) AS error FROM s WHERE trim(text) <> ''""")
+def translated_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments in upper case put back into their pages, and the headings read from these."""
+    pages = stored(spread(read_table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("file"), "html"), "pages")
+    texts = m.segment_html(pages).withColumn("text", F.upper("text"))
+    done = stored(m.apply_translations(pages, texts), "translated")
+    heads = m.segment_html(done.where("error is null")).where((F.col("kind") == "content") & (F.col("element") == "h1"))
+    return done.join(heads.select("file", "text"), "file", "left").where("error is not null or text is not null").select(F.col("file").cast("long").alias("page_id"), "text", "error")
+
+
 # files
 
 
@@ -133,39 +144,45 @@ def as_fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.when(k % 2 == 0, "<publish-info><publisher>P</publisher><year>c1999</year><isbn>9783404105311</isbn></publish-info>").otherwise("")
     title = F.concat(F.lit("T"), k.cast("string"))
     info = F.concat(F.lit("<title-info><genre>g1</genre><genre>g2</genre>"), author, F.lit("<book-title>"), title, F.lit('</book-title><lang>'), F.coalesce("lang", F.lit("xx")), F.lit('</lang><date value="1950-01-01">spring 1949</date><sequence name="S"/></title-info>'))
-    body = F.concat(F.lit("<body><section><p>"), esc(F.substring("text", 1, 200)), F.lit('</p><p>end</p></section></body><body name="Notes"><section><p>note</p></section></body>'))
-    return read_table(spark, sf_dir, "documents").select(F.concat(F.lit("<FictionBook><description>"), info, year, F.lit("</description>"), body, F.lit("</FictionBook>")).cast("binary").alias("content"), F.lit("b.fb2").alias("path"))
+    text = esc(F.substring("text", 1, 200))
+    part = F.concat(F.lit("<section><title><p>One</p></title><section><p>"), text, F.lit("</p><poem><stanza><v>verse</v></stanza></poem></section></section>"))
+    body = F.concat(F.lit("<body><title><p>Book</p></title>"), part, F.lit('<section><p>the <emphasis>very</emphasis> end</p></section></body><body name="Notes"><section><p>note</p></section></body>'))
+    return read_table(spark, sf_dir, "documents").select(F.concat(F.lit("<FictionBook><description>"), info, year, F.lit("</description>"), body, F.lit("</FictionBook>")).cast("binary").alias("content"), k.cast("string").alias("path"))
 
 
 @query(r"""SELECT 'T' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN 'nick' ELSE 'Ann M. Bee|Solo' END AS authors, CASE WHEN doc_id % 2 = 0 THEN 1999 ELSE 1950 END AS year, coalesce(lang, 'xx') AS language, 'S' AS series, 'g1|g2' AS genres,
-  CASE WHEN doc_id % 2 = 0 THEN '9783404105311' END AS isbn, length(trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[\x00-\x1F]', ' ', 'g') || ' end', '\s+', ' ', 'g'))) AS chars FROM documents""")
+  CASE WHEN doc_id % 2 = 0 THEN '9783404105311' END AS isbn, length(trim(regexp_replace('Book One ' || regexp_replace(substr(text, 1, 200), '[\x00-\x1F]', ' ', 'g') || ' verse the very end', '\s+', ' ', 'g'))) AS chars,
+  2 AS units, 'the very end' AS last_unit FROM documents""")
 def fb2_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents turned into XML books and read back."""
-    made = f.read_fb2(as_fb2(spark, sf_dir))
-    return made.select("title", F.array_join("authors", "|").alias("authors"), "year", "language", "series", F.array_join("genres", "|").alias("genres"), "isbn", F.length("text").cast("long").alias("chars"))
+    books = stored(spread(as_fb2(spark, sf_dir)), "books")
+    units = f.fb2_units(books)[0].groupBy("path").agg(F.count("*").cast("int").alias("units"), F.max_by("text", "unit").alias("last_unit"))
+    made = f.read_fb2(books).join(units, "path")
+    return made.select("units", "last_unit", "title", F.array_join("authors", "|").alias("authors"), "year", "language", "series", F.array_join("genres", "|").alias("genres"), "isbn", F.length("text").cast("long").alias("chars"))
 
 
 def packed(keys: list[int], pages: list[str]) -> list[bytes]:
-    """Small packed books: a cover, navigation, two chapters and one out of the reading order; every seventh is broken, every eleventh strays."""
+    """Small packed books: a cover, navigation, two chapters, one by a quoted name and one out of the reading order; every seventh is broken, every eleventh strays, every thirteenth lacks a chapter."""
     out = []
     for k, html in zip(keys, pages, strict=True):
         box = io.BytesIO()
         with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("META-INF/container.xml", '<container xmlns="c"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
-            items = [("nav", "nav.xhtml", ' properties="nav"'), ("c0", "cover.xhtml", ""), ("c2", "two.xhtml", ""), ("c1", "one.xhtml", ""), ("n", "note.xhtml", "")]
+            items = [("nav", "nav.xhtml", ' properties="nav"'), ("c0", "cover.xhtml", ""), ("c2", "../text/two%202.xhtml?x#y", ""), ("c1", "one.xhtml", ""), ("n", "note.xhtml", "")]
             manifest = "".join(f'<item id="{i}" href="{h}"{p}/>' for i, h, p in items)
             spine = "".join(f'<itemref idref="{i}"{" linear=" + chr(34) + "no" + chr(34) if i == "n" else ""}/>' for i in ("nav", "c0", "c1", "c2", "n", "c1"))
             z.writestr("OPS/book.opf", f'<package xmlns="o"><manifest>{manifest}</manifest><spine>{spine}</spine></package>')
-            for _, h, _p in items:
-                z.writestr(f"OPS/{h}", html if h == "one.xhtml" else f"<p>{h}</p>")
+            z.writestr("OPS/one.xhtml", html)
+            for name in ("OPS/nav.xhtml", "OPS/cover.xhtml", "OPS/note.xhtml", *(() if k % 13 == 0 else ("text/two 2.xhtml",))):
+                z.writestr(name, f"<p>{name}</p>")
             if k % 11 == 0:
                 z.writestr("../evil", "x")
         out.append(b"no zip" if k % 7 == 0 else box.getvalue())
     return out
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'BadZipFile' WHEN page_id % 11 = 0 THEN 'bad entry' END AS reason, CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN 0 ELSE 2 END AS documents,
-  CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN NULL ELSE sha256(html) END AS first_sha256 FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'not an archive' WHEN page_id % 11 = 0 THEN 'straying entry' WHEN page_id % 13 = 0 THEN 'missing member' END AS reason, CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 OR page_id % 13 = 0 THEN 0 ELSE 2 END AS documents,
+  CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 OR page_id % 13 = 0 THEN NULL ELSE sha256(html) END AS first_sha256 FROM pages""")
 def epub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages packed as books by Spark and unpacked again, with a quarantine."""
 
