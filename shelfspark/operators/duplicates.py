@@ -241,14 +241,19 @@ def apply_aliases(rows: DataFrame, aliases: DataFrame, field: str, col: str) ->
     return known.join(named, "__row", "left").withColumn(col, F.coalesce("__names", col)).drop("__row", "__names")
 
 
+FINDING = ("kind", "reasons", "conflicts")
+
+
 def reconcile(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(left, right, state, decision, event) for matches (left, right, kind) and earlier ones (with decision).
+    """(left, right, state, decision, event) for matches (left, right, kind, reasons, conflicts) and earlier ones (with decision).
 
-    inserted; deleted (event reset if it had a decision); changed (decision reset, event likewise); kept.
+    inserted; deleted (event reset if it had a decision); changed, if the kind, the reasons or the conflicts are others
+    (decision reset, event likewise); kept. Order in reasons and conflicts counts; null is a value of its own.
     """
-    now, old = current.select("left", "right", F.col("kind").alias("new_kind")), previous.select("left", "right", F.col("kind").alias("old_kind"), "decision")
+    now = current.select("left", "right", F.struct(*FINDING).alias("new"))
+    old = previous.select("left", "right", F.struct(*FINDING).alias("old"), "decision")
     both = now.join(old, ["left", "right"], "full_outer")
-    state = F.when(F.col("old_kind").isNull(), "inserted").when(F.col("new_kind").isNull(), "deleted").when(F.col("new_kind") != F.col("old_kind"), "changed").otherwise("kept")
+    state = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "deleted").when(~F.col("new").eqNullSafe(F.col("old")), "changed").otherwise("kept")
     made = both.withColumn("state", state)
     reset = F.col("state").isin("deleted", "changed") & F.col("decision").isNotNull()
     return made.select("left", "right", "state", F.when(F.col("state") == "kept", F.col("decision")).alias("decision"), F.when(reset, "reset").alias("event"))

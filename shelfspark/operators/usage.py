@@ -66,13 +66,14 @@ def recent_usage(usage: DataFrame, n: int = 100, feature: str | None = None, boo
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:
     """fold over the rows of each key in order: fold(state, part) -> (state, out), state None where a key begins.
 
-    Rows of a key come to one task in order, a batch at a time; between batches only the state is kept.
+    Rows of a key come to one task in order, a batch at a time; between batches only the state is kept. Null is a key like any other.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False, dropna=False):
+            for found, part in batch.groupby(keys, sort=False, dropna=False):
+                key = tuple(None if pd.isna(x) else x for x in found)  # a null's stand-in is not equal to itself
                 state, out = fold(state if key == last else None, part)
                 last = key
                 yield out
@@ -120,13 +121,13 @@ def spend(rows: DataFrame, key: str, order: list[str], cost: str, limit: str, st
 
 
 def pack_batches(df: DataFrame, key: str, order: list[str], size: str, most_items: int, most_size: float, keep: list[str] | None = None) -> DataFrame:
-    """df with batch: rows of a key in order fill a batch until it has most_items or the next would overflow most_size."""
+    """df with batch: rows of a key in order fill a batch until it has most_items or the next would overflow most_size. A null size counts as 0."""
     names = [*dict.fromkeys([key, *order, size, *(keep or [])])]
 
     def fold(state: tuple | None, part: pd.DataFrame) -> tuple:
         batch, items, total = state or (0, 0, 0.0)
         out = []
-        for x in part[size]:
+        for x in part[size].fillna(0):
             if items and (items >= most_items or total + x > most_size):
                 batch, items, total = batch + 1, 0, 0.0
             items, total = items + 1, total + x

@@ -243,35 +243,42 @@ def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ALL_EVIDENCE}, nw AS (SELECT * FROM ev WHERE ("left" + "right") % 5 <> 0),
-od AS (SELECT "left", "right", CASE WHEN "left" % 7 = 0 THEN 'metadata' ELSE kind END AS kind, CASE WHEN "right" % 2 = 0 THEN 'keep_both' END AS decision FROM ev WHERE ("left" + "right") % 5 <> 1)
-SELECT coalesce(n."left", o."left") AS "left", coalesce(n."right", o."right") AS "right",
-  CASE WHEN o.kind IS NULL THEN 'inserted' WHEN n.kind IS NULL THEN 'deleted' WHEN n.kind <> o.kind THEN 'changed' ELSE 'kept' END AS state,
-  CASE WHEN n.kind = o.kind THEN decision END AS decision, CASE WHEN decision IS NOT NULL AND (n.kind IS NULL OR n.kind <> o.kind) THEN 'reset' END AS event
-FROM nw n FULL JOIN od o ON n."left" = o."left" AND n."right" = o."right" """)
+od AS (SELECT "left", "right", CASE WHEN "left" % 7 = 0 THEN 'metadata' ELSE kind END AS kind, CASE WHEN "left" % 7 = 1 THEN reasons || ',same_isbn' ELSE reasons END AS reasons,
+  CASE WHEN "left" % 7 = 2 THEN '' ELSE conflicts END AS conflicts, CASE WHEN "right" % 2 = 0 THEN 'keep_both' END AS decision FROM ev WHERE ("left" + "right") % 5 <> 1),
+x AS (SELECT coalesce(n."left", o."left") AS "left", coalesce(n."right", o."right") AS "right", o.kind IS NULL AS fresh, n.kind IS NULL AS gone,
+  n.kind = o.kind AND n.reasons = o.reasons AND n.conflicts = o.conflicts AS same, decision FROM nw n FULL JOIN od o ON n."left" = o."left" AND n."right" = o."right")
+SELECT "left", "right", CASE WHEN fresh THEN 'inserted' WHEN gone THEN 'deleted' WHEN same THEN 'kept' ELSE 'changed' END AS state,
+  CASE WHEN same THEN decision END AS decision, CASE WHEN decision IS NOT NULL AND same IS NOT TRUE THEN 'reset' END AS event FROM x""")
 def reconcile_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two snapshots of the matches, as two scans would leave them, reconciled."""
-    now = stored(matches(spark, sf_dir).select("left", "right", "kind"), "matches")
-    total = F.col("left") + F.col("right")
-    old = now.where(total % 5 != 1).select("left", "right", F.when(F.col("left") % 7 == 0, "metadata").otherwise(F.col("kind")).alias("kind"), F.when(F.col("right") % 2 == 0, "keep_both").alias("decision"))
+    """Two snapshots of the matches, as two scans would leave them, reconciled: some with another kind, a reason more or no conflict."""
+    now = stored(matches(spark, sf_dir).select("left", "right", "kind", "reasons", "conflicts"), "matches")
+    total, third = F.col("left") + F.col("right"), F.col("left") % 7
+    old = now.where(total % 5 != 1).select(
+        "left", "right", F.when(third == 0, "metadata").otherwise(F.col("kind")).alias("kind"), F.when(third == 1, F.array_append("reasons", F.lit("same_isbn"))).otherwise(F.col("reasons")).alias("reasons"),
+        F.when(third == 2, F.array().cast("array<string>")).otherwise(F.col("conflicts")).alias("conflicts"), F.when(F.col("right") % 2 == 0, "keep_both").alias("decision"),
+    )
     return d.reconcile(now.where(total % 5 != 0), old)
 
 
 OLD_MATCHES = """
-pv AS (SELECT *, CASE WHEN "right" % 2 = 0 THEN 'keep_both' END AS decision FROM ev WHERE ("left" + "right") % 6 <> 0),
+pv AS (SELECT *, "left" % 4 = 1 AS other, CASE WHEN "right" % 2 = 0 THEN 'keep_both' END AS decision FROM ev WHERE ("left" + "right") % 6 <> 0),
 gone AS (SELECT -1 - id AS "left", id AS "right", 'metadata' AS kind, 'confirmed' AS decision FROM k WHERE id % 97 = 0)"""
 
 
 @query(f"""{ALL_EVIDENCE}, {OLD_MATCHES}
-SELECT ev."left", ev."right", CASE WHEN pv."left" IS NULL THEN 'inserted' ELSE 'kept' END AS state, pv.decision, NULL AS event FROM ev LEFT JOIN pv ON pv."left" = ev."left" AND pv."right" = ev."right"
+SELECT ev."left", ev."right", CASE WHEN pv."left" IS NULL THEN 'inserted' WHEN other THEN 'changed' ELSE 'kept' END AS state, CASE WHEN NOT other THEN pv.decision END AS decision,
+  CASE WHEN other AND pv.decision IS NOT NULL THEN 'reset' END AS event FROM ev LEFT JOIN pv ON pv."left" = ev."left" AND pv."right" = ev."right"
 UNION ALL SELECT "left", "right", 'deleted', NULL, 'reset' FROM gone""")
 def scan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An incremental scan: a third of the fingerprints is of an old version, some matches are new, some gone."""
+    """An incremental scan: a third of the fingerprints is of an old version, some matches are new, some gone, some had other reasons."""
     docs, titles = documents(spark, sf_dir), stored(titled(spark, sf_dir), "titles")
     state = stored(prints(spark, sf_dir).withColumn("version", F.when(F.col("id") % 3 == 0, fp.VERSION - 1).otherwise(fp.VERSION)), "old-prints")
-    found = stored(_flat(matches(spark, sf_dir)), "matches")
-    old = found.where((F.col("left") + F.col("right")) % 6 != 0).select("left", "right", "kind", F.when(F.col("right") % 2 == 0, "keep_both").alias("decision"))
-    old = old.unionByName(docs.where("id % 97 = 0").select((-1 - F.col("id")).alias("left"), F.col("id").alias("right"), F.lit("metadata").alias("kind"), F.lit("confirmed").alias("decision")))
-    made = scanner.scan_archive(docs, comparisons(titles), state, old, min_words=MIN_WORDS, near=NEAR, near_words=MIN_WORDS, max_words=None)
+    found = stored(matches(spark, sf_dir), "matches")
+    reasons = F.when(F.col("left") % 4 == 1, F.array_append("reasons", F.lit("same_isbn"))).otherwise(F.col("reasons"))
+    old = found.where((F.col("left") + F.col("right")) % 6 != 0).select("left", "right", "kind", reasons.alias("reasons"), "conflicts", F.when(F.col("right") % 2 == 0, "keep_both").alias("decision"))
+    none = F.array().cast("array<string>")
+    gone = docs.where("id % 97 = 0").select((-1 - F.col("id")).alias("left"), F.col("id").alias("right"), F.lit("metadata").alias("kind"), none.alias("reasons"), none.alias("conflicts"), F.lit("confirmed").alias("decision"))
+    made = scanner.scan_archive(docs, comparisons(titles), state, old.unionByName(gone), min_words=MIN_WORDS, near=NEAR, near_words=MIN_WORDS, max_words=None)
     return made.changes
 
 

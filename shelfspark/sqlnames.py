@@ -49,16 +49,6 @@ def canonical_isbn13(c: pd.Series) -> pd.Series:
     return c.map(form)
 
 
-@F.pandas_udf(T.StringType())
-def sanitize_component(c: pd.Series) -> pd.Series:
-    def form(x: str | None) -> str:
-        name = " ".join(re.sub(r'[<>:"/\\|?*\x00-\x1f]', " ", t.unicodedata.normalize("NFC", x or "")).split()).strip(" .") or "Unbekannt"
-        name = f"_{name}" if re.match(t.RESERVED, name) else name
-        return name[:120].rstrip(" .") or "Unbekannt"
-
-    return c.map(form)
-
-
 @F.udtf(returnType=T.StructType([T.StructField("shingle", T.StringType()), T.StructField("hash", T.LongType())]))
 class Shingle:
     """A row for each five-word window of a text in normal form, with its 64-bit hash."""
@@ -76,13 +66,37 @@ class SegmentHtml:
         yield from segments_of(html or "")
 
 
+#: Functions of one text as they are in functions/text.py: their names in SQL stand for the same expressions.
+COLUMNS = {
+    "search_key": t.search_key, "author_key": t.author_key, "turn_name": t.turn_name, "strip_punctuation": t.strip_punctuation, "clean_tag_name": t.clean_tag_name, "clean_title": t.clean_title,
+    "sanitize_component": t.sanitize_component, "normalize_language": t.normalize_language, "year_from": t.year_from, "squeeze": t.squeeze,
+}
+_SUM10 = " + ".join(f"{10 - i} * CAST(substring(x, {4 + i}, 1) AS INT)" for i in range(9))
+#: Functions made of others. Arguments in order.
+COMPOSED = {
+    "normalize_tag_name": ("x STRING", "fold(clean_tag_name(x))"),
+    "alias_key": ("field STRING, x STRING", "CASE WHEN field = 'author' THEN author_key(x) ELSE key(x) END"),
+    "isbn10_to_isbn13": ("x STRING", "CASE WHEN valid_isbn10(x) THEN canonical_isbn13(x) END"),
+    "isbn13_to_isbn10": ("x STRING", f"CASE WHEN valid_isbn13(x) AND x LIKE '978%' THEN substring(x, 4, 9) || substring('0123456789X', (11 - ({_SUM10}) % 11) % 11 + 1, 1) END"),
+}
+
+
+def _expression(spark: SparkSession, f) -> str:
+    """A function of a column as SQL over x; its Python functions go by their own names."""
+    made = spark.createDataFrame([], "x string").select(f(F.col("x")).alias("r"))
+    return made._jdf.queryExecution().analyzed().expressions().head().child().sql()
+
+
 def register(spark: SparkSession) -> None:
     """Makes the names known to the session's SQL."""
     named = {
-        "normalize_text": t.normalize_text, "text_key": t.key, "clean_tag_name": t.compose_compatible, "unmarked": t.unmarked, "normalized_text": t.normalized_text, "fold_case": t.fold, "compose": t.compose,
-        "sanitize_component": sanitize_component, "valid_isbn10": valid_isbn10, "valid_isbn13": valid_isbn13, "canonical_isbn13": canonical_isbn13, "similarity": linkage.name_similarity, "minhash_signature": minhash_aggregate,
+        "normalize_text": t.normalize_text, "key": t.key, "text_key": t.key, "unmarked": t.unmarked, "normalized_text": t.normalized_text, "fold": t.fold, "fold_case": t.fold, "compose": t.compose,
+        "compose_compatible": t.compose_compatible, "valid_isbn10": valid_isbn10, "valid_isbn13": valid_isbn13, "canonical_isbn13": canonical_isbn13, "similarity": linkage.name_similarity, "minhash_signature": minhash_aggregate,
     }
     for name, f in named.items():
         spark.udf.register(name, f)
+    bodies = {name: ("x STRING", _expression(spark, f)) for name, f in COLUMNS.items()} | COMPOSED
+    for name, (arguments, body) in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURN {body}")
     spark.udtf.register("shingle", Shingle)
     spark.udtf.register("segment_html", SegmentHtml)

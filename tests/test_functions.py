@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark import sqlnames
 from shelfspark.functions import isbn as i
 from shelfspark.functions import text as t
 from shelfspark.operators import duplicates as d
@@ -102,10 +103,14 @@ def test_merge_keeps_best_scalars_and_order(spark):
 
 
 def test_reconcile(spark):
-    now = spark.createDataFrame([(1, 2, "content"), (1, 3, "metadata"), (5, 6, "content")], "left int, right int, kind string")
-    old = spark.createDataFrame([(1, 2, "content", "keep_both"), (1, 3, "content", "confirmed"), (7, 8, "content", None)], "left int, right int, kind string, decision string")
+    found = "left int, right int, kind string, reasons array<string>, conflicts array<string>"
+    a, b = ["same_text"], ["near_text"]
+    now = spark.createDataFrame([(1, 2, "content", a, []), (1, 3, "metadata", a, []), (5, 6, "content", a, []), (2, 3, "content", b, []), (2, 4, "content", a, ["title"]), (2, 5, None, None, None)], found)
+    old = spark.createDataFrame(
+        [(1, 2, "content", a, [], "keep_both"), (1, 3, "content", a, [], "confirmed"), (7, 8, "content", a, [], None), (2, 3, "content", a, [], "keep_both"), (2, 4, "content", a, [], None), (2, 5, None, None, None, "confirmed")], found + ", decision string"
+    )
     got = {(r["left"], r["right"]): (r["state"], r["decision"], r["event"]) for r in d.reconcile(now, old).collect()}
-    assert got == {(1, 2): ("kept", "keep_both", None), (1, 3): ("changed", None, "reset"), (5, 6): ("inserted", None, None), (7, 8): ("deleted", None, None)}
+    assert got == {(1, 2): ("kept", "keep_both", None), (1, 3): ("changed", None, "reset"), (5, 6): ("inserted", None, None), (7, 8): ("deleted", None, None), (2, 3): ("changed", None, "reset"), (2, 4): ("changed", None, None), (2, 5): ("kept", "confirmed", None)}
 
 
 @pytest.mark.parametrize(("raw", "want"), [("CON", "_CON"), ("nul.txt", "nul.txt"), ("a/b:c*?", "a b c"), (" . ", "Unbekannt"), (None, "Unbekannt"), ("x" * 130, "x" * 120), ("Cafe\u0301", "Caf\u00e9")])
@@ -155,3 +160,33 @@ def test_redaction_is_recursive():
     got = u.redact_json('{"a": {"Authorization": "x", "n": [{"api_key": 1, "tokens": 7, "access_token": "y"}]}, "url": "http://h/p?token=abc&q=1"}')
     assert got == '{"a": {"Authorization": "[REDACTED]", "n": [{"api_key": "[REDACTED]", "tokens": 7, "access_token": "[REDACTED]"}]}, "url": "http://h/p?token=[REDACTED]&q=1"}'
     assert u.redact_json("no json") == "no json" and u.redact_json(None) is None
+
+
+TEXTS = ["  a   b ", "x" * 300, "J. R. R. Tolkien", "Tolkien, J. R. R.", "DÉR   Hobbit!", "", None, "CON", "c1999", "de_DE", "Caf\u0065\u0301", "a\x07b", "tiﬁ C++"]
+
+
+def test_names_in_sql_are_the_functions(spark):
+    sqlnames.register(spark)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS)], "i int, x string")
+    df.createOrReplaceTempView("texts")
+    for name, f in {**sqlnames.COLUMNS, "normalize_tag_name": t.normalize_tag_name, "alias_key": lambda c: t.alias_key(F.lit("author"), c)}.items():
+        call = "alias_key('author', x)" if name == "alias_key" else f"{name}(x)"
+        got, want = spark.sql(f"SELECT {call} AS r FROM texts ORDER BY i").collect(), df.orderBy("i").select(f(F.col("x")).alias("r")).collect()
+        assert [r[0] if not isinstance(r[0], tuple) else tuple(r[0]) for r in got] == [r[0] if not isinstance(r[0], tuple) else tuple(r[0]) for r in want], name
+    numbers = spark.sql("SELECT isbn10_to_isbn13('3404105311') a, isbn13_to_isbn10('9783404105311') b, isbn13_to_isbn10('9791090636071') c, isbn10_to_isbn13('3404105312') d").first()
+    assert numbers["a"] == spark.range(1).select(i.isbn10_to_isbn13(F.lit("3404105311"))).first()[0] and numbers["b"] == spark.range(1).select(i.isbn13_to_isbn10(F.lit("9783404105311"))).first()[0]
+    assert numbers["c"] is None and numbers["d"] is None
+
+
+@pytest.mark.parametrize("size", ["7", "10000"])
+def test_a_null_key_is_one_key(spark, size):
+    """30,000 rows of one null key, eight a batch, and a null size among them, whatever Arrow's batches are."""
+    rows = spark.range(30_000 if size == "10000" else 300).select(F.lit(None).cast("string").alias("k"), "id", F.when(F.col("id") % 10 > 0, F.lit(1.0)).alias("size"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = u.pack_batches(rows, "k", ["id"], "size", 8, 100.0).collect()
+        admitted = u.spend(rows.withColumn("most", F.lit(50.0)).fillna(1.0, "size"), "k", ["id"], "size", "most").where("admitted").count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [r["batch"] for r in sorted(got, key=lambda r: r["id"])] == [i // 8 for i in range(len(got))] and admitted == 50
