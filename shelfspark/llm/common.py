@@ -103,6 +103,14 @@ def drop_names(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of df in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pieces(batch: pa.RecordBatch, column: str | None, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch that hold about limit bytes of the column each, one row at least."""
     if not batch.num_rows:

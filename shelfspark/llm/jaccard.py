@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import append_arrow, connected_components, joined_bytes, min_labels, mix, over_groups, small_side, stored, word_hashes
+from shelfspark.llm.common import append_arrow, connected_components, free_name, joined_bytes, min_labels, mix, over_groups, small_side, stored, word_hashes
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -228,7 +228,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
 
 def keep_one(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the first in the order of the table as it is stored; rows count apart whatever their ids."""
-    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    classes = jaccard_classes(rows, "__row", text, threshold)
-    keep = stored(classes.where(F.col("class_id") == F.col("__row")).select("__row"), "kept")
-    return rows.join(small_side(keep), "__row", "left_semi").drop("__row")
+    own = free_name(df, "row")
+    rows = stored(df.withColumn(own, F.monotonically_increasing_id()), "rows")
+    classes = jaccard_classes(rows, own, text, threshold)
+    keep = stored(classes.where(F.col("class_id") == F.col(own)).select(own), "kept")
+    return rows.join(small_side(keep), own, "left_semi").drop(own)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import WS, few_rows, small_side, stored
+from shelfspark.llm.common import WS, few_rows, free_name, small_side, stored
 
 MAX_EPOCHS = 2
 #: Hash digits (hexadecimal) of a bucket: 4096 buckets a leaf.
@@ -131,13 +131,16 @@ def prefix(text: Column, n: Column) -> Column:
 def mix_texts(df: DataFrame, weights: dict[str, dict[str, int]], budget: int | Column, seed: int, domain: Column, text: str = "text", n_chars: str = "n_chars", max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mixture itself: rows of df as often as their leaf's epochs ask, the last use cut to its token prefix."""
     order = df.columns
-    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    counted = rows.select("__row", domain.alias("domain"), "lang", "source", n_tokens(F.col(text)).alias("tokens"))
-    drawn = stored(select_tokens(counted, weights, budget, seed, "__row", max_epochs).select("__row", "tokens", "full_epochs", "partial_tokens").where("full_epochs > 0 or partial_tokens > 0").where("tokens > 0"), "drawn")
-    used = rows.join(small_side(drawn), "__row")
-    uses = used.withColumn("__use", F.explode(F.sequence(F.lit(1), (F.col("full_epochs") + F.when(F.col("partial_tokens") > 0, 1).otherwise(0)).cast("int"))))
-    cut = (F.col("__use") > F.col("full_epochs")) & (F.col("partial_tokens") < F.col("tokens"))
-    made = uses.withColumn(text, F.when(cut, prefix(F.col(text), F.col("partial_tokens"))).otherwise(F.col(text)))
+    own = {n: free_name(df, n) for n in ("row", "use", "tokens", "full_epochs", "partial_tokens")}
+    col = {n: F.col(c) for n, c in own.items()}
+    rows = stored(df.withColumn(own["row"], F.monotonically_increasing_id()), "rows")
+    counted = rows.select(col["row"].alias("row"), domain.alias("domain"), "lang", "source", n_tokens(F.col(text)).alias("tokens"))
+    chosen = select_tokens(counted, weights, budget, seed, "row", max_epochs).where("(full_epochs > 0 or partial_tokens > 0) and tokens > 0")
+    drawn = stored(chosen.select(*[F.col(n).alias(own[n]) for n in ("row", "tokens", "full_epochs", "partial_tokens")]), "drawn")
+    used = rows.join(small_side(drawn), own["row"])
+    uses = used.withColumn(own["use"], F.explode(F.sequence(F.lit(1), (col["full_epochs"] + F.when(col["partial_tokens"] > 0, 1).otherwise(0)).cast("int"))))
+    cut = (col["use"] > col["full_epochs"]) & (col["partial_tokens"] < col["tokens"])
+    made = uses.withColumn(text, F.when(cut, prefix(F.col(text), col["partial_tokens"])).otherwise(F.col(text)))
     return made.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType)).select(*order) if n_chars in order else made.select(*order)
 
 
@@ -161,7 +164,8 @@ b{i} AS (SELECT {by}, CASE WHEN full_ THEN capacity WHEN open_ > 0 THEN left_ *
         held, key = f"b{i}", [*key, level]
     cols = ", ".join(LEVELS)
     return rf"""
-WITH docs AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens FROM {table}),
+WITH docs AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS tokens FROM {table}),
 leaves AS (SELECT {cols}, sum(tokens) AS tokens, sum(tokens) * {max_epochs} AS capacity FROM docs GROUP BY {cols}),
 root AS (SELECT least(sum(capacity), sum(tokens) * {percent} // 100) AS budget FROM leaves),
 {", ".join(steps)},

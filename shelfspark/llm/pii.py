@@ -1,9 +1,11 @@
 """Personal data (operator 5): regular expressions propose spans, checksums confirm them, context adjusts the score.
 
 Base kinds: email, ip, card (Luhn) and phone (with a leading +). Their confirmed spans always
-stay. Further kinds, kept at a score of at least MIN_SCORE and only where they overlap no span
-of a kind before: iban (mod-97), national_phone and ssn (both need a context word nearby), and
-secret: keys and tokens of known forms, and values given to names such as password or token.
+stay. Further kinds, kept at a score of at least MIN_SCORE: iban (mod-97), national_phone and ssn (both
+need a context word nearby), where they overlap no span of a kind before; and secret, which may overlap
+others: keys and tokens of known forms and values given to names such as password or token, each to its
+end whatever its length, and private keys from their BEGIN line to their END line (without one, to the end
+of their lines of base 64).
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans. Rows are
 independent: repeated rows, other columns and empty tables pass through; the time for a text
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import append_arrow
+from shelfspark.llm.common import append_arrow, free_name
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "national_phone", "ssn", "secret")
@@ -51,9 +53,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+A-Za-z])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-]|[0-9]{3}[\x20.-])[0-9]{3,4}(?:[\x20.-]?[0-9]{2,4}){1,2}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-#: A name, a sign and a value of at least eight characters; the value alone is the span.
-_NAMED = re.compile(r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|password|passwd|pwd)(?:[_-][a-z]{1,12})?[\x20\"']{0,3}[:=][\x20\"']{0,3}([^\s\"'<>,;]{8,512})")
-_FORMS = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}|eyJ[A-Za-z0-9_-]{10,500}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,500})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+#: A name, a sign and a value of at least eight characters; the value alone is the span, to its end.
+_NAMED = re.compile(r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|password|passwd|pwd)(?:[_-][a-z]{1,12})?[\x20\"']{0,3}[:=][\x20\"']{0,3}([^\s\"'<>,;]{8,}+)")
+_FORMS = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]{10,}+){2,4})(?![A-Za-z0-9_-])"
+)
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(r"-----END [A-Z0-9\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+#: Lines of a key without an END line: runs of base 64, the last one short if it is padded.
+_LINES = re.compile(r"(?:\s*+[A-Za-z0-9+/=]{16,}+)*+(?:\s*+[A-Za-z0-9+/]{1,15}={1,2})?")
 #: Length of an IBAN by country.
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
@@ -115,15 +123,24 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks of private keys. An END line closes the last BEGIN line before it."""
+    begins = [m.span() for m in _BEGIN.finditer(text)]
+    ends = [m.span() for m in _END.finditer(text)] if begins else []
+    k = 0
+    for i, (start, inside) in enumerate(begins):
+        after = begins[i + 1][0] if i + 1 < len(begins) else len(text)
+        while k < len(ends) and ends[k][0] < inside:
+            k += 1
+        yield (start, ends[k][1]) if k < len(ends) and ends[k][0] < after else (start, _LINES.match(text, inside).end())
+
+
 def _secrets(text: str) -> Iterator[tuple[int, int]]:
-    """Values of named secrets that mix letters with digits or are twenty characters or longer, and known forms; by rising start, apart."""
+    """Private keys, values of named secrets that mix letters with digits or are twenty characters or longer, and known forms; by rising start, apart."""
     found = [m.span(1) for m in _NAMED.finditer(text) if len(m[1]) >= 20 or (any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]))]
     found += [m.span() for m in _FORMS.finditer(text)]
-    done = 0
-    for a, b in sorted(found):
-        if a >= done:
-            yield a, b
-            done = b
+    found += _keys(text)
+    yield from _joined(found)
 
 
 def _apart(places: Iterator[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -184,7 +201,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     further = (("iban", _ibans(text)), ("national_phone", (m.span() for m in _NATIONAL.finditer(text))), ("ssn", (m.span() for m in _SSN.finditer(text))), ("secret", _secrets(text)))
     for kind, places in further:
         more = []
-        for a, b in _apart(places, taken):
+        for a, b in places if kind == "secret" else _apart(places, taken):
             if kind == "national_phone" and not 7 <= sum(c.isdigit() for c in text[a:b]) <= 12:
                 continue
             if (score := _score(text, kind, a, b)) >= MIN_SCORE:
@@ -230,8 +247,9 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     def make() -> Callable:
         return lambda batch: [pa.array([masked(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], pa.string())]
 
-    made = append_arrow(df, make, [T.StructField("__masked", T.StringType())], sized_by=text)
-    return made.withColumn(text, F.col("__masked")).select(*order)
+    new = free_name(df, "masked")
+    made = append_arrow(df, make, [T.StructField(new, T.StringType())], sized_by=text)
+    return made.select(*[F.col(f"`{new}`").alias(text) if c == text else F.col(f"`{c}`") for c in order])
 
 
 def listed(spans: Column) -> Column:

@@ -591,3 +591,34 @@ def test_bpe_long_pieces():
     rng = random.Random(1)
     texts = ["a" * 3000, " " * 5000, "\u00e9" * 700, "=" * 1001] + ["".join(rng.choices(x, k=rng.randint(257, 1500))) for x in ("abcdefghijklmnopqrstuvwxyz", "aeth", ["the", "ing", "\u00df", "\u65e5\u672c"]) for _ in range(12)]
     assert own.encode(texts) == [theirs.encode_ordinary(t) for t in texts]
+
+
+KEY_LINES = "\n".join("MIIEvQ" + "aB3/+xyz0" * 6 for _ in range(20))
+
+
+def test_pii_whole_secrets():
+    """Secrets of any length go to their end, keys to their END line, and a card or an address inside does not keep the rest."""
+    long = "x1" * 500_000
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{KEY_LINES}\nend4Q==\n-----END RSA PRIVATE KEY-----"
+    jwt = ".".join(("eyJ" + "aB1_" * 10, "cD2-" * 1000, "e" * 700))
+    inside = "Zx9-4111111111111111-1.2.3.4-me@example.org-Q"
+    cases = {
+        f"password: {long} end": [long], f"a {block} b": [block], f"{block}\n{block} c": [block, block], f"x {jwt}, y": [jwt], f"token={inside} z": [inside],
+        f"-----BEGIN PRIVATE KEY-----\n{KEY_LINES}\nend4Q==\nAnd now prose of some words": [f"-----BEGIN PRIVATE KEY-----\n{KEY_LINES}\nend4Q=="], "key ghp_" + "a1" * 90: ["ghp_" + "a1" * 90],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for kind, a, b, _ in pii.find_spans(text) if kind == "secret"] == want, text[:60]
+        assert all(w not in pii.masked(text) for w in [*want, KEY_LINES[:40], "Zx9", "org-Q"])
+    assert pii.masked(f"a {block} b") == "a [SECRET] b" and pii.masked(f"password: {long} end") == "password: [SECRET] end"
+    assert len(pii.find_spans("-----BEGIN PRIVATE KEY-----\n" * 40_000)) == 40_000  # linear in the text
+    pii.find_spans("eyJ" + "a" * 1_000_000 + " " + "eyJaaaaaaaaaaaa." * 60_000)
+
+
+def test_own_columns_do_not_clash(spark):
+    """Callers' columns with the names that the operators use inside come back as they were."""
+    docs = [(i, f"word{i % 5} mail a{i}@b.de " + "same words again and again " * 4, "en", "s", 7, -i, -2 * i, "m", "t", "f", "p") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, row long, use long, masked string, tokens string, full_epochs string, partial_tokens string")
+    for made in (pii.redact(df), jaccard.keep_one(df), mixing.mix_texts(df, {}, 300, 1, F.lit("d"))):
+        assert made.columns == df.columns
+        got = made.collect()
+        assert got and all((r["row"], r["use"], r["masked"], r["tokens"], r["full_epochs"], r["partial_tokens"]) == (-r["doc_id"], -2 * r["doc_id"], "m", "t", "f", "p") for r in got)
