@@ -34,8 +34,9 @@ def ordered_pairs(keyed: DataFrame, key: str) -> DataFrame:
     return a.join(b, [key, "__part"]).where(F.col("left") < F.col("right")).select("left", "right").distinct()
 
 
-def pairs_by_lsh(signatures: DataFrame) -> DataFrame:
-    return ordered_pairs(signatures.select("id", F.explode(fp.lsh_buckets(F.col("signature"))).alias("bucket")), "bucket")
+def pairs_by_lsh(signatures: DataFrame, bands: int = fp.BANDS, rows: int = fp.ROWS) -> DataFrame:
+    """(left, right) of signatures that agree in all rows of a band; those of a Jaccard index s are found with probability 1 - (1 - s^rows)^bands."""
+    return ordered_pairs(signatures.select("id", F.explode(fp.lsh_buckets(F.col("signature"), bands, rows)).alias("bucket")), "bucket")
 
 
 def pairs_by_text_hash(prints: DataFrame) -> DataFrame:

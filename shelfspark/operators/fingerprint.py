@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,16 @@ def minhash(sets: pd.Series) -> pd.Series:
     return sets.map(lambda x: signature_of(np.asarray([] if x is None else x, np.int64).view(np.uint64)).view(np.int64))
 
 
+def minhash_of(slots: int):
+    """minhash with another number of slots."""
+
+    @F.pandas_udf(LONGS)
+    def run(sets: pd.Series) -> pd.Series:
+        return sets.map(lambda x: signature_of(np.asarray([] if x is None else x, np.int64).view(np.uint64), slots).view(np.int64))
+
+    return run
+
+
 @F.pandas_udf(LONGS)
 def minhash_aggregate(values: pd.Series) -> np.ndarray:
     """MinHash signature of a group's distinct hashes (one row each): an aggregate, for SQL too."""
@@ -126,3 +137,23 @@ def current(derived: DataFrame, version: int = VERSION) -> DataFrame:
 def representatives(prints: DataFrame) -> DataFrame:
     """One row of each text hash, the smallest id: equal texts share all buckets and need no comparison."""
     return prints.join(prints.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min("id").alias("id")), ["id", "text_hash"], "left_semi")
+
+
+def signatures_by(values: DataFrame, key: str, value: str, slots: int = SLOTS) -> DataFrame:
+    """(key, signature): MinHash of each group's hashes (64 bits), merged from parts: an Arrow batch gives a key's least number
+    in each slot, and only those are moved. So a hot key is all tasks' work, where minhash_aggregate holds a group in one. Nulls are no values.
+    """
+    kind = values.schema[key].dataType.simpleString()
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for found, part in batch.groupby("k", dropna=False, sort=False)["v"]:
+                # In signed order, so that Spark's min is the least of unsigned numbers.
+                signed = (signature_of(part.to_numpy(np.int64).view(np.uint64), slots) ^ np.uint64(1 << 63)).view(np.int64)
+                yield pd.DataFrame({"k": pd.Series([None if pd.isna(found) else found] * slots, dtype=batch["k"].dtype if not pd.isna(found) else object), "slot": np.arange(slots, dtype=np.int32), "least": signed})
+
+    rows = values.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).where("v is not null")
+    parts = rows.mapInPandas(least, f"k {kind}, slot int, least long").groupBy("k", "slot").agg(F.min("least").alias("least"))
+    whole = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("slot", "least"))).alias("s"))
+    flip = F.lit(-(1 << 63))
+    return whole.select(F.col("k").alias(key), F.transform("s", lambda x: x["least"].bitwiseXOR(flip)).alias("signature"))

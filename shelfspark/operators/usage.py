@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.shared import numbered
+from shelfspark.operators import selection
+from shelfspark.shared import numbered, stored
 
 FAILED = ("failed", "interrupted", "unknown")
 
@@ -150,31 +151,55 @@ def job_progress(items: DataFrame, job: str = "job") -> DataFrame:
     return made.withColumn("status", status).drop("__failed")
 
 
-def run_metrics(runs: DataFrame, keys: list[str], value: str, valid: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """For each group valid and invalid runs, and of the valid ones median, least, most, mean, sample deviation and its percentage of the mean; median and most of each further measure."""
+def _by_group(base: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """base with found's columns; null keys meet."""
+    other = found.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return base.join(other, on, "left").drop(*[f"__{k}" for k in keys])
+
+
+def run_metrics(runs: DataFrame, keys: list[str], value: str, valid: str | None = None, also: tuple[str, ...] = (), most: int = selection.MOST) -> DataFrame:
+    """For each group valid and invalid runs, and of the valid ones median, least, most, mean, sample deviation and its percentage of the mean; median and most of each further measure.
+
+    Groups of more than `most` runs have their medians by selection.
+    """
     ok = F.lit(True) if valid is None else F.coalesce(F.col(valid), F.lit(False))
-    v = F.when(ok, F.col(value))
-    more = [f.alias(f"{n}_{name}") for n in also for name, f in (("median", F.percentile(F.when(ok, F.col(n)), F.lit(0.5))), ("most", F.max(F.when(ok, F.col(n)))))]
-    return runs.groupBy(*keys).agg(
-        F.count(v).alias("runs"), F.count_if(~ok | F.col(value).isNull()).alias("invalid"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("stddev"), F.try_divide(100 * F.stddev_samp(v), F.avg(v)).alias("cv"), *more,
+    v, names = F.when(ok, F.col(value)), {value: "median"} | {n: f"{n}_median" for n in also}
+    big = selection.large(runs, keys, most)
+    medians = {} if big else {out: F.percentile(F.when(ok, F.col(n)), F.lit(0.5)).alias(out) for n, out in names.items()}
+    made = runs.groupBy(*keys).agg(
+        F.count(v).alias("runs"), F.count_if(~ok | F.col(value).isNull()).alias("invalid"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("stddev"), F.try_divide(100 * F.stddev_samp(v), F.avg(v)).alias("cv"), *[F.max(F.when(ok, F.col(n))).alias(f"{n}_most") for n in also], *medians.values(),
     )
+    for n, out in names.items() if big else ():
+        made = _by_group(made, selection.percentiles(runs.where(ok), keys, n, (0.5,), out, most).withColumn(out, F.get(out, F.lit(0))), keys)
+    more = [x for n in also for x in (f"{n}_median", f"{n}_most")]
+    return made.select(*keys, "runs", "invalid", "median", "least", "most", "mean", "stddev", "cv", *more)
 
 
-def latency_percentiles(requests: DataFrame, enough: int = 200) -> DataFrame:
-    """For each endpoint of requests (endpoint, outcome, actual, scheduled): planned, success, errors, skipped, p50 and p95 of both times of successes, and whether those are few."""
-    good = F.col("outcome") == "success"
-    p = lambda c: F.percentile(F.when(good, F.col(c)), F.array(F.lit(0.5), F.lit(0.95)))
+def latency_percentiles(requests: DataFrame, enough: int = 200, most: int = selection.MOST) -> DataFrame:
+    """For each endpoint of requests (endpoint, outcome, actual, scheduled): planned, success, errors, skipped, p50 and p95 of both times of successes, and whether those are few.
+
+    Endpoints of more than `most` requests have their percentiles by selection.
+    """
+    good, points = F.col("outcome") == "success", (0.5, 0.95)
+    big = selection.large(requests, ["endpoint"], most)
+    direct = [] if big else [F.percentile(F.when(good, F.col(c)), F.array(*map(F.lit, points))).alias(c) for c in ("actual", "scheduled")]
     made = requests.groupBy("endpoint").agg(
-        F.count("*").alias("planned"), F.count_if(good).alias("success"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome") == "skipped").alias("skipped"),
-        p("actual").alias("a"), p("scheduled").alias("s"),
-    )
-    return made.select("endpoint", "planned", "success", "errors", "skipped", *[F.get(c, F.lit(i)).alias(f"p{q}_{n}") for c, n in (("a", "actual"), ("s", "scheduled")) for i, q in enumerate((50, 95))], (F.col("success") < enough).alias("weak"))
+        F.count("*").alias("planned"), F.count_if(good).alias("success"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome") == "skipped").alias("skipped"), *direct
+    )
+    for c in ("actual", "scheduled") if big else ():
+        made = _by_group(made, selection.percentiles(requests.where(good), ["endpoint"], c, points, c, most), ["endpoint"])
+    return made.select("endpoint", "planned", "success", "errors", "skipped", *[F.get(c, F.lit(i)).alias(f"p{q}_{c}") for c in ("actual", "scheduled") for i, q in enumerate((50, 95))], (F.col("success") < enough).alias("weak"))
 
 
-def phase_totals(spans: DataFrame) -> DataFrame:
-    """For each phase of spans (phase, ms, counters): calls, median and total milliseconds."""
-    return spans.groupBy("phase").agg(F.count("*").alias("calls"), F.percentile("ms", F.lit(0.5)).alias("median_ms"), F.sum("ms").alias("total_ms"))
+def phase_totals(spans: DataFrame, most: int = selection.MOST) -> DataFrame:
+    """For each phase of spans (phase, ms, counters): calls, median and total milliseconds. Phases of more than `most` calls have their median by selection."""
+    big = selection.large(spans, ["phase"], most)
+    made = spans.groupBy("phase").agg(F.count("*").alias("calls"), F.sum("ms").alias("total_ms"), *([] if big else [F.percentile("ms", F.lit(0.5)).alias("median_ms")]))
+    if big:
+        made = _by_group(made, selection.percentiles(spans, ["phase"], "ms", (0.5,), "median_ms", most).withColumn("median_ms", F.get("median_ms", F.lit(0))), ["phase"])
+    return made.select("phase", "calls", "median_ms", "total_ms")
 
 
 def counter_totals(spans: DataFrame) -> DataFrame:
@@ -192,18 +217,16 @@ def outcome_counts(results: DataFrame, col: str, known: tuple[str, ...]) -> Data
 def paired_savings(pairs: DataFrame, replicates: int = 1000, cv: tuple[float, float] | None = None) -> DataFrame:
     """One row of pairs (a, b): median saving 100 (1 - b / a), its 95 % bootstrap interval, and whether b is reliably faster.
 
-    A replicate draws as many pairs as there are, by hash of its number and the draw's. Reliable: both
+    A replicate draws as many pairs as there are, by hash of its number and the draw's; draws are counted where they are made. Reliable: both
     variation coefficients at most 5, a median of 5 or more and a lower end above 0.
     """
     saving = pairs.where("a > 0 and b is not null").select((100 * (1 - F.col("b") / F.col("a"))).alias("x"))
-    placed = numbered(saving, ["x"], "place")
+    placed = stored(numbered(saving, ["x"], "place"), "placed")
     n = placed.count()
-    draws = placed.sparkSession.range(replicates).select(F.col("id").alias("r")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % max(n, 1) + 1
-    medians = draws.select("r", pick.alias("place")).join(placed, "place").groupBy("r").agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    ends = medians.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    whole = placed.agg(F.count("*").alias("pairs"), F.percentile("x", F.lit(0.5)).alias("median_saving"))
-    made = whole.crossJoin(ends).select("pairs", "median_saving", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))  # one row each
+    medians = selection.bootstrap_medians(placed, "x", "place", n, replicates) if n else placed.select(F.col("place").alias("r"), F.col("x").alias("m"))
+    ends = medians.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))  # a row a replicate
+    middle = placed.where(F.col("place").isin((n - 1) // 2 + 1, n // 2 + 1)).agg(F.avg("x").alias("median_saving"))
+    made = middle.crossJoin(ends).select(F.lit(n).cast("long").alias("pairs"), "median_saving", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))  # one row each
     steady = True if cv is None else max(cv) <= 5
     return made.withColumn("reliable", F.lit(steady) & (F.col("median_saving") >= 5) & (F.col("low") > 0))
 

@@ -18,6 +18,8 @@ from shelfspark.shared import stored
 from shelfspark.sources.tables import read_table
 
 MIN_WORDS, NEAR = 100, 0.5
+#: Bands and rows of near_duplicates: pairs at NEAR are found with probability 0.99.
+NEAR_BANDS, NEAR_ROWS = 35, 3
 
 NORMAL = r"trim(regexp_replace(replace(lower(replace(text, chr(173), '')), 'ß', 'ss'), '\s+', ' ', 'g'))"
 PRINTS = rf"""
@@ -31,11 +33,17 @@ pl AS (SELECT id, list(DISTINCT s) AS shingles FROM ps WHERE s IS NOT NULL GROUP
 p AS (SELECT id, word_count, text_hash, normal, source, lang, coalesce(shingles, []) AS shingles FROM t LEFT JOIN pl USING (id)),
 reps AS (SELECT * FROM p WHERE text_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY id) = 1),
 r AS (SELECT * FROM reps WHERE len(shingles) > 0)"""
-SIGNATURES = r"""
+
+
+def bands_sql(slots: int, rows: int) -> str:
+    return rf"""
 h AS (SELECT id, CAST(CAST('0x' || v AS UBIGINT) AS HUGEINT) AS v FROM (SELECT id, unnest(shingles) AS v FROM r)),
-g AS (SELECT id, s, min((v * (2 * s + 1) + s * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT) AS m FROM h, range(32) x(s) GROUP BY id, s),
-b AS (SELECT id, s // 4 AS band, string_agg(lpad(printf('%x', m::UBIGINT), 16, '0'), ',' ORDER BY s) AS bucket FROM g GROUP BY id, s // 4),
+g AS (SELECT id, s, min((v * (2 * s + 1) + s * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT) AS m FROM h, range({slots}) x(s) GROUP BY id, s),
+b AS (SELECT id, s // {rows} AS band, string_agg(lpad(printf('%x', m::UBIGINT), 16, '0'), ',' ORDER BY s) AS bucket FROM g GROUP BY id, s // {rows}),
 c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id)"""
+
+
+SIGNATURES = bands_sql(32, 4)
 JACCARD = "len(list_intersect(x.shingles, y.shingles)) / (len(x.shingles) + len(y.shingles) - len(list_intersect(x.shingles, y.shingles)))"
 
 
@@ -47,12 +55,12 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp.fingerprint(documents(spark, sf_dir), MIN_WORDS, max_words=None)
 
 
-def signatures(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+def signatures(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, slots: int = fp.SLOTS) -> DataFrame:
     """Representatives with shingles and their signatures, stored: texts are read once."""
     own = stored(prints(spark, sf_dir), "prints") if own is None else own
     # Signatures are filtered, not shingles: a filter on those would be pushed into the projection that makes them.
-    signed = fp.representatives(own).withColumn("signature", fp.minhash("shingles"))
-    return stored(signed.where(F.size("signature") == fp.SLOTS), "signatures")
+    signed = fp.representatives(own).withColumn("signature", fp.minhash_of(slots)("shingles"))
+    return stored(signed.where(F.size("signature") == slots), "signatures")
 
 
 @query("""
@@ -105,15 +113,26 @@ def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {PRINTS}, {SIGNATURES},
+WITH {PRINTS}, {bands_sql(NEAR_BANDS * NEAR_ROWS, NEAR_ROWS)},
 j AS (SELECT c.a AS "left", c.b AS "right", {JACCARD} AS j FROM c JOIN p x ON x.id = c.a JOIN p y ON y.id = c.b)
 SELECT "left", "right", round(j, 6) AS jaccard FROM j WHERE j >= {NEAR}""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = signatures(spark, sf_dir)
-    compared = d.compare_texts(d.pairs_by_lsh(signed), signed)
+    """Pairs of representatives of a Jaccard index of at least NEAR that share a band; near_duplicates_exact has all."""
+    signed = signatures(spark, sf_dir, slots=NEAR_BANDS * NEAR_ROWS)
+    compared = d.compare_texts(d.pairs_by_lsh(signed, NEAR_BANDS, NEAR_ROWS), signed)
     return compared.where(F.col("jaccard") >= NEAR).select("left", "right", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(rf"""WITH {PRINTS}, h AS (SELECT lang, CAST(CAST('0x' || v AS UBIGINT) AS HUGEINT) AS v FROM (SELECT lang, unnest(shingles) AS v FROM r)),
+g AS (SELECT lang, s, min((v * (2 * s + 1) + s * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT) AS m FROM h, range(32) x(s) GROUP BY lang, s)
+SELECT lang, string_agg(lpad(printf('%x', m::UBIGINT), 16, '0'), ',' ORDER BY s) AS signature FROM g GROUP BY lang""")
+def language_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signature of all shingles of each language's texts: a few hot keys, merged from parts."""
+    own = fp.representatives(stored(prints(spark, sf_dir), "prints")).join(documents(spark, sf_dir).select("id", "lang"), "id")
+    made = fp.signatures_by(own.select("lang", F.explode("shingles").alias("v")), "lang", "v")
+    return made.select("lang", F.array_join(F.transform("signature", fp.hexed), ",").alias("signature"))
+
+
 @query(rf"""
 WITH {PRINTS}, s AS (SELECT id, unnest(shingles) AS s FROM r),
 c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN s y USING (s) WHERE x.id < y.id),

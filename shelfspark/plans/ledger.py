@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfspark.operators import selection
 from shelfspark.operators import usage as u
 from shelfspark.plans.registry import query
 from shelfspark.sources.tables import read_table
@@ -181,3 +182,13 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = rows.select("lang", F.explode(F.filter(F.zip_with(pairs, F.slice(chars, 3, F.size(chars)), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())).alias("gram"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return grams.groupBy("lang", "gram").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w)).where("r <= 100").drop("r")
+
+
+@query("""SELECT l_returnflag AS variant, round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.975), 6) AS high,
+  quantile_cont(l_quantity, 0.95) AS quantity FROM lineitem GROUP BY l_returnflag""")
+def large_group_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of line prices by return flag, groups of more than 500 rows by selection."""
+    lines = read_table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "variant")
+    prices = selection.percentiles(lines, ["variant"], "l_extendedprice", (0.025, 0.5, 0.975), "p", most=500)
+    amounts = selection.percentiles(lines, ["variant"], "l_quantity", (0.95,), "q", most=500)
+    return prices.join(amounts, "variant").select("variant", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("low", "median", "high"))], F.get("q", F.lit(0)).alias("quantity"))

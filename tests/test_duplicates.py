@@ -38,3 +38,11 @@ def test_texts_of_more_than_150_000_words(spark, tmp_path):
         assert len(got) == 2
         assert rows(got) == rows(oracle(ORACLES[name], str(tmp_path))), name
     assert QUERIES["near_duplicates_exact"](spark, str(tmp_path)).count() == 1
+
+
+def test_near_duplicates_recall(spark):
+    """Bands find 0.99 of the pairs at the threshold by formula; measured against all pairs."""
+    sf = "/root/testdata/sf0.01"
+    found = {(r["left"], r["right"]) for r in QUERIES["near_duplicates"](spark, sf).collect()}
+    every = {(r["left"], r["right"]) for r in QUERIES["near_duplicates_exact"](spark, sf).collect()}
+    assert found <= every and len(found) >= 0.98 * len(every) > 10
