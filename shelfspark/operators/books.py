@@ -123,12 +123,13 @@ def safe_path(path: Column) -> Column:
     return F.coalesce((path != "") & ~path.startswith("/") & ~F.contains(path, F.lit("\\")) & ~F.contains(F.get(parts, F.lit(0)), F.lit(":")) & plain, F.lit(False))
 
 
-def integrity_audit(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """(check, key): for each check (rows, column, parents, column) the rows' values that no parent has; null refers to nothing."""
+def integrity_audit(checks: dict[str, tuple]) -> DataFrame:
+    """(check, key): for each check (rows, column, parents, column, and a column to tell rows by if it is another) the rows whose value no parent has; null refers to nothing."""
     out = None
-    for name, (rows, col, parents, other) in checks.items():
+    for name, (rows, col, parents, other, *key) in checks.items():
         keys = parents.select(F.col(other).alias("__p"))
-        lost = rows.where(F.col(col).isNotNull()).join(keys, F.col(col) == F.col("__p"), "left_anti").select(F.lit(name).alias("check"), F.col(col).cast("string").alias("key"))
+        told = F.col(key[0] if key else col).cast("string").alias("key")
+        lost = rows.where(F.col(col).isNotNull()).join(keys, F.col(col) == F.col("__p"), "left_anti").select(F.lit(name).alias("check"), told)
         out = lost if out is None else out.unionByName(lost)
     return out
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import language_label, normalize_language_plain
 from shelfspark.operators import catalogue as c
 from shelfspark.plans.registry import query
+from shelfspark.shared import new_folder
+from shelfspark.sources import catalogue
 from shelfspark.sources.tables import from_document, read_table, to_document
 
 
@@ -107,3 +109,24 @@ def document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return c.spread_sample(docs, ["lang"], [F.col("doc_id")], 2)
+
+
+@query("""SELECT p_partkey, p_name, p_size, p_name || '.epub' AS file_name, p_size % 2 = 0 AS has_cover, CASE WHEN p_size % 3 = 0 THEN upper(p_name) END AS old_title FROM part WHERE p_partkey % 7 <> 0
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, FALSE, NULL FROM part WHERE p_partkey % 7 = 0""")
+def catalogue_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as books with file, history and cover, written as a catalogue of documents and rebuilt by the source; every seventh document is broken."""
+    part = read_table(spark, sf_dir, "part")
+    size, name = F.col("p_size"), F.col("p_name")
+    books = part.select(
+        F.concat(F.lit("bk_"), F.md5(F.col("p_partkey").cast("string")), F.lit("_"), F.col("p_partkey").cast("string")).alias("id"), "p_name", "p_size",
+        F.struct(F.concat(name, F.lit(".epub")).alias("name"), size.cast("long").alias("size"), F.lit("ab").alias("sha256"), F.lit("p").alias("path"), F.lit("epub").alias("format")).alias("file"),
+        F.when(size % 2 == 0, F.struct(F.lit("c.png").alias("path"), F.lit("embedded").alias("source"))).alias("cover"),
+        F.when(size % 3 == 0, F.array(F.struct(F.upper(name).alias("title"), F.array(F.lit("nfc")).alias("rules"), F.lit("2024").alias("at")))).alias("title_history"),
+    )
+    key = lambda c: F.substring_index(c, "_", -1).cast("long")
+    documents = catalogue.to_documents(books, ["p_name", "p_size"]).withColumn("json", F.when(key("id") % 7 == 0, F.lit("{broken")).otherwise(F.col("json")))
+    folder = new_folder(spark, "catalogue")
+    catalogue.write_documents(documents, folder, 1)
+    catalogue.register(spark)
+    made = spark.read.format("shelf_catalogue").option("fields", "p_name string, p_size int").option("digits", 1).load(folder)
+    return made.select(key("id").alias("p_partkey"), "p_name", "p_size", F.col("file.name").alias("file_name"), F.col("cover").isNotNull().alias("has_cover"), F.get("title_history", F.lit(0))["title"].alias("old_title"))

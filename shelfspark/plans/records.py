@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import isbn as i
 from shelfspark.functions import text as t
+from shelfspark.operators import books as b
+from shelfspark.operators import fingerprint as fp
+from shelfspark.operators import growing_index
 from shelfspark.operators import linkage as k
 from shelfspark.operators import search as s
 from shelfspark.operators.usage import per_million, provenance_log as provenance
@@ -147,9 +150,12 @@ UNION ALL SELECT 'line_without_order', l_orderkey * 10 + l_linenumber FROM linei
 def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose parent is missing; the parents divisible by 50 and 100 play the lost ones."""
     orders, line, customer = (read_table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer"))
-    a = orders.join(customer.where("c_custkey % 50 <> 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.lit("order_without_customer").alias("check"), F.col("o_orderkey").alias("key"))
-    b = line.join(orders.where("o_orderkey % 100 <> 0"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.lit("line_without_order").alias("check"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"))
-    return a.unionByName(b)
+    lines = line.withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    made = b.integrity_audit({
+        "order_without_customer": (orders, "o_custkey", customer.where("c_custkey % 50 <> 0"), "c_custkey", "o_orderkey"),
+        "line_without_order": (lines, "l_orderkey", orders.where("o_orderkey % 100 <> 0"), "o_orderkey", "line"),
+    })
+    return made.select("check", F.col("key").cast("long").alias("key"))
 
 
 @query("""
@@ -159,10 +165,9 @@ FROM e FULL JOIN a ON e.doc_id = a.doc_id WHERE e.h IS DISTINCT FROM a.h""")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two manifests of the texts, the second as if some were lost, added and changed."""
     docs = read_table(spark, sf_dir, "documents")
-    e = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2("text", 256).alias("eh"), F.lit(True).alias("e"))
-    a = docs.where("doc_id % 17 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("ah"), F.lit(True).alias("a"))
-    state = F.when(F.col("e").isNull(), "added").when(F.col("a").isNull(), "missing").otherwise("changed")
-    return e.join(a, "doc_id", "full_outer").where(~F.col("eh").eqNullSafe(F.col("ah"))).select("doc_id", state.alias("state"))
+    listed = lambda text: ("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    other = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return b.manifest_diff(docs.where("doc_id % 11 <> 0").select(*listed(F.col("text"))), docs.where("doc_id % 17 <> 0").select(*listed(other)), "doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0")
@@ -170,15 +175,28 @@ def stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a derived row of the current version: those divisible by 4 have none, those by 5 an old one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     derived = docs.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(3).alias("version"))
-    return docs.join(derived.where("version = 3"), "doc_id", "left_anti")
+    return fp.stale(docs, derived, 3, "doc_id")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'blank_title' WHEN c_acctbal < 0 THEN 'year' END AS error FROM customer WHERE c_custkey % 10 = 0 OR c_acctbal < 0""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'title_blank' WHEN c_custkey % 10 = 1 THEN 'author_blank' WHEN c_acctbal < 0 THEN 'year' WHEN c_custkey % 10 = 2 THEN 'isbn' END AS error,
+  CASE WHEN c_custkey % 10 = 1 THEN '|A b' ELSE 'A b' END AS authors FROM customer WHERE c_custkey % 10 < 3 OR c_acctbal < 0""")
 def edit_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits with their first failing rule; every tenth name is blanked, balances stand for years."""
-    rows = read_table(spark, sf_dir, "customer").withColumn("title", F.when(F.col("c_custkey") % 10 == 0, " ").otherwise(F.col("c_name")))
-    error = F.when(F.trim("title") == "", "blank_title").when(F.length("title") > 500, "long_title").when(F.col("c_acctbal") < 0, "year")
-    return rows.select("c_custkey", error.alias("error")).where("error is not null")
+    """Edits with their first failing rule: blank titles, blank authors, balances below 0 as years, wrong ISBNs."""
+    k, none = F.col("c_custkey") % 10, F.lit(None).cast("string")
+    edits = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k == 0, " ").otherwise(F.col("c_name")).alias("title"), F.when(k == 1, F.array(F.lit(" "), F.lit("A b"))).otherwise(F.array(F.lit("A  b"), F.lit("a b"))).alias("authors"),
+        F.floor("c_acctbal").cast("int").alias("year"), none.alias("language"), F.when(k == 2, "9783608938145").otherwise(none).alias("isbn"),
+    )
+    return b.split_valid(b.validate_edits(edits))[1].select("c_custkey", "error", F.array_join("authors", "|").alias("authors"))
+
+
+@query("""WITH p AS (SELECT p_partkey, list_append(list_append(string_split(p_type, ' '), 'a b'), 'rest') AS ws FROM part)
+SELECT p_partkey, array_to_string(list_slice(list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i), 1, 2), '|') AS tags FROM p""")
+def tag_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a part's type as tags, again in lower case, blank, and with control characters; two at most."""
+    words = F.split("p_type", " ")
+    tags = F.concat(words, F.transform(words, lambda w: F.concat(F.lit(" "), F.lower(w))), F.array(F.lit(" "), F.lit("\x07"), F.lit(" a\tb "), F.lit("A B"), F.lit("rest")))
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(t.dedupe_tags(tags, 2), "|").alias("tags"))
 
 
 BM25 = r"""
@@ -190,6 +208,18 @@ SELECT id AS p_partkey, round(sum(-greatest(1e-6, ln((n_all - n + 0.5) / (n + 0.
 FROM f JOIN nn USING (term) JOIN le USING (id), st GROUP BY id HAVING count(*) = 2 ORDER BY sum(-greatest(1e-6, ln((n_all - n + 0.5) / (n + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av))), id LIMIT 100"""
 
 
+@query(BM25.replace("FROM part)", "FROM part WHERE p_partkey % 5 <> 0)"))
+def search_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index of three inserts, of which the last two replace rows of the first, and a deletion."""
+    part = read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    index, columns = growing_index.GrowingIndex(spark, new_folder(spark, "growing"), most_segments=2), ["p_name", "p_brand", "p_type"]
+    index.insert(part.where("id % 3 = 0 or id % 5 = 0").withColumn("p_name", F.lit("old spelling s")), columns)
+    for half in (0, 1):
+        index.insert(part.where(F.col("id") % 2 == half), columns)
+    index.delete(part.where("id % 5 = 0"))
+    return s.search(index.open(), "s* brand*").select(F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
 @query(BM25)
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = s.build_index(read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), ["p_name", "p_brand", "p_type"])
