@@ -153,9 +153,10 @@ def plausible_match(title: Column, wanted_title: Column, author: Column | None =
     return F.coalesce(near & same, F.lit(False))
 
 
-def merge_field(target: Column, source: Column, title: bool = False) -> Column:
-    """struct(value, source): manual values stay; a missing source changes nothing; a title only replaces a missing or filename one."""
-    empty = lambda f: f["value"].isNull() | (f["value"] == "")
+def merge_field(target: Column, source: Column, title: bool = False, kind: str = "string") -> Column:
+    """struct(value, source): manual values stay; a missing source (null, '' or an empty list, by the values' kind) changes nothing; a title only replaces a missing or filename one."""
+    void = (lambda v: F.size(v) == 0) if kind.startswith("array") else (lambda v: v == "") if kind == "string" else (lambda v: F.lit(False))
+    empty = lambda f: f["value"].isNull() | void(f["value"])
     keep = (F.coalesce(target["source"], F.lit("")) == "manual") | empty(source)
     if title:
         keep = keep | ~(empty(target) | (target["source"] == "filename"))
@@ -164,7 +165,7 @@ def merge_field(target: Column, source: Column, title: bool = False) -> Column:
 
 def merge_fields(target: Column, source: Column, fields: dict[str, str]) -> Column:
     """A struct of fields (value, source) after merging another source's: see merge_field; ISBNs are never taken over. fields: names and types of the values."""
-    made = [target[f].alias(f) if f == "isbn" else merge_field(target[f], source[f], f == "title").alias(f) for f in fields]
+    made = [target[f].alias(f) if f == "isbn" else merge_field(target[f], source[f], f == "title", kind).alias(f) for f, kind in fields.items()]
     return F.struct(*made)
 
 
@@ -190,22 +191,63 @@ def link_catalogue(books: DataFrame, catalogue: DataFrame, priority: DataFrame,
     """(id, source, entry, by): the entry of each book (id, isbn, title, author) in the first source, by priority (source, place), that has one.
 
     catalogue: (source, entry, isbn, title, author, rank). A book with an ISBN takes a source's
-    first entry of it; without one, the first plausible one of at most `hits` entries, by rank, that
-    hold the rarest word of the title: that word alone is joined, and its hottest values are split.
+    first entry of it; without one, the first plausible one of the first `hits` entries, by rank, whose title is near
+    (see plausible_match). Such an entry holds one of the wanted words that may not all be missing, the rarest ones of
+    the title; or all of its own words are wanted, its rarest one too. Only these are joined, and hot words are
+    split. Titles that are parts of one another within a word are not found.
     """
     side = small_side(stored(priority.select("source", "place"), "priority"))
     entries = catalogue.join(side, "source")
     isbn = books.where(F.col("isbn").isNotNull()).select("id", "isbn").join(entries.select("source", "place", "entry", "isbn", "rank"), "isbn").select("id", "source", "place", "entry", "rank", F.lit("isbn").alias("by"))
     words = stored(entries.select("source", "place", "entry", "rank", normalize_text("title").alias("title"), F.when(F.col("author").isNotNull(), normalize_text("author")).alias("author")), "entries")
-    posted = words.select("source", "entry", F.explode(F.array_distinct(F.split("title", " "))).alias("w")).where("w <> ''")
-    often = posted.groupBy("w").agg(F.count("*").alias("c"))
+    split = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
+    posted = words.select("source", "entry", F.explode(split("title")).alias("w"))
+    often = stored(posted.groupBy("w").agg(F.count("*").alias("c")), "words")
     asked = books.where(F.col("isbn").isNull()).select("id", normalize_text("title").alias("q"), F.when(F.col("author").isNotNull(), normalize_text("author")).alias("qa"))
-    rare = asked.select("id", F.explode(F.array_distinct(F.split("q", " "))).alias("w")).join(often, "w").groupBy("id").agg(F.min_by("w", F.struct("c", "w")).alias("w"), F.min("c").alias("c"))
-    parts = rare.withColumn("k", F.ceil(F.col("c") / PART_ROWS).cast("int")).groupBy("w").agg(F.max("k").alias("k"))
-    left = rare.select("id", "w").join(parts, "w").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
-    right = posted.join(parts, "w").withColumn("part", F.pmod(F.xxhash64("source", "entry"), F.col("k")).cast("int")).drop("k")
-    found = left.join(right, ["w", "part"]).select("id", "source", "entry").join(words, ["source", "entry"]).join(asked, "id")
+    wanted = asked.select("id", F.explode(split("q")).alias("w")).join(often, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    ranked = wanted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("ws"))
+    need = F.size("ws") - F.ceil(F.size("ws") * F.lit(0.7) - F.lit(1e-9)).cast("int") + 1
+    first = ranked.select("id", F.explode(F.slice("ws", 1, need)).alias("x")).select("id", "x.w", F.lit(0).alias("side"))
+    least = posted.join(often, "w").groupBy("source", "entry").agg(F.min_by("w", F.struct("c", "w")).alias("w"))
+    left = first.unionByName(wanted.select("id", "w", F.lit(1).alias("side")))
+    right = posted.withColumn("side", F.lit(0)).unionByName(least.select("source", "entry", "w", F.lit(1).alias("side")))
+    parts = right.groupBy("side", "w").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("k"))
+    asks = left.join(parts, ["side", "w"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    gives = right.join(parts, ["side", "w"]).withColumn("part", F.pmod(F.xxhash64("source", "entry"), F.col("k")).cast("int")).drop("k")
+    found = asks.join(gives, ["side", "w", "part"]).select("id", "source", "entry").distinct().join(words, ["source", "entry"]).join(asked, "id")
     n = F.row_number().over(Window.partitionBy("id", "source").orderBy("rank", "entry"))
-    near = found.withColumn("n", n).where((F.col("n") <= hits) & plausible_match(F.col("title"), F.col("q"), F.col("author"), F.col("qa")) & (F.col("q") != ""))
+    hit = found.where((F.col("q") != "") & (F.col("title") != "") & plausible_match(F.col("title"), F.col("q"))).withColumn("n", n)
+    near = hit.where((F.col("n") <= hits) & plausible_match(F.col("title"), F.col("q"), F.col("author"), F.col("qa")))
     every = isbn.unionByName(near.select("id", "source", "place", "entry", "rank", F.lit("title").alias("by")))
     return every.groupBy("id").agg(F.min_by(F.struct("source", "entry", "by"), F.struct("place", "source", "rank", "entry")).alias("x")).select("id", "x.source", "x.entry", "x.by")
+
+
+POSITIVE_DAYS, NEGATIVE_DAYS = 30, 7
+CACHE_KEY = ("title", "author", "language", "year", "publisher")
+
+
+def lookup_key(queries: DataFrame) -> DataFrame:
+    """queries (title, author, language, year, publisher) with the key under which their answers are kept: equal for equal normal forms."""
+    forms = {"title": normalize_text("title"), "author": normalize_text("author"), "language": normalize_language(F.col("language")), "year": F.col("year").cast("string"), "publisher": normalize_text("publisher")}
+    return queries.withColumn("key", F.sha2(F.to_json(F.struct(*[F.coalesce(forms[c], F.lit("")).alias(c) for c in CACHE_KEY])), 256))
+
+
+def store_lookups(cache: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """cache (key, candidates, expires_at) after answers of providers (key, provider, failed, candidates, at): the new rows, without those expired at now.
+
+    A lookup is a key's answers of one time; its candidates are those of all providers, in their order. It is kept for POSITIVE_DAYS if there are
+    any, for NEGATIVE_DAYS if there are none, and not at all if there are none and a provider failed. The latest lookup of a key replaces what was kept.
+    """
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("provider", "candidates"))), lambda x: x["candidates"]))
+    told = answers.withColumn("candidates", F.when(F.col("failed"), F.array().cast(answers.schema["candidates"].dataType)).otherwise(F.col("candidates")))
+    asked = told.groupBy("key", "at").agg(listed.alias("candidates"), F.bool_or("failed").alias("outage")).where((F.size("candidates") > 0) | ~F.col("outage"))
+    days = F.when(F.size("candidates") > 0, F.lit(POSITIVE_DAYS)).otherwise(F.lit(NEGATIVE_DAYS))
+    fresh = asked.withColumn("expires_at", F.col("at") + F.make_interval(days=days)).select("key", "candidates", "expires_at", "at")
+    every = cache.withColumn("at", F.lit(None).cast(answers.schema["at"].dataType)).unionByName(fresh)
+    last = every.groupBy("key").agg(F.max_by(F.struct("candidates", "expires_at"), F.coalesce("at", F.to_timestamp(F.lit("0001-01-01")))).alias("x"))
+    return last.select("key", "x.candidates", "x.expires_at").where(F.col("expires_at") > now)
+
+
+def cached(queries: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """queries (with a key) with candidates: those kept and not expired, null where providers are to be asked."""
+    return queries.join(cache.where(F.col("expires_at") > now).select("key", "candidates"), "key", "left")

@@ -86,6 +86,21 @@ def translation_progress(segments: DataFrame, usage: DataFrame) -> DataFrame:
     return per.join(spent, "job", "left").select("job", "total", "completed", "files", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce("cost", F.lit(0.0)), 6).alias("cost"))
 
 
+def translation_report(segments: DataFrame, usage: DataFrame, jobs: DataFrame, most: int = 50) -> DataFrame:
+    """translation_progress with the jobs' estimate and error (see estimate_cost) and preview: the first `most` translated segments (source, translated)
+    of the job's first file, in order. segments: (job, file, place, text, translation), place in the order of files; jobs: (job, profile, rate_in, rate_out).
+    """
+    first = segments.groupBy("job").agg(F.min_by("file", "place").alias("file"))
+    shown = segments.join(first, ["job", "file"], "left_semi").where("translation is not null")
+    n = F.row_number().over(Window.partitionBy("job").orderBy("place"))
+    top = shown.withColumn("n", n).where(F.col("n") <= most).groupBy("job").agg(F.array_sort(F.collect_list(F.struct("n", F.col("text").alias("source"), F.col("translation").alias("translated")))).alias("p"))
+    preview = F.transform("p", lambda x: F.struct(x["source"].alias("source"), x["translated"].alias("translated")))
+    none = F.array().cast("array<struct<source:string,translated:string>>")
+    cost = estimate_cost(segments.select("job", "text"), jobs).select("job", F.col("cost").alias("estimate"), "error")
+    made = translation_progress(segments, usage).join(cost, "job", "left").join(top.select("job", preview.alias("preview")), "job", "left")
+    return made.withColumn("preview", F.coalesce("preview", none))
+
+
 def validate_glossary(rows: DataFrame, most: int = 200) -> DataFrame:
     """(glossary, error, version) of glossaries' rows (glossary, source, target, version): many, source or target; a sound one's version rises by one."""
     bad_source = (F.trim(F.coalesce("source", F.lit(""))) == "") | (F.length("source") > 150)

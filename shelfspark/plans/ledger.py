@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfspark.operators import linkage as k
 from shelfspark.operators import selection
 from shelfspark.operators import usage as u
 from shelfspark.plans.registry import query
+from shelfspark.shared import stored
 from shelfspark.sources.tables import read_table
 
 NOW = "2024-01-20 12:00:00"
@@ -151,14 +153,25 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.outcome_counts(read_table(spark, sf_dir, "orders"), "o_orderstatus", ("F", "O", "P", "X"))
 
 
-@query(f"""SELECT event_id AS key, event_type = (SELECT min(event_type) FROM events) AS negative FROM events
-WHERE ts + CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '{NOW}'""")
+@query(f"""WITH a AS (SELECT user_id AS k, event_id % 3 AS provider, date_trunc('day', ts) AS d, coalesce(value, 0) < 20 AS failed, CASE WHEN coalesce(value, 0) > 60 THEN [event_id] ELSE [] END AS c FROM events),
+l AS (SELECT k, d, flatten(list(CASE WHEN failed THEN [] ELSE c END ORDER BY provider, c)) AS c, bool_or(failed) AS outage FROM a GROUP BY k, d),
+s AS (SELECT * FROM l WHERE len(c) > 0 OR NOT outage QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) = 1),
+q AS (SELECT DISTINCT user_id AS k FROM events)
+SELECT q.k AS user_id, c IS NOT NULL AS hit, array_to_string(c, ',') AS candidates FROM q LEFT JOIN (SELECT * FROM s WHERE d + CASE WHEN len(c) > 0 THEN INTERVAL 30 DAY ELSE INTERVAL 7 DAY END > TIMESTAMP '{NOW}') s ON s.k = q.k""")
 def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cache rows alive at a fixed time: positive ones for 30 days, negative ones for 7."""
-    events = read_table(spark, sf_dir, "events")
-    rows = events.crossJoin(F.broadcast(events.agg(F.min("event_type").alias("first")))).withColumn("negative", F.col("event_type") == F.col("first"))
-    expires = F.when(F.col("negative"), F.expr("ts + interval 7 days")).otherwise(F.expr("ts + interval 30 days"))
-    return rows.where(expires > F.to_timestamp(F.lit(NOW))).select(F.col("event_id").alias("key"), "negative")
+    """Events as answers of three providers to users' lookups, some of them failures: what a cache holds at a fixed time, kept in two steps."""
+    events, none = read_table(spark, sf_dir, "events"), F.lit(None).cast("string")
+    value, key = F.coalesce("value", F.lit(0.0)), F.concat(F.lit("Üser  "), F.col("user_id").cast("string"))
+    asked = lambda df: k.lookup_key(df.select("*", key.alias("title"), none.alias("author"), F.lit("de-DE").alias("language"), F.lit(1999).alias("year"), none.alias("publisher")))
+    found = F.when(value > 60, F.array("event_id")).otherwise(F.array().cast("array<bigint>"))
+    answers = asked(events).select("key", (F.col("event_id") % 3).alias("provider"), (value < 20).alias("failed"), found.alias("candidates"), F.date_trunc("day", "ts").cast("timestamp").alias("at"))
+    cache, now = spark.createDataFrame([], "key string, candidates array<bigint>, expires_at timestamp"), F.to_timestamp(F.lit(NOW))
+    half = F.to_timestamp(F.lit("2024-01-15"))
+    cache = stored(k.store_lookups(cache, answers.where(F.col("at") < half), half), "cache")
+    cache = stored(k.store_lookups(cache, answers.where(F.col("at") >= half), now), "cache")
+    users = events.select("user_id").distinct().withColumn("title", F.upper(key))
+    queries = k.lookup_key(users.select("user_id", "title", none.alias("author"), F.lit("de").alias("language"), F.lit(1999).alias("year"), none.alias("publisher")))
+    return k.cached(queries, cache, now).select("user_id", F.col("candidates").isNotNull().alias("hit"), F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
 
 @query(r"""SELECT event_id, '{"call": {"api_key": "[REDACTED]", "tokens": ' || json_extract(props, '$.k') || ', "headers": [{"X-Auth": "[REDACTED]"}]}, "url": "https://h/p?token=[REDACTED]&q=' || user_id || '"}' AS log FROM events""")

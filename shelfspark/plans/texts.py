@@ -290,12 +290,21 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.context_window(rows).select("job", "place", F.when(F.size("context") > 0, text).alias("context"))
 
 
-@query(f"""WITH {TURNS} SELECT job, count(*) AS total, count(*) FILTER (place % 2 = 0) AS completed, count(DISTINCT place % 3) AS files, CAST(sum(10 * place) AS BIGINT) AS tokens, round(sum(place / 1000), 6) AS cost FROM tn GROUP BY job""")
+@query(f"""WITH {TURNS}, f AS (SELECT job, place % 3 AS file, place, text AS s, place % 2 = 0 AS done FROM tn),
+o AS (SELECT job, min(place) AS least FROM f GROUP BY job), w AS (SELECT f.*, row_number() OVER (PARTITION BY f.job ORDER BY place) AS r FROM f JOIN o ON o.job = f.job WHERE done AND file = least % 3),
+v AS (SELECT job, string_agg(s || '=' || lower(s), '|' ORDER BY r) AS preview FROM w WHERE r <= 2 GROUP BY job),
+c AS (SELECT job, count(*) AS total, count(*) FILTER (done) AS completed, count(DISTINCT file) AS files, CAST(sum(10 * place) AS BIGINT) AS tokens, round(sum(place / 1000), 6) AS cost, CAST(sum(length(s)) AS BIGINT) * 2 // 7 AS t, max(length(s)) AS longest FROM f GROUP BY job)
+SELECT c.job, total, completed, files, tokens, cost, round_even(CAST(2 * (2 * t * 3 + 2 * t * 6) AS DOUBLE) / 1000000, 4) AS estimate, CASE WHEN longest > 12000 THEN 'long' END AS error, preview FROM c LEFT JOIN v ON v.job = c.job""")
 def translation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as jobs of three files; every second turn is translated; the report shows two of the first file."""
     p = F.col("place")
     rows = turns(spark, sf_dir)
     usage = rows.select("job", (10 * p).alias("tokens"), (p / 1000).alias("cost"))
-    return x.translation_progress(rows.select("job", (p % 3).alias("file"), F.when(p % 2 == 0, "t").alias("translation")), usage)
+    segments = rows.select("job", (p % 3).alias("file"), "place", "text", F.when(p % 2 == 0, F.lower("text")).alias("translation"))
+    jobs = rows.select("job").distinct().select("job", F.lit("buch").alias("profile"), F.lit(3.0).alias("rate_in"), F.lit(6.0).alias("rate_out"))
+    shown = F.array_join(F.transform("preview", lambda v: F.concat_ws("=", v["source"], v["translated"])), "|")
+    made = x.translation_report(segments, usage, jobs, most=2)
+    return made.select("job", "total", "completed", "files", "tokens", "cost", "estimate", "error", F.when(F.size("preview") > 0, shown).alias("preview"))
 
 
 @query("""WITH r AS (SELECT c_nationkey AS glossary, CASE WHEN c_custkey % 401 = 3 THEN ' ' ELSE c_name END AS source, CASE WHEN c_custkey % 503 = 5 THEN repeat('x', 201) ELSE 't' END AS target, c_nationkey % 4 AS version FROM customer),
