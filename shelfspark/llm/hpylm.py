@@ -7,14 +7,15 @@ of it. The root's base distribution spells a word byte by byte: restaurants of o
 context under one of bytes, under the uniform distribution over 256 bytes and the end of a
 word; every known word is spelt once there.
 
-Seating is sampled by Gibbs: a customer leaves its table (a table is left with a chance in
-proportion to its customers) and sits down again by the Chinese-restaurant process: at a table
-by its customers less the discount, at a new one by (strength + discount * tables of the
-restaurant) * the parent's probability of the dish. A sweep reseats RESEATED customers of each
-dish, whatever their number, given the parent's probabilities and the restaurant's tables of
-the sweep before; a dish starts with the tables that the process opens on average. The first
-sweep (every dish at one table) is burnt in; predictive probabilities are averaged over the
-SAMPLES that follow it.
+Seating is sampled by blocked Gibbs: a sweep seats all customers of each dish anew at once, given the
+parent's probabilities and the restaurant's tables of the sweep before. What the Chinese-restaurant process
+says of c customers and a weight w of a new table (strength + discount * tables of the restaurant, times the parent's
+probability of the dish) is the law of their number of tables t, in proportion to w^t S(c, t) with generalised Stirling
+numbers S, at which single customers that leave and sit down again would arrive after many steps; only this number
+enters any probability, so it alone is drawn, exactly up to STIRLING customers. Beyond them the law hardly changes with c:
+that of the next smaller of a scale of numbers of customers is taken (steps of 5 %, to LAST). Laws that reach beyond
+WIDEST tables are drawn from the normal law with the saddle point's mean and variance. The first sweep (every dish at
+one table) is burnt in; predictive probabilities are averaged over the SAMPLES that follow it.
 
 score is the model's log10 probability of the text, unknown words spelt; base_score takes them
 as one symbol, as the contract says.
@@ -37,6 +38,7 @@ rows all words are spelt under the uniform root.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,8 @@ from shelfspark.llm.common import bucketed, mix, over_groups, placed_words, sing
 
 BLOCK_BYTES = 4 << 20
 SAMPLES = 2
-#: Customers of a dish that a sweep reseats.
-RESEATED = 2
+#: Customers up to which each number has its own law of tables; the largest number that has one; tables that a law reaches.
+STIRLING, LAST, WIDEST = 512, 1 << 16, 256
 STRENGTH = 1.0
 SPELL_DISCOUNT, SPELL_STRENGTH, SPELL_SWEEPS = 0.5, 1.0, 20
 #: Words or pairs, summed over blocks, of a hash range.
@@ -67,61 +69,69 @@ def crc_column(id_col: str) -> Column:
 # seating
 
 
-def mean_tables(c: np.ndarray, weight: np.ndarray, discount: float, steps: int = 8) -> np.ndarray:
-    """Tables that c customers of a dish open on average if a new table has the given weight; 0 for none."""
-    c = c.astype(np.float64)
-    grow = np.maximum(c, 1) ** (1 / steps)
-    t, n = np.ones(len(c)), np.ones(len(c))
-    for _ in range(steps):
-        new = n * grow
-        middle = (n + new) / 2
-        t += (new - n) * weight / (weight + np.maximum(middle - discount * t, 1e-9))
-        n = new
-    return np.clip(np.rint(t), np.minimum(c, 1), c).astype(np.int64)
-
-
 def uniform(key: np.ndarray, number: int) -> np.ndarray:
     """Numbers of [0, 1) by key; number: which of a key's."""
     return (mix(key + np.uint64((number + 1) * int(_ODD) & (2**64 - 1))) >> np.uint64(11)) * 2.0**-53
 
 
-def reseat(sizes: np.ndarray, weight: np.ndarray, discount: float, leave: np.ndarray, sit: np.ndarray) -> None:
-    """One customer of each row of sizes (customers by table, in place; a column is free in each row) leaves and sits down again. leave, sit: uniform numbers."""
-    row = np.arange(len(sizes))
-    upto = np.cumsum(sizes, axis=1)
-    table = (upto <= np.floor(leave * upto[:, -1])[:, None]).sum(axis=1)
-    sizes[row, table] -= 1
-    taken = sizes > 0
-    share = np.cumsum((sizes - discount) * taken, axis=1)
-    at = sit * (share[:, -1] + weight) - weight
-    old = np.minimum((share <= at[:, None]).sum(axis=1), sizes.shape[1] - 1)
-    old = np.where(taken[row, old], old, taken.argmax(axis=1))
-    sizes[row, np.where((at < 0) | ~taken.any(axis=1), taken.argmin(axis=1), old)] += 1
-
-
-def seat(c: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, sweep: int, steps: int = RESEATED) -> np.ndarray:
-    """Tables of each dish after a sweep. c: customers; weight: of a new table; key: the dish's, from which its random numbers come."""
+@lru_cache(maxsize=4)
+def stirling(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, log S): the numbers of customers that have a law, rising from 1, and log generalised Stirling numbers for 1 to WIDEST tables."""
+    kept, rows = [1], [np.concatenate([[0.0], np.full(WIDEST - 1, -np.inf)])]
+    now, t = rows[0], np.arange(1, WIDEST + 1)
+    for n in range(1, LAST):
+        with np.errstate(divide="ignore"):
+            stay = now + np.log(np.maximum(n - t * discount, 0))
+        now = np.logaddexp(stay, np.concatenate([[-np.inf], now[:-1]]))
+        if n + 1 <= STIRLING or n + 1 >= kept[-1] * 1.05:
+            kept.append(n + 1)
+            rows.append(now)
+    return np.array(kept), np.array(rows)
+
+
+def many_tables(c: np.ndarray, weight: np.ndarray, discount: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Tables by the normal law, for weights that make many: sizes of tables are Poisson, given their sum c, at the saddle point y."""
+    low, high = np.full(len(c), -700.0), np.full(len(c), -1e-12)  # log y; weight (1 - y) y^(discount - 1) falls with y
+    for _ in range(60):
+        middle = (low + high) / 2
+        more = np.log(weight) + np.log1p(-np.exp(middle)) + (discount - 1) * middle > np.log(c)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    y = np.exp((low + high) / 2)
+    mean = weight / discount * (1 - y**discount)
+    squares = c + (1 - y) ** 2 * weight * (1 - discount) * y ** (discount - 2)
+    spread = np.sqrt(np.maximum(mean - c / squares * c, 0))
+    normal = np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)
+    return np.clip(np.rint(mean + spread * normal), 1, c).astype(np.int64)
+
+
+def seat(c: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each dish in a sweep. c: customers; weight: of a new table; key: the dish's, from which its random numbers come."""
     tables = np.minimum(c, 1).astype(np.int64)
     many = np.flatnonzero(c > 1)
     if not len(many):
         return tables
-    start = mean_tables(c[many], weight[many], discount)
-    width = np.minimum(c[many], start + steps)
-    order = np.argsort(width, kind="stable")
-    a = 0
+    u, weight, n = uniform(key[many], 2 * sweep), np.maximum(weight[many], 1e-300), c[many]
+    likely = weight / discount
+    reach = np.minimum(n, (2 * likely + 10 * np.sqrt(likely) + 12)).astype(np.int64)
+    out = np.empty(len(many), np.int64)
+    wide = np.flatnonzero(reach > WIDEST)
+    if len(wide):
+        out[wide] = many_tables(n[wide].astype(np.float64), weight[wide], discount, u[wide], uniform(key[many[wide]], 2 * sweep + 1))
+    order = np.argsort(reach, kind="stable")
+    order = order[: len(order) - len(wide)]
+    customers, logs = stirling(discount)
+    row, a = np.searchsorted(customers, n, side="right") - 1, 0
     while a < len(order):
-        first = int(width[order[a]])
-        b = int(np.searchsorted(width[order], max(first, first * 5 // 4), side="right"))
-        b = min(b, a + max(1, (1 << 18) // int(width[order[b - 1]])))
+        first = int(reach[order[a]])
+        b = int(np.searchsorted(reach[order], max(first, first * 5 // 4), side="right"))
+        b = min(b, a + max(1, (1 << 18) // int(reach[order[b - 1]])))
         part = order[a:b]
-        who, wide = many[part], int(width[part[-1]])
-        sizes = (np.arange(wide) < start[part][:, None]).astype(np.int32)
-        sizes[:, 0] += c[who] - start[part]
-        for step in range(steps):
-            number = (sweep * steps + step) * 2
-            reseat(sizes, weight[who], discount, uniform(key[who], number), uniform(key[who], number + 1))
-        tables[who] = (sizes > 0).sum(axis=1)
+        t = np.arange(1, int(reach[part[-1]]) + 1)
+        p = logs[row[part], : len(t)] + np.log(weight[part])[:, None] * t
+        p = np.cumsum(np.exp(p - p.max(axis=1)[:, None]), axis=1)
+        out[part] = np.minimum((p <= (u[part] * p[:, -1])[:, None]).sum(axis=1), len(t) - 1) + 1
         a = b
+    tables[many] = np.minimum(out, n)
     return tables
 
 

@@ -340,7 +340,7 @@ def test_lm_perplexity_below_the_base(spark):
 
 
 def test_lm_against_plain_sampler(spark):
-    """The distributed model against dictionaries over the same texts, seating and random numbers."""
+    """The distributed model against dictionaries over the same texts and random numbers; tables are drawn by the same law (tested apart)."""
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)] + ["ö", "Zz"]
     texts = {i: " ".join(rng.choices(words, weights=range(1, 15), k=rng.randint(0, 60))) for i in range(60)}
@@ -391,18 +391,72 @@ def test_lm_hears_the_order_of_words(spark):
     assert got[got.index >= 1000].mean() < got[got.index < 1000].mean()
 
 
+def settled(customers, weight, d, runs, steps, rng):
+    """Tables of customers of one dish after single ones have left and sat down again by the Chinese-restaurant process many times."""
+    out = []
+    for _ in range(runs):
+        at, size = [0] * customers, {0: customers}
+        for _ in range(steps):
+            i = rng.randrange(customers)
+            size[at[i]] -= 1
+            if not size[at[i]]:
+                del size[at[i]]
+            x = rng.random() * (weight + sum(size.values()) - d * len(size))
+            free = next(k for k in range(customers) if k not in size)
+            at[i] = free
+            for k, n in size.items():
+                x -= n - d
+                if x < 0:
+                    at[i] = k
+                    break
+            size[at[i]] = size.get(at[i], 0) + 1
+        out.append(len(size))
+    return np.array(out)
+
+
 def test_lm_seating_distribution():
-    """Many sweeps reach the distribution of tables that generalised Stirling numbers give."""
-    for customers, weight, d in ((2, 0.4, 0.5), (6, 1.5, 0.3), (12, 0.2, 0.8)):
+    """One sweep, as in production, draws from the law that generalised Stirling numbers give."""
+    for customers, weight, d in ((2, 0.4, 0.5), (6, 1.5, 0.3), (12, 0.2, 0.8), (20, 1.0, 0.7), (200, 1.0, 0.5), (200, 60.0, 0.5), (900, 3.0, 0.6)):
         stirling = [0.0] * (customers + 1)
         stirling[1] = 1.0
         for k in range(1, customers):
             stirling = [0.0] + [(k - t * d) * stirling[t] + stirling[t - 1] for t in range(1, customers + 1)]
-        p = np.array(stirling) * weight ** np.arange(customers + 1)
-        got = hpylm.seat(np.full(20_000, customers), np.full(20_000, weight), d, hpylm.mix(np.arange(20_000, dtype=np.uint64)), 0, steps=60)
-        assert np.abs(np.bincount(got, minlength=customers + 1) / 20_000 - p / p.sum()).max() < 0.02
+            top = max(stirling)
+            stirling = [x / top for x in stirling]
+        log = np.log(np.maximum(np.array(stirling), 1e-320)) + np.log(weight) * np.arange(customers + 1)
+        p = np.where(np.array(stirling) > 0, np.exp(log - log.max()), 0)
+        for sweep in (0, 2):
+            got = hpylm.seat(np.full(20_000, customers), np.full(20_000, weight), d, hpylm.mix(np.arange(20_000, dtype=np.uint64)), sweep)
+            assert np.abs(np.bincount(got, minlength=customers + 1) / 20_000 - p / p.sum()).max() < 0.02
+            mean = (p * np.arange(customers + 1)).sum() / p.sum()
+            assert abs(got.mean() - mean) < max(0.05, 0.005 * mean)
     big = hpylm.seat(np.array([0, 1, 5_000_000]), np.full(3, 0.3), 0.5, np.arange(3, dtype=np.uint64), 1)
-    assert big[0] == 0 and big[1] == 1 and 1 <= big[2] < 10_000
+    assert big[0] == 0 and big[1] == 1 and 1 <= big[2] < 100
+
+
+def test_lm_seating_is_that_of_the_process_at_rest():
+    """Means and spreads of tables against a plain simulation of the process that uses nothing of the model's."""
+    rng = random.Random(8)
+    for customers, weight, d, runs in ((20, 1.0, 0.7, 3000), (40, 2.0, 0.5, 700)):
+        want = settled(customers, weight, d, runs, 40 * customers, rng)
+        got = hpylm.seat(np.full(20_000, customers), np.full(20_000, weight), d, hpylm.mix(np.arange(20_000, dtype=np.uint64)), 1)
+        slack = 4 * want.std() / math.sqrt(runs)
+        assert abs(got.mean() - want.mean()) < slack and abs(got.std() - want.std()) < slack
+
+
+def test_lm_seating_of_many_tables():
+    """Where the normal law stands in: means and spreads against the exact law."""
+    for customers, weight, d in ((1500, 400.0, 0.5), (400, 5000.0, 0.7), (900, 150.0, 0.3)):
+        log, t = np.full(customers + 1, -np.inf), np.arange(customers + 1)
+        log[1] = 0.0
+        for n in range(1, customers):
+            with np.errstate(divide="ignore"):
+                log = np.logaddexp(log + np.log(np.maximum(n - t * d, 0)), np.concatenate([[-np.inf], log[:-1]]))
+        p = np.exp(log + t * math.log(weight) - (log + t * math.log(weight)).max())
+        p /= p.sum()
+        mean = (p * t).sum()
+        got = hpylm.seat(np.full(5000, customers), np.full(5000, weight), d, hpylm.mix(np.arange(5000, dtype=np.uint64)), 1)
+        assert abs(got.mean() - mean) < 0.005 * mean + 0.2 and abs(got.std() / math.sqrt((p * (t - mean) ** 2).sum()) - 1) < 0.1
 
 
 def test_lm_probabilities_sum_to_one():
