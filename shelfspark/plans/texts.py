@@ -232,9 +232,9 @@ TURNS = "tn AS (SELECT conv_id AS job, turn AS place, min(text) AS text FROM con
 SELECT id, CASE WHEN id % 7 = 0 THEN 'missing' WHEN id % 5 = 0 THEN 'repeated' WHEN id % 4 = 0 THEN 'markers' WHEN id % 9 = 1 THEN 'blank' END AS error FROM n UNION ALL SELECT -1 - id, 'unknown' FROM n WHERE id % 7 = 0""")
 def validate_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with a marker as segments; of their translations some are missing, doubled, blank, unknown or lose the marker."""
-    rows = turns(spark, sf_dir).select((F.col("job") * 1000 + F.col("place")).alias("id"), F.concat(F.lit("a [[i]]b[[/i]] "), F.coalesce("text", F.lit(""))).alias("text"), F.lit("content").alias("kind"))
+    rows = turns(spark, sf_dir).select((F.col("job") * 1000 + F.col("place")).alias("id"), F.concat(F.lit("a [[0]]b[[/0]] "), F.coalesce("text", F.lit(""))).alias("text"), F.lit("content").alias("kind"))
     i = F.col("id")
-    given = rows.withColumn("text", F.when(i % 5 == 0, F.col("text")).when(i % 4 == 0, "b [[/i]][[i]]").when(i % 9 == 1, " ").otherwise("x [[i]]y[[/i]]"))
+    given = rows.withColumn("text", F.when(i % 5 == 0, F.col("text")).when(i % 4 == 0, "b [[/0]][[0]]").when(i % 9 == 1, " ").otherwise("x [[0]]y[[/0]]"))
     told = given.where("id % 7 <> 0").unionByName(given.where("id % 5 = 0 and id % 7 <> 0")).unionByName(given.where("id % 7 = 0").withColumn("id", -1 - i))
     return x.validate_translations(rows, told)
 
