@@ -18,8 +18,9 @@ the pairs.
 Result, one row per input row: n_links, component_id, kept. Vectors that are null, zero or
 hold null or non-finite parts, and rows without an id, link with nothing; vectors of
 different lengths are not compared. Rows that repeat an id with another vector are nodes of their
-own. Empty tables give no rows. Vectors are told apart by two 64-bit hashes. Vectors of more than PCA_DIMS parts keep
-their axes, ordered by second moments, as the matrix for the turn would not stay small.
+own. Empty tables give no rows. Vectors are told apart by two 64-bit hashes. Vectors of more than PCA_DIMS parts have
+WIDE_AXES principal axes, fitted on WIDE_SAMPLE of them, before their rest in their own parts: products stay the same,
+and the matrix for the turn small. Tiles hold at most TILE_BYTES of numbers a side, so wide vectors have smaller ones.
 """
 
 from __future__ import annotations
@@ -37,11 +38,13 @@ from shelfspark.llm.common import connected_components, min_labels, over_groups,
 
 THRESHOLD = 0.95
 BOX_AXES = 8
-TILE_ROWS = 65_536
+TILE_ROWS, TILE_BYTES = 65_536, 32 << 20
 LEAST_TILES = 3
 BLOCK_ROWS = 1024
 SAMPLE_ROWS = 65_536
 PCA_DIMS = 512
+#: Axes of longer vectors, and the vectors that they are fitted on.
+WIDE_AXES, WIDE_SAMPLE = 128, 2048
 FIRST_STEP = 8
 SLACK = 1e-9
 
@@ -57,10 +60,15 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def tile_rows(dim: int) -> int:
+    """Vectors of a tile."""
+    return max(1, min(TILE_ROWS, max(BLOCK_ROWS, TILE_BYTES // (8 * dim))))
+
+
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length the axes (columns) by falling variance about the origin, from all vectors; beyond PCA_DIMS an order of axes.
+    """For each vector length the axes (columns) by falling variance about the origin: all of them, from all vectors; beyond PCA_DIMS the leading ones, from a sample by hash.
 
-    Tasks send sums of products (beyond PCA_DIMS of squares), so what is collected has at most PCA_DIMS squared rows for a length.
+    Tasks send sums of products, so what is collected has at most PCA_DIMS squared rows for a length, or WIDE_SAMPLE vectors.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,27 +77,32 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
             dims = batch.column(0).to_numpy()
             for d in np.unique(dims).tolist():
                 u = unit_rows(_matrix(batch.column(1).filter(pa.array(dims == d)), d))
-                total[d] = total.get(d, 0) + (u.T @ u if d <= PCA_DIMS else (u * u).sum(axis=0)[:, None])
+                total[d] = total.get(d, 0) + u.T @ u
         for d, m in total.items():
             i, j = np.indices(m.shape)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, d), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(m.ravel())], names=["dim", "i", "j", "x"])
 
-    rows = classes.select("dim", "vec").mapInArrow(sums, "dim int, i int, j int, x double").groupBy("dim", "i", "j").agg(F.sum("x").alias("x")).toPandas()
+    narrow = classes.where(F.col("dim") <= PCA_DIMS)
+    rows = narrow.select("dim", "vec").mapInArrow(sums, "dim int, i int, j int, x double").groupBy("dim", "i", "j").agg(F.sum("x").alias("x")).toPandas()
     axes = {}
     for d, part in rows.groupby("dim"):
-        d = int(d)
-        if d > PCA_DIMS:
-            axes[d] = part.sort_values(["x", "i"], ascending=[False, True])["i"].to_numpy()
-            continue
-        m = np.zeros((d, d))
+        m = np.zeros((int(d), int(d)))
         m[part["i"], part["j"]] = part["x"]
-        axes[d] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+        axes[int(d)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+    for r in classes.where(F.col("dim") > PCA_DIMS).select("dim").distinct().collect():  # a row a vector length
+        d = r["dim"]
+        some = classes.where(F.col("dim") == d).orderBy(F.xxhash64("rep"), "rep").limit(WIDE_SAMPLE).select("vec").collect()
+        u = unit_rows(np.array([x["vec"] for x in some], np.float64))
+        found = np.linalg.svd(u, full_matrices=False)[2]
+        axes[d] = found[: min(WIDE_AXES, len(found))].T.copy()
     return axes
 
 
 def turn(raw: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit rows on the axes; where these are not all, what they leave of a row follows in its own parts."""
     u = unit_rows(raw)
-    return u @ axes if axes.ndim == 2 else u[:, axes]
+    on = u @ axes
+    return on if axes.shape[0] == axes.shape[1] else np.concatenate([on, u - on @ axes.T], axis=1)
 
 
 def leading(u: np.ndarray) -> np.ndarray:
@@ -224,7 +237,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row for each vector length
     trees = {}
     for d, size in sizes.items():
-        tiles = max(LEAST_TILES, -(-size // TILE_ROWS)) if size > 2 * BLOCK_ROWS else 1
+        tiles = max(LEAST_TILES, -(-size // tile_rows(d))) if size > 2 * BLOCK_ROWS else 1
         sample = leads.where(F.col("dim") == d).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).toPandas() if tiles > 1 else None
         trees[d] = grow(np.array(sample["lead"].tolist()) if tiles > 1 else np.zeros((1, BOX_AXES)), tiles)
 
@@ -237,7 +250,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(leaf_of(first, trees[d])), pa.array(list(first), pa.list_(pa.float64()))], names=["dim", "rep", "leaf", "lead"])
 
     leaves = stored(classes.select("dim", "vec", "rep").mapInArrow(place, "dim int, rep long, leaf long, lead array<double>"), "leaves")
-    parts = leaves.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / F.lit(2 * TILE_ROWS)).cast("int").alias("parts"))
+    parts = leaves.groupBy("dim", "leaf").agg(F.count("*").alias("n"))
+    most = F.lit(2) * F.greatest(F.lit(1), F.least(F.lit(TILE_ROWS), F.greatest(F.lit(BLOCK_ROWS), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim"))))))  # as tile_rows
+    parts = parts.select("dim", "leaf", F.ceil(F.col("n") / most).cast("int").alias("parts"))
     tile = F.concat_ws("/", F.col("dim").cast("string"), F.col("leaf").cast("string"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("string"))
     tiled = stored(leaves.join(parts, ["dim", "leaf"]).select("dim", "rep", "lead", tile.alias("tile")), "tiled")
     box = [f(F.col("lead")[k]).alias(f"{name}{k}") for k in range(BOX_AXES) for name, f in (("lo", F.min), ("hi", F.max))]

@@ -676,3 +676,18 @@ def test_own_columns_do_not_clash(spark):
         assert made.columns == df.columns
         got = made.collect()
         assert got and all((r["row"], r["use"], r["masked"], r["tokens"], r["full_epochs"], r["partial_tokens"]) == (-r["doc_id"], -2 * r["doc_id"], "m", "t", "f", "p") for r in got)
+
+
+def test_vectors_of_many_parts(spark):
+    """Vectors longer than those with all principal axes, and wide ones beside narrow ones, against all pairs; tiles shrink with the width."""
+    rng = np.random.default_rng(12)
+    parts = vectors.PCA_DIMS + 88
+    base = rng.normal(size=(12, parts)) * np.linspace(2, 0.1, parts)
+    wide = np.concatenate([base[i % 12] + rng.normal(size=(1, parts)) * (0.02, 0.3, 0.6)[i % 3] for i in range(90)])
+    rows = [(i, v.tolist()) for i, v in enumerate(wide)] + [(1000 + i, v[:3].tolist()) for i, v in enumerate(wide[:20])] + [(2000, wide[0].tolist()), (2001, [0.0] * parts)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    group = {i: np.array(v) for i, v in rows}
+    near = lambda a, b: len(a) == len(b) and a.any() and b.any() and math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b)) >= 0.95
+    want = {i: sum(j != i and near(v, w) for j, w in group.items()) for i, v in group.items()}
+    assert got.n_links.to_dict() == want and 0 < sum(n > 0 for n in want.values()) < len(want)
+    assert [vectors.tile_rows(d) for d in (1, 64, 1024, 4096, 1 << 20)] == [65_536, 65_536, 4096, 1024, 1024]
