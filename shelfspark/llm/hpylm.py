@@ -51,7 +51,7 @@ from shelfspark.llm.common import bucketed, mix, over_groups, placed_words, sing
 BLOCK_BYTES = 4 << 20
 SAMPLES = 2
 #: Customers up to which each number has its own law of tables; the largest number that has one; tables that a law reaches.
-STIRLING, LAST, WIDEST = 512, 1 << 16, 256
+STIRLING, LAST, WIDEST = 512, 1 << 14, 256
 STRENGTH = 1.0
 SPELL_DISCOUNT, SPELL_STRENGTH, SPELL_SWEEPS = 0.5, 1.0, 20
 #: Words or pairs, summed over blocks, of a hash range.
@@ -111,24 +111,28 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, sw
     if not len(many):
         return tables
     u, weight, n = uniform(key[many], 2 * sweep), np.maximum(weight[many], 1e-300), c[many]
-    likely = weight / discount
-    reach = np.minimum(n, (2 * likely + 10 * np.sqrt(likely) + 12)).astype(np.int64)
-    out = np.empty(len(many), np.int64)
-    wide = np.flatnonzero(reach > WIDEST)
+    # Two customers: w (1 - d) for one table against w^2 for two.
+    out = 1 + (u * (weight + 1 - discount) >= 1 - discount).astype(np.int64)
+    more = np.flatnonzero(n > 2)
+    likely = weight[more] / discount
+    reach = np.minimum(np.minimum(n[more], (2 * likely + 10 * np.sqrt(likely) + 12)), WIDEST + 1).astype(np.uint16)
+    wide = more[reach > WIDEST]
     if len(wide):
         out[wide] = many_tables(n[wide].astype(np.float64), weight[wide], discount, u[wide], uniform(key[many[wide]], 2 * sweep + 1))
-    order = np.argsort(reach, kind="stable")
-    order = order[: len(order) - len(wide)]
+    order = np.argsort(reach, kind="stable")[: len(more) - len(wide)]
+    reach, order = reach[order].astype(np.int64), more[order]
     customers, logs = stirling(discount)
-    row, a = np.searchsorted(customers, n, side="right") - 1, 0
+    row = np.where(n <= STIRLING, n - 1, 0)
+    row[n > STIRLING] = np.searchsorted(customers, n[n > STIRLING], side="right") - 1
+    log_weight, a = np.log(weight), 0
     while a < len(order):
-        first = int(reach[order[a]])
-        b = int(np.searchsorted(reach[order], max(first, first * 5 // 4), side="right"))
-        b = min(b, a + max(1, (1 << 18) // int(reach[order[b - 1]])))
+        b = int(np.searchsorted(reach, reach[a] * 5 // 4, side="right"))
+        b = min(b, a + max(1, (1 << 18) // int(reach[b - 1])))
         part = order[a:b]
-        t = np.arange(1, int(reach[part[-1]]) + 1)
-        p = logs[row[part], : len(t)] + np.log(weight[part])[:, None] * t
-        p = np.cumsum(np.exp(p - p.max(axis=1)[:, None]), axis=1)
+        t = np.arange(1, int(reach[b - 1]) + 1)
+        p = logs[row[part], : len(t)] + log_weight[part][:, None] * t
+        p -= p.max(axis=1)[:, None]
+        p = np.cumsum(np.exp(p, out=p), axis=1, out=p)
         out[part] = np.minimum((p <= (u[part] * p[:, -1])[:, None]).sum(axis=1), len(t) - 1) + 1
         a = b
     tables[many] = np.minimum(out, n)
