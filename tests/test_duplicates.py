@@ -7,6 +7,10 @@ import random
 from compare import oracle, rows
 
 from shelfspark.catalog_queries import ORACLES, QUERIES
+from shelfspark.operators import duplicates as d
+from shelfspark.operators import fingerprint as fp
+from shelfspark.operators import scanner
+from shelfspark.shared import stored
 
 
 def test_near_duplicates_exact_in_large_groups(spark, tmp_path):
@@ -46,3 +50,33 @@ def test_near_duplicates_recall(spark):
     found = {(r["left"], r["right"]) for r in QUERIES["near_duplicates"](spark, sf).collect()}
     every = {(r["left"], r["right"]) for r in QUERIES["near_duplicates_exact"](spark, sf).collect()}
     assert found <= every and len(found) >= 0.98 * len(every) > 10
+
+
+def test_matches_without_all_candidates_are_those_of_all_candidates(spark):
+    rng = random.Random(5)
+    words = [f"{c}word{i}" for i, c in enumerate("abcdefghijkl")] + ["of", "in"]
+    vocabulary = [f"t{i}" for i in range(4000)]
+    docs, body = [], []
+    for i in range(160):
+        if i % 4 == 0:
+            body = rng.choices(vocabulary, k=rng.choice((120, 300)))
+        elif i % 4 == 1:
+            body = [w if rng.random() > 0.04 else "x" for w in body]
+        elif i % 4 == 2:
+            body = body[: rng.choice((110, len(body)))]
+        title = rng.sample(words, rng.choice((1, 3, 4, 5, 6, 9, 11)))[: rng.choice((3, 99))] if i % 3 else ["aword0", "bword1", "cword2", "dword3", *rng.sample(["eword4", "of"], 1)]
+        docs.append((i, " ".join(body), " ".join(title) if i % 41 else None, rng.choice((["A"], ["A", None], [None, "B"], [], ["B", "A"])), rng.choice(("en", "en", "de", None)), f"isbn{i % 70}" if i % 5 == 0 else None))
+    rows = stored(spark.createDataFrame(docs, "id long, text string, title string, authors array<string>, language string, isbn string"), "rows")
+    keys = rows.selectExpr("id", "title", "authors", "isbn", "language", "cast(null as int) as year", "cast(null as string) as publisher", "cast(null as string) as series")
+    prints = stored(fp.fingerprint(rows.select("id", "text"), 100), "prints")
+    signed = stored(fp.representatives(prints).withColumn("signature", fp.minhash("shingles")).where("size(signature) = 32").select("id", "signature"), "signed")
+    firsts = stored(keys.join(fp.representatives(prints).select("id"), "id", "left_semi"), "firsts")
+    textual = stored(d.union_pairs(d.pairs_by_lsh(signed), d.pairs_by_value(firsts, "title"), d.pairs_by_value(firsts, "isbn")), "textual")
+    every = d.union_pairs(textual, d.pairs_by_rare_tokens(firsts, "title"), d.pairs_by_text_hash(prints))
+    plain = lambda df: sorted((r["left"], r["right"], r["kind"], r["reasons"], r["conflicts"]) for r in df.collect())
+    got = plain(scanner.find_matches(prints, signed, keys, 0.5, 100))
+    assert got == plain(scanner.match_pairs(every, textual, prints, keys, 0.5, 100))
+    # every pair's texts compared, with no use of titles
+    compared = d.text_relation(d.compare_texts(textual, prints), near_words=100, near=0.5).where("relation is not null and relation <> 'same'").select("left", "right", "relation").collect()
+    assert {(r["left"], r["right"]) for r in compared} == {(a, b) for a, b, _, reasons, _ in got if {"near_text", "partial_text"} & set(reasons)}
+    assert {x for r in got for x in r[3]} >= {"near_text", "partial_text", "same_isbn", "title_author", "similar_title_author"}
