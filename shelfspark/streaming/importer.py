@@ -4,7 +4,7 @@ Three steps, each with its own checkpoint under `folder`, so that a restart goes
 
 1. `prints`: arrivals are hashed, their titles cleaned, their texts fingerprinted and signed; a table in parts by batch and id.
 2. `firsts`: state by text hash tells copies of files and of texts from first ones.
-3. `matches`: state by index key (LSH bucket, title, ISBN, title words) holds the ids of earlier first texts. New
+3. `matches`: state by index key (LSH bucket, title, ISBN, words of similar titles) holds the ids of earlier first texts. New
    ones meet them there and join the state. Only candidates' parts of `prints` are read, for the evidence of the pairs.
 
 State is kept in RocksDB: a batch costs reads and writes of its own keys. Arrivals count in the order of
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,34 +92,32 @@ class Index(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = _in_order(rows)
-        held = list(self.entries.get()) if self.entries.exists() else []
-        textual, new = bool(now["textual"].iloc[0]), []
-        for r in now.itertuples(index=False):
-            met = [(b, i) for b, i, asks in held if (asks or r.asks) and i != r.id]
-            if met:
-                made = pd.DataFrame(met, columns=["left_batch", "left"])
-                made["batch"], made["right"], made["textual"] = r.batch, r.id, textual
-                yield made[["left", "left_batch", "right", "batch", "textual"]]
-            held.append((int(r.batch), int(r.id), bool(r.asks)))
-            new.append(held[-1])
+        old = list(self.entries.get()) if self.entries.exists() else []
+        new = [(int(r.batch), int(r.id), bool(r.asks)) for r in now.itertuples(index=False)]
+        textual = bool(now["textual"].iloc[0])
+        batch, ids, asks = (np.array(c, t) for c, t in zip(zip(*(old + new), strict=True), (np.int64, np.int64, bool), strict=True))
+        for at in range(len(old), len(ids)):
+            met = np.flatnonzero((asks[:at] | asks[at]) & (ids[:at] != ids[at]))
+            if len(met):
+                yield pd.DataFrame({"left": ids[met], "left_batch": batch[met], "right": ids[at], "batch": batch[at], "textual": textual})
         self.entries.appendList(new)
 
     def close(self) -> None:
         pass
 
 
-def index_keys(title_key: Column, isbn: Column, signature: Column) -> Column:
-    """The keys under which a text is found, as candidate pairs of a scan are: those of a title's words ask for its longest three only."""
+def index_keys(title_key: Column, authors: Column, isbn: Column, signature: Column) -> Column:
+    """The keys under which a text is found, as the pairs of a scan that can have evidence are: by bands, whole titles, ISBNs, and similar titles of an author in common."""
     entry = lambda key, asks, textual: F.struct(key.alias("key"), asks.alias("asks"), F.lit(textual).alias("textual"))
     yes = F.lit(True)
     bands = F.transform(fp.lsh_buckets(signature), lambda b: entry(F.concat(F.lit("l:"), b), yes, True))
     whole = F.array_compact(
         F.array(F.when(title_key != "", entry(F.concat(F.lit("t:"), title_key), yes, True)), F.when(isbn != "", entry(F.concat(F.lit("i:"), isbn), yes, True)))
     )
-    longest = d.longest_tokens(title_key)
-    words = F.filter(F.array_distinct(F.split(F.coalesce(title_key, F.lit("")), " ")), lambda w: w != "")
-    tokens = F.transform(words, lambda w: entry(F.concat(F.lit("w:"), w), F.array_contains(longest, w), False))
-    return F.concat(bands, whole, tokens)
+    named = F.array_compact(F.array_distinct(F.coalesce(authors, F.array().cast("array<string>"))))
+    by_title = F.coalesce(d.title_keys(title_key), F.array().cast("array<struct<key:string,asks:boolean>>"))
+    similar = F.flatten(F.transform(named, lambda a: F.transform(by_title, lambda k: entry(F.concat_ws("\t", k["key"], a), k["asks"], False))))
+    return F.concat(bands, whole, similar)
 
 
 def arrival_prints(arrivals: DataFrame, min_words: int, max_words: int | None, title_form: Callable[[Column], Column] = search_key) -> DataFrame:
@@ -131,7 +130,7 @@ def arrival_prints(arrivals: DataFrame, min_words: int, max_words: int | None, t
     state = F.when(F.col("text_hash").isNull(), "failed").otherwise("read")
     return both.select(
         "id", "sha256", state.alias("status"), "title", "title_rules", "title_key", "authors", "isbn", "language", "year", "publisher", "series",
-        "word_count", "text_hash", "shingles", index_keys(F.col("title_key"), F.col("isbn"), F.col("signature")).alias("keys"),
+        "word_count", "text_hash", "shingles", index_keys(F.col("title_key"), F.col("authors"), F.col("isbn"), F.col("signature")).alias("keys"),
     )
 
 
@@ -156,7 +155,10 @@ def _matched(spark: SparkSession, prints: str, pairs: DataFrame, near: float, ne
     own = stored(prints_of(spark, prints, stored(sides, "sides")), "sides-prints")
     keys = own.select("id", F.col("title_key").alias("title"), "authors", "isbn", "language", "year", "publisher", "series")
     textual = held.where("textual").select("left", "right")
-    found = scanner.match_pairs(held.select("left", "right"), textual, own.select("id", "word_count", "text_hash", "shingles"), keys, near=near, near_words=near_words)
+    # Similar titles count as in a scan: if one holds any of the longest words of the other.
+    side = lambda s: own.select(F.col("id").alias(s), F.col("title_key").alias(f"{s}_title"))
+    similar = held.where("not textual").join(side("left"), "left").join(side("right"), "right").where(d.meets_by_tokens(F.col("left_title"), F.col("right_title"))).select("left", "right")
+    found = scanner.match_pairs(textual.unionByName(similar), textual, own.select("id", "word_count", "text_hash", "shingles"), keys, near=near, near_words=near_words)
     return found.join(held.select("left", "right", "batch"), ["left", "right"]).select("left", "right", "kind", "reasons", "conflicts", "batch")
 
 

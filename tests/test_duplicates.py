@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 
 from compare import oracle, rows
+from pyspark.sql import functions as F
 
 from shelfspark.catalog_queries import ORACLES, QUERIES
 from shelfspark.operators import duplicates as d
 from shelfspark.operators import fingerprint as fp
 from shelfspark.operators import scanner
 from shelfspark.shared import stored
+from shelfspark.streaming import importer
 
 
 def test_near_duplicates_exact_in_large_groups(spark, tmp_path):
@@ -80,3 +82,12 @@ def test_matches_without_all_candidates_are_those_of_all_candidates(spark):
     compared = d.text_relation(d.compare_texts(textual, prints), near_words=100, near=0.5).where("relation is not null and relation <> 'same'").select("left", "right", "relation").collect()
     assert {(r["left"], r["right"]) for r in compared} == {(a, b) for a, b, _, reasons, _ in got if {"near_text", "partial_text"} & set(reasons)}
     assert {x for r in got for x in r[3]} >= {"near_text", "partial_text", "same_isbn", "title_author", "similar_title_author"}
+
+
+def test_index_keys_meet_for_similar_titles_only(spark):
+    titles = ["common alpha beta gamma delta", "common alpha beta gamma", "common other words here", "alpha common gamma beta"]
+    rows = spark.createDataFrame([(i, t, ["A"] if i < 9 else ["B"]) for i, t in [*enumerate(titles), (9, titles[1])]], "id int, title string, authors array<string>")
+    made = rows.select("id", importer.index_keys(F.col("title"), F.col("authors"), F.lit(None).cast("string"), F.array().cast("array<bigint>")).alias("k")).collect()
+    keys = {r["id"]: {(k["key"], k["asks"]) for k in r["k"]} for r in made}
+    meet = lambda a, b: any(x == y and (p or q) for x, p in keys[a] for y, q in keys[b])
+    assert {(a, b) for a in keys for b in keys if a < b and meet(a, b)} == {(0, 1), (0, 3), (1, 3), (1, 9)}
