@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfspark.operators import language
 from shelfspark.operators import linkage as k
 from shelfspark.operators import selection
 from shelfspark.operators import usage as u
 from shelfspark.plans.registry import query
-from shelfspark.shared import stored
+from shelfspark.shared import spread, stored
 from shelfspark.sources.tables import read_table
 
 NOW = "2024-01-20 12:00:00"
@@ -188,13 +189,9 @@ c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY lang, gram)
 SELECT lang, gram, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 100""")
 def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most frequent character triples of each language's texts."""
-    t = F.lower("text")
-    rows = read_table(spark, sf_dir, "documents").select("lang", t.alias("t")).where(F.length("t") >= 3)
-    chars = F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))
-    pairs = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))
-    grams = rows.select("lang", F.explode(F.filter(F.zip_with(pairs, F.slice(chars, 3, F.size(chars)), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())).alias("gram"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return grams.groupBy("lang", "gram").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w)).where("r <= 100").drop("r")
+    counts = language.triple_counts(spread(read_table(spark, sf_dir, "documents").select("lang", "text")))
+    return counts.withColumn("r", F.row_number().over(w)).where("r <= 100").drop("r")
 
 
 @query("""SELECT l_returnflag AS variant, round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.975), 6) AS high,

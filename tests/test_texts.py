@@ -140,3 +140,15 @@ def test_decisions_keep_history(spark):
     made = scanner.decide(pairs, asked)
     assert {(r["decided_at"], r["error"]) for r in made.checked.collect()} == {(1, None), (2, None), (3, None), (4, "unknown_pair"), (5, "decision")}
     assert {tuple(r) for r in made.state.collect()} == {(1, 2, None, 2), (3, 4, "keep_both", 1)}
+
+
+def test_triples_are_counted_and_scored_where_they_lie(spark):
+    texts = [("a", "Abcabc"), ("b", "äöü𝄞x"), ("a", None), ("b", "ab"), (None, "abcd")]
+    rows = spark.createDataFrame(texts, "lang string, text string")
+    assert {(r["lang"], r["gram"]): r["n"] for r in g.triple_counts(rows).collect()} == {("a", "abc"): 2, ("a", "bca"): 1, ("a", "cab"): 1, ("b", "äöü"): 1, ("b", "öü𝄞"): 1, ("b", "ü𝄞x"): 1, (None, "abc"): 1, (None, "bcd"): 1}
+    asked = spark.createDataFrame([(1, "ABC"), (2, "zzz"), (3, None), (4, "äöü abc abc")], "id int, text string")
+    found = g.detect(asked, g.profiles(rows))
+    plan = found._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Explode" not in plan  # nothing is moved
+    got = {r["id"]: (r["lang"], round(r["score"], 6), round(r["second"], 6)) for r in found.collect()}
+    assert got == {1: ("a", 0.5, 0.5), 4: ("a", 0.428571, 0.428571)}
