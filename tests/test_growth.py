@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
+from shelfspark.operators import duplicates as d
+from shelfspark.operators import fingerprint as fp
+from shelfspark.plans import dedup
 from shelfspark.streaming import reviews
 
+SF = "/root/testdata/sf0.001"
+
 
 class Calls:
     """A state and timers that count what is asked of them."""
@@ -47,3 +52,16 @@ def test_a_batch_of_an_item_is_one_access_of_its_state():
         assert calls.n <= 4
         assert out == [(1, "ready", e.at + day) for e in events[max(0, 60 * run - 1) : 59 + 40 * run] if e.seq >= 49]
     assert calls.timers == {calls.held[3]}
+
+
+def test_signatures_move_without_shingles(spark):
+    """Shingles stay where they are made, and bands are joined by their slots."""
+    signed = dedup.signatures(spark, SF)
+    assert signed.columns == ["id", "signature"]
+    plan = d.pairs_by_lsh(signed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan
+    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, "a b"), (4, "ä b c d e")], "id long, text string")
+    made = fp.fingerprint(texts, 0, max_words=None, slots=8).select("id", "signature", fp.minhash_of(8)("shingles").alias("want")).collect()
+    assert all(r["signature"] == r["want"] for r in made) and sorted(len(r["want"]) for r in made) == [0, 0, 8, 8]
+    none = spark.createDataFrame([(1, None), (2, [5]), (3, [])], "id long, s array<long>").select("id", fp.minhash("s").alias("m")).collect()
+    assert {r["id"]: len(r["m"]) for r in none} == {1: 0, 2: 32, 3: 0}
