@@ -1,9 +1,8 @@
 """Exact percentiles of groups of any size, and bootstrap medians, without a task that holds a group.
 
-Spark's percentile keeps every distinct value of a group in one task. Here a large group is narrowed first:
-its values are counted between splits that an approximate percentile gives (a value that is a split
-is counted by itself), the range that holds the rank is kept, and so on until it is small or one value.
-A round moves a row a group and range, whatever the group's size.
+Spark's percentile keeps every distinct value of a group in one task. Here the values of large groups are counted,
+dealt by ranges of (group, value) and stored; the ranges are counted, which tells the range that holds a rank, and
+only in those ranges the counts are added up. So the rows are read twice, however large a group is.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from shelfspark.shared import small_side, stored
 
 #: Values of a group that one task may hold.
 MOST = 100_000
-#: Ranges of a round.
-RANGES = 64
 
 
 def large(df: DataFrame, keys: list[str], most: int = MOST) -> bool:
@@ -30,43 +27,35 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float,
     direct = lambda d: d.groupBy(*keys).agg(F.percentile("__v", F.array(*map(F.lit, points))).alias(out))
     if not large(rows, keys, most):
         return direct(rows)
-    rows = stored(rows.withColumn("__g", F.to_json(F.struct(*keys))), "values")
-    sizes = stored(rows.groupBy(*keys, "__g").agg(F.count("*").alias("n")).where(F.col("n") > most), "large-groups")
-    side = small_side(sizes.select(F.col("__g"), F.lit(1).alias("__one")))
-    own = direct(rows.join(side, "__g", "left_anti"))
-    picked = select_ranks(rows.join(side, "__g", "left_semi").select("__g", "__v"), sizes.select("__g", "n"), points, most)
+    # A group's key as one value, nulls included.
+    counted = rows.withColumn("__g", F.to_json(F.struct(*keys))).groupBy(*keys, "__g", "__v").agg(F.count("*").alias("__c"))
+    held = stored(counted.repartitionByRange("__g", "__v").withColumn("__part", F.spark_partition_id()), "values")
+    ranges = stored(held.groupBy(*keys, "__g", "__part").agg(F.sum("__c").alias("n")), "ranges")  # a row a group and part that holds it
+    sizes = stored(ranges.groupBy(*keys, "__g").agg(F.sum("n").alias("n")), "groups")
+    asked = sizes.select("__g", "n", F.posexplode(F.array(*[((F.col("n") - 1) * F.lit(float(p))) for p in points])).alias("q", "at"))
+    picked = select_ranks(held, ranges.select("__g", "__part", F.col("n").alias("c")), asked)
     by_point = picked.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "x"))), lambda s: s["x"]).alias(out))
-    return own.unionByName(sizes.join(by_point, "__g").select(*keys, out))
-
-
-def select_ranks(rows: DataFrame, sizes: DataFrame, points: tuple[float, ...], most: int) -> DataFrame:
-    """(__g, q, x): of rows (__g, __v) in groups of n (sizes) the value at point number q, between its two neighbours where it falls between."""
-    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
-    asked = sizes.select("__g", "n", F.posexplode(F.array(*[F.struct(place(p).alias("at")) for p in points])).alias("q", "p")).select("__g", "q", "n", "p.at")
-    none = F.lit(None).cast("double")
-    state = asked.select("__g", "q", "at", F.floor("at").alias("low"), F.ceil("at").alias("high"), none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
-    state = stored(state, "ranks")
-    wide = (F.col("inside") > most) & (F.col("lo").isNull() | (F.col("lo") < F.col("hi")))
-    within = F.col("lo").isNull() | F.col("__v").between(F.col("lo"), F.col("hi"))
-    splits = F.percentile_approx("__v", F.array(*[F.lit(i / RANGES) for i in range(RANGES + 1)]), F.lit(1000))
-    while state.where(wide).limit(1).count():
-        open_ = state.where(wide)
-        part = rows.join(small_side(stored(open_.select("__g", "q", "lo", "hi"), "open")), "__g").where(within)
-        cuts = stored(part.groupBy("__g", "q").agg(F.array_distinct(splits).alias("s")), "splits")
-        # The number of splits below, and whether the value is one.
-        bucket = F.size(F.filter("s", lambda s: s < F.col("__v"))) * 2 + F.array_contains("s", F.col("__v")).cast("int")
-        counted = part.join(F.broadcast(cuts), ["__g", "q"]).groupBy("__g", "q", bucket.alias("b")).agg(F.count("*").alias("c"), F.min("__v").alias("least"), F.max("__v").alias("last"))
-        run = Window.partitionBy("__g", "q").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * RANGES + 3 rows
-        placed = counted.join(open_.select("__g", "q", "below", "low", "high"), ["__g", "q"]).withColumn("start", F.col("below") + F.coalesce(F.sum("c").over(run), F.lit(0)))
-        held = placed.where((F.col("start") <= F.col("high")) & (F.col("start") + F.col("c") > F.col("low")))
-        narrowed = held.groupBy("__g", "q").agg(F.min("least").alias("lo"), F.max("last").alias("hi"), F.min("start").alias("below"), F.sum("c").alias("inside"))
-        state = stored(state.where(~wide).unionByName(open_.drop("lo", "hi", "below", "inside").join(narrowed, ["__g", "q"]).select(*state.columns)), "ranks")
-    same = state.where("lo = hi").select("__g", "q", F.col("lo").alias("x"))
-    rest = state.where("lo is null or lo < hi")
-    left = rows.join(small_side(stored(rest, "rest")), "__g").where(within).groupBy("__g", "q", "at", "low", "high", "below").agg(F.array_sort(F.collect_list("__v")).alias("v"))
-    at = lambda c: F.get("v", (F.col(c) - F.col("below")).cast("int"))
-    mean = (F.col("high") - F.col("at")) * at("low") + (F.col("at") - F.col("low")) * at("high")
-    return same.unionByName(left.select("__g", "q", F.when(F.col("low") == F.col("high"), at("low")).otherwise(mean).alias("x")))
+    return sizes.join(by_point, "__g").select(*keys, out)
+
+
+def select_ranks(held: DataFrame, ranges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(__g, q, x): the value at rank `at` (from 0) of each asked (__g, q, at), between its two neighbours where it falls between.
+
+    held: (__g, __v, __c, __part), values and their counts dealt to parts in order; ranges: (__g, __part, c), the counts of parts.
+    """
+    run = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    placed = ranges.withColumn("start", F.coalesce(F.sum("c").over(run), F.lit(0)))
+    ranks = asked.select("__g", "q", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    hit = stored(ranks.join(placed, "__g").where((F.col("start") <= F.col("rank")) & (F.col("start") + F.col("c") > F.col("rank"))), "ranks")
+    sought = hit.groupBy("__g", "__part", "start").agg(F.collect_list(F.struct("q", "at", "rank")).alias("asked"))  # of as many as there are points
+    inside = held.select("__g", "__part", "__v", "__c").join(small_side(stored(sought.select("__g", "__part").distinct(), "sought")), ["__g", "__part"])
+    own = Window.partitionBy("__g", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    summed = inside.withColumn("before", F.coalesce(F.sum("__c").over(own), F.lit(0))).join(sought, ["__g", "__part"])
+    found = summed.select("__g", "__v", (F.col("start") + F.col("before")).alias("lo"), "__c", F.explode("asked").alias("a")).where("a.rank >= lo and a.rank < lo + __c")
+    low, high = F.min_by("__v", "a.rank"), F.max_by("__v", "a.rank")
+    at = F.first("a.at")
+    mean = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+    return found.groupBy("__g", F.col("a.q").alias("q")).agg(F.when(F.floor(at) == F.ceil(at), low).otherwise(mean).alias("x"))
 
 
 def draw(replicate: Column, number: Column, n: int) -> Column:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from shelfspark import sqlnames
+from shelfspark.catalog_queries import QUERIES
 from shelfspark.operators import duplicates as d
 from shelfspark.operators import fingerprint as fp
+from shelfspark.operators import selection
 from shelfspark.plans import dedup
 from shelfspark.streaming import reviews
 
@@ -65,3 +69,25 @@ def test_signatures_move_without_shingles(spark):
     assert all(r["signature"] == r["want"] for r in made) and sorted(len(r["want"]) for r in made) == [0, 0, 8, 8]
     none = spark.createDataFrame([(1, None), (2, [5]), (3, [])], "id long, s array<long>").select("id", fp.minhash("s").alias("m")).collect()
     assert {r["id"]: len(r["m"]) for r in none} == {1: 0, 2: 32, 3: 0}
+
+
+def test_table_function_tells_first_windows(spark):
+    """Distinct windows of a text are counted without moving them."""
+    sqlnames.register(spark)
+    spark.createDataFrame([(1, "a b c d e a b c d e"), (2, "a b"), (3, None)], "id long, text string").createOrReplaceTempView("growth_texts")
+    rows = spark.sql("SELECT id, s.shingle, s.first FROM growth_texts, LATERAL shingle(text) AS s")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a b c d e", False), (1, "a b c d e", True), (1, "b c d e a", True), (1, "c d e a b", True), (1, "d e a b c", True), (1, "e a b c d", True)]
+    plan = QUERIES["table_functions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower()
+
+
+def test_a_large_group_is_read_without_rounds(spark):
+    """Equal values are one row, and the number of jobs does not grow with a group."""
+    rows = spark.range(60_000).select(F.lit("k").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(7)) * 1.5).alias("v"))
+    marks = []
+    for df in (rows.limit(600), rows):
+        spark.sparkContext.setJobGroup(f"growth-{len(marks)}", "")
+        got = selection.percentiles(df, ["k"], "v", (0.0, 0.31, 0.5, 1.0), "p", most=10).collect()
+        marks.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"growth-{len(marks)}")))
+        assert [tuple(r["p"]) for r in got] == [tuple(df.agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.31, 0.5, 1.0)))).alias("p")).first()["p"])]
+    assert not hasattr(selection, "RANGES") and max(marks) < 40
