@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,8 +61,20 @@ def merge_candidates(cands: DataFrame, key: str, score: str, arrival: str, scala
     return made.select(key, score, *[F.col(f"__best.{s}").alias(s) for s in scalars], *[F.array_distinct(F.flatten(F.transform(f"__{n}", lambda s: s["v"]))).alias(n) for n in lists])
 
 
+@lru_cache(1 << 14)
+def _similar_short(a: str, b: str) -> float:
+    return _similarity(a, b)
+
+
 def _similar(a: str | None, b: str | None) -> float:
-    x, y = _plain(a or ""), _plain(b or "")
+    """The similarity of two names; pairs of short ones recur, as names and publishers do, and are compared once."""
+    if not a or not b:
+        return 0.0
+    return _similar_short(a, b) if len(a) + len(b) <= 200 else _similarity(a, b)
+
+
+def _similarity(a: str, b: str) -> float:
+    x, y = _plain(a), _plain(b)
     if not x or not y:
         return 0.0
     if x == y:
@@ -76,6 +89,12 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_similar(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """name_similarity; equal names with a letter or digit of ASCII, which their plain form keeps, do not go to Python."""
+    same = F.coalesce((a == b) & a.rlike("[A-Za-z0-9]"), F.lit(False))
+    return F.when(same, 1.0).otherwise(name_similarity(F.when(~same, a), F.when(~same, b)))
+
+
 @F.pandas_udf(T.DoubleType())
 def best_similarity(a: pd.Series, names: pd.Series) -> pd.Series:
     """The largest similarity of a name to any of an array of names; 0 without any."""
@@ -89,7 +108,7 @@ def scored(cands: DataFrame) -> DataFrame:
     authors, language, year, publisher. A part that one side lacks does not count, but the author counts if asked for.
     """
     code = lambda c: normalize_language(F.col(c))
-    sides = cands.withColumns({"__t": name_similarity("q_title", "title"), "__a": best_similarity("q_author", "authors"), "__p": name_similarity("q_publisher", "publisher"), "__ql": code("q_language"), "__l": code("language")})
+    sides = cands.withColumns({"__t": likeness(F.col("q_title"), F.col("title")), "__a": best_similarity("q_author", "authors"), "__p": likeness(F.col("q_publisher"), F.col("publisher")), "__ql": code("q_language"), "__l": code("language")})
     has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
     parts = {
         "title": F.col("__t"), "authors": F.when(has("q_author"), F.col("__a")),
@@ -124,6 +143,7 @@ def accepted(cands: DataFrame, book: str = "book_id") -> DataFrame:
     """
     plain = cands.withColumns({"__names": plain_forms("authors"), "__title": normalize_text("title")})
     rows = plain.withColumn("__work", F.struct("work_score", "__title", F.array_sort(F.array_distinct("__names")).alias("n"))).drop("__names", "__title")
+    rows = stored(rows, "scored")  # read three times
     edition = (F.col("match_type") == "edition") & (F.col("score") >= 95)
     per = rows.groupBy(book).agg(
         F.count_if(edition).alias("__e"), F.count("*").alias("__all"), F.max(F.when(edition, F.size("sources"))).alias("__s"),

@@ -9,8 +9,9 @@ from shelfspark import sqlnames
 from shelfspark.catalog_queries import QUERIES
 from shelfspark.operators import duplicates as d
 from shelfspark.operators import fingerprint as fp
-from shelfspark.operators import selection
+from shelfspark.operators import linkage, selection
 from shelfspark.plans import dedup
+from shelfspark.plans.linkage import provider_rows
 from shelfspark.streaming import reviews
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,12 @@ def test_a_large_group_is_read_without_rounds(spark):
         marks.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"growth-{len(marks)}")))
         assert [tuple(r["p"]) for r in got] == [tuple(df.agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.31, 0.5, 1.0)))).alias("p")).first()["p"])]
     assert not hasattr(selection, "RANGES") and max(marks) < 40
+
+
+def test_candidates_are_scored_once(spark):
+    """Names are compared before acceptance reads the rows thrice; equal names are not sent."""
+    plan = linkage.search_candidates(provider_rows(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan
+    pairs = [("Ann Bee", "Ann Bee"), ("--", "--"), ("é", "é"), ("", ""), (None, None), (None, "a"), ("ab cd", "ab ce"), ("x" * 300, "x" * 299), ("A b", "a B")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(linkage.likeness(F.col("a"), F.col("b")).alias("x"), linkage.name_similarity("a", "b").alias("y")).collect()
+    assert [r["x"] for r in got] == [r["y"] for r in got] and [r["x"] for r in got][:6] == [1.0, 0.0, 1.0, 0.0, 0.0, 0.0]
