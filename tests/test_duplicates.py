@@ -91,3 +91,19 @@ def test_index_keys_meet_for_similar_titles_only(spark):
     keys = {r["id"]: {(k["key"], k["asks"]) for k in r["k"]} for r in made}
     meet = lambda a, b: any(x == y and (p or q) for x, p in keys[a] for y, q in keys[b])
     assert {(a, b) for a in keys for b in keys if a < b and meet(a, b)} == {(0, 1), (0, 3), (1, 3), (1, 9)}
+
+
+def test_title_pairs_are_made_once(spark):
+    """Titles that meet by several tokens, from both sides, as equals or in arrays of several ids, with none of their pairs moved."""
+    rng = random.Random(3)
+    words = [f"{c}word{i}" for i, c in enumerate("abcdefghijkl")] + ["of", "in", "the"]
+    titles = [None, "", "of", "of in", "of in", *["aword0 bword1 cword2 of"] * 600, *["aword0 bword1 cword2"] * 3, *[" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(300)]]
+    rows = stored(spark.createDataFrame([(i * 7 % 1009, t) for i, t in enumerate(titles)], "id long, title_key string"), "titles")
+    made = d.pairs_by_titles(rows)
+    want = {(r["left"], r["right"]) for r in d.union_pairs(d.pairs_by_value(rows, "title_key"), d.pairs_by_rare_tokens(rows)).collect()}
+    got = [(r["left"], r["right"]) for r in made.collect()]
+    assert len(got) == len(set(got)) > 180_000 and set(got) == want
+    others = stored(spark.createDataFrame(sorted(want)[:50] + [(0, 7)], "left long, right long"), "others")
+    assert [tuple(r) for r in d.not_by_titles(others, rows).collect()] == [(0, 7)]
+    plan = QUERIES["candidate_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
