@@ -101,3 +101,16 @@ def test_candidates_are_scored_once(spark):
     pairs = [("Ann Bee", "Ann Bee"), ("--", "--"), ("é", "é"), ("", ""), (None, None), (None, "a"), ("ab cd", "ab ce"), ("x" * 300, "x" * 299), ("A b", "a B")]
     got = spark.createDataFrame(pairs, "a string, b string").select(linkage.likeness(F.col("a"), F.col("b")).alias("x"), linkage.name_similarity("a", "b").alias("y")).collect()
     assert [r["x"] for r in got] == [r["y"] for r in got] and [r["x"] for r in got][:6] == [1.0, 0.0, 1.0, 0.0, 0.0, 0.0]
+
+
+def test_shingles_are_moved_once_to_be_counted(spark):
+    """Representatives are told before shingles are made, and sets are compared by the shingles that two of them have."""
+    made = dedup.first_sets(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.index("ArrowEvalPython") < made.index("Join LeftSemi")
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [2, 3, 4, 5]), (3, [4, 9, 10, 11]), (4, []), (5, None)], "id long, shingles array<long>")
+    ranked = d.shared_shingles(sets, 0.5)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    got = {r["id"]: (r["n"], r["room"], [tuple(x) for x in r["shared"]]) for r in ranked.collect()}
+    assert got == {1: (4, 2, [(2, 2), (2, 3), (3, 4)]), 2: (4, 2, [(2, 2), (2, 3), (3, 4)])}
+    assert [tuple(r) for r in d.near_pairs(sets, 0.5).collect()] == [(1, 2, 0.6)]
