@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,17 +35,34 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(bare(F.when(wide, text)), F.lower(text)), F.lit(TOKEN), F.lit(0))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])))
+def counted(words: pa.Array) -> pa.Array:
+    """The distinct words of texts of words with a blank between them, with their numbers; Python's objects are those of 256 texts at a time."""
+
+    def some(texts: pa.Array) -> pa.Array:
+        found = [Counter(w.split(" ")) if w else {} for w in texts.to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        token, tf = pa.array([t for c in found for t in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([token, tf], ["token", "tf"]))
+
+    return pa.concat_arrays([some(words.slice(i, 256)) for i in range(0, max(1, len(words)), 256)])
+
+
 def build_index(books: DataFrame, columns: list[str]) -> DataFrame:
-    """Postings (token, id, col, tf) over the named columns; arrays count as their elements."""
+    """Postings (token, id, col, tf) over the named columns of books, a row an id; arrays count as their elements.
+
+    Tokens are counted in their row, so that no posting is moved for it.
+    """
     kinds = dict(books.dtypes)
     text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ") if kinds[c].startswith("array") else F.coalesce(F.col(c), F.lit(""))
-    staged = books.select("id", *[tokens(text(c)).alias(c) for c in columns])
-    tagged = F.flatten(F.array(*map(_tagged, columns)))
-    return staged.select("id", F.explode(tagged).alias("t")).groupBy(F.col("t.token").alias("token"), "id", F.col("t.col").alias("col")).agg(F.count("*").alias("tf"))
+    staged = books.select("id", *[counted(F.array_join(tokens(text(c)), " ")).alias(c) for c in columns])
+    # The outer form, as a filter on what Python makes would have it made twice.
+    made = staged.select("id", F.explode_outer(F.concat(*map(_tagged, columns))).alias("t")).where("t is not null")
+    return made.select(F.col("t.token").alias("token"), "id", F.col("t.col").alias("col"), F.col("t.tf").alias("tf"))
 
 
 def _tagged(c: str) -> Column:
-    return F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(c).alias("col")))
+    return F.transform(c, lambda t: F.struct(t["token"].alias("token"), t["tf"].alias("tf"), F.lit(c).alias("col")))
 
 
 @dataclass
@@ -55,9 +75,12 @@ class Index:
 
 
 def save_index(index: DataFrame, path: str) -> Index:
-    """Writes an index once for many searches: postings by ranges of tokens, so that a prefix reads few row groups, lengths and totals."""
+    """Writes an index once for many searches: postings dealt by tokens and sorted, so that a prefix reads few row groups of a file, lengths and totals.
+
+    Ranges of tokens would need samples, for which the texts were read and counted once more.
+    """
     spark = index.sparkSession
-    index.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/postings")
+    index.repartition("token").sortWithinPartitions("token").write.parquet(f"{path}/postings")
     postings = spark.read.schema(index.schema).parquet(f"{path}/postings")
     postings.groupBy("id").agg(F.sum("tf").alias("len")).write.parquet(f"{path}/lengths")
     spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("rows"), F.avg("len").alias("avg")).write.parquet(f"{path}/totals")

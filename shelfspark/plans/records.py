@@ -14,7 +14,7 @@ from shelfspark.operators import linkage as k
 from shelfspark.operators import search as s
 from shelfspark.operators.usage import per_million, provenance_log as provenance
 from shelfspark.plans.registry import query
-from shelfspark.shared import new_folder
+from shelfspark.shared import new_folder, small_side, spread, stored
 from shelfspark.sources.tables import read_table
 
 DIGIT = "CAST(substr({c}, {i}, 1) AS INTEGER)"
@@ -240,8 +240,9 @@ WITH tk AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\
 SELECT id AS doc_id, substr(text, greatest(1, strpos(lower(text), 'apache') - 20), 60) AS snippet FROM f JOIN documents ON id = doc_id WHERE n = 2""")
 def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    index = s.save_index(s.build_index(docs.select(F.col("doc_id").alias("id"), "text"), ["text"]), new_folder(spark, "index"))
-    hits = s.search(index, "apache licen", limit=None).select("id")
+    texts = spread(docs.select(F.col("doc_id").alias("id"), "text"))
+    index = s.save_index(s.build_index(texts, ["text"]), new_folder(spark, "index"))
+    hits = small_side(stored(s.search(index, "apache licen", limit=None).select("id"), "hits"))
     at = F.greatest(F.lit(1), F.locate("apache", F.lower("text")) - 20)
     return docs.join(hits, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", F.substring("text", at, F.lit(60)).alias("snippet"))
 

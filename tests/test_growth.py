@@ -9,7 +9,7 @@ from shelfspark import sqlnames
 from shelfspark.catalog_queries import QUERIES
 from shelfspark.operators import duplicates as d
 from shelfspark.operators import fingerprint as fp
-from shelfspark.operators import linkage, selection
+from shelfspark.operators import linkage, search, selection
 from shelfspark.plans import dedup
 from shelfspark.plans.linkage import provider_rows
 from shelfspark.streaming import reviews
@@ -114,3 +114,18 @@ def test_shingles_are_moved_once_to_be_counted(spark):
     got = {r["id"]: (r["n"], r["room"], [tuple(x) for x in r["shared"]]) for r in ranked.collect()}
     assert got == {1: (4, 2, [(2, 2), (2, 3), (3, 4)]), 2: (4, 2, [(2, 2), (2, 3), (3, 4)])}
     assert [tuple(r) for r in d.near_pairs(sets, 0.5).collect()] == [(1, 2, 0.6)]
+
+
+def test_tokens_are_counted_in_their_row(spark, tmp_path):
+    """No posting is moved before the index is written, and texts are read once for it."""
+    books = spark.createDataFrame([(1, "Nuñez a_b a_b, A", ["x y", "x"]), (2, None, None), (3, "--", []), (4, "b " * 999, ["É"])], "id long, text string, tags array<string>")
+    made = search.build_index(books, ["text", "tags"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("counted") == 2
+    want = {("nunez", 1, "text", 1), ("a_b", 1, "text", 2), ("a", 1, "text", 1), ("x", 1, "tags", 2), ("y", 1, "tags", 1), ("b", 4, "text", 999), ("e", 4, "tags", 1)}
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    calls = spark.sparkContext.accumulator(0)
+    seen = books.rdd.map(lambda r: (calls.add(1), r)[1]).toDF(books.schema)
+    index = search.save_index(search.build_index(seen, ["text", "tags"]), f"file://{tmp_path}/index")
+    assert calls.value == 4 and sorted(map(tuple, index.postings.collect())) == sorted(want)
+    assert {r["id"]: r["len"] for r in index.lengths.collect()} == {1: 7, 4: 1000}
