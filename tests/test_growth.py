@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from shelfspark.operators import fingerprint as fp
 from shelfspark.operators import linkage, search, selection
 from shelfspark.plans import dedup
 from shelfspark.plans.linkage import provider_rows
+from shelfspark.shared import stored
 from shelfspark.streaming import reviews
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +132,49 @@ def test_tokens_are_counted_in_their_row(spark, tmp_path):
     index = search.save_index(search.build_index(seen, ["text", "tags"]), f"file://{tmp_path}/index")
     assert calls.value == 4 and sorted(map(tuple, index.postings.collect())) == sorted(want)
     assert {r["id"]: r["len"] for r in index.lengths.collect()} == {1: 7, 4: 1000}
+
+
+def test_title_pairs_with_evidence_are_told_by_arrays(spark):
+    """Equal titles of an author in common: evidence is told for arrays of ids, no pair is moved, and known pairs are left out."""
+    kinds = [(["A"], "en", None), (["A", "B"], "en", "x"), (["B", None], "de", "x"), ([None], "en", None), ([], "en", None)]
+    docs = [(i * 7 % 1009, "one two" if i < 640 else ["", None, "other"][i % 3], *kinds[i % 5], i % 4 == 0) for i in range(700)]
+    rows = stored(spark.createDataFrame(docs, "id long, title string, authors array<string>, language string, series string, fresh boolean").selectExpr("*", "cast(null as string) as isbn", "cast(null as int) as year", "series as publisher"), "rows")
+    told = stored(spark.createDataFrame([(0, 7), (0, 14), (0, 35), (7, 1000)], "left long, right long"), "told")
+    gone, by = set(map(tuple, told.collect())), {r["id"]: r for r in rows.collect()}
+
+    def pairs(later):
+        for a, x in by.items():
+            for b, y in by.items():
+                if x["title"] and x["title"] == y["title"] and {*x["authors"]} & {*y["authors"]} - {None} and x["language"] == y["language"] and later(x, y) and (a, b) not in gone:
+                    yield a, b
+
+    whole = d.title_author_runs(rows.drop("fresh"), told)
+    got = [(r["left"], r["right"]) for r in d.run_pairs(whole).collect()]
+    assert len(got) == len(set(got)) > 40_000 and set(got) == set(pairs(lambda x, y: x["id"] < y["id"]))
+    assert whole.count() < len(got) / 20
+    plan = d.run_pairs(whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan.split("explode(left#")[0] for x in ("Join", "Aggregate", "Repartition"))
+    new = [(r["left"], r["right"]) for r in d.run_pairs(d.title_author_runs(rows, told)).collect()]
+    assert len(new) == len(set(new)) and set(new) == set(pairs(lambda x, y: y["fresh"] and (not x["fresh"] or x["id"] < y["id"])))
+
+
+def test_snapshots_are_reconciled_as_arrays(spark):
+    """Runs give what their pairs give, against a join of pairs, and are moved as arrays."""
+    rng = random.Random(2)
+    found = [("metadata", ["a"], []), ("metadata", ["a", "b"], []), ("content", ["a"], None), ("metadata", ["a"], ["c"])]
+    made = [{(left, right): rng.randrange(4) for left in range(9) for right in range(100, 160) if rng.random() < p} for p in (0.8, 0.6)]
+    rows = [[(*k, *found[f]) for k, f in m.items()] for m in made]
+    kind = "left long, right long, kind string, reasons array<string>, conflicts array<string>"
+    now = stored(spark.createDataFrame(rows[0], kind), "now")
+    then = stored(spark.createDataFrame([(*r, "keep_both" if r[1] % 2 else None) for r in rows[1]], kind + ", decision string"), "then")
+    want = set()
+    for k in made[0].keys() | made[1].keys():
+        state = "inserted" if k not in made[1] else "deleted" if k not in made[0] else "kept" if made[0][k] == made[1][k] else "changed"
+        decided = "keep_both" if k in made[1] and k[1] % 2 else None
+        want.add((*k, state, decided if state == "kept" else None, "reset" if decided and state in ("deleted", "changed") else None))
+    runs = lambda df, *by: df.groupBy("left", "kind", "reasons", "conflicts", *by).agg(F.collect_list("right").alias("rights"))
+    for a, b in ((now, then), (runs(now), runs(then, "decision")), (runs(now), then)):
+        got = list(map(tuple, d.reconcile(a, b).collect()))
+        assert len(got) == len(want) and set(got) == want
+    plan = d.reconcile(stored(runs(now), "now"), stored(runs(then, "decision"), "then"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan.split("RepartitionByExpression")[1]
