@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from shelfspark.operators import linkage, search, selection
 from shelfspark.plans import dedup
 from shelfspark.plans.linkage import provider_rows
 from shelfspark.shared import stored
-from shelfspark.streaming import reviews
+from shelfspark.streaming import importer, reviews
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,3 +179,61 @@ def test_snapshots_are_reconciled_as_arrays(spark):
         assert len(got) == len(want) and set(got) == want
     plan = d.reconcile(stored(runs(now), "now"), stored(runs(then, "decision"), "then"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "explode" not in plan.split("RepartitionByExpression")[1]
+
+
+class Lists(Calls):
+    """A list state that counts its accesses."""
+
+    def getListState(self, name, schema):
+        self.held = []
+        return self
+
+    def exists(self):
+        self.n += 1
+        return bool(self.held)
+
+    def get(self):
+        self.n += 1
+        return iter(self.held)
+
+    def appendValue(self, value):
+        self.n += 1
+        self.held.append(value)
+
+
+def test_a_batch_of_a_shard_is_one_access_of_its_state():
+    """Many keys of one shard are read and written at once; a whole title gives out its ids, not their pairs."""
+    rng = random.Random(4)
+    rows = [(k // 100, rng.randrange(1000), rng.randrange(40), rng.random() < 0.5) for k in range(400)]
+    rows = pd.DataFrame(sorted(set(rows)), columns=["batch", "id", "key", "asks"]).drop_duplicates(["batch", "id"]).assign(textual=lambda x: x["key"] % 2 == 0, whole=lambda x: x["key"] % 5 == 0)
+    runs = [rows[rows["batch"] < 2].sample(frac=1, random_state=1), rows[rows["batch"] >= 2].sample(frac=1, random_state=1)]
+    calls, index, got = Lists(), importer.Index(), []
+    index.init(calls)
+    for part in runs:
+        calls.n = 0
+        made = pd.concat([pd.DataFrame(columns=["left", "left_batch", "right", "batch", "textual", "fresh"]), *index.handleInputRows((0,), iter([part[:90], part[90:]]), None)])
+        got.append(made)
+        assert calls.n <= 3
+    every, arrived = list(rows.itertuples()), lambda r: (r.batch, r.id)
+    for made, fresh in zip(got, (lambda r: r.batch < 2, lambda r: r.batch >= 2), strict=True):
+        there = [r for r in every if r.batch < 2 or fresh(r)]
+        pairs = {(a.id, a.batch, b.id, b.batch, b.textual) for a in there for b in there if a.key == b.key and not a.whole and arrived(a) < arrived(b) and fresh(b) and (a.asks or b.asks) and a.id != b.id}
+        alone = made["right"].isna()
+        assert sorted(pairs) == sorted((r.left, r.left_batch, r.right, r.batch, r.textual) for r in made[~alone].itertuples())
+        titles = {r.key for r in there if r.whole and fresh(r) and sum(x.key == r.key for x in there) > 1}
+        assert sorted((r.id, r.batch, fresh(r)) for r in there if r.key in titles) == sorted((r.left, r.left_batch, r.fresh) for r in made[alone].itertuples())
+
+    calls, first, seen = Lists(), importer.FirstSeen(), {}
+    first.init(calls)
+    files = pd.DataFrame([(k // 100, k * 7 % 401, f"f{rng.randrange(90)}") for k in range(400)], columns=["batch", "id", "sha256"])
+    files["text_hash"] = "t" + (files["sha256"].str[1:].astype(int) % 30).astype(str)
+    for part in (files[:200], files[200:]):
+        calls.n = 0
+        (out,) = first.handleInputRows((0,), iter([part.sample(frac=1, random_state=2)]), None)
+        assert calls.n <= 3
+        want = []
+        for r in part.sort_values(["batch", "id"]).itertuples():
+            want.append((r.id, r.batch, seen.get((r.text_hash, r.sha256)), seen.get(r.text_hash)))
+            seen.setdefault(r.text_hash, r.id)
+            seen.setdefault((r.text_hash, r.sha256), r.id)
+        assert [tuple(None if pd.isna(x) else x for x in r) for r in out.itertuples(index=False)] == want
